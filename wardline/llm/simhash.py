@@ -241,8 +241,8 @@ def edges(nodes: DataFrame, tile: int = TILE) -> DataFrame:
 def components(edge: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, comp): the smallest node reachable, for each node that occurs in (a, b).
 
-    Each round every node looks at the smallest label around it, then labels are shortened by following
-    them once; edges are rewritten to labels and those within a label go. Tables are checkpointed each round.
+    Each round every node points at the smallest node around it, pointers are followed to their roots, edges are
+    rewritten to roots, and those within a root go. Only nodes without a smaller neighbour are left. Tables are checkpointed each round.
     """
     live = checkpointed(edge)
     found = None
@@ -251,9 +251,7 @@ def components(edge: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("p"))
-        # follow the parent's parent: chains halve
-        over = up.select(F.col("node").alias("p"), F.col("p").alias("pp"))
-        up = checkpointed(up.join(over, "p").select("node", F.col("pp").alias("p")))
+        up = _to_roots(checkpointed(up))
         # The first round meets every node; later ones only labels.
         found = up if found is None else checkpointed(_relabel(found, up, "p"))
         nxt = _relabel(_relabel(live, up, "a"), up, "b")
@@ -265,6 +263,17 @@ def components(edge: DataFrame, max_rounds: int = 60) -> DataFrame:
     return found.select("node", F.col("p").alias("comp"))
 
 
+def _to_roots(up: DataFrame) -> DataFrame:
+    """(node, p) with each p followed to where it ends; the distance doubles each time, so a chain of n takes log n steps."""
+    moved = True
+    while moved:
+        over = up.select(F.col("node").alias("p"), F.col("p").alias("pp"))
+        up = checkpointed(up.join(over, "p").select("node", F.col("pp").alias("p"), (F.col("p") != F.col("pp")).alias("moved")))
+        moved = not up.where("moved").isEmpty()
+        up = up.drop("moved")
+    return up
+
+
 def _relabel(df: DataFrame, up: DataFrame, col: str) -> DataFrame:
     to = up.select(F.col("node").alias(col), F.col("p").alias("__to"))
     return df.join(to, col, "left").withColumn(col, F.coalesce("__to", col)).drop("__to").select(*df.columns)
