@@ -293,7 +293,8 @@ def classes(fps: DataFrame, id_col: str = "doc_id", tile: int = TILE) -> DataFra
 def _with_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_key"))
     fps = checkpointed(fingerprints(base).select("row.doc_id", "row.text_key", "fp"))
-    return fps.join(classes(fps), "fp")
+    # Both sides are plain tables, so that the join of a fingerprint which a third of all rows share can be split.
+    return fps.join(checkpointed(classes(fps)), "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
