@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ from .common import id_and_text
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
 #: Words and piece pairs a worker remembers; beyond, it starts anew.
-MAX_WORDS, MAX_PAIRS = 400_000, 1_000_000
+MAX_WORDS, MAX_PAIRS = 400_000, 400_000
 
 
 def model_bytes(path: str | None = None) -> bytes:
@@ -77,7 +78,8 @@ class Coder:
         # marks and joinable characters, or marks alone, or one character that stands alone
         self.cut = re.compile(f"{MARK}*[{inner}]+|{MARK}+|[^{MARK}{inner}]")
         self.words: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.span = n + 0x110000
 
     def _merge(self, s: str) -> list[str]:
         """The merges as the model defines them: the best-scored adjacent pair, leftmost first."""
@@ -94,16 +96,24 @@ class Coder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _follows(self, a: str, b: str) -> bool:
+    def _follows(self, a: int, b: int) -> bool:
         if len(self.pairs) >= MAX_PAIRS:
             self.pairs.clear()
-        ok = self.pairs[a, b] = self._merge(a + b) == [a, b]
+        x, y = self._text(a), self._text(b)
+        ok = self.pairs[a * self.span + b] = self._merge(x + y) == [x, y]
         return ok
 
+    def _text(self, k: int) -> str:
+        return self.pieces[k] if k < len(self.pieces) else chr(k - len(self.pieces))
+
     def _learn(self, words: list[str]) -> None:
-        """Depth-first over the trie of sorted ``words``: the stack holds a state for each character of the current prefix."""
-        ids, ends, follows, pairs, unigram, one = self.ids, self.ends, self._follows, self.pairs, self.unigram, (1,)
-        stack: list = [(None, 0.0)]  # of each prefix: its last piece, and its score
+        """Depth-first over the trie of sorted ``words``: for each prefix of the current word, its last piece and that piece's length.
+
+        A character without a piece of its own stands in as its code point after the pieces.
+        """
+        ids, ends, follows, pairs, one, span = self.ids.get, self.ends.get, self._follows, self.pairs, (1,), self.span
+        unigram, score, n = self.unigram, self.score, len(self.pieces)
+        last, size, best = [-1], [0], [0.0]
         before = ""
         for w in words:
             shared = 0
@@ -111,65 +121,56 @@ class Coder:
                 if x != y:
                     break
                 shared += 1
-            del stack[shared + 1 :]
+            del last[shared + 1 :], size[shared + 1 :], best[shared + 1 :]
             for end in range(shared + 1, len(w) + 1):
-                state = None
-                for size in ends.get(w[end - 2 : end], one) if end > 1 else one:
-                    if size > end:
-                        continue
-                    piece = w[end - size : end]
-                    if size > 1 and piece not in ids:
+                found, top = None, 0.0
+                for k in ends(w[end - 2 : end], one) if end > 1 else one:
+                    if k > end:
                         continue
-                    last, score = stack[end - size]
+                    piece = ids(w[end - k : end])
+                    if piece is None:
+                        if k > 1:
+                            continue
+                        piece = n + ord(w[end - 1])
                     if unigram:
-                        total = score + (self.score[ids[piece]] if piece in ids else -1e9)
-                        if state is None or total > state[1]:
-                            state = (piece, total)
+                        total = best[end - k] + (score[piece] if piece < n else -1e9)
+                        if found is None or total > top:
+                            found, top, long = piece, total, k
                         continue
-                    if last is not None:
-                        ok = pairs.get((last, piece))
+                    left = last[end - k]
+                    if left >= 0:
+                        ok = pairs.get(left * span + piece)
                         if ok is None:
-                            ok = follows(last, piece)
+                            ok = follows(left, piece)
                         if not ok:
                             continue
-                    state = (piece, 0.0)
+                    found, long = piece, k
                     break
-                stack.append(state)
+                last.append(found)
+                size.append(long)
+                best.append(top)
             before = w
             out, end = [], len(w)
             while end:
-                piece = stack[end][0]
-                out.append(piece)
-                end -= len(piece)
-            coded: list[int] = []
-            for piece in reversed(out):
-                k = ids.get(piece)
-                if k is not None:
-                    coded.append(k)
-                elif self.bytes_id:
-                    coded.extend(self.bytes_id[b] for b in piece.encode())
-                else:
-                    coded.append(self.unk)
-            self.words[w] = tuple(coded)
+                out.append(last[end])
+                end -= size[end]
+            if max(out) >= n:
+                spelled = [[k] if k < n else [self.bytes_id[b] for b in chr(k - n).encode()] if self.bytes_id else [self.unk] for k in reversed(out)]
+                self.words[w] = tuple(x for part in spelled for x in part)
+            else:
+                out.reverse()
+                self.words[w] = tuple(out)
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int] | None]:
         parts = [None if t is None else self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         known = self.words
-        new = {w for p in parts if p for w in p if w not in known}
+        met = set(chain.from_iterable(p for p in parts if p))
+        new = met.difference(known)
         if len(known) + len(new) > MAX_WORDS:
             known.clear()
-            new = {w for p in parts if p for w in p}
+            new = met
         self._learn(sorted(new))
-        out = []
-        for p in parts:
-            if p is None:
-                out.append(None)
-                continue
-            ids: list[int] = []
-            for w in p:
-                ids += known[w]
-            out.append(ids)
-        return out
+        return [None if p is None else list(chain.from_iterable(map(known.__getitem__, p))) for p in parts]
 
     def decode(self, ids: list[int] | None) -> str | None:
         if ids is None:
