@@ -118,7 +118,8 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _with_bitmaps(docs: DataFrame, id_col: str, text_col: str, partitions: int | None) -> DataFrame:
-    maps = keep_bitmaps(docs, id_col, text_col, partitions)
+    # A table of its own: packing and unpacking then never need two Python workers for one task.
+    maps = checkpointed(keep_bitmaps(docs, id_col, text_col, partitions))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"), *row_key(id_col, text_col))
     return row.join(maps, ["__id", "__text_key"], "left").select("row", "text", "bitmap")
 
