@@ -68,13 +68,30 @@ def id_and_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+#: Rows of an Arrow batch at most: texts are large, and a worker holds a batch several times over.
+BATCH_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of rows in an Arrow batch to ``BATCH_ROWS``, where it is higher; a lower one stays."""
+    now = int(spark.conf.get(_BATCH))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def map_texts(docs: DataFrame, fields: list[T.StructField], make: Callable[[], Callable[[list[str | None]], list]], text_col: str = "text") -> DataFrame:
     """Adds columns computed from the text by Python, in Arrow batches.
 
     ``make()`` runs once a task and returns a function from a list of texts to one list or
     Arrow array for each field. The row itself travels untouched in a struct, so any names may occur in it.
     """
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    small_batches(docs.sparkSession)
+    # The text goes to Python once, within its row, unless it has to be cast.
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    inside = docs.columns.index(text_col) if isinstance(docs.schema[text_col].dataType, T.StringType) else None
+    if inside is None:
+        row = row.withColumn("text", F.col(f"row.`{text_col}`").cast("string"))
     out = T.StructType([row.schema["row"], *fields])
     kinds = [_arrow_type(f.dataType) for f in fields]
 
@@ -84,7 +101,8 @@ def map_texts(docs: DataFrame, fields: list[T.StructField], make: Callable[[], C
             if batch.num_rows == 0:
                 continue
             work = work or make()
-            got = work(batch.column("text").to_pylist())
+            texts = batch.column("text") if inside is None else batch.column("row").field(inside)
+            got = work(texts.to_pylist())
             arrays = [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, k) for x, k in zip(got, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *arrays], names=out.names)
 

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import NO_ID, ascii_lower, checkpointed, row_key
+from .common import NO_ID, ascii_lower, checkpointed, row_key, small_batches
 
 MIN_POINTS = 10
 _STRIP = " \t\n\x0b\x0c\r"
@@ -119,6 +119,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def _with_bitmaps(docs: DataFrame, id_col: str, text_col: str, partitions: int | None) -> DataFrame:
     # A table of its own: packing and unpacking then never need two Python workers for one task.
+    small_batches(docs.sparkSession)
     maps = checkpointed(keep_bitmaps(docs, id_col, text_col, partitions))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"), *row_key(id_col, text_col))
     return row.join(maps, ["__id", "__text_key"], "left").select("row", "text", "bitmap")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_and_text
+from .common import BATCH_ROWS, id_and_text, small_batches
 
 MARK = "▁"
 MODEL = "piece_bpe_32k.model"
@@ -247,12 +247,13 @@ def encode(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_id",
     A space mark in the text itself decodes to a space, as in the library, and then round_trip is false.
     """
     held = docs.sparkSession.sparkContext.broadcast(model or model_bytes())
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(held.value)
         for b in batches:
-            for at in range(0, b.num_rows, 1_000):
-                part = b.slice(at, 1_000)
+            for at in range(0, b.num_rows, BATCH_ROWS):
+                part = b.slice(at, BATCH_ROWS)
                 texts = part.column("text").to_pylist()
                 ids = coder.encode_batch(texts)
                 same = [None if t is None else coder.decode(i) == t for t, i in zip(texts, ids, strict=True)]
@@ -264,6 +265,7 @@ def encode(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_id",
                     pa.array(same, pa.bool_()),
                 ]
                 yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "n_tokens", "n_chars", "round_trip"])
+        coder.words.clear()  # the worker goes on to other tasks; most words are rare and would not be met again
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, n_chars long, round_trip boolean")
 
