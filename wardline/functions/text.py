@@ -191,6 +191,11 @@ def near(toks: Column, first: tuple[str, ...], second: tuple[str, ...], window:
     return let(places(second), lambda b: F.exists(places(first), lambda x: F.exists(b, lambda y: F.abs(x - y) <= window)))
 
 
+def near_terms(norm: Column, first: tuple[str, ...], second: tuple[str, ...], window: int) -> Column:
+    """``near`` on the tokens of a text; texts without the letters of both lists are not cut into tokens."""
+    return any_phrase(norm, first) & any_phrase(norm, second) & near(tokens(norm), first, second, window)
+
+
 def any_phrase(norm: Column, phrases: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in phrases:
@@ -200,10 +205,9 @@ def any_phrase(norm: Column, phrases: tuple[str, ...]) -> Column:
 
 def intents(norm: Column) -> dict[str, Column]:
     """The intent templates by rule."""
-    toks = tokens(norm)
-    override = near(toks, R.OVERRIDE_TERMS, R.AUTHORITY_TERMS, R.OVERRIDE_WINDOW)
+    override = near_terms(norm, R.OVERRIDE_TERMS, R.AUTHORITY_TERMS, R.OVERRIDE_WINDOW)
     role = any_phrase(norm, R.ROLE_PHRASES)
-    exfil = near(toks, R.EXFIL_TERMS, R.SECRET_TERMS, R.EXFIL_WINDOW)
+    exfil = near_terms(norm, R.EXFIL_TERMS, R.SECRET_TERMS, R.EXFIL_WINDOW)
     return {"PI-001": override, "PI-002": role, "PI-004": exfil, "PI-008": any_phrase(norm, R.STEALTH_PHRASES) & (override | role | exfil)}
 
 
@@ -230,7 +234,13 @@ def window_around(norm: Column, start: Column, length: Column, reach: int = 80)
 
 def entropy_chars(text: Column) -> Column:
     """Shannon entropy in bits a character, 0 for an empty text."""
-    return _entropy(F.filter(F.split(text, ""), lambda c: c != ""))
+
+    def of(symbols: Column) -> Column:
+        n = F.length(text)
+        share = F.transform(symbols, lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
+        return F.aggregate(share, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
+
+    return let(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")), of)
 
 
 def entropy_bytes(text: Column) -> Column:

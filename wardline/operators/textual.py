@@ -33,7 +33,7 @@ def pattern_ord(norm: Column, rule: str) -> Column:
     """Number of the first pattern of a rule that fits, or null."""
     out = F.lit(None).cast("int")
     for n, p in reversed(list(enumerate(R.TEXT_PATTERNS[rule]))):
-        out = F.when(F.rlike(norm, _regex(p)), n).otherwise(out)
+        out = F.when(X.any_phrase(norm, R.PATTERN_NEEDS[rule][n]) & F.rlike(norm, _regex(p)), n).otherwise(out)
     return out
 
 

@@ -65,7 +65,9 @@ def sidecars(files: DataFrame) -> DataFrame:
 
 def implementation_files(files: DataFrame) -> DataFrame:
     """(skill path, source path): Python files that start like the manifest's first two name parts; else all, if it is the only JSON file there."""
-    m = files.where("ext = '.json'").select(F.col("path").alias("skill_path"), "dir", F.array_join(F.slice(F.split("stem", "-"), 1, 2), "-").alias("prefix"), F.count(F.lit(1)).over(Window.partitionBy("dir")).alias("n_json"))
+    j = files.where("ext = '.json'").withColumn("n_json", F.count(F.lit(1)).over(Window.partitionBy("dir")))
+    j = j.where(F.startswith(F.trim("content", F.lit(" \t\r\n")), F.lit("{")) & F.expr("try_parse_json(content) IS NOT NULL"))  # a broken one has no implementation
+    m = j.select(F.col("path").alias("skill_path"), "dir", F.array_join(F.slice(F.split("stem", "-"), 1, 2), "-").alias("prefix"), "n_json")
     p = files.where("ext = '.py'").select("dir", "path", "stem")
     both = m.join(p, "dir").withColumn("like", F.startswith("stem", "prefix"))
     both = both.withColumn("any_like", F.max("like").over(Window.partitionBy("skill_path")))
