@@ -10,9 +10,9 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deals rows out anew where the input has fewer splits than half the cores, as a file of one row group has.
+    """Deals rows out anew where the input has fewer splits than there are cores; a file of one row group is one task however it is split.
 
-    A large input has more splits than that and is not shuffled.
+    A large input has more splits than cores and is not shuffled.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
