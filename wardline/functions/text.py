@@ -7,6 +7,8 @@ import html
 import re
 import unicodedata
 from collections import deque
+from functools import reduce
+from operator import or_
 from urllib.parse import unquote_plus
 
 import pandas as pd
@@ -197,18 +199,21 @@ def near_terms(norm: Column, first: tuple[str, ...], second: tuple[str, ...], wi
 
 
 def any_phrase(norm: Column, phrases: tuple[str, ...]) -> Column:
-    out = F.lit(False)
-    for p in phrases:
-        out = out | F.contains(norm, F.lit(p))
-    return out
+    return reduce(or_, [norm.contains(p) for p in phrases])
+
+
+def intent(norm: Column, rule: str) -> Column:
+    """The intent template of one rule, with only the parts that it needs."""
+    override = lambda: near_terms(norm, R.OVERRIDE_TERMS, R.AUTHORITY_TERMS, R.OVERRIDE_WINDOW)
+    role = lambda: any_phrase(norm, R.ROLE_PHRASES)
+    exfil = lambda: near_terms(norm, R.EXFIL_TERMS, R.SECRET_TERMS, R.EXFIL_WINDOW)
+    stealth = lambda: any_phrase(norm, R.STEALTH_PHRASES) & (override() | role() | exfil())
+    return {"PI-001": override, "PI-002": role, "PI-004": exfil, "PI-008": stealth}[rule]()
 
 
 def intents(norm: Column) -> dict[str, Column]:
     """The intent templates by rule."""
-    override = near_terms(norm, R.OVERRIDE_TERMS, R.AUTHORITY_TERMS, R.OVERRIDE_WINDOW)
-    role = any_phrase(norm, R.ROLE_PHRASES)
-    exfil = near_terms(norm, R.EXFIL_TERMS, R.SECRET_TERMS, R.EXFIL_WINDOW)
-    return {"PI-001": override, "PI-002": role, "PI-004": exfil, "PI-008": any_phrase(norm, R.STEALTH_PHRASES) & (override | role | exfil)}
+    return {rule: intent(norm, rule) for rule in TEMPLATE_NAMES}
 
 
 TEMPLATE_NAMES = {"PI-001": "override_authority_template", "PI-002": "role_reassignment_template", "PI-004": "secret_exfil_template", "PI-008": "stealth_instruction_template"}

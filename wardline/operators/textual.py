@@ -38,24 +38,22 @@ def pattern_ord(norm: Column, rule: str) -> Column:
 
 
 def _snippet(v: Column, rule: str, n: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for k, p in enumerate(R.TEXT_PATTERNS[rule]):
-        # where the match begins: after what is left of the text before it
-        found = F.regexp_substr(v.norm, _regex(p))
-        out = F.when(n == k, X.let(found, lambda m: X.window_around(v.norm, F.instr(v.norm, m), F.length(m)))).otherwise(out)
+    # where the match begins: after what is left of the text before it; evaluated for hits only
+    found = F.regexp_substr(v.norm, F.get(F.array(*map(_regex, R.TEXT_PATTERNS[rule])), n))
+    out = X.let(found, lambda m: X.window_around(v.norm, F.instr(v.norm, m), F.length(m)))
     if rule == "PI-005":
         out = F.when(n == len(R.TEXT_PATTERNS[rule]), X.window_around(v.norm, v.b64_from + 1, v.b64_to - v.b64_from)).otherwise(out)
     return out
 
 
 def _by_rule(variants: Column, rule: str, rule_ord: int) -> Column:
-    """The first hit of one rule, as an array of at most one."""
+    """The first hit of one rule, as an array of at most one; its confidence is the rule's own."""
 
     def of(v: Column) -> Column:
         n = pattern_ord(v.norm, rule) if rule in R.TEXT_PATTERNS else F.lit(None).cast("int")
         if rule == "PI-005":
             n = F.coalesce(n, F.when(v.b64_from.isNotNull(), len(R.TEXT_PATTERNS[rule])))
-        by_template = X.intents(v.norm).get(rule, F.lit(False))
+        by_template = X.intent(v.norm, rule) if rule in X.TEMPLATE_NAMES else F.lit(False)
 
         def hit(n: Column) -> Column:
             by_pattern = n.isNotNull()
@@ -69,7 +67,7 @@ def _by_rule(variants: Column, rule: str, rule_ord: int) -> Column:
                     F.when(by_pattern, 0).otherwise(1).alias("stage"),
                     F.lit(rule_ord).alias("rule_ord"),
                     F.lit(rule).alias("rule_id"),
-                    F.least(F.lit(1.0), F.lit(_BASE[rule]) * X.multiplier(v.norm, v.label)).alias("confidence"),
+                    F.lit(_BASE[rule]).alias("confidence"),
                     F.substring(F.trim(told), 1, 220).alias("snippet"),
                 ).cast(HIT),
             )
@@ -79,6 +77,16 @@ def _by_rule(variants: Column, rule: str, rule_ord: int) -> Column:
     return F.slice(F.filter(F.transform(variants, of), lambda h: h.isNotNull()), 1, 1)
 
 
+def _scaled(found: Column, variants: Column) -> Column:
+    """Hits with their confidence scaled by the variant they were found in; one expression for all rules keeps the plan small."""
+
+    def scale(h: Column) -> Column:
+        by = X.let(F.get(variants, h.variant_ord), lambda v: X.multiplier(v.norm, v.label))
+        return h.withField("confidence", F.least(F.lit(1.0), h.confidence * by))
+
+    return F.transform(found, scale)
+
+
 def _constant(cond: Column, variant_ord: int, stage: int, rule: str, snippet: Column) -> Column:
     """A rule on the raw text, whose confidence is not scaled."""
     hit = F.struct(F.lit(variant_ord), F.lit(stage), F.lit(0), F.lit(rule), F.lit(_BASE[rule]), snippet).cast(HIT)
@@ -96,7 +104,9 @@ def hits(fields: DataFrame, decode: bool = True) -> DataFrame:
     is_name = F.endswith("field_name", F.lit(":name")) | (F.col("field_name") == "mcp_server_name")
     lookalike = _constant(is_name & F.rlike("text", F.lit(R.LOOKALIKE_CLASS)), 99, 0, "PI-006", F.col("text"))
     v = with_variants(fields.where(F.col("text").isNotNull()), decode)
-    found = F.concat(invisible, *[_by_rule(F.col("variants"), r, i) for i, r in enumerate(order)], lookalike)
+    variants = F.col("variants")
+    by_rule = F.concat(*[_by_rule(variants, r, i) for i, r in enumerate(order)])
+    found = F.concat(invisible, _scaled(by_rule, variants), lookalike)
     return v.select("skill_id", "field_ord", "field_name", F.inline(found))
 
 
