@@ -5,7 +5,7 @@ import json
 from wardline import __main__ as cli
 from wardline import rules as R
 from wardline.functions import pyfacts
-from wardline.operators import code, judge, metrics, scoring, traces
+from wardline.operators import code, deps, judge, metrics, scoring, traces
 from wardline.plans import scan
 from wardline.sinks import reports
 from wardline.sources import files, requirements
@@ -95,6 +95,25 @@ def test_metrics(spark):
     assert (p["p50"], p["p95"], p["p99"]) == (6, 10, 10)
 
 
+def test_percentiles_of_ties_and_hot_keys(spark):
+    rows = [("hot", float(i * 7919 % 10_007)) for i in range(30_000)] + [("same", 2.5)] * 500 + [(None, float(i)) for i in range(3)] + [("one", 1.0), ("nulls", None), ("nulls", 4.0)]
+    got = {r["k"]: r for r in metrics.index_percentiles(spark.createDataFrame(rows, "k string, v double"), "v", "k").collect()}
+    assert set(got) == {"hot", "same", None, "one", "nulls"}
+    for k, r in got.items():
+        v = sorted((x for key, x in rows if key == k), key=lambda x: (x is not None, x))
+        n = len(v)
+        assert (r["n"], r["p50"], r["p95"], r["p99"]) == (n, v[n // 2], v[int(0.95 * n)], v[min(int(0.99 * n), n - 1)])
+    assert metrics.index_percentiles(spark.createDataFrame([], "k string, v double"), "v", "k").count() == 0
+
+
+def test_near_package_names(spark):
+    d = spark.createDataFrame([("reqeusts",), ("reqeusts",), ("Requests",), ("num_py",), ("unlike-any",), (None,)], "name string")
+    got = {(r["norm_name"], r["typosquat_of"], r["distance"]) for r in deps.typosquats(d).collect()}
+    assert got == {("reqeusts", "requests", 2), ("num-py", "numpy", 1)}
+    plan = deps.typosquats(d)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("levenshtein") < plan.index("Aggregate")  # distances are taken above the grouping
+
+
 def corpus(folder):
     (folder / "a").mkdir()
     (folder / "b").mkdir()

@@ -7,8 +7,6 @@ import html
 import re
 import unicodedata
 from collections import deque
-from functools import reduce
-from operator import or_
 from urllib.parse import unquote_plus
 
 import pandas as pd
@@ -198,8 +196,13 @@ def near_terms(norm: Column, first: tuple[str, ...], second: tuple[str, ...], wi
     return any_phrase(norm, first) & any_phrase(norm, second) & near(tokens(norm), first, second, window)
 
 
+def constants(words: tuple[str, ...]) -> Column:
+    """Words as an array that the optimiser folds into one constant, however long the list."""
+    return F.split(F.lit("\n".join(words)), "\n")
+
+
 def any_phrase(norm: Column, phrases: tuple[str, ...]) -> Column:
-    return reduce(or_, [norm.contains(p) for p in phrases])
+    return norm.contains(phrases[0]) if len(phrases) == 1 else F.exists(constants(phrases), lambda p: F.contains(norm, p))
 
 
 def intent(norm: Column, rule: str) -> Column:

@@ -26,13 +26,14 @@ def known_packages(spark: SparkSession) -> DataFrame:
 def typosquats(deps: DataFrame, ascii_only: bool = True) -> DataFrame:
     """(norm_name, typosquat_of, distance) for each distinct unknown name near a known one; ties go to the first name.
 
-    Distances are taken once a distinct name, over the fixed list as a literal: no join at all.
+    Distances are taken once a distinct name, over the fixed list as a literal: no join at all. They are taken on an
+    aggregate of the name, since a filter on the group's own key would be pushed below the grouping, to every row.
     """
-    known = F.array(*[F.lit(n) for n in R.KNOWN_PACKAGES])
-    names = deps.select(normalized_name(F.col("name"), ascii_only).alias("norm_name")).distinct()
-    unknown = names.where(~F.col("norm_name").isin(*R.KNOWN_PACKAGES))
+    known = X.constants(R.KNOWN_PACKAGES)
+    names = deps.select(normalized_name(F.col("name"), ascii_only).alias("norm_name"))
+    unknown = names.where(~F.array_contains(known, F.col("norm_name"))).groupBy("norm_name").agg(F.max("norm_name").alias("one"))
     near = F.filter(
-        F.transform(known, lambda k: F.struct(F.levenshtein(F.col("norm_name"), k, MAX_DISTANCE).alias("distance"), k.alias("typosquat_of"))),
+        F.transform(known, lambda k: F.struct(F.levenshtein(F.col("one"), k, MAX_DISTANCE).alias("distance"), k.alias("typosquat_of"))),
         lambda s: s.distance >= 0,
     )
     return unknown.select("norm_name", F.array_min(near).alias("n")).where("n IS NOT NULL").select("norm_name", "n.typosquat_of", "n.distance")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 RECALL, PRECISION = 0.90, 0.85
 
@@ -50,22 +51,31 @@ def passes(metrics: DataFrame) -> DataFrame:
     return metrics.select((F.col("recall") >= RECALL).alias("recall_ok"), (F.col("precision") >= PRECISION).alias("precision_ok"))
 
 
+#: Shares asked for, and the error of the sketch that brackets them.
+_SHARES, _ACCURACY = {"p50": 0.50, "p95": 0.95, "p99": 0.99}, 20_000
+
+
 def index_percentiles(df: DataFrame, value: str, *keys: str) -> DataFrame:
     """p50, p95 and p99 as elements of the sorted values, at n // 2, int(.95 n) and min(int(.99 n), n - 1).
 
-    Ranks come from a window over each key; nothing is gathered.
+    A sketch brackets each share by two cuts, which deal a key's values to seven zones. Exact counts of the zones
+    tell where an element stands, and only the values of its zone are ranked: a ten-thousandth of a key, as a rule.
+    A poor sketch makes a zone larger and no result wrong. Equal values are counted before they are shuffled.
     """
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy(*keys)
-    r = df.select(*keys, F.col(value).alias("v")).withColumn("i", F.row_number().over(w.orderBy("v")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-    at = lambda i: F.max(F.when(F.col("i") == i, F.col("v")))
-    return r.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
-        at(F.expr("n div 2")).alias("p50"),
-        at(F.floor(0.95 * F.col("n"))).alias("p95"),
-        at(F.least(F.floor(0.99 * F.col("n")), F.col("n") - 1)).alias("p99"),
-    )
+    rows = df.select(F.struct(*keys).alias("k"), F.col(value).alias("v"))
+    around = [p + side * 2 / _ACCURACY for p in _SHARES.values() for side in (-1, 1)]
+    per = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("v", around, _ACCURACY).alias("cuts"))
+    seen = rows.groupBy("k", "v").agg(F.count(F.lit(1)).alias("c"))
+    zone = F.size(F.filter(F.coalesce("cuts", F.array()), lambda x: x < F.col("v")))  # nulls come first
+    zoned = seen.join(per.select("k", "cuts"), "k").select("k", "v", "c", zone.alias("zone"))
+    in_order = Window.partitionBy("k").orderBy("zone")  # seven rows a key at most
+    zones = zoned.groupBy("k", "zone").agg(F.sum("c").alias("size")).withColumn("before", F.sum("size").over(in_order) - F.col("size"))
+    at = {"p50": F.expr("n div 2"), "p95": F.floor(F.lit(_SHARES["p95"]) * F.col("n")), "p99": F.least(F.floor(F.lit(_SHARES["p99"]) * F.col("n")), F.col("n") - 1)}
+    asked = per.select("k", "n", F.inline(F.array(*[F.struct(F.lit(p).alias("share"), i.alias("i")) for p, i in at.items()])))
+    found = asked.join(zones, "k").where((F.col("before") <= F.col("i")) & (F.col("i") < F.col("before") + F.col("size")))
+    ranked = zoned.join(found, ["k", "zone"]).withColumn("upto", F.col("before") + F.sum("c").over(Window.partitionBy("k", "share").orderBy("v")))
+    one = ranked.where((F.col("upto") > F.col("i")) & (F.col("upto") - F.col("c") <= F.col("i")))
+    return one.groupBy("k").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("share") == p, F.col("v"))).alias(p) for p in _SHARES]).select("k.*", "n", *_SHARES)
 
 
 def caught_by(l1: Column, fused: Column) -> Column:

@@ -130,14 +130,16 @@ def pi_regex_hits(spark, sf):
 
 @_query(f"WITH {N_SQL}, {TOK_SQL} SELECT skill_id, count(*) AS n_tokens, count(DISTINCT t) AS n_distinct FROM tok GROUP BY skill_id")
 def token_counts(spark, sf):
-    t = _norm(spark, sf).select("skill_id", X.tokens(F.col("norm")).alias("t"))
-    return t.where(F.size("t") > 0).select("skill_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
+    # A filter on the tokens would be pushed down and cut the text a second time.
+    counts = X.let(X.tokens(F.col("norm")), lambda t: F.when(F.size(t) > 0, F.array(F.struct(F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct")))))
+    return _norm(spark, sf).select("skill_id", F.inline(counts))
 
 
 @_query(f"WITH {N_SQL}, {TMPL_SQL} SELECT skill_id, o AS override_near, e AS exfil_near FROM flags WHERE o OR e")
 def token_proximity_hits(spark, sf):
     i = X.intents(F.col("norm"))
-    return _norm(spark, sf).select("skill_id", i["PI-001"].alias("override_near"), i["PI-004"].alias("exfil_near")).where("override_near OR exfil_near")
+    both = F.struct(i["PI-001"].alias("override_near"), i["PI-004"].alias("exfil_near"))
+    return _norm(spark, sf).select("skill_id", F.inline(F.filter(F.array(both), lambda b: b.override_near | b.exfil_near)))
 
 
 @_query(f"WITH {N_SQL}, {TMPL_SQL} SELECT skill_id, rule_id FROM tmpl")
