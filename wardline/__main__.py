@@ -12,6 +12,7 @@ from pyspark.sql import SparkSession
 
 from .plans.scan import scan_path
 from .sinks import reports
+from .sources.tables import written
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -25,7 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("wardline").getOrCreate()
     try:
         table = lambda path: spark.read.parquet(path) if path else None
-        out = scan_path(spark, a.path, advisories=table(a.advisories), replies=table(a.replies), trace_rows=table(a.traces), rule_folder=a.rules)
+        out = scan_path(spark, a.path, advisories=table(a.advisories), replies=table(a.replies), trace_rows=table(a.traces), rule_folder=a.rules, keep=written)
         if a.sarif_out:
             reports.sarif(out.findings).select("sarif").write.mode("overwrite").text(a.sarif_out)
         if a.json_output:

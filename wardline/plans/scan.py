@@ -1,7 +1,12 @@
-"""The scan of a corpus: files to findings, scores and verdicts, as one lazy plan."""
+"""The scan of a corpus: files to findings, scores and verdicts.
+
+With ``keep`` left out, a scan is one lazy plan. A caller that reads more than one of its tables passes ``tables.written``: then
+sources are parsed once, findings and verdicts are computed once, and every report reads what was written.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +18,13 @@ from ..operators import code, deps, judge, scoring, textual, traces
 from ..sources import files as S
 
 
+Keep = Callable[[DataFrame], DataFrame]
+
+
+def lazy(df: DataFrame) -> DataFrame:
+    return df
+
+
 @dataclass
 class Scan:
     skills: DataFrame
@@ -28,7 +40,7 @@ def declared(skills: DataFrame) -> DataFrame:
     return skills.select("skill_id", F.array_distinct(F.flatten("tools.declared_permissions")).alias("permissions"))
 
 
-def scan_files(files: DataFrame, advisories: DataFrame | None = None, replies: DataFrame | None = None, trace_rows: DataFrame | None = None, rule_folder: str | None = None) -> Scan:
+def scan_files(files: DataFrame, advisories: DataFrame | None = None, replies: DataFrame | None = None, trace_rows: DataFrame | None = None, rule_folder: str | None = None, keep: Keep = lazy) -> Scan:
     """Every manifest, Python and Markdown file as a skill of its own.
 
     Files that stand beside a manifest as its implementation, or as its README or change log, belong to it.
@@ -42,16 +54,16 @@ def scan_files(files: DataFrame, advisories: DataFrame | None = None, replies: D
     alone = files.join(impl.select("path"), "path", "left_anti").join(beside.withColumn("side", F.lit(True)), "dir", "left").where(~(is_side & F.coalesce("side", F.lit(False))))
     skills = m.unionByName(S.python_skills(files.join(alone.select("path"), "path", "left_semi").unionByName(files.where(F.col("name").isin("README.md", "CHANGELOG.md", "requirements.txt"))))).unionByName(S.markdown_skills(alone.select(files.columns)))
     sources = impl.select(F.col("skill_path").alias("skill_id"), "path").unionByName(alone.where("ext = '.py'").select(F.col("path").alias("skill_id"), "path"))
-    return scan(skills, sources.join(files.select("path", "content"), "path"), S.dependencies(files, skills), advisories, replies, trace_rows, R.rule_table(spark, rule_folder))
+    return scan(skills, sources.join(files.select("path", "content"), "path"), S.dependencies(files, skills), advisories, replies, trace_rows, R.rule_table(spark, rule_folder), keep)
 
 
-def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisories: DataFrame | None, replies: DataFrame | None, trace_rows: DataFrame | None, rules: DataFrame) -> Scan:
+def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisories: DataFrame | None, replies: DataFrame | None, trace_rows: DataFrame | None, rules: DataFrame, keep: Keep = lazy) -> Scan:
     fields = S.text_fields(skills)
-    own = declared(skills)
-    facts = pyfacts.fact_table(sources)
+    own = keep(declared(skills))
+    facts = keep(pyfacts.fact_table(sources))
     used = code.exercised(facts).groupBy("skill_id").agg(F.array_sort(F.collect_set("permission")).alias("exercised"))
     none = F.array().cast("array<string>")
-    delta = code.permission_delta(own.join(used, "skill_id", "left").select("skill_id", F.col("permissions").alias("declared"), F.coalesce("exercised", none).alias("exercised")))
+    delta = keep(code.permission_delta(own.join(used, "skill_id", "left").select("skill_id", F.col("permissions").alias("declared"), F.coalesce("exercised", none).alias("exercised"))))
     first = textual.findings(fields).unionByName(textual.dynamic_tools(skills)).unionByName(deps.findings(dependencies, advisories)).unionByName(code.findings(facts, own)).unionByName(code.delta_findings(delta))
     found = scoring.dedup(first)
     parsed = lt = None
@@ -63,7 +75,7 @@ def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisor
     if trace_rows is not None:
         lt = trace_rows.join(own.withColumnRenamed("permissions", "declared"), "skill_id", "left").withColumn("declared", F.coalesce("declared", none))
         found = found.unionByName(traces.findings(lt))
-    found = scoring.enrich(found, rules)
+    found = keep(scoring.enrich(found, rules))
     l1 = scoring.layer1(skills, found, code.flags(facts, own))
     l2 = l3 = None
     if parsed is not None:
@@ -74,7 +86,7 @@ def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisor
         l2 = scoring.layer2(skills, found, per)
     if lt is not None:
         l3 = scoring.layer3(lt, found)
-    verdicts = scoring.fuse(l1, l2, l3).join(skills.select("skill_id", "skill_name", "framework"), "skill_id")
+    verdicts = keep(scoring.fuse(l1, l2, l3).join(skills.select("skill_id", "skill_name", "framework"), "skill_id"))
     return Scan(skills, fields, dependencies, found, verdicts, delta)
 
 

@@ -1,7 +1,10 @@
-"""Reading tables."""
+"""Reading tables, and working tables that a query writes for itself."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -16,3 +19,23 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own only where none is named."""
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if base is None:
+        base = f"file://{tempfile.mkdtemp(prefix='wardline-shared-')}"
+        sc.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a table in the shared folder, computed once; it goes when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/wardline-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
