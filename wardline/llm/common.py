@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import shared_folder, written  # noqa: F401
+
 #: Fixed by the contracts: ASCII white space, and what separates words of the alphanumeric kind.
 WS_RE = r"[\x20\x09-\x0D]+"
 SEP_RE = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -24,25 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if base is None:
-        base = f"file://{tempfile.mkdtemp(prefix='wardline-shared-')}"
-        sc.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a written table in the shared folder, computed once; it goes when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/wardline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+#: Cuts lineage with a written table in the shared folder.
+checkpointed = written
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
