@@ -83,7 +83,8 @@ def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """(__id, __text_key, pos) of each line to drop."""
     spark = docs.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = line_hashes(docs, id_col, text_col)
+    # Written first: the partition bounds are sampled from the hashes, and texts are split and hashed once.
+    rows = checkpointed(line_hashes(docs, id_col, text_col))
     order = ["h1", "h2", "__id", "__text_key", "pos"]
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     seen = checkpointed(dealt.mapInArrow(_stream, "h1 long, h2 long, __id long, __text_key long, pos int, state byte, edge boolean"))
