@@ -1,5 +1,7 @@
 """Language-model scores, the classifiers, and SentencePiece coding."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
 from llm_helpers import prose
@@ -46,6 +48,45 @@ def test_lm_edges(spark, edge, empty):
     assert lm_scoring.score(empty, none).count() == 0 and lm_scoring.score(edge, none).where("score IS NULL").count() == 0
 
 
+def test_lm_counts_every_word_and_bigram(spark):
+    """A rare word and a rare bigram keep counts of their own, however large the corpus and the word; small blocks change nothing."""
+    base = [prose(i, 5000) for i in range(220)]
+    rare = [(1000, "zinc " + "z" * 70 + " zebra"), (1001, "zebra zinc"), (1002, None), (None, "zinc zebra"), (1002, "")]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(base)] + rare, "doc_id long, text string").repartition(5)
+    targets = spark.createDataFrame([(i,) for i in range(0, 1001, 3)] + [(1000,)], "doc_id long")
+    good = {*range(0, 1001, 3), 1000}
+    rows = [(i, (t or "").split()) for i, t in [*enumerate(base), *rare]]
+    both = []
+    for own in (lambda i: i in good, lambda i: True):
+        words, pairs, context = Counter(), Counter(), Counter()
+        for i, w in rows:
+            if own(i):
+                words.update(w)
+                pairs.update(zip([None, *w], w))
+                context.update([None, *w][: len(w)])
+        both.append((words, pairs, context))
+    v = len(both[1][0]) + 1
+    want = {}
+    for i, w in rows:
+        losses = []
+        for words, pairs, context in both:
+            one = lambda x: (words[x] + 0.5) / (words.total() + 0.5 * v)  # noqa: B023, E731
+            losses.append(-sum(np.log((pairs[a, b] + 20 * one(b)) / (context[a] + 20)) for a, b in zip([None, *w], w)) / max(1, len(w)))
+        want[i, len(w)] = losses
+    for size, keys in ((lm_scoring.BLOCK_TOKENS, lm_scoring.PART_KEYS), (20_000, 300_000)):
+        got = lm_scoring.score_corpus(docs, targets, block_tokens=size, part_keys=keys).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            t, b = want[r["doc_id"], r["n_tokens"]]
+            assert np.isclose(r["score"], t - b) and (r["n_tokens"] == 0) == (r["target_loss"] is None)
+            assert r["n_tokens"] == 0 or np.allclose([r["target_loss"], r["background_loss"]], [t, b])
+    m = lm_scoring.train(lm_scoring.with_target(docs, targets))
+    assert {"zinc", "z" * 70} <= set(m.words) and len(m.keys) == len(both[1][1])
+    assert lm_scoring.score_corpus(docs.limit(0), targets).count() == 0
+    blank = lm_scoring.score_corpus(docs.where("doc_id = 1002"), targets.limit(0)).collect()
+    assert [(r["n_tokens"], r["target_loss"], r["score"]) for r in blank] == [(0, None, 0.0)] * 2
+
+
 def quality_docs(n=400):
     junk = lambda i: " ".join(w + "###" for w in prose(i, 60).split())
     return [prose(i, 60) + "." if i % 4 else junk(i) for i in range(n)]

@@ -1,11 +1,16 @@
 """Cross-entropy difference with matched target and background bigram models.
 
-Both models share one vocabulary and one smoothing. Words and bigrams are counted over every row of the
-corpus, once for the target part and once for the whole; a word belongs to the vocabulary, and
-a bigram keeps a count of its own, if it makes up a fixed share of the corpus. A share bounds the tables
-whatever the corpus holds (1 / share entries at most), so they may be broadcast, and it means the
-same at any size. What is left out is not lost: other words count as one unknown word, and the mass of
-other bigrams goes to the unigrams, so that each model's probabilities add up to 1.
+Both models share one vocabulary and one smoothing. Every word and every bigram of the corpus has its counts,
+once for the target part and once for the whole; the mass of unseen bigrams goes to the unigrams, so that each model's
+probabilities add up to 1.
+
+``score_corpus`` scores the corpus it counts, and no table of words or bigrams is ever in one place. Documents are cut
+into blocks of about a million tokens, written once as numbers of the block's own words. Each block sends its distinct words and
+bigrams, with their counts, to be summed in parts by the key's hash, as many as the corpus asks for, and gets the sums back in the order sent.
+Bigrams travel as 96 bits of two sums of word hashes: among 10^10 of them two agree with a chance below 10^-8.
+
+``train`` and ``score`` hold the same model in memory, for a corpus whose words and bigrams the driver can hold.
+There a share may be asked for that a word, or a bigram, must have: other words then count as one unknown word.
 
 A document's score is the mean over its tokens of the target model's loss minus the background
 model's, in nats: the lower, the more like the target.
@@ -16,12 +21,15 @@ without a target the target model is the uniform one over the shared vocabulary;
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,10 +37,10 @@ from pyspark.sql import types as T
 from .common import checkpointed, id_and_text, map_texts, small_batches
 from .labelled import join_checked
 
-#: Share of all tokens that a word, and of all bigrams that a bigram, must have.
-WORD_SHARE, PAIR_SHARE = 1e-6, 1e-6
-#: Longer words are unknown words.
-MAX_WORD = 64
+#: A block ends with the document that brings it to one of these.
+BLOCK_TOKENS, BLOCK_CHARS, BLOCK_DOCS = 1 << 20, 1 << 24, 100_000
+#: Bigrams that a part of the sums holds, about; of words a quarter.
+PART_KEYS = 1 << 19
 ALPHA, MU = 0.5, 20.0
 #: Counts a task holds before it passes them on.
 HELD = 200_000
@@ -116,16 +124,15 @@ def with_target(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
     return join_checked(id_and_text(docs, id_col, text_col), ids, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
 
 
-def train(marked: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE) -> Models:
-    """Counts over all rows of (text, target)."""
+def train(marked: DataFrame, word_share: float = 0.0, pair_share: float = 0.0) -> Models:
+    """Counts over all rows of (text, target), held by the driver."""
     spark = marked.sparkSession
     small_batches(spark)
     rows = marked.select("text", "target")
     counted = rows.mapInArrow(_count_words, "word string, t long, b long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    # One pass over the counts: what falls out of the vocabulary is summed, what stays is bounded by the share.
     counted = checkpointed(counted)
     n_t, n_b = (x or 0 for x in counted.agg(F.sum("t"), F.sum("b")).first())
-    kept = counted.where((F.col("b") >= max(1.0, word_share * n_b)) & (F.length("word") <= MAX_WORD)).orderBy("word").toArrow()
+    kept = counted.where(F.col("b") >= max(1.0, word_share * n_b)).orderBy("word").toArrow()
     t, b = (kept.column(c).to_numpy().astype(float) for c in ("t", "b"))
     model = Models(kept.column("word").to_pylist(), np.concatenate([[0, n_t - t.sum()], t]), np.concatenate([[0, n_b - b.sum()], b]))
     held = spark.sparkContext.broadcast((model.vocab, model.size))
@@ -173,3 +180,167 @@ def score(docs: DataFrame, model: Models, id_col: str = "doc_id", text_col: str
 
     s = map_texts(id_and_text(docs, id_col, text_col), fields, make)
     return s.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "target_loss", "background_loss", F.coalesce(F.col("target_loss") - F.col("background_loss"), F.lit(0.0)).alias("score"))
+
+
+_BLOCK = pa.schema(
+    [("block", pa.int64()), ("tokens", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("target", pa.list_(pa.bool_())), ("length", pa.list_(pa.int32())), ("words", pa.list_(pa.string())),
+     *((c, pa.list_(pa.int64())) for c in ("t", "n", "ct", "cn")), ("start_t", pa.int64()), ("start_n", pa.int64())]
+)
+_BLOCK_SQL = "block long, tokens binary, doc_id array<long>, target array<boolean>, length array<int>, words array<string>, t array<long>, n array<long>, ct array<long>, cn array<long>, start_t long, start_n long"
+
+
+def _bigrams(tokens: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each token, ``size`` at a document's start, and the key of the two."""
+    before = np.concatenate([[0], tokens[:-1]])[: len(tokens)].astype(np.int64)
+    at = np.concatenate([[0], np.cumsum(length)[:-1]])[: len(length)]
+    before[at[length > 0]] = size
+    return before, before * size + tokens
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
+    """Documents to blocks: tokens as numbers of the block's words, and counts of those as words and as contexts (ct, cn)."""
+    no = TaskContext.get().partitionId() << 32
+    vocab: defaultdict[str, int] = defaultdict()
+    vocab.default_factory = vocab.__len__
+    docs, held, n, chars = [], [], 0, 0
+
+    def out() -> pa.RecordBatch:
+        words, size = list(vocab), len(vocab)
+        ids = np.concatenate([np.zeros(0, np.int32), *held])
+        length = np.array([len(h) for h in held], np.int64)
+        mark = np.array([t for _, t in docs], bool)
+        own = np.repeat(mark, length)
+        before, _ = _bigrams(ids, length, size)
+        counts = [np.bincount(x, minlength=size + 1) for x in (ids[own], ids, before[own], before)]
+        row = [[no], [zlib.compress(ids.tobytes(), 1)], [[d for d, _ in docs]], [mark.tolist()], [length.tolist()], [words], *([c[:size].tolist()] for c in counts), [int(counts[2][size])], [int(counts[3][size])]]
+        vocab.clear(), docs.clear(), held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _BLOCK, strict=True)], schema=_BLOCK)
+
+    for b in batches:
+        for doc, text, target in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("target").to_pylist(), strict=True):
+            words = tokens(text)
+            docs.append((doc, target))
+            held.append(np.fromiter(map(vocab.__getitem__, words), np.int32, len(words)))
+            n, chars = n + len(words), chars + len(text or "")
+            if n >= block_tokens or chars >= BLOCK_CHARS or len(docs) >= BLOCK_DOCS:
+                yield out()
+                no, n, chars = no + 1, 0, 0
+    if docs:
+        yield out()
+
+
+def _own_pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a block: its distinct bigrams in order, as (first, second), the number of each token's bigram, and the counts."""
+    ids, length, size = np.frombuffer(zlib.decompress(row["tokens"]), np.int32), np.array(row["length"], np.int64), row["size"]
+    own = np.repeat(np.array(row["target"], bool), length)
+    keys, at, n = np.unique(_bigrams(ids, length, size)[1], return_inverse=True, return_counts=True)
+    return keys // max(1, size), keys % max(1, size), at, np.bincount(at[own], minlength=len(keys)), n
+
+
+def _hashes(words: list[str], seed: int) -> np.ndarray:
+    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(w.encode(), seed) for w in words), np.uint64).reshape(-1, 2)
+
+
+def _dealt(words: list[str], first: np.ndarray, second: np.ndarray, n_words: int, n_pairs: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
+    """The keys of a block's bigrams, and its (part, numbers): words go to parts below zero, bigrams to the others."""
+    # No word is a line break: it stands for the start.
+    h, g = _hashes([*words, "\n"], 1), _hashes([*words, "\n"], 2)
+    k1 = h[first, 0] + g[second, 0]
+    k2 = ((h[first, 1] + g[second, 1]) >> np.uint64(32)).astype(np.uint32)
+    parts = []
+    for part in (-1 - (h[:-1, 0] % np.uint64(n_words)).astype(np.int64), (k1 % np.uint64(n_pairs)).astype(np.int64)):
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order])) + 1
+        parts += [(int(part[x[0]]), x) for x in np.split(order, cuts) if len(x)]
+    return k1, k2, parts
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    return zlib.compress(np.ascontiguousarray(counts, np.int64).tobytes(), 1)
+
+
+def _unpack(packed: list[bytes], rows: int) -> list[np.ndarray]:
+    return [np.frombuffer(zlib.decompress(x), np.int64).reshape(rows, -1) for x in packed]
+
+
+_SENT = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("words", pa.list_(pa.string())), ("k1", pa.binary()), ("k2", pa.binary()), ("counts", pa.binary())])
+_SUMS = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("counts", pa.binary()), ("distinct", pa.int64())])
+
+
+def _send(batches: Iterator[pa.RecordBatch], n_words: int, n_pairs: int) -> Iterator[pa.RecordBatch]:
+    """Blocks to a row for each part: the block's words or bigrams there, with their counts."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = batch.slice(i, 1).to_pylist()[0]
+            words = row["words"]
+            first, second, _, t, n = _own_pairs(row | {"size": len(words)})
+            k1, k2, parts = _dealt(words, first, second, n_words, n_pairs)
+            by_word, by_pair = np.array([row[c] for c in ("t", "n", "ct", "cn")], np.int64), np.array([t, n], np.int64)
+            rows = [
+                (p, row["block"], [words[j] for j in at], None, None, _pack(by_word[:, at])) if p < 0 else (p, row["block"], None, k1[at].tobytes(), k2[at].tobytes(), _pack(by_pair[:, at]))
+                for p, at in parts
+            ]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
+
+
+def _sum(sent: pa.Table) -> pa.Table:
+    """The rows of a part to the sums of its keys, for each block in the order in which that sent them."""
+    part = sent.column("part")[0].as_py()
+    if part < 0:
+        ids: defaultdict[str, int] = defaultdict()
+        ids.default_factory = ids.__len__
+        own = [np.fromiter(map(ids.__getitem__, w), np.int64, len(w)) for w in sent.column("words").to_pylist()]
+        key, distinct = np.concatenate(own), len(ids)
+        sizes = [len(x) for x in own]
+    else:
+        k1, k2 = (np.frombuffer(b"".join(sent.column(c).to_pylist()), d) for c, d in (("k1", np.uint64), ("k2", np.uint32)))
+        sizes = [len(x.as_py()) // 8 for x in sent.column("k1")]
+        order = np.lexsort((k2, k1))
+        new = np.concatenate([[0], (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])])
+        key = np.empty(len(order), np.int64)
+        key[order] = np.cumsum(new)
+        distinct = int(new.sum()) + 1
+    counts = np.concatenate(_unpack(sent.column("counts").to_pylist(), 4 if part < 0 else 2), axis=1)
+    sums = np.zeros((len(counts), distinct), np.int64)
+    for x, c in zip(sums, counts, strict=True):
+        np.add.at(x, key, c)
+    packed = [_pack(sums[:, k]) for k in np.split(key, np.cumsum(sizes)[:-1])]
+    return pa.Table.from_arrays([sent.column("block"), sent.column("part"), pa.array(packed), pa.array([distinct] + [0] * (len(packed) - 1), pa.int64())], schema=_SUMS)
+
+
+def score_corpus(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, part_keys: int = PART_KEYS) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score of the documents by models of all their words and bigrams."""
+    small_batches(docs.sparkSession)
+    blocks = checkpointed(with_target(docs, targets, id_col, text_col).mapInArrow(lambda batches: _blocks(batches, block_tokens), _BLOCK_SQL))
+    total = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x))
+    n_t, n_b, start_t, start_b, held = (x or 0 for x in blocks.agg(total("t"), total("n"), F.sum("start_t"), F.sum("start_n"), F.sum(F.size("words"))).first())
+    n_words, n_pairs = 1 + held * 4 // part_keys, 1 + n_b // part_keys
+    sent = blocks.mapInArrow(lambda batches: _send(batches, n_words, n_pairs), "part long, block long, words array<string>, k1 binary, k2 binary, counts binary")
+    sums = checkpointed(sent.groupBy("part").applyInArrow(_sum, "block long, part long, counts binary, distinct long"))
+    mass = ALPHA * ((sums.where("part < 0").agg(F.sum("distinct")).first()[0] or 0) + 1)
+
+    def judge(left: pa.Table, right: pa.Table) -> pa.Table:
+        row = left.to_pylist()[0]
+        row["size"] = len(row["words"])
+        first, second, of, *_ = _own_pairs(row)
+        got = dict(zip(right.column("part").to_pylist(), right.column("counts").to_pylist(), strict=True))
+        by_word, by_pair = np.zeros((4, row["size"])), np.zeros((2, len(first)))
+        for part, at in _dealt(row["words"], first, second, n_words, n_pairs)[2]:
+            of_part = by_word if part < 0 else by_pair
+            of_part[:, at] = _unpack([got[part]], len(of_part))[0]
+        length = np.array(row["length"], np.int64)
+        doc = np.repeat(np.arange(len(length)), length)
+        losses = []
+        for pair, own, context, n, start in zip(by_pair, by_word[:2], by_word[2:], (n_t, n_b), (start_t, start_b), strict=True):
+            one, context = (own + ALPHA) / (n + mass), np.append(context, start)
+            loss = -np.log((pair + MU * one[second]) / (context[first] + MU))
+            losses.append(np.bincount(doc, loss[of], len(length)) / np.maximum(length, 1))
+        empty = length == 0
+        return pa.table(
+            [pa.array(row["doc_id"], pa.int64()), pa.array(length), *(pa.array(x, mask=empty) for x in losses), pa.array(np.where(empty, 0.0, losses[0] - losses[1]))],
+            names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
+        )
+
+    base = blocks.select("block", "tokens", "doc_id", "target", "length", "words")
+    return base.groupBy("block").cogroup(sums.select("block", "part", "counts").groupBy("block")).applyInArrow(judge, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
