@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from llm_helpers import same
+from llm_helpers import prose, same
 
 from wardline.llm import decontaminate, line_dedup, simhash
 from wardline.llm.fm_index import FMIndex
@@ -94,6 +94,13 @@ def test_simhash(edge, edge_rows, empty, spark):
     assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(want)
 
 
+def test_dedup_keeps_one_row_of_each_component_without_ids(spark):
+    texts = [prose(i, 60) for i in range(4)]
+    rows = [(None, t) for t in texts[:3]] + [(None, texts[0]), (7, texts[2]), (8, texts[3])]
+    kept = simhash.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(kept, key=repr) == sorted([(7, texts[2]), (8, texts[3]), (None, texts[0]), (None, texts[1])], key=repr)
+
+
 def near(r, fp, bits):
     for b in r.sample(range(64), bits):
         fp ^= 1 << b

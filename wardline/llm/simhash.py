@@ -13,7 +13,7 @@ collected to the driver.
 
 Defined cases: a null or empty text has no shingles and fingerprint zero, linked like any other; fewer than four words
 are one shingle; repeated rows stay; a null doc_id never names a component unless all its
-members' ids are null (in ``dedup`` one row of all those components together stays); an empty table gives no rows; other columns are not read, and travel along in ``dedup``.
+members' ids are null (in ``dedup`` one row of each such component stays); an empty table gives no rows; other columns are not read, and travel along in ``dedup``.
 """
 
 from __future__ import annotations
@@ -281,20 +281,26 @@ def _relabel(df: DataFrame, up: DataFrame, col: str) -> DataFrame:
 
 def classes(fps: DataFrame, id_col: str = "doc_id", tile: int = TILE) -> DataFrame:
     """(fp, component_id) for each distinct fingerprint of (doc_id, fp)."""
+    return _classes(fps, id_col, tile).select("fp", "component_id")
+
+
+def _classes(fps: DataFrame, id_col: str = "doc_id", tile: int = TILE) -> DataFrame:
+    """(fp, component_id, comp): ``comp``, the smallest fingerprint of the component, is never null."""
     rep = checkpointed(fps.groupBy("fp").agg(F.min(id_col).alias("rep")))
     comp = checkpointed(components(edges(rep.select(F.col("fp").alias("node"), "fp"), tile)).select(F.col("node").alias("fp"), "comp"))
     # Only linked fingerprints need a name from elsewhere.
     linked = rep.join(comp, "fp")
     named = linked.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    named = comp.join(named, "comp").select("fp", "component_id")
-    return rep.join(named.withColumn("linked", F.lit(True)), "fp", "left").select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"))
+    named = comp.join(named, "comp").select("fp", "component_id", "comp")
+    joined = rep.join(named.withColumn("linked", F.lit(True)), "fp", "left")
+    return joined.select("fp", F.when(F.col("linked"), F.col("component_id")).otherwise(F.col("rep")).alias("component_id"), F.coalesce("comp", "fp").alias("comp"))
 
 
 def _with_components(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("text_key"))
     fps = checkpointed(fingerprints(base).select("row.doc_id", "row.text_key", "fp"))
     # Both sides are plain tables, so that the join of a fingerprint which a third of all rows share can be split.
-    return fps.join(checkpointed(classes(fps)), "fp")
+    return fps.join(checkpointed(_classes(fps)), "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -305,8 +311,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table with one row of each component: the one of the smallest id, null ids last, and of these the first by hash of text."""
     rows = _with_components(docs, id_col, text_col)
-    # Members without any id name no component; their smallest linked fingerprint does, through a null-safe group.
-    first = rows.groupBy("component_id").agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_key").alias("key"))).alias("f"))
+    # Members without any id name no component; its smallest fingerprint does.
+    first = rows.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("comp"))).agg(F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.col("text_key").alias("key"))).alias("f"))
     one = first.select(F.col("f.id").alias("__id"), F.col("f.key").alias("__text_key"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *row_key(id_col, text_col))
     kept = keyed.join(one, ["__id", "__text_key"], "left_semi").dropDuplicates(["__id", "__text_key"])
