@@ -105,6 +105,18 @@ def test_urls(spark, monkeypatch):
     assert url_filters.judge(d.limit(0)).count() == 0
 
 
+def test_urls_with_plurals_and_capitals(spark, monkeypatch):
+    urls = ["https://best-casinos.io/a", "http://casinos.io/casino", "http://a.b/BIGpoker", "http://a.b/pokerX", "http://a.b/POKER", "http://a.b/xCasinos", "http://a.b/Xcasinos", "http://a.b/casinosx"]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    want = [(i, *urls_of(u)) for i, u in enumerate(urls)]
+    assert [w[4] for w in want] == ["block"] * 4 + ["allow"] * 2 + ["block", "allow"]
+    for most in (url_filters.MAX_LITERAL_RULES, 0):
+        monkeypatch.setattr(url_filters, "MAX_LITERAL_RULES", most)
+        out = url_filters.judge(d)
+        same(out, want, "page_id", "host", "path", "rule", "verdict")
+        assert {r["page_id"]: r["n_candidates"] for r in out.collect()}[1] == 1
+
+
 def test_only_candidates_run(spark):
     d = spark.createDataFrame([(1, "http://q.org/fr/1"), (2, "http://q.org/es/1")], "page_id long, url string")
     assert {r["page_id"]: r["n_candidates"] for r in url_filters.judge(d).collect()} == {1: 0, 2: 1}

@@ -1,8 +1,9 @@
 """URL filters with an index on each rule's rarest literal token.
 
 Every rule is a regular expression with literal tokens that any URL it fits must hold. A rule
-stands in the index under the one of its tokens that is rarest among the URLs' own tokens. The
-tokens of a URL fetch candidate rules, and only those run as regular expressions.
+stands in the index under the one of its tokens that is rarest among the URLs' own tokens, or under each of its alternatives. The
+tokens of a URL fetch candidate rules, and only those run as regular expressions. Patterns take an upper-case letter of the path
+for a separator, so a path is cut into tokens twice: in lower case, and at its upper-case letters.
 
 The index is a literal map, as long as the rules are few (``MAX_LITERAL_RULES``); a longer list
 is joined by token instead. Both give the same rows, and neither shuffles URLs.
@@ -31,7 +32,7 @@ class Rule:
     name: str
     action: str
     pattern: str  # on host + path, host in lower case
-    tokens: tuple[str, ...]  # whole tokens, in lower case, that every fitting URL holds
+    tokens: tuple[str, ...]  # whole tokens, in lower case, that every fitting URL holds; of alternatives (a|b) it holds one
     rank: int  # the largest rank wins
 
 
@@ -39,7 +40,7 @@ class Rule:
 SITE_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 #: What the method blocks besides: word patterns in the host or path.
 WORD_RULES = (
-    ("casino", r"(^|[^a-z0-9])casinos?([^a-z0-9]|$)", ("casino",)),
+    ("casino", r"(^|[^a-z0-9])casinos?([^a-z0-9]|$)", ("casino|casinos",)),
     ("bets", r"(^|[^a-z0-9])(free|best|sport|sports)-bets([^a-z0-9]|$)", ("bets",)),
     ("pills", r"(^|[^a-z0-9])(cheap|diet)-pills([^a-z0-9]|$)", ("pills",)),
     ("poker", r"(^|[^a-z0-9])poker([^a-z0-9]|$)", ("poker",)),
@@ -67,7 +68,7 @@ def _parts(url: Column) -> tuple[Column, Column]:
 
 
 def _tokens(host: Column, path: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.concat_ws("/", host, ascii_lower(path)), TOKEN_SPLIT), lambda t: t != ""))
+    return F.array_distinct(F.filter(F.split(F.concat_ws("/", host, ascii_lower(path), path), TOKEN_SPLIT), lambda t: t != ""))
 
 
 def token_counts(urls: DataFrame, tokens: set[str], url_col: str = "url") -> dict[str, int]:
@@ -78,8 +79,9 @@ def token_counts(urls: DataFrame, tokens: set[str], url_col: str = "url") -> dic
 
 
 def index_rules(rules: list[Rule], counts: dict[str, int]) -> list[tuple[str, Rule]]:
-    """Each rule under its rarest token; ties go to the longer, then the first."""
-    return [(min(r.tokens, key=lambda t: (counts.get(t, 0), -len(t), t)), r) for r in rules]
+    """Each rule under its rarest token, or each alternative of it; ties go to the longer, then the first."""
+    rarest = lambda r: min(r.tokens, key=lambda t: (sum(counts.get(a, 0) for a in t.split("|")), -len(t), t))
+    return [(a, r) for r in rules for a in rarest(r).split("|")]
 
 
 def judge(urls: DataFrame, rules: list[Rule] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
@@ -87,7 +89,7 @@ def judge(urls: DataFrame, rules: list[Rule] | None = None, id_col: str = "page_
     rules = default_rules() if rules is None else rules
     if any(not r.tokens for r in rules):
         raise ValueError("every rule needs a literal token")
-    counts = token_counts(urls, {t for r in rules for t in r.tokens}, url_col) if rules else {}
+    counts = token_counts(urls, {a for r in rules for t in r.tokens for a in t.split("|")}, url_col) if rules else {}
     indexed = index_rules(rules, counts)
     base = urls.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
     host, path = _parts(F.col("url"))
@@ -98,15 +100,15 @@ def judge(urls: DataFrame, rules: list[Rule] | None = None, id_col: str = "page_
         cand = base.withColumn("n_candidates", F.lit(0)).withColumn("fits", fits)
     elif len(indexed) <= MAX_LITERAL_RULES:
         by: dict[str, list[int]] = {}
-        for i, (t, _) in enumerate(indexed):
-            by.setdefault(t, []).append(i)
+        for t, r in indexed:
+            by.setdefault(t, []).append(rules.index(r))
         index = F.create_map(*[x for t, ids in by.items() for x in (F.lit(t), F.array(*map(F.lit, ids)))])
-        fetched = F.flatten(F.filter(F.transform(_tokens(F.col("host"), F.col("path")), lambda t: F.element_at(index, t)), lambda x: x.isNotNull()))
+        fetched = F.array_distinct(F.flatten(F.filter(F.transform(_tokens(F.col("host"), F.col("path")), lambda t: F.element_at(index, t)), lambda x: x.isNotNull())))
         subject = F.concat("host", "path")
-        tests = F.array(*[F.struct(F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.action).alias("action")) for _, r in indexed])
+        tests = F.array(*[F.struct(F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.action).alias("action")) for r in rules])
         cand = base.withColumn("cand", fetched)
         fits = F.transform(
-            F.filter(F.col("cand"), lambda i: _switch(i, subject, indexed)),
+            F.filter(F.col("cand"), lambda i: _switch(i, subject, rules)),
             lambda i: F.get(tests, i),
         )
         cand = cand.withColumn("n_candidates", F.size("cand")).withColumn("fits", fits)
@@ -125,10 +127,10 @@ def judge(urls: DataFrame, rules: list[Rule] | None = None, id_col: str = "page_
     )
 
 
-def _switch(i: Column, subject: Column, indexed: list[tuple[str, Rule]]) -> Column:
+def _switch(i: Column, subject: Column, rules: list[Rule]) -> Column:
     """The regular expression of candidate ``i``, and of no other."""
     out = F.lit(False)
-    for n, (_, r) in reversed(list(enumerate(indexed))):
+    for n, r in reversed(list(enumerate(rules))):
         out = F.when(i == n, F.rlike(subject, F.lit(r.pattern))).otherwise(out)
     return out
 
@@ -144,7 +146,7 @@ def _joined(base: DataFrame, indexed: list[tuple[str, Rule]]) -> DataFrame:
         .join(idx, "token")
         .withColumn("fit", F.regexp_like(F.concat("host", "path"), F.col("pattern")))
         .groupBy(key.alias("k"))
-        .agg(F.count(F.lit(1)).alias("n_candidates"), F.collect_list(F.when(F.col("fit"), F.struct("rank", "name", "action"))).alias("fits"))
+        .agg(F.count_distinct("rank", "name", "action", "pattern").cast("int").alias("n_candidates"), F.collect_list(F.when(F.col("fit"), F.struct("rank", "name", "action"))).alias("fits"))
     )
     got = base.join(found, (F.col("k.host") == F.col("host")) & (F.col("k.path") == F.col("path")), "left")
     return got.withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0))).withColumn("fits", F.coalesce("fits", F.array().cast("array<struct<rank:int,name:string,action:string>>")))
