@@ -170,3 +170,14 @@ def test_stream(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/in")
     rescan(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").where("rule_id = 'PI-001'").count() == 1 and "seen_at" in FIELDS
+
+
+def test_files_of_any_length_are_read(spark, tmp_path):
+    pad = 11 * 1024 * 1024
+    (tmp_path / "mcp.json").write_text('{"name": "big", "tools": []' + " " * pad + "}")
+    (tmp_path / "README.md").write_text("x" * pad)
+    (tmp_path / "big.py").write_text("eval('1')\n" + "#" * pad)
+    got = files.read(spark, str(tmp_path))
+    assert {(r["name"], r["n"]) for r in got.select("name", F.length("content").alias("n")).collect()} == {("mcp.json", pad + 28), ("README.md", pad), ("big.py", pad + 10)}
+    assert [(r["skill_name"], r["n"]) for r in files.manifests(got).select("skill_name", F.length("readme_text").alias("n")).collect()] == [("big", pad)]
+    assert files.rejects(got).count() == 0

@@ -11,13 +11,12 @@ from ..functions import pyfacts
 from ..functions.text import github_raw, schema_strings_udf
 from . import requirements
 
-MAX_BYTES = 10 * 1024 * 1024
 KINDS = {".json": "mcp", ".py": "python", ".md": "markdown", ".markdown": "markdown"}
 
 
-def read(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, dir, name, stem, ext, content) of the files under ``path``; larger files than ``max_bytes`` are left out by their length, unread."""
-    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= max_bytes)
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """(path, dir, name, stem, ext, content) of the files under ``path``, whatever their length; one that Spark cannot hold in a row fails the scan."""
+    f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return describe(f.select("path", F.decode("content", "UTF-8").alias("content")))
 
 
