@@ -8,13 +8,24 @@ from __future__ import annotations
 import argparse
 import sys
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .plans.scan import scan_path
 from .sinks import reports
 from .sources.tables import written
 
 
+def console(verdicts: DataFrame, findings: DataFrame) -> None:
+    """Prints every skill, the worst verdict first, then every finding; the driver holds a partition at a time."""
+    shown = lambda v: "".join(c if c.isprintable() else repr(c)[1:-1] for c in ("" if v is None else str(v)))
+    worst_first = reports.summary_line(verdicts).orderBy(F.col("verdict") != "BLOCK", F.desc("verdict"), "skill_id")
+    for rows in (worst_first, reports.console_rows(findings).orderBy("skill_id", "layer", "ord").drop("ord")):
+        print(" | ".join(rows.columns))
+        for r in rows.toLocalIterator():
+            print(" | ".join(map(shown, r)))
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="wardline")
     sub = p.add_subparsers(dest="command", required=True)
@@ -32,8 +43,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.json_output:
             reports.verdict_json(out.verdicts).select("json").write.mode("overwrite").text(a.json_output)
         if not (a.sarif_out or a.json_output):
-            reports.summary_line(out.verdicts).show(50, truncate=False)
-            reports.console_rows(out.findings).orderBy("skill_id", "layer", "ord").drop("ord").show(200, truncate=False)
+            console(out.verdicts, out.findings)
         return reports.exit_code(out.verdicts)
     except Exception as e:  # the command's contract: any failure is 1
         print(f"scan failed: {e}", file=sys.stderr)
