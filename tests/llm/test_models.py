@@ -9,43 +9,35 @@ from llm_helpers import prose
 from wardline.llm import lm_scoring, quality_gam, sentencepiece_trie, toxicity_cnn
 
 
-def test_lm_is_a_distribution_and_tells_parts_apart(spark):
-    docs = [(i, prose(i, 60), i % 3 == 0) for i in range(60)] + [(100 + i, "zinc zebra zone " * 20, True) for i in range(10)]
-    m = lm_scoring.train(spark.createDataFrame(docs, "doc_id long, text string, target boolean"), pair_share=1e-3)
-    for one, spread, pair in m.losses:
-        assert np.isclose(np.exp(-one[1:]).sum(), 1)
-        first, second = m.keys // m.size, m.keys % m.size
-        for c in (0, 1, 5, m.size - 1):
-            p = np.exp(-(one[1:] + spread[c]))
-            own = first == c
-            p[second[own] - 1] = np.exp(-pair[own])
-            assert np.isclose(p.sum(), 1)
-    d = spark.createDataFrame([(1, "zinc zebra zone"), (2, prose(5, 30)), (3, None), (4, ""), (4, "")], "doc_id long, text string")
-    s = {r["doc_id"]: r for r in lm_scoring.score(d, m).collect()}
-    assert s[1]["score"] < s[2]["score"] and s[1]["score"] < 0
-    assert s[3]["n_tokens"] == 0 and s[3]["target_loss"] is None and s[3]["score"] == 0 == s[4]["score"]
-
-
-def test_lm_against_counts(spark):
-    """Without any left out, losses follow from plain counts."""
-    texts = [("a b a b", True), ("b a c", False)]
-    m = lm_scoring.train(spark.createDataFrame(texts, "text string, target boolean"))
-    ids = {w: i + 2 for i, w in enumerate(m.words)}
-    assert list(m.words) == ["a", "b", "c"]
-    n, v = 7, m.size - 1
-    p1 = lambda w: ({"a": 3, "b": 3, "c": 1}[w] + 0.5) / (n + 0.5 * v)
-    _, _, back = m.score("a b")
-    start = (1 + 20 * p1("a")) / (2 + 20)
-    step = (2 + 20 * p1("b")) / (3 + 20)
-    assert np.isclose(back, -(np.log(start) + np.log(step)) / 2) and ids
-
-
-def test_lm_edges(spark, edge, empty):
-    targets = spark.createDataFrame([(5,), (5,), (None,)], "doc_id long")
-    m = lm_scoring.train(lm_scoring.with_target(edge, targets))
-    assert lm_scoring.score(edge, m).count() == edge.count()
-    none = lm_scoring.train(lm_scoring.with_target(empty, targets.limit(0)))
-    assert lm_scoring.score(empty, none).count() == 0 and lm_scoring.score(edge, none).where("score IS NULL").count() == 0
+def test_lm_edges(spark, edge, edge_rows, empty):
+    targets = spark.createDataFrame([(5, "x"), (5, "x"), (None, "x")], "doc_id long, text string")
+    got = lm_scoring.score_corpus(edge, targets).collect()
+    assert sorted(r["n_tokens"] for r in got) == sorted(len(lm_scoring.tokens(r[1])) for r in edge_rows)
+    assert all((r["n_tokens"] == 0) == (r["target_loss"] is None) and (r["n_tokens"] or r["score"] == 0) for r in got)
+    none = lm_scoring.score_corpus(edge, targets.limit(0)).collect()
+    v = 1 + len({w for r in edge_rows for w in lm_scoring.tokens(r[1])})
+    assert all(r["n_tokens"] == 0 or np.isclose(r["target_loss"], np.log(v)) for r in none)  # uniform
+    assert lm_scoring.score_corpus(empty, targets).count() == 0
+
+
+def test_lm_tells_parts_apart(spark):
+    docs = [(i, prose(i, 60)) for i in range(60)] + [(100 + i, "zinc zebra zone " * 20) for i in range(10)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    s = {r["doc_id"]: r["score"] for r in lm_scoring.score_corpus(d, spark.createDataFrame([(i,) for i in range(100, 110)], "doc_id long")).collect()}
+    assert max(s[i] for i in range(100, 110)) < 0 < min(s[i] for i in range(60))
+
+
+def test_lm_is_a_distribution(spark):
+    """After any word the probabilities of all words and of one unseen word add up to 1: read from losses of one-bigram documents."""
+    words = ["a", "b", "c"]
+    docs = [(0, "a b a b"), (1, "b a c")] + [(10 + 3 * i + j, f"{x} {y}") for i, x in enumerate(words) for j, y in enumerate(words)]
+    out = {r["doc_id"]: r for r in lm_scoring.score_corpus(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(0,)], "doc_id long")).collect()}
+    heads = [(1 + 20 * 2.5 / 6, 0 + 20 * 2.5 / 6, 0 + 20 * 0.5 / 6)]  # target: n(start w) + MU p(w) of "a b a b"
+    for i, x in enumerate(words):
+        first = heads[0][i] / 21
+        step = sum(np.exp(-2 * out[10 + 3 * i + j]["target_loss"]) / first for j in range(3))
+        seen = {"a": 2, "b": 1, "c": 0}[x]
+        assert np.isclose(step + 20 * 0.5 / 6 / (seen + 20), 1)
 
 
 def test_lm_counts_every_word_and_bigram(spark):
@@ -80,8 +72,6 @@ def test_lm_counts_every_word_and_bigram(spark):
             t, b = want[r["doc_id"], r["n_tokens"]]
             assert np.isclose(r["score"], t - b) and (r["n_tokens"] == 0) == (r["target_loss"] is None)
             assert r["n_tokens"] == 0 or np.allclose([r["target_loss"], r["background_loss"]], [t, b])
-    m = lm_scoring.train(lm_scoring.with_target(docs, targets))
-    assert {"zinc", "z" * 70} <= set(m.words) and len(m.keys) == len(both[1][1])
     assert lm_scoring.score_corpus(docs.limit(0), targets).count() == 0
     blank = lm_scoring.score_corpus(docs.where("doc_id = 1002"), targets.limit(0)).collect()
     assert [(r["n_tokens"], r["target_loss"], r["score"]) for r in blank] == [(0, None, 0.0)] * 2

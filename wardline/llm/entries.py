@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import decontaminate, license_scan, line_dedup, lm_scoring, oracles, quality_gam, quality_rules, sentencepiece_trie, simhash, toxicity_cnn, url_filters
 from .common import table
@@ -11,7 +12,9 @@ from .common import table
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
-    return lm_scoring.score_corpus(docs, good)
+    scored = lm_scoring.score_corpus(docs, good)
+    # Sums of doubles end in other digits in another order.
+    return scored.select("doc_id", "n_tokens", *(F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")))
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,18 +2,17 @@
 
 Both models share one vocabulary and one smoothing. Every word and every bigram of the corpus has its counts,
 once for the target part and once for the whole; the mass of unseen bigrams goes to the unigrams, so that each model's
-probabilities add up to 1.
+probabilities add up to 1: p(w) = (n(w) + ALPHA) / (n + ALPHA * (distinct words + 1)) and
+p(w | v) = (n(v w) + MU * p(w)) / (n(v) + MU), where v is the word before, or the start of the document.
 
-``score_corpus`` scores the corpus it counts, and no table of words or bigrams is ever in one place. Documents are cut
-into blocks of about a million tokens, written once as numbers of the block's own words. Each block sends its distinct words and
-bigrams, with their counts, to be summed in parts by the key's hash, as many as the corpus asks for, and gets the sums back in the order sent.
-Bigrams travel as 96 bits of two sums of word hashes: among 10^10 of them two agree with a chance below 10^-8.
+No table of words or bigrams is ever in one place. Documents are cut into blocks of about a million tokens, written once as numbers
+of the block's own words. Each block sends its distinct words and bigrams, with their counts, to be summed in parts, which are ranges of a
+hash, as many as the corpus asks for, and gets the sums back in the order sent. Bigrams travel as 80 bits of
+two sums of word hashes, sorted, as the gaps between them: among 10^10 of them any two agree with a chance below 10^-4, and such a pair would only share
+its counts.
 
-``train`` and ``score`` hold the same model in memory, for a corpus whose words and bigrams the driver can hold.
-There a share may be asked for that a word, or a bigram, must have: other words then count as one unknown word.
-
-A document's score is the mean over its tokens of the target model's loss minus the background
-model's, in nats: the lower, the more like the target.
+Words are runs of other than ASCII white space, with A-Z lower-cased. A document's score is the mean over its tokens of the target
+model's loss minus the background model's, in nats: the lower, the more like the target.
 
 Defined cases: null and empty texts have no tokens, null losses and score 0; rows without an id are background; repeated rows count each time;
 without a target the target model is the uniform one over the shared vocabulary; an empty table gives no rows; other columns are not read.
@@ -21,10 +20,8 @@ without a target the target model is the uniform one over the shared vocabulary;
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,90 +29,23 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import checkpointed, id_and_text, map_texts, small_batches
+from .common import checkpointed, id_and_text, small_batches
 from .labelled import join_checked
 
 #: A block ends with the document that brings it to one of these.
 BLOCK_TOKENS, BLOCK_CHARS, BLOCK_DOCS = 1 << 20, 1 << 24, 100_000
-#: Bigrams that a part of the sums holds, about; of words a quarter.
-PART_KEYS = 1 << 19
+#: Keys that a part of the sums receives, about.
+PART_KEYS = 1 << 21
 ALPHA, MU = 0.5, 20.0
-#: Counts a task holds before it passes them on.
-HELD = 200_000
-START = 0  # before a document; the unknown word is 1
-
+#: No word is a line break: it stands for the start of a document.
+START = b"\n"
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
 
-def tokens(text: str | None) -> list[str]:
-    return (text or "").lower().split()
 
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = (Counter(), Counter())
-
-    def out() -> pa.RecordBatch:
-        words = list(held[0].keys() | held[1].keys())
-        n = [[c[w] for w in words] for c in held]
-        for c in held:
-            c.clear()
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(n[1], pa.int64()), pa.array([a + b for a, b in zip(*n, strict=True)], pa.int64())], names=["word", "t", "b"])
-
-    for b in batches:
-        for text, target in zip(b.column("text").to_pylist(), b.column("target").to_pylist(), strict=True):
-            held[1 if target else 0].update(tokens(text))
-            if len(held[0]) + len(held[1]) > HELD:
-                yield out()
-    yield out()
-
-
-def _ids(words: list[str], get) -> np.ndarray:
-    return np.fromiter((get(w, 1) for w in words), np.int64, len(words))
-
-
-def _pairs(ids: np.ndarray, size: int) -> np.ndarray:
-    return np.concatenate([[START], ids[:-1]]) * size + ids
-
-
-@dataclass
-class Models:
-    words: list[str]
-    word_t: np.ndarray  # counts by id
-    word_b: np.ndarray
-    n_pairs: int = 0
-
-    def __post_init__(self):
-        self.size = len(self.words) + 2
-        self.vocab = {w: i + 2 for i, w in enumerate(self.words)}
-
-    def finish(self, keys: np.ndarray, pair_t: np.ndarray, pair_b: np.ndarray, context_t: np.ndarray, context_b: np.ndarray) -> None:
-        """Turns counts into losses: by word, by context, and by kept bigram."""
-        self.keys = keys
-        first, second = keys // self.size, keys % self.size
-        self.losses = []
-        for words, pairs, context in ((self.word_t, pair_t, context_t), (self.word_b, pair_b, context_b)):
-            # The start is no word: the other ids share the mass.
-            one = (words + ALPHA) / (words[1:].sum() + ALPHA * (self.size - 1))
-            kept = np.bincount(first, pairs, self.size)
-            spread = (context - kept + MU) / (context + MU)
-            pair = pairs / (context[first] + MU) + spread[first] * one[second]
-            self.losses.append((-np.log(one), -np.log(spread), -np.log(pair) if len(pair) else pair))
-
-    def score(self, text: str | None) -> tuple[int, float | None, float | None]:
-        ids = _ids(tokens(text), self.vocab.get)
-        if not len(ids):
-            return 0, None, None
-        key = _pairs(ids, self.size)
-        before = key // self.size
-        at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-        hit = self.keys[at] == key if len(self.keys) else np.zeros(len(key), bool)
-        out = []
-        for one, spread, pair in self.losses:
-            loss = one[ids] + spread[before]
-            if hit.any():
-                loss[hit] = pair[at[hit]]
-            out.append(float(loss.mean()))
-        return len(ids), out[0], out[1]
+def tokens(text: str | None) -> list[bytes]:
+    """The words in UTF-8; ``bytes`` lower-cases and splits by ASCII alone."""
+    return (text or "").encode().lower().split()
 
 
 def with_target(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,97 +54,63 @@ def with_target(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tex
     return join_checked(id_and_text(docs, id_col, text_col), ids, "doc_id", "left").withColumn("target", F.coalesce("target", F.lit(False)))
 
 
-def train(marked: DataFrame, word_share: float = 0.0, pair_share: float = 0.0) -> Models:
-    """Counts over all rows of (text, target), held by the driver."""
-    spark = marked.sparkSession
-    small_batches(spark)
-    rows = marked.select("text", "target")
-    counted = rows.mapInArrow(_count_words, "word string, t long, b long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b"))
-    counted = checkpointed(counted)
-    n_t, n_b = (x or 0 for x in counted.agg(F.sum("t"), F.sum("b")).first())
-    kept = counted.where(F.col("b") >= max(1.0, word_share * n_b)).orderBy("word").toArrow()
-    t, b = (kept.column(c).to_numpy().astype(float) for c in ("t", "b"))
-    model = Models(kept.column("word").to_pylist(), np.concatenate([[0, n_t - t.sum()], t]), np.concatenate([[0, n_b - b.sum()], b]))
-    held = spark.sparkContext.broadcast((model.vocab, model.size))
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, size = held.value
-        got: list[np.ndarray] = []
-        n = 0
-
-        def out() -> pa.RecordBatch:
-            # the lowest bit tells the target part
-            key, count = np.unique(np.concatenate(got) if got else np.zeros(0, np.int64), return_counts=True)
-            got.clear()
-            return pa.RecordBatch.from_arrays([pa.array(key >> 1), pa.array(np.where(key & 1, count, 0).astype(np.int64)), pa.array(count.astype(np.int64))], names=["pair", "t", "b"])
-
-        for batch in batches:
-            for text, target in zip(batch.column("text").to_pylist(), batch.column("target").to_pylist(), strict=True):
-                ids = _ids(tokens(text), vocab.get)
-                if len(ids):
-                    got.append(_pairs(ids, size) * 2 + int(target))
-                    n += len(ids)
-                if n > 10 * HELD:
-                    yield out()
-                    n = 0
-        yield out()
+def _squeeze(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
 
-    bigrams = checkpointed(rows.mapInArrow(pairs, "pair long, t long, b long").groupBy("pair").agg(F.sum("t").alias("t"), F.sum("b").alias("b")))
-    context = bigrams.groupBy(F.expr(f"pair div {model.size}").alias("c")).agg(F.sum("t").alias("t"), F.sum("b").alias("b")).toArrow()
-    ctx = [np.zeros(model.size) for _ in range(2)]
-    for c, name in zip(ctx, ("t", "b"), strict=True):
-        c[context.column("c").to_numpy()] = context.column(name).to_numpy()
-    own = bigrams.where(F.col("b") >= max(1.0, pair_share * n_b)).orderBy("pair").toArrow()
-    model.finish(own.column("pair").to_numpy(), *(own.column(c).to_numpy().astype(float) for c in ("t", "b")), *ctx)
-    return model
+def _expand(packed: bytes) -> bytes:
+    return pa.decompress(packed[8:], int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True)
 
 
-def score(docs: DataFrame, model: Models, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    fields = [T.StructField("n_tokens", T.LongType()), T.StructField("target_loss", T.DoubleType()), T.StructField("background_loss", T.DoubleType())]
+def _pack(numbers: np.ndarray) -> bytes:
+    """Numbers by byte planes: the high planes of small numbers are zeros and cost nothing."""
+    return _squeeze(np.ascontiguousarray(numbers.reshape(-1, 1).view(np.uint8).T).tobytes())
 
-    def make():
-        m = held.value
-        return lambda texts: list(map(list, zip(*map(m.score, texts), strict=True)))
 
-    s = map_texts(id_and_text(docs, id_col, text_col), fields, make)
-    return s.select(F.col("row.doc_id").alias("doc_id"), "n_tokens", "target_loss", "background_loss", F.coalesce(F.col("target_loss") - F.col("background_loss"), F.lit(0.0)).alias("score"))
+def _unpack(packed: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(_expand(packed), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 _BLOCK = pa.schema(
-    [("block", pa.int64()), ("tokens", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("target", pa.list_(pa.bool_())), ("length", pa.list_(pa.int32())), ("words", pa.list_(pa.string())),
-     *((c, pa.list_(pa.int64())) for c in ("t", "n", "ct", "cn")), ("start_t", pa.int64()), ("start_n", pa.int64())]
+    [("block", pa.int64()), ("tokens", pa.binary()), ("doc_id", pa.list_(pa.int64())), ("target", pa.list_(pa.bool_())), ("length", pa.list_(pa.int32())), ("words", pa.binary()), ("counts", pa.binary()),
+     *((c, pa.int64()) for c in ("n_words", "n_t", "n_b", "start_t", "start_b"))]
 )
-_BLOCK_SQL = "block long, tokens binary, doc_id array<long>, target array<boolean>, length array<int>, words array<string>, t array<long>, n array<long>, ct array<long>, cn array<long>, start_t long, start_n long"
+_BLOCK_SQL = "block long, tokens binary, doc_id array<long>, target array<boolean>, length array<int>, words binary, counts binary, n_words long, n_t long, n_b long, start_t long, start_b long"
 
 
-def _bigrams(tokens: np.ndarray, length: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each token, ``size`` at a document's start, and the key of the two."""
-    before = np.concatenate([[0], tokens[:-1]])[: len(tokens)].astype(np.int64)
-    at = np.concatenate([[0], np.cumsum(length)[:-1]])[: len(length)]
-    before[at[length > 0]] = size
-    return before, before * size + tokens
+def _before(ids: np.ndarray, length: np.ndarray, start: int) -> np.ndarray:
+    """The word before each token; ``start`` where a document begins."""
+    out = np.concatenate([[start], ids[:-1]]).astype(np.int64)[: len(ids)]
+    at = np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64)
+    out[at[: len(length)][length > 0]] = start
+    return out
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
-    """Documents to blocks: tokens as numbers of the block's words, and counts of those as words and as contexts (ct, cn)."""
+    """Documents to blocks: tokens as numbers of the block's words, frequent ones first, and each word's counts, as a word and as a context."""
     no = TaskContext.get().partitionId() << 32
-    vocab: defaultdict[str, int] = defaultdict()
+    vocab: defaultdict[bytes, int] = defaultdict()
     vocab.default_factory = vocab.__len__
     docs, held, n, chars = [], [], 0, 0
 
     def out() -> pa.RecordBatch:
-        words, size = list(vocab), len(vocab)
+        size = len(vocab)
         ids = np.concatenate([np.zeros(0, np.int32), *held])
+        order = np.argsort(-np.bincount(ids, minlength=size), kind="stable")
+        rank = np.empty(size, np.int32)
+        rank[order] = np.arange(size)
+        ids = rank[ids]
+        words = list(vocab)
         length = np.array([len(h) for h in held], np.int64)
         mark = np.array([t for _, t in docs], bool)
         own = np.repeat(mark, length)
-        before, _ = _bigrams(ids, length, size)
-        counts = [np.bincount(x, minlength=size + 1) for x in (ids[own], ids, before[own], before)]
-        row = [[no], [zlib.compress(ids.tobytes(), 1)], [[d for d, _ in docs]], [mark.tolist()], [length.tolist()], [words], *([c[:size].tolist()] for c in counts), [int(counts[2][size])], [int(counts[3][size])]]
+        before = _before(ids, length, size)
+        counts = np.array([np.bincount(x, minlength=size + 1) for x in (ids[own], ids, before[own], before)], np.int64)
+        row = [no, _pack(ids), [d for d, _ in docs], mark.tolist(), length.tolist(), _squeeze(b"\n".join(words[i] for i in order.tolist())), _pack(counts[:, :size].ravel())]
+        row += [size, int(own.sum()), len(ids), int(counts[2, size]), int(counts[3, size])]
         vocab.clear(), docs.clear(), held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(row, _BLOCK, strict=True)], schema=_BLOCK)
+        return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, _BLOCK, strict=True)], schema=_BLOCK)
 
     for b in batches:
         for doc, text, target in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column("target").to_pylist(), strict=True):
@@ -229,118 +125,140 @@ def _blocks(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa
         yield out()
 
 
-def _own_pairs(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a block: its distinct bigrams in order, as (first, second), the number of each token's bigram, and the counts."""
-    ids, length, size = np.frombuffer(zlib.decompress(row["tokens"]), np.int32), np.array(row["length"], np.int64), row["size"]
-    own = np.repeat(np.array(row["target"], bool), length)
-    keys, at, n = np.unique(_bigrams(ids, length, size)[1], return_inverse=True, return_counts=True)
-    return keys // max(1, size), keys % max(1, size), at, np.bincount(at[own], minlength=len(keys)), n
+def _words(row: dict) -> list[bytes]:
+    return _expand(row["words"]).split(b"\n") if row["n_words"] else []
 
 
-def _hashes(words: list[str], seed: int) -> np.ndarray:
-    return np.frombuffer(b"".join(xxhash.xxh3_128_digest(w.encode(), seed) for w in words), np.uint64).reshape(-1, 2)
+def _hashes(words: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64).reshape(-1, 2)
 
 
-def _dealt(words: list[str], first: np.ndarray, second: np.ndarray, n_words: int, n_pairs: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, np.ndarray]]]:
-    """The keys of a block's bigrams, and its (part, numbers): words go to parts below zero, bigrams to the others."""
-    # No word is a line break: it stands for the start.
-    h, g = _hashes([*words, "\n"], 1), _hashes([*words, "\n"], 2)
-    k1 = h[first, 0] + g[second, 0]
-    k2 = ((h[first, 1] + g[second, 1]) >> np.uint64(32)).astype(np.uint32)
-    parts = []
-    for part in (-1 - (h[:-1, 0] % np.uint64(n_words)).astype(np.int64), (k1 % np.uint64(n_pairs)).astype(np.int64)):
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order])) + 1
-        parts += [(int(part[x[0]]), x) for x in np.split(order, cuts) if len(x)]
-    return k1, k2, parts
+def _part(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """Which of the equal ranges of 64 bits a hash is in."""
+    return ((hashes >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
-def _pack(counts: np.ndarray) -> bytes:
-    return zlib.compress(np.ascontiguousarray(counts, np.int64).tobytes(), 1)
+def _slices(part: np.ndarray) -> list[slice]:
+    """Runs of one part in sorted ``part``."""
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(part)) + 1, [len(part)]]).tolist()
+    return [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False) if a < b]
 
 
-def _unpack(packed: list[bytes], rows: int) -> list[np.ndarray]:
-    return [np.frombuffer(zlib.decompress(x), np.int64).reshape(rows, -1) for x in packed]
+class _Pairs:
+    """The distinct bigrams of a block in the order of their keys, and for each token the number of its bigram."""
 
+    def __init__(self, row: dict, hashes: np.ndarray):
+        self.ids, self.length = _unpack(row["tokens"], np.int32), np.array(row["length"], np.int64)
+        h = np.concatenate([hashes, _hashes([START])])
+        self.before = _before(self.ids, self.length, len(hashes))
+        k1 = h[self.before, 0] * _ODD[0] + h[self.ids, 1]
+        k2 = ((h[self.before, 1] * _ODD[1] + h[self.ids, 0]) >> np.uint64(48)).astype(np.uint16)
+        self.order = np.argsort(k1, kind="stable")
+        k1, k2 = k1[self.order], k2[self.order]
+        new = np.ones(len(k1), bool)
+        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+        self.first = np.flatnonzero(new)
+        self.of = np.empty(len(k1), np.int64)
+        self.of[self.order] = np.cumsum(new) - 1
+        self.k1, self.k2 = k1[self.first], k2[self.first]
 
-_SENT = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("words", pa.list_(pa.string())), ("k1", pa.binary()), ("k2", pa.binary()), ("counts", pa.binary())])
+
+_SENT = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary())])
 _SUMS = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("counts", pa.binary()), ("distinct", pa.int64())])
 
 
+def _word_order(hashes: np.ndarray, n_words: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """(part, numbers of the block's words in it); words go to parts below zero, bigrams to the others."""
+    part = -1 - _part(hashes[:, 0], n_words)
+    order = np.argsort(part, kind="stable")
+    return [(int(part[order[s.start]]), order[s]) for s in _slices(part[order])]
+
+
 def _send(batches: Iterator[pa.RecordBatch], n_words: int, n_pairs: int) -> Iterator[pa.RecordBatch]:
     """Blocks to a row for each part: the block's words or bigrams there, with their counts."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
-            words = row["words"]
-            first, second, _, t, n = _own_pairs(row | {"size": len(words)})
-            k1, k2, parts = _dealt(words, first, second, n_words, n_pairs)
-            by_word, by_pair = np.array([row[c] for c in ("t", "n", "ct", "cn")], np.int64), np.array([t, n], np.int64)
-            rows = [
-                (p, row["block"], [words[j] for j in at], None, None, _pack(by_word[:, at])) if p < 0 else (p, row["block"], None, k1[at].tobytes(), k2[at].tobytes(), _pack(by_pair[:, at]))
-                for p, at in parts
-            ]
+            words = _words(row)
+            hashes = _hashes(words)
+            by_word = _unpack(row["counts"], np.int64).reshape(4, -1)
+            rows = [(p, row["block"], _squeeze(b"\n".join(words[j] for j in at.tolist())), _pack(by_word[:, at].ravel())) for p, at in _word_order(hashes, n_words)]
+            pairs = _Pairs(row, hashes)
+            if len(pairs.k1):
+                own = np.repeat(np.array(row["target"], bool), pairs.length)[pairs.order]
+                n = np.diff(np.append(pairs.first, len(own)))
+                t = np.add.reduceat(own.astype(np.int64), pairs.first)
+                part = _part(pairs.k1, n_pairs)
+                for s in _slices(part):
+                    gaps = np.diff(pairs.k1[s], prepend=np.uint64(0))
+                    rows.append((int(part[s.start]), row["block"], _pack(gaps) + pairs.k2[s].tobytes(), _pack(np.concatenate([t[s], n[s]]))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
 
 
 def _sum(sent: pa.Table) -> pa.Table:
     """The rows of a part to the sums of its keys, for each block in the order in which that sent them."""
-    part = sent.column("part")[0].as_py()
-    if part < 0:
-        ids: defaultdict[str, int] = defaultdict()
+    of_words = sent.column("part")[0].as_py() < 0
+    kinds = 4 if of_words else 2
+    counts = [_unpack(x, np.int64).reshape(kinds, -1) for x in sent.column("counts").to_pylist()]
+    sizes = [c.shape[1] for c in counts]
+    if of_words:
+        ids: defaultdict[bytes, int] = defaultdict()
         ids.default_factory = ids.__len__
-        own = [np.fromiter(map(ids.__getitem__, w), np.int64, len(w)) for w in sent.column("words").to_pylist()]
-        key, distinct = np.concatenate(own), len(ids)
-        sizes = [len(x) for x in own]
+        key = np.concatenate([np.fromiter(map(ids.__getitem__, _expand(w).split(b"\n")), np.int64, n) for w, n in zip(sent.column("keys").to_pylist(), sizes, strict=True)])
+        distinct = len(ids)
     else:
-        k1, k2 = (np.frombuffer(b"".join(sent.column(c).to_pylist()), d) for c, d in (("k1", np.uint64), ("k2", np.uint32)))
-        sizes = [len(x.as_py()) // 8 for x in sent.column("k1")]
+        k1, k2 = [], []
+        for raw, n in zip(sent.column("keys").to_pylist(), sizes, strict=True):
+            k1.append(np.cumsum(_unpack(raw[: -2 * n], np.uint64), dtype=np.uint64))
+            k2.append(np.frombuffer(raw[-2 * n :], np.uint16))
+        k1, k2 = np.concatenate(k1), np.concatenate(k2)
         order = np.lexsort((k2, k1))
-        new = np.concatenate([[0], (k1[order][1:] != k1[order][:-1]) | (k2[order][1:] != k2[order][:-1])])
+        k1, k2 = k1[order], k2[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
         key = np.empty(len(order), np.int64)
-        key[order] = np.cumsum(new)
-        distinct = int(new.sum()) + 1
-    counts = np.concatenate(_unpack(sent.column("counts").to_pylist(), 4 if part < 0 else 2), axis=1)
-    sums = np.zeros((len(counts), distinct), np.int64)
-    for x, c in zip(sums, counts, strict=True):
-        np.add.at(x, key, c)
-    packed = [_pack(sums[:, k]) for k in np.split(key, np.cumsum(sizes)[:-1])]
-    return pa.Table.from_arrays([sent.column("block"), sent.column("part"), pa.array(packed), pa.array([distinct] + [0] * (len(packed) - 1), pa.int64())], schema=_SUMS)
+        key[order] = np.cumsum(new) - 1
+        distinct = int(new.sum())
+    sums = np.array([np.bincount(key, c, distinct) for c in np.concatenate(counts, axis=1)]).astype(np.int64)
+    packed = [_pack(sums[:, k].ravel()) for k in np.split(key, np.cumsum(sizes)[:-1])]
+    return pa.Table.from_arrays([sent.column("block"), sent.column("part"), pa.array(packed, pa.binary()), pa.array([distinct] + [0] * (len(packed) - 1), pa.int64())], schema=_SUMS)
 
 
 def score_corpus(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, part_keys: int = PART_KEYS) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of the documents by models of all their words and bigrams."""
     small_batches(docs.sparkSession)
     blocks = checkpointed(with_target(docs, targets, id_col, text_col).mapInArrow(lambda batches: _blocks(batches, block_tokens), _BLOCK_SQL))
-    total = lambda c: F.sum(F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x))
-    n_t, n_b, start_t, start_b, held = (x or 0 for x in blocks.agg(total("t"), total("n"), F.sum("start_t"), F.sum("start_n"), F.sum(F.size("words"))).first())
+    n_t, n_b, start_t, start_b, held = (x or 0 for x in blocks.agg(*(F.sum(c) for c in ("n_t", "n_b", "start_t", "start_b", "n_words"))).first())
+    # A distinct word costs a part more than a bigram does.
     n_words, n_pairs = 1 + held * 4 // part_keys, 1 + n_b // part_keys
-    sent = blocks.mapInArrow(lambda batches: _send(batches, n_words, n_pairs), "part long, block long, words array<string>, k1 binary, k2 binary, counts binary")
+    sent = blocks.select("block", "tokens", "target", "length", "words", "n_words", "counts").mapInArrow(lambda batches: _send(batches, n_words, n_pairs), "part long, block long, keys binary, counts binary")
     sums = checkpointed(sent.groupBy("part").applyInArrow(_sum, "block long, part long, counts binary, distinct long"))
     mass = ALPHA * ((sums.where("part < 0").agg(F.sum("distinct")).first()[0] or 0) + 1)
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
         row = left.to_pylist()[0]
-        row["size"] = len(row["words"])
-        first, second, of, *_ = _own_pairs(row)
         got = dict(zip(right.column("part").to_pylist(), right.column("counts").to_pylist(), strict=True))
-        by_word, by_pair = np.zeros((4, row["size"])), np.zeros((2, len(first)))
-        for part, at in _dealt(row["words"], first, second, n_words, n_pairs)[2]:
-            of_part = by_word if part < 0 else by_pair
-            of_part[:, at] = _unpack([got[part]], len(of_part))[0]
-        length = np.array(row["length"], np.int64)
+        hashes = _hashes(_words(row))
+        pairs = _Pairs(row, hashes)
+        by_word, by_pair = np.zeros((4, len(hashes))), np.zeros((2, len(pairs.k1)))
+        for part, at in _word_order(hashes, n_words):
+            by_word[:, at] = _unpack(got[part], np.int64).reshape(4, -1)
+        part = _part(pairs.k1, n_pairs)
+        for s in _slices(part):
+            by_pair[:, s] = _unpack(got[int(part[s.start])], np.int64).reshape(2, -1)
+        length = pairs.length
         doc = np.repeat(np.arange(len(length)), length)
         losses = []
         for pair, own, context, n, start in zip(by_pair, by_word[:2], by_word[2:], (n_t, n_b), (start_t, start_b), strict=True):
             one, context = (own + ALPHA) / (n + mass), np.append(context, start)
-            loss = -np.log((pair + MU * one[second]) / (context[first] + MU))
-            losses.append(np.bincount(doc, loss[of], len(length)) / np.maximum(length, 1))
+            loss = -np.log((pair[pairs.of] + MU * one[pairs.ids]) / (context[pairs.before] + MU))
+            losses.append(np.bincount(doc, loss, len(length)) / np.maximum(length, 1))
         empty = length == 0
         return pa.table(
             [pa.array(row["doc_id"], pa.int64()), pa.array(length), *(pa.array(x, mask=empty) for x in losses), pa.array(np.where(empty, 0.0, losses[0] - losses[1]))],
             names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
         )
 
-    base = blocks.select("block", "tokens", "doc_id", "target", "length", "words")
+    base = blocks.select("block", "tokens", "doc_id", "length", "words", "n_words")
     return base.groupBy("block").cogroup(sums.select("block", "part", "counts").groupBy("block")).applyInArrow(judge, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .license_scan import K, MAX_GAP, MIN_COVERAGE, templates
+from .lm_scoring import ALPHA, MU
 from .url_filters import SITE_RULES, WORD_RULES
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -14,6 +15,23 @@ def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+OP1 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_BARE}) AS w,
+         coalesce(doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL), false) AS own
+  FROM documents),
+k AS (SELECT r, own, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] ELSE chr(10) END AS v FROM (SELECT r, own, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+one AS (SELECT x, count(*) FILTER (own) AS t, count(*) AS b FROM k GROUP BY x),
+ctx AS (SELECT v, count(*) FILTER (own) AS ct, count(*) AS cb FROM k GROUP BY v),
+two AS (SELECT v, x, count(*) FILTER (own) AS pt, count(*) AS pb FROM k GROUP BY v, x),
+n AS (SELECT sum(t) AS nt, sum(b) AS nb, {ALPHA} * (count(*) + 1) AS mass FROM one),
+loss AS (
+  SELECT v, x, -ln((pt + {MU} * (t + {ALPHA}) / (nt + mass)) / (ct + {MU})) AS lt, -ln((pb + {MU} * (b + {ALPHA}) / (nb + mass)) / (cb + {MU})) AS lb
+  FROM two JOIN one USING (x) JOIN ctx USING (v), n),
+s AS (SELECT r, avg(lt) AS lt, avg(lb) AS lb FROM k JOIN loss USING (v, x) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_tokens, round(lt, 6) AS target_loss, round(lb, 6) AS background_loss, round(coalesce(lt - lb, 0.0::DOUBLE), 6) AS score
+FROM d LEFT JOIN s USING (r)"""
+
 OP4 = rf"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_BARE}) AS w,
@@ -107,6 +125,7 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)"""
 
 SQL = {
+    "op1_lm_scoring": OP1,
     "op4_quality_rules": OP4,
     "op5_line_dedup": OP5,
     "op7_url_filters": op7(),
