@@ -137,14 +137,49 @@ def test_links_lose_nothing(spark, tile):
     assert got == {(f, find(i)) for i, f in rows}
 
 
-@settings(max_examples=30, deadline=None)
-@given(st.lists(st.integers(0, 2**64 - 1), min_size=1, max_size=200), st.integers(0, 2**64 - 1))
-def test_bit_planes(fps, query):
-    arr = np.array(fps, np.uint64)
-    s = simhash.Sliced(arr)
-    words = np.arange(s.planes.shape[1])
-    lanes = np.unpackbits(s.within(query, words).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").ravel()[: len(fps)]
-    assert lanes.tolist() == [int((f ^ query).bit_count() <= 4) for f in fps]
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=2, max_size=300), st.integers(1, 299), st.integers(0, 2**32))
+def test_bit_planes(fps, d, seed):
+    """Lanes against the lanes d places on, some of them near, some of them left out."""
+    r = random.Random(seed)
+    d = d % (len(fps) - 1) + 1
+    for i in range(len(fps) - d):
+        if r.random() < 0.5:
+            fps[i + d] = near(r, fps[i], r.randint(0, 6))
+    live = np.array([i for i in range(len(fps) - d) if r.random() < 0.8], np.int64)
+    got = simhash.Sliced(np.array(fps, np.uint64)).near(d, live)
+    assert got.tolist() == [i for i in live.tolist() if (fps[i] ^ fps[i + d]).bit_count() <= 4]
+
+
+def test_all_comparisons_go_through_the_planes():
+    """Buckets of many sizes side by side: the links are those of brute force, and only counters have told them."""
+    r = random.Random(5)
+    bucket, side, fps = [], [], []
+    for k, size in enumerate([2, 3, 2, 70, 1, 130, 5, 64, 2]):
+        hub = r.getrandbits(64)
+        for i in range(size):
+            bucket.append(k)
+            side.append(int(k == 5 and i >= 60))
+            fps.append(near(r, hub, r.randint(0, 9)))
+    fps, nodes, sets = np.array(fps, np.uint64), np.arange(len(fps)) * 7, simhash.Union()
+    planes = simhash.link(np.array(bucket), np.array(side, np.int8), fps, nodes, sets)
+    want = simhash.Union()
+    for i in range(len(fps)):
+        for j in range(i):
+            if bucket[i] == bucket[j] and (bucket[i] != 5 or side[i] != side[j]) and (int(fps[i]) ^ int(fps[j])).bit_count() <= 4:
+                want.join(7 * i, 7 * j)
+    assert [sets.find(7 * i) for i in range(len(fps))] == [want.find(7 * i) for i in range(len(fps))]
+    linked = sum(want.find(7 * i) != 7 * i for i in range(len(fps)))
+    assert 0 < linked <= planes.compared
+
+
+def test_a_group_of_near_copies_is_compared_about_once():
+    r = random.Random(1)
+    hub = r.getrandbits(64)
+    fps = np.array(sorted({near(r, hub, 2) for _ in range(5000)}), np.uint64)
+    sets = simhash.Union()
+    planes = simhash.link(np.zeros(len(fps), np.int64), np.zeros(len(fps), np.int8), fps, np.arange(len(fps)), sets)
+    assert {sets.find(i) for i in range(len(fps))} == {0} and planes.compared < 4 * len(fps) + 64
 
 
 def test_components_of_long_chains(spark):

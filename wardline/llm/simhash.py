@@ -1,11 +1,11 @@
 """SimHash near-dedup: 64-bit fingerprints, bit-sliced comparison, connected components.
 
-Distinct fingerprints are cut into six blocks of bits. Two that differ in at most four bits agree
-in at least two whole blocks, so each fingerprint goes to the fifteen buckets of its pairs of blocks, and every link
-is met in some bucket. Within a bucket the bit planes are stored vertically, one word for 64
-fingerprints, and the distances to a whole block are updated plane by plane in carry-save
-counters; the block is abandoned once every lane has passed the radius. Fingerprints that are known to be
-connected are not compared again, so a large group of near copies costs little more than its size, and
+Distinct fingerprints are cut into seven blocks of bits. Two that differ in at most four bits agree
+in at least three whole blocks, so each fingerprint goes to the 35 buckets of its triples of blocks, and every link
+is met in some bucket. Buckets stand side by side in vertical bit planes, one word for 64 fingerprints, small ones sharing words. A shift of the planes by d
+lanes sets every fingerprint against the one d places on, for all buckets at once; the distances are updated plane by plane in
+carry-save counters, and a word is abandoned once all its lanes have passed the radius, are of two buckets, or are known to be
+connected. So a large group of near copies costs little more than its size, and
 a bucket yields one edge a fingerprint, never its pairs. Buckets too large for a task are cut into tiles, and pairs of tiles are dealt out.
 
 Components come from label contraction over checkpointed edge tables; no edge, label or fingerprint is
@@ -29,26 +29,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, NO_ID, checkpointed, map_texts, row_key
+from .common import NO_ID, checkpointed, map_texts, row_key
+from .labelled import join_checked
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: (first bit, bits) of the blocks; two near fingerprints agree in all but RADIUS of them.
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
-#: Fingerprints of a bucket that one task compares at once.
-TILE = 16_384
-_WS = " \t\n\x0b\x0c\r"
-_TO_SPACE = str.maketrans(_WS, " " * 6) | ASCII_LOWER
-_LANES = 64
+BLOCKS = ((0, 9), (9, 9), (18, 9), (27, 9), (36, 9), (45, 9), (54, 10))
+#: Fingerprints of a bucket that one task compares at once, and those of many buckets that share planes.
+TILE, TOGETHER = 16_384, 65_536
+#: Planes between two looks at which words are left.
+STEP = 8
+_LANES, _ALL = 64, np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 def fingerprint(text: str | None) -> int:
     """The contract's fingerprint of one text, unsigned."""
-    words = (text or "").translate(_TO_SPACE).split(" ")
-    words = [w for w in words if w]
+    # Bytes are lower-cased and split by ASCII alone, as the contract has it.
+    words = (text or "").encode().lower().split()
     if not words:
         return 0
     # Each shingle is a slice of the words joined by single spaces.
-    joined = " ".join(words).encode()
+    joined = b" ".join(words)
     if len(words) <= SHINGLE:
         return xxhash.xxh64_intdigest(joined, SEED)
     raw = np.frombuffer(joined, np.uint8)
@@ -82,30 +83,46 @@ class Sliced:
         bits = np.unpackbits(padded.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")  # row: fingerprint, column: bit
         self.planes = np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view(np.uint64)
         self.n = n
+        self.compared = 0  # lanes of the words that went into counters
 
-    def within(self, fp: int, words: np.ndarray) -> np.ndarray:
-        """Lanes of the given words at most RADIUS bits away, as masks.
+    def near(self, d: int, live: np.ndarray) -> np.ndarray:
+        """The lanes i among ``live`` (ascending) whose fingerprint is at most RADIUS bits from that of lane i + d.
 
-        Counters of three bits hold up to seven differences; ``far`` keeps lanes that have passed four.
+        Counters of three bits hold up to seven differences; ``far`` keeps lanes that have passed four. Every few planes, words
+        with all lanes far are left out of what follows.
         """
-        c0 = np.zeros(len(words), np.uint64)
-        c1, c2, far = c0.copy(), c0.copy(), c0.copy()
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
+        n_words = self.planes.shape[1]
+        far = np.full(n_words, _ALL, np.uint64)
+        np.bitwise_and.at(far, live // _LANES, ~(np.uint64(1) << (live % _LANES).astype(np.uint64)))
+        words = np.flatnonzero(far != _ALL)
+        self.compared += len(words) * _LANES
+        far = far[words]
+        c0, c1, c2 = (np.zeros(len(words), np.uint64) for _ in range(3))
+        skip, low = d // _LANES, np.uint64(d % _LANES)
+        high = np.uint64(_LANES) - low
+        planes = np.concatenate([self.planes, np.zeros((64, skip + 2), np.uint64)], axis=1) if len(words) and words[-1] + skip + 1 >= n_words else self.planes
         for b in range(64):
-            d = self.planes[b][words]
-            if fp >> b & 1:
-                d = ~d
+            plane = planes[b]
+            other = plane[words + skip]
+            if low:
+                other = other >> low | plane[words + skip + 1] << high
+            diff = plane[words] ^ other
             # carry-save add of one bit
-            t = c0 & d
-            c0 = c0 ^ d
-            u = c1 & t
-            c1 = c1 ^ t
-            far |= c2 & u  # would reach eight
-            c2 = c2 | u
+            carry = c0 & diff
+            c0 = c0 ^ diff
+            over = c1 & carry
+            c1 = c1 ^ carry
+            far |= c2 & over  # would reach eight
+            c2 = c2 | over
             far |= c2 & (c0 | c1)  # five or more
-            if b & 7 == 7 and (far == full).all():
-                break  # every lane of the block is too far
-        return ~far
+            if b % STEP == STEP - 1:
+                left = far != _ALL
+                if not left.all():
+                    words, far, c0, c1, c2 = (x[left] for x in (words, far, c0, c1, c2))
+                    if not len(words):
+                        break
+        lanes = np.unpackbits((~far).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(bool)
+        return (words[:, None] * _LANES + np.arange(_LANES))[lanes]
 
 
 class Union:
@@ -128,72 +145,80 @@ class Union:
             self.up[max(a, b)] = min(a, b)
 
 
-def link(fps: np.ndarray, nodes: np.ndarray, sets: Union, other: tuple[np.ndarray, np.ndarray] | None = None) -> None:
-    """Unites nodes whose fingerprints link; with ``other``, those of one tile with those of another."""
-    rows = (fps, nodes) if other is None else other
-    n = len(fps)
-    if len(rows[0]) * n <= 4096:  # too small for planes
-        x = fps[:, None] ^ rows[0][None, :]
-        for i, j in zip(*np.nonzero(np.bitwise_count(x) <= RADIUS), strict=True):
-            sets.join(int(nodes[i]), int(rows[1][j]))
-        return
+def link(bucket: np.ndarray, side: np.ndarray, fps: np.ndarray, nodes: np.ndarray, sets: Union) -> Sliced:
+    """Unites the nodes of a bucket whose fingerprints link. Rows of a bucket stand together, and side 0 before side 1.
+
+    A bucket with both sides compares those of one with those of the other; the tiles' own pairs are another's.
+    """
     planes = Sliced(fps)
-    roots = np.array([sets.find(int(x)) for x in nodes])
-    for i, (fp, node) in enumerate(zip(rows[0].tolist(), rows[1].tolist(), strict=True)):
-        root = sets.find(node)
-        apart = roots != root
-        if other is None:
-            apart[: i + 1] = False
-        words = np.unique(np.flatnonzero(apart) // _LANES)
-        if not len(words):
+    roots = np.array([sets.find(x) for x in nodes.tolist()], np.int64)
+    new = np.ones(len(bucket), bool)
+    new[1:] = bucket[1:] != bucket[:-1]
+    start = np.flatnonzero(new)
+    of = np.cumsum(new) - 1
+    end = np.append(start[1:], len(bucket))
+    two = np.maximum.reduceat(side, start) > 0  # of each bucket
+    apart = side != side[start][of] if two.any() else None
+    lanes = np.arange(len(bucket))
+    d = 0
+    while True:
+        d += 1
+        lanes = lanes[lanes + d < end[of[lanes]]]  # the others have met all that follow
+        if not len(lanes):
+            return planes
+        if d & (d - 1) == 0:  # a bucket that is one component already has nothing left
+            own = of[lanes]
+            mixed = np.maximum.reduceat(roots, start) != np.minimum.reduceat(roots, start)
+            lanes = lanes[mixed[own]]
+        live = lanes[roots[lanes] != roots[lanes + d]]
+        if apart is not None:
+            live = live[~two[of[live]] | (apart[live] != apart[live + d])]
+        if not len(live):
             continue
-        near = planes.within(int(fp), words)
-        lanes = np.unpackbits(near.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        hit = (words[:, None] * _LANES + np.flatnonzero(np.ones(_LANES)))[lanes.astype(bool)]
-        hit = hit[hit < n]
-        hit = hit[apart[hit]]
-        if len(hit):
-            for r in np.unique(roots[hit]).tolist():
-                sets.join(node, r)
-            top = sets.find(node)
-            roots[np.isin(roots, np.append(np.unique(roots[hit]), root))] = top
+        hit = planes.near(d, live)
+        if not len(hit):
+            continue
+        for x, y in zip(roots[hit].tolist(), roots[hit + d].tolist(), strict=True):
+            sets.join(x, y)
+        old = np.unique(np.concatenate([roots[hit], roots[hit + d]]))
+        top = np.array([sets.find(x) for x in old.tolist()], np.int64)
+        at = np.minimum(np.searchsorted(old, roots), len(old) - 1)
+        roots = np.where(old[at] == roots, top[at], roots)
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of (bucket, part, side, fp, node), sorted by bucket and part, to edges (a, b) with a > b."""
-    sets, held = Union(), []
+    """Rows of (bucket, part, side, fp, node), sorted by the first three, to edges (a, b) with a > b."""
+    sets, held, n = Union(), [], 0
 
     def flush() -> None:
-        if not held:
-            return
-        side = np.concatenate([h[0] for h in held])
-        fps = np.concatenate([h[1] for h in held]).view(np.uint64)
-        nodes = np.concatenate([h[2] for h in held])
+        keys, side, fps, nodes = (np.concatenate(x) for x in zip(*held, strict=True))
         held.clear()
-        one = side == 0
-        if one.all():
-            if len(fps) > 1:
-                link(fps, nodes, sets)
-        elif one.any():
-            link(fps[one], nodes[one], sets, (fps[~one], nodes[~one]))
-
-    last = None
+        number = np.cumsum(np.append(False, (keys[1:] != keys[:-1]).any(axis=1)))
+        link(number, side, fps.view(np.uint64), nodes, sets)
+
     for b in batches:
         if not len(b):
             continue
-        key = b[["bucket", "part"]].to_numpy()
-        side, fps, nodes = b["side"].to_numpy(), b["fp"].to_numpy(), b["node"].to_numpy()
-        cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        for a, e in zip(np.append(0, cuts), np.append(cuts, len(b)), strict=True):
-            k = (int(key[a][0]), int(key[a][1]))
-            if last is not None and k != last:
+        rows = (b[["bucket", "part"]].to_numpy(), b["side"].to_numpy(), b["fp"].to_numpy(), b["node"].to_numpy())
+        # Whole buckets only: the last one may go on in the next batch.
+        cut = np.flatnonzero((rows[0] != rows[0][-1]).any(axis=1))
+        cut = int(cut[-1]) + 1 if len(cut) else 0
+        if held and (held[-1][0][-1] != rows[0][0]).any() and n >= TOGETHER:
+            flush()
+            n = 0
+        if cut:
+            held.append(tuple(x[:cut] for x in rows))
+            n += cut
+            if n >= TOGETHER:
                 flush()
-            last = k
-            held.append((side[a:e], fps[a:e], nodes[a:e]))
+                n = 0
+        held.append(tuple(x[cut:] for x in rows))
+        n += len(b) - cut
         if len(sets.up) > 1_000_000:
             yield _edges(sets)
             sets.up.clear()
-    flush()
+    if held:
+        flush()
     yield _edges(sets)
 
 
@@ -219,9 +244,9 @@ def edges(nodes: DataFrame, tile: int = TILE) -> DataFrame:
             key = F.shiftleft(key, BLOCKS[block][1]).bitwiseOR(bits(BLOCKS[block]))
         keys.append(key)
     dealt = nodes.select("node", "fp", F.explode(F.array(*keys)).alias("bucket"))
-    # How large each bucket is; those of one fingerprint link nothing.
-    sizes = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    rows = dealt.join(sizes, "bucket")
+    # How large each bucket is; those of one fingerprint link nothing. As a table, so that a hot bucket's rows can be split in the join.
+    sizes = checkpointed(dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    rows = join_checked(dealt, sizes, "bucket")
     n_tiles = F.ceil(F.col("size") / tile).cast("int")
     mine = F.pmod(F.xxhash64("fp"), F.col("n_tiles")).cast("int")
     rows = rows.withColumn("n_tiles", n_tiles).withColumn("t", mine)
@@ -234,7 +259,7 @@ def edges(nodes: DataFrame, tile: int = TILE) -> DataFrame:
         ),
     )
     rows = rows.select("bucket", "fp", "node", F.inline(part)).select("bucket", "part", "side", "fp", "node")
-    ordered = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part")
+    ordered = rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "side")
     return ordered.mapInPandas(_compare, "a long, b long").distinct()
 
 
