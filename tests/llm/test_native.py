@@ -3,7 +3,7 @@
 import re
 from collections import Counter
 
-from llm_helpers import same
+from llm_helpers import prose, same
 
 from wardline.llm import license_scan, quality_rules, url_filters
 
@@ -63,7 +63,7 @@ def test_licenses(edge, edge_rows, empty, spark):
 
 
 def test_license_notice_survives_edits(spark):
-    words = license_scan.NOTICES["mit"].split()
+    words = dict(license_scan.NOTICES)["mit"].split()
     whole, cut = " ".join(words), " ".join([*words[:9], "kindly", *words[9:]])
     d = spark.createDataFrame([(1, "intro text " + whole), (2, "x " + cut), (3, " ".join(words[:8])), (4, "x under the mit license " * 4)], "doc_id long, text string")
     out = {r["doc_id"]: r for r in license_scan.label(d).collect()}
@@ -74,6 +74,24 @@ def test_license_notice_survives_edits(spark):
     assert {(r["doc_id"], r["first_word"]) for r in license_scan.places(d).where("NOT base").collect()} == {(1, 2), (2, 1)}
 
 
+def test_license_words_out_of_order_do_not_count(spark):
+    """Neighbouring diagonals that hold a notice's k-grams backwards are no place of it, however long their chain."""
+    words = dict(license_scan.NOTICES)["mpl-2"].split()
+    grams = [words[i : i + 3] for i in range(len(words) - 2)]
+    back = " ".join(" ".join(g) for g in reversed(grams))
+    d = spark.createDataFrame([(1, back), (2, " ".join(" ".join([*words[i : i + 4], "x"]) for i in range(0, len(words), 4))), (3, ("so " + " ".join(words) + " and ") * 3)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in license_scan.label(d).collect()}
+    assert out[1]["labels"] == "" and out[1]["score"] < 0.5 and out[2]["score"] < 0.8 and out[3]["labels"] == "mpl-2"
+    assert sorted(r["first_word"] for r in license_scan.places(d).collect()) == [1, len(words) + 3, 2 * len(words) + 5]
+
+
+def test_long_text_takes_time_in_proportion(spark):
+    """No k-gram carries its text: a text of 320,000 words goes through, places and all."""
+    t = prose(1, 320_000) + " under the MIT license"
+    d = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    same(license_scan.label(d), [(1, *licenses_of(t))], "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 def urls_of(u):
     rest = u.split("://", 1)[1] if u and "://" in u else ""
     host = ascii_lower(re.split("[/?#]", rest, maxsplit=1)[0])

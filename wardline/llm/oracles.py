@@ -93,13 +93,15 @@ def op8() -> str:
 WITH tpl(t_no, label, base, t_pos, t_grams, gram) AS (VALUES {rows}),
 d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
 g AS (SELECT r, i - 1 AS p, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
-v AS (SELECT r, t_no, label, base, t_grams, p - t_pos AS diag, list(DISTINCT t_pos) AS pos FROM g JOIN tpl USING (gram) GROUP BY ALL),
+v AS (SELECT r, t_no, label, base, t_grams, t_pos, p, p - t_pos AS diag FROM g JOIN tpl USING (gram)),
 i AS (
-  SELECT *, sum(jump) OVER (PARTITION BY r, t_no ORDER BY diag) AS island
-  FROM (SELECT *, CASE WHEN NOT base AND diag - lag(diag) OVER (PARTITION BY r, t_no ORDER BY diag) <= {MAX_GAP} THEN 0 ELSE 1 END AS jump FROM v)),
+  SELECT *, sum(jump) OVER (PARTITION BY r, t_no ORDER BY diag, t_pos ROWS UNBOUNDED PRECEDING) AS place
+  FROM (SELECT *, CASE WHEN diag - lag(diag) OVER (PARTITION BY r, t_no ORDER BY diag, t_pos) <= CASE WHEN base THEN 0 ELSE {MAX_GAP} END THEN 0 ELSE 1 END AS jump FROM v)),
+f AS (SELECT r, t_no, label, base, t_grams, place, t_pos, min(p) AS p FROM i GROUP BY ALL),
+o AS (SELECT *, p > coalesce(max(p) OVER (PARTITION BY r, t_no, place ORDER BY t_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS in_order FROM f),
 s AS (
-  SELECT r, t_no, label, base, min(diag + list_min(pos)) AS first_word, least(1.0::DOUBLE, len(list_distinct(flatten(list(pos))))::DOUBLE / t_grams) AS coverage
-  FROM i GROUP BY r, t_no, label, base, t_grams, island),
+  SELECT r, t_no, label, base, min(p) AS first_word, (count(*) FILTER (in_order))::DOUBLE / t_grams AS coverage
+  FROM o GROUP BY r, t_no, label, base, t_grams, place),
 h AS (SELECT *, base AND coverage = 1.0 AS base_hit, (base AND coverage = 1.0) OR (NOT base AND coverage >= {MIN_COVERAGE}) AS hit FROM s)
 SELECT d.doc_id, any_value(len(d.w))::BIGINT AS n_words, (count(*) FILTER (base_hit))::BIGINT AS n_base,
        (min(first_word) FILTER (base_hit))::BIGINT AS first_word, (max(first_word) FILTER (base_hit))::BIGINT AS last_word,
