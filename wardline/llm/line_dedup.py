@@ -33,7 +33,7 @@ _STRIP = " \t\n\x0b\x0c\r"
 def line_hashes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(h1, h2, __id, __text_key, at): 128 bits of each key of at least ten code points, with its positions in the row."""
     key = ascii_lower(F.trim(F.col("line"), F.lit(_STRIP)))
-    lines = docs.select(*row_key(id_col, text_col), F.posexplode(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("pos", "line"))
+    lines = docs.select(*row_key(id_col, text_col), F.posexplode_outer(F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), "\n")).alias("pos", "line"))
     lines = lines.select("__id", "__text_key", "pos", key.alias("key")).where(F.length("key") >= MIN_POINTS)
     return lines.select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "__id", "__text_key", "pos")
 
