@@ -3,6 +3,7 @@
 import re
 from collections import Counter
 
+import pytest
 from llm_helpers import prose, same
 
 from wardline.llm import license_scan, quality_rules, url_filters
@@ -114,25 +115,41 @@ URLS = [
 ]
 
 
-def test_urls(spark, monkeypatch):
-    d = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(URLS)] + [(0, None, "h", "r")], "page_id long, url string, host string, rule string")
-    want = [(i, *urls_of(u)) for i, u in [*enumerate(URLS), (0, None)]]
-    same(url_filters.judge(d), want, "page_id", "host", "path", "rule", "verdict")
-    monkeypatch.setattr(url_filters, "MAX_LITERAL_RULES", 0)
+@pytest.mark.parametrize("block", [url_filters.BLOCK_RULES, 3])
+def test_urls(spark, monkeypatch, block):
+    d = spark.createDataFrame([(i, u, "h", "r") for i, u in enumerate(URLS)] + [(0, None, "h", "r"), (None, URLS[4], "h", "r")], "page_id long, url string, host string, rule string")
+    want = [(i, *urls_of(u)) for i, u in [*enumerate(URLS), (0, None), (None, URLS[4])]]
+    monkeypatch.setattr(url_filters, "BLOCK_RULES", block)
     same(url_filters.judge(d), want, "page_id", "host", "path", "rule", "verdict")
     assert url_filters.judge(d.limit(0)).count() == 0
+    assert {r["verdict"] for r in url_filters.judge(d, []).collect()} == {"allow"}
 
 
-def test_urls_with_plurals_and_capitals(spark, monkeypatch):
+def test_urls_with_plurals_and_capitals(spark):
     urls = ["https://best-casinos.io/a", "http://casinos.io/casino", "http://a.b/BIGpoker", "http://a.b/pokerX", "http://a.b/POKER", "http://a.b/xCasinos", "http://a.b/Xcasinos", "http://a.b/casinosx"]
     d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     want = [(i, *urls_of(u)) for i, u in enumerate(urls)]
     assert [w[4] for w in want] == ["block"] * 4 + ["allow"] * 2 + ["block", "allow"]
-    for most in (url_filters.MAX_LITERAL_RULES, 0):
-        monkeypatch.setattr(url_filters, "MAX_LITERAL_RULES", most)
-        out = url_filters.judge(d)
-        same(out, want, "page_id", "host", "path", "rule", "verdict")
-        assert {r["page_id"]: r["n_candidates"] for r in out.collect()}[1] == 1
+    out = url_filters.judge(d)
+    same(out, want, "page_id", "host", "path", "rule", "verdict")
+    assert {r["page_id"]: r["n_candidates"] for r in out.collect()}[1] == 1
+
+
+@pytest.mark.parametrize("block", [url_filters.BLOCK_RULES, 1_500])
+def test_many_rules_and_a_token_that_all_share(spark, monkeypatch, block):
+    """5,000 site rules from a table, 3,000 of them under one host, against brute force; every URL holds the hosts' tokens."""
+    sites = [(f"shop.com/{w}/{i}", "block" if i % 3 else "allow") for i in range(3000) for w in ("a",)] + [(f"s{i}.org/x/", "block" if i % 2 else "allow") for i in range(2000)]
+    rules = [url_filters.site_rule(t, a) for t, a in sites]
+    urls = [f"http://{'www.' * (i % 2)}shop.com/a/{i * 7 % 4000}" for i in range(300)] + [f"http://s{i * 11 % 2500}.org/{'x/' * (i % 3)}y" for i in range(300)] + ["http://" + "long-path/" * 5000 + "shop.com"]
+    d = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    monkeypatch.setattr(url_filters, "BLOCK_RULES", block)
+    want = []
+    for i, u in enumerate(urls):
+        h, path = u.split("://")[1].split("/", 1)
+        fit = [(len(t), t, a) for t, a in sites for rh, rp in [t.split("/", 1)] if (h == rh or h.endswith("." + rh)) and path.startswith(rp)]
+        want.append((i, h, "/" + path, *(max(fit)[1:] if fit else (None, "allow"))))
+    assert sum(w[3] is not None for w in want) > 200
+    same(url_filters.judge(d, url_filters.rule_table(spark, rules)), want, "page_id", "host", "path", "rule", "verdict")
 
 
 def test_only_candidates_run(spark):

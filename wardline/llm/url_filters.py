@@ -5,26 +5,31 @@ stands in the index under the one of its tokens that is rarest among the URLs' o
 tokens of a URL fetch candidate rules, and only those run as regular expressions. Patterns take an upper-case letter of the path
 for a separator, so a path is cut into tokens twice: in lower case, and at its upper-case letters.
 
-The index is a literal map, as long as the rules are few (``MAX_LITERAL_RULES``); a longer list
-is joined by token instead. Both give the same rows, and neither shuffles URLs.
+Rules and index are tables. URLs are exploded into their tokens, which meet blocks of at most ``BLOCK_RULES`` index rows by
+broadcast, so that a token which all URLs share is no hot key; the rows of a URL come from one task, are summed up there, and one row for
+each URL is shuffled, whatever the number of rules.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path, fits no rule and
 is allowed; null ids stay null; repeated rows stay repeated; an empty table gives no rows; other
-columns are not read.
+columns are not read; of rules of one rank the last by name wins.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let
+from .common import ascii_lower, checkpointed
 
-MAX_LITERAL_RULES = 2_000
+#: Index rows in a broadcast block; a row is a token and a pattern.
+BLOCK_RULES = 100_000
 TOKEN_SPLIT = "[^a-z0-9]+"
+#: Ranks from here on are those of site rules.
+SITE_RANK = 1_000
 
 
 @dataclass(frozen=True)
@@ -41,11 +46,17 @@ SITE_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "
 #: What the method blocks besides: word patterns in the host or path.
 WORD_RULES = (
     ("casino", r"(^|[^a-z0-9])casinos?([^a-z0-9]|$)", ("casino|casinos",)),
+    ("slots", r"(^|[^a-z0-9])(online|free)-slots([^a-z0-9]|$)", ("slots",)),
     ("bets", r"(^|[^a-z0-9])(free|best|sport|sports)-bets([^a-z0-9]|$)", ("bets",)),
+    ("betting", r"(^|[^a-z0-9])(sports?|online)-?betting([^a-z0-9]|$)", ("betting|sportbetting|sportsbetting|onlinebetting",)),
     ("pills", r"(^|[^a-z0-9])(cheap|diet)-pills([^a-z0-9]|$)", ("pills",)),
+    ("viagra", r"(^|[^a-z0-9])(viagra|cialis)([^a-z0-9]|$)", ("viagra|cialis",)),
     ("poker", r"(^|[^a-z0-9])poker([^a-z0-9]|$)", ("poker",)),
     ("xxx", r"(^|[^a-z0-9])xxx([^a-z0-9]|$)", ("xxx",)),
+    ("porn", r"(^|[^a-z0-9])porno?([^a-z0-9]|$)", ("porn|porno",)),
     ("payday", r"(^|[^a-z0-9])payday-loans?([^a-z0-9]|$)", ("payday",)),
+    ("escorts", r"(^|[^a-z0-9])escorts([^a-z0-9]|$)", ("escorts",)),
+    ("warez", r"(^|[^a-z0-9])warez([^a-z0-9]|$)", ("warez",)),
 )
 
 
@@ -54,13 +65,18 @@ def site_rule(text: str, action: str) -> Rule:
     host, _, rest = text.partition("/")
     whole = rest.split("/")[:-1]  # the last part is a prefix of a token, perhaps not a whole one
     tokens = tuple(t for part in [*host.split("."), *whole] for t in re.split(TOKEN_SPLIT, part.lower()) if t)
-    return Rule(text, action, rf"^([^/]*\.)?{re.escape(host)}/{re.escape(rest)}", tokens, 1_000 + len(text))
+    return Rule(text, action, rf"^([^/]*\.)?{re.escape(host)}/{re.escape(rest)}", tokens, SITE_RANK + len(text))
 
 
 def default_rules() -> list[Rule]:
     return [site_rule(t, a) for t, a in SITE_RULES] + [Rule(n, "block", p, t, 0) for n, p, t in WORD_RULES]
 
 
+def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
+    """name, action, pattern, tokens, rank: the form in which rules may also be read from a table."""
+    return spark.createDataFrame([(r.name, r.action, r.pattern, list(r.tokens), r.rank) for r in rules], "name string, action string, pattern string, tokens array<string>, rank int")
+
+
 def _parts(url: Column) -> tuple[Column, Column]:
     after = F.when(F.instr(url, "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise(F.lit(""))
     after = F.coalesce(after, F.lit(""))
@@ -71,82 +87,50 @@ def _tokens(host: Column, path: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.concat_ws("/", host, ascii_lower(path), path), TOKEN_SPLIT), lambda t: t != ""))
 
 
-def token_counts(urls: DataFrame, tokens: set[str], url_col: str = "url") -> dict[str, int]:
-    """URLs that hold each of ``tokens``: as many rows as the rules have literal tokens."""
-    host, path = _parts(F.col("url"))
-    held = urls.select(F.col(url_col).cast("string").alias("url")).select(F.explode(F.array_intersect(_tokens(host, path), F.array(*map(F.lit, sorted(tokens))))).alias("t"))
-    return {r["t"]: r["n"] for r in held.groupBy("t").agg(F.count(F.lit(1)).alias("n")).collect()}
+def _fetch(tokens: DataFrame, table: DataFrame) -> DataFrame:
+    """The inner join by ``token`` with a written table, a broadcast block of it at a time."""
+    blocks = 1 + table.count() // BLOCK_RULES
+    # A token with more rows than a block holds is dealt out over them by its row.
+    of = F.pmod(F.xxhash64(*table.columns), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [tokens.join(F.broadcast(table.where(of == i) if blocks > 1 else table), "token") for i in range(blocks)])
 
 
-def index_rules(rules: list[Rule], counts: dict[str, int]) -> list[tuple[str, Rule]]:
-    """Each rule under its rarest token, or each alternative of it; ties go to the longer, then the first."""
-    rarest = lambda r: min(r.tokens, key=lambda t: (sum(counts.get(a, 0) for a in t.split("|")), -len(t), t))
-    return [(a, r) for r in rules for a in rarest(r).split("|")]
+def index_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
+    """token, no, rank, name, action, pattern: each rule (``no``) under its rarest token among ``urls`` (host, path), or each alternative of it.
 
-
-def judge(urls: DataFrame, rules: list[Rule] | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """page_id, host, path, rule (the fitting site rule), verdict, reason (the rule that decided) and n_candidates."""
-    rules = default_rules() if rules is None else rules
-    if any(not r.tokens for r in rules):
+    Ties go to the longer token, then the first.
+    """
+    numbered = checkpointed(rules.select(F.monotonically_increasing_id().alias("no"), "rank", "name", "action", "pattern", "tokens"))
+    slots = numbered.select("no", F.explode("tokens").alias("slot"))
+    if not numbered.where("coalesce(size(tokens), 0) < 1").isEmpty():
         raise ValueError("every rule needs a literal token")
-    counts = token_counts(urls, {a for r in rules for t in r.tokens for a in t.split("|")}, url_col) if rules else {}
-    indexed = index_rules(rules, counts)
-    base = urls.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"))
-    host, path = _parts(F.col("url"))
-    base = base.select("page_id", host.alias("host"), path.alias("path"))
-    kind = "array<struct<rank:int,name:string,action:string>>"
-    if not indexed:
-        fits = F.array().cast(kind)
-        cand = base.withColumn("n_candidates", F.lit(0)).withColumn("fits", fits)
-    elif len(indexed) <= MAX_LITERAL_RULES:
-        by: dict[str, list[int]] = {}
-        for t, r in indexed:
-            by.setdefault(t, []).append(rules.index(r))
-        index = F.create_map(*[x for t, ids in by.items() for x in (F.lit(t), F.array(*map(F.lit, ids)))])
-        fetched = F.array_distinct(F.flatten(F.filter(F.transform(_tokens(F.col("host"), F.col("path")), lambda t: F.element_at(index, t)), lambda x: x.isNotNull())))
-        subject = F.concat("host", "path")
-        tests = F.array(*[F.struct(F.lit(r.rank).alias("rank"), F.lit(r.name).alias("name"), F.lit(r.action).alias("action")) for r in rules])
-        cand = base.withColumn("cand", fetched)
-        fits = F.transform(
-            F.filter(F.col("cand"), lambda i: _switch(i, subject, rules)),
-            lambda i: F.get(tests, i),
-        )
-        cand = cand.withColumn("n_candidates", F.size("cand")).withColumn("fits", fits)
-    else:
-        cand = _joined(base, indexed)
-    site = F.array_max(F.filter("fits", lambda f: f.rank >= 1_000))
-    best = F.array_max("fits")
-    return cand.select(
-        "page_id",
-        "host",
-        "path",
-        site["name"].alias("rule"),
-        F.coalesce(best["action"], F.lit("allow")).alias("verdict"),
-        best["name"].alias("reason"),
-        F.col("n_candidates").cast("int").alias("n_candidates"),
-    )
+    each = slots.select("slot", F.explode(F.split("slot", r"\|")).alias("token")).distinct()
+    held = urls.select(F.explode_outer(_tokens(F.col("host"), F.col("path"))).alias("token"))
+    counts = _fetch(held, checkpointed(each.select("token").distinct())).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    by_slot = each.join(counts, "token", "left").groupBy("slot").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
+    best = slots.join(by_slot, "slot").groupBy("no").agg(F.min(F.struct("n", (-F.length("slot")).alias("short"), "slot")).alias("best"))
+    return numbered.join(best, "no").select(F.explode(F.split("best.slot", r"\|")).alias("token"), "no", "rank", "name", "action", "pattern")
 
 
-def _switch(i: Column, subject: Column, rules: list[Rule]) -> Column:
-    """The regular expression of candidate ``i``, and of no other."""
-    out = F.lit(False)
-    for n, r in reversed(list(enumerate(rules))):
-        out = F.when(i == n, F.rlike(subject, F.lit(r.pattern))).otherwise(out)
-    return out
-
-
-def _joined(base: DataFrame, indexed: list[tuple[str, Rule]]) -> DataFrame:
-    """The same for many rules: tokens joined with the index by key."""
-    spark = base.sparkSession
-    idx = spark.createDataFrame([(t, r.rank, r.name, r.action, r.pattern) for t, r in indexed], "token string, rank int, name string, action string, pattern string")
-    key = F.struct("host", "path")
-    urls = base.select("host", "path").distinct()
-    found = (
-        urls.select("host", "path", F.explode(_tokens(F.col("host"), F.col("path"))).alias("token"))
-        .join(idx, "token")
-        .withColumn("fit", F.regexp_like(F.concat("host", "path"), F.col("pattern")))
-        .groupBy(key.alias("k"))
-        .agg(F.count_distinct("rank", "name", "action", "pattern").cast("int").alias("n_candidates"), F.collect_list(F.when(F.col("fit"), F.struct("rank", "name", "action"))).alias("fits"))
+def judge(urls: DataFrame, rules: list[Rule] | DataFrame | None = None, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """page_id, host, path, rule (the fitting site rule), verdict, reason (the rule that decided) and n_candidates."""
+    if not isinstance(rules, DataFrame):
+        rules = rule_table(urls.sparkSession, default_rules() if rules is None else rules)
+    host, path = _parts(F.col("url"))
+    base = urls.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")).select("page_id", host.alias("host"), path.alias("path"))
+    # The empty token is no URL's: under it each URL meets one row that fits nothing, and so stays.
+    mark = urls.sparkSession.range(1).select(F.lit("").alias("token"), F.lit(-1).cast("long").alias("no"), F.lit(-1).alias("rank"), *(F.lit("").alias(c) for c in ("name", "action", "pattern")))
+    index = checkpointed(index_rules(base, rules).unionByName(mark))
+    met = base.select("page_id", "host", "path", F.concat(F.array(F.lit("")), _tokens(F.col("host"), F.col("path"))).alias("tokens"))
+    met = _fetch(met.select("page_id", "host", "path", F.explode_outer("tokens").alias("token")), index)
+    fit = F.when((F.col("no") >= 0) & F.regexp_like(F.concat("host", "path"), F.col("pattern")), F.struct("rank", "name", "action"))
+    one = met.withColumn("fit", fit).groupBy("page_id", "host", "path").agg(
+        F.count_if(F.col("no") < 0).alias("copies"),
+        # A rule under several alternatives may be fetched twice by one URL.
+        F.size(F.collect_set(F.when(F.col("no") >= 0, F.col("no")))).alias("n_candidates"),
+        F.max(F.when(F.col("fit.rank") >= SITE_RANK, F.col("fit"))).alias("site"),
+        F.max("fit").alias("best"),
     )
-    got = base.join(found, (F.col("k.host") == F.col("host")) & (F.col("k.path") == F.col("path")), "left")
-    return got.withColumn("n_candidates", F.coalesce("n_candidates", F.lit(0))).withColumn("fits", F.coalesce("fits", F.array().cast("array<struct<rank:int,name:string,action:string>>")))
+    # Rows that are identical met under one key; give each its row back.
+    one = one.withColumn("copy", F.explode_outer(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return one.select("page_id", "host", "path", F.col("site.name").alias("rule"), F.coalesce("best.action", F.lit("allow")).alias("verdict"), F.col("best.name").alias("reason"), "n_candidates")
