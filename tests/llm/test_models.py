@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from llm_helpers import prose
+from llm_helpers import WORDS, prose
 
 from wardline.llm import lm_scoring, quality_gam, sentencepiece_trie, toxicity_cnn
 
@@ -103,6 +103,50 @@ def test_gam_tables_beat_one_feature():
     assert ((m.score(x) > 0.5) == (y > 0)).mean() > 0.9
 
 
+def tree_by_loops(g, h, leaves):
+    """The best tree over ordered bins, its cuts tried one by one: greedy, as boosting asks for."""
+    gain = lambda a, b: sum(g[a:b]) ** 2 / (sum(h[a:b]) + 1)
+    parts = [(0, len(g))]
+    while len(parts) < leaves:
+        tries = [(gain(a, c) + gain(c, b) - gain(a, b), -k, a, c, b) for k, (a, b) in enumerate(parts) for c in range(a + 1, b)]
+        if not tries or max(tries)[0] <= 1e-9:
+            break
+        _, k, a, c, b = max(tries)
+        parts[-k : -k + 1 or None] = []
+        parts += [(a, c), (c, b)]
+    out = [0.0] * len(g)
+    for a, b in parts:
+        out[a:b] = [sum(g[a:b]) / (sum(h[a:b]) + 1)] * (b - a)
+    return out
+
+
+def test_gam_against_plain_loops(edge_texts):
+    r = np.random.default_rng(3)
+    for n in (1, 2, 5, 17):
+        g, h = r.normal(0, 3, n), r.random(n)
+        assert np.allclose(quality_gam._tree(g, h), tree_by_loops(g.tolist(), h.tolist(), quality_gam.LEAVES))
+    for n, m in ((2, 2), (4, 7)):
+        g, h = r.normal(0, 3, (n, m)), r.random((n, m))
+        table, best = quality_gam._cross(g, h)
+        gain = lambda x, y: x.sum() ** 2 / (y.sum() + 1)
+        quads = lambda x, i, j: (x[:i, :j], x[:i, j:], x[i:, :j], x[i:, j:])
+        tries = {(i, j): sum(map(gain, quads(g, i, j), quads(h, i, j))) - gain(g, h) for i in range(1, n) for j in range(1, m)}
+        i, j = max(tries, key=tries.get)
+        assert np.isclose(best, tries[i, j])
+        for q, a, b in zip(quads(table, i, j), quads(g, i, j), quads(h, i, j), strict=True):
+            assert np.allclose(q, a.sum() / (b.sum() + 1))
+    texts = [*edge_texts, *quality_docs(60), prose(11, 50_000)]
+    x = quality_gam.matrix(texts)
+    m = quality_gam.fit(quality_gam.matrix(quality_docs()), np.array([float(i % 4 > 0) for i in range(400)]))
+    for row, got in zip(x.tolist(), m.score(x), strict=True):
+        z = m.base
+        for v, cuts, table in zip(row, m.cuts, m.tables, strict=True):
+            z += table[sum(v >= c for c in cuts)]
+        for i, j, a, b, table in m.pairs:
+            z += table[sum(row[i] >= c for c in a)][sum(row[j] >= c for c in b)]
+        assert np.isclose(got, 1 / (1 + np.exp(-max(-30, min(30, z)))))
+
+
 @pytest.mark.parametrize("module,label", [(quality_gam, "quality"), (toxicity_cnn, "toxic")])
 def test_classifier_edges(spark, edge, empty, module, label):
     some = spark.createDataFrame([(5, 1, 1), (6, 1, 1), (None, 1, 1), (7, None, None), (7, 2, 2)], "doc_id long, quality int, toxic int")
@@ -129,6 +173,44 @@ def test_cnn_learns(spark):
     assert long[0] > 0.3 > long[1] and long[2] == long[3] < 0.3
 
 
+def in_order(n, seed):
+    """Texts whose class is only the order in which two of their words stand."""
+    r = np.random.default_rng(seed)
+    docs, y = [], r.integers(0, 2, n)
+    for k in y.tolist():
+        words = [w for w in r.choice(WORDS, 12).tolist() if w not in ("ember", "willow")]
+        at = int(r.integers(0, len(words) + 1))
+        docs.append([*words[:at], *(["ember", "willow"] if k else ["willow", "ember"]), *words[at:]])
+    return docs, y.astype(float)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_cnn_learns_the_order_of_words(seed):
+    m = toxicity_cnn.fit(*in_order(2000, seed), seed=seed)
+    docs, y = in_order(500, 100 + seed)
+    assert ((toxicity_cnn.Scorer(m).logit(docs) > 0) == (y > 0)).mean() > 0.9
+
+
+def cnn_by_loops(m, text):
+    """A score from the model's tables alone: parts, windows, maxima, units, one after another."""
+    row = {int(h): e for h, e in zip(m.rows, m.emb, strict=True)}
+    v = [sum((row[h] for h in toxicity_cnn.parts(w) if h in row), np.zeros(toxicity_cnn.DIM)) for w in toxicity_cnn.tokens(text)]
+    z, unit = m.base, 0
+    for width in toxicity_cnn.WIDTHS:
+        for k in range(toxicity_cnn.FILTERS):
+            best = max((sum(v[i + j] @ m.filters[width][j][:, k] for j in range(width) if i + j < len(v)) for i in range(len(v))), default=0.0) + m.bias[unit]
+            z += (best if best > 0 else toxicity_cnn.LEAK * best) * m.out[unit]
+            unit += 1
+    return 1 / (1 + np.exp(-(z * m.scale[0] + m.scale[1])))
+
+
+def test_cnn_scores_equal_plain_loops(edge_texts):
+    m = toxicity_cnn.fit(*in_order(400, 7))
+    texts = [*edge_texts, *(" ".join(d) for d in in_order(20, 8)[0]), prose(9, 2000)]
+    got = toxicity_cnn.Scorer(m).score(texts)
+    assert np.allclose(got, [cnn_by_loops(m, t) for t in texts], atol=1e-4) and got.std() > 0.1
+
+
 def coder():
     return sentencepiece_trie.Coder(sentencepiece_trie.model_bytes())
 

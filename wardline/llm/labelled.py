@@ -10,7 +10,7 @@ BROADCAST_ROWS = 1_000_000
 
 
 def crc_mod(id_col: str, m: int) -> Column:
-    """crc32 of the id as text, modulo ``m``; a null id counts as remainder 0 and is nobody's training row."""
+    """crc32 of the id as text, modulo ``m``; a null id has no remainder: it is nobody's training row and is not held out."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(m))
 
 

@@ -2,8 +2,9 @@
 
 Words have hashed embeddings: a word's vector is the sum of the rows of its hashed parts (the word, its first
 characters, its last ones). Filters one, two and three words wide slide over the text, their
-maxima over the whole text feed a logistic unit, and everything is trained together by gradient steps; through a maximum
-the gradient reaches only the words that made it. Thresholds for flags are calibrated by language on training rows.
+maxima over the whole text pass leaky units into a logistic one, and everything is trained together by gradient steps; through a maximum
+the gradient reaches only the words that made it. Units start alive, so that what no single word shows is learned as well; word
+parts start from their log-odds in one of the dimensions. Thresholds for flags are calibrated by language on training rows.
 
 For scoring, each distinct word is multiplied with the filters once; a window is then a sum of looked-up rows.
 
@@ -32,6 +33,8 @@ PER_CLASS, FIT_CHARS = 3_000, 20_000
 THRESHOLD = 0.3
 DIM, FILTERS, WIDTHS = 12, 6, (1, 2, 3)
 EPOCHS, BATCH, RATE, MIN_DOCS = 4, 32, 0.02, 4
+#: Slope of a hidden unit below zero.
+LEAK = 0.1
 #: Words a worker remembers, and words scored at once.
 MAX_WORDS, CHUNK = 200_000, 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -70,6 +73,10 @@ class Cnn:
         return v
 
 
+def leaky(x: np.ndarray) -> np.ndarray:
+    return np.maximum(x, LEAK * x)
+
+
 class Scorer:
     def __init__(self, model: Cnn):
         self.m = model
@@ -120,7 +127,7 @@ class Scorer:
 
     def logit(self, docs: list[list[str]]) -> np.ndarray:
         m = self.m
-        hidden = np.maximum(self.pooled(docs) + m.bias, 0)
+        hidden = leaky(self.pooled(docs) + m.bias)
         return (hidden @ m.out + m.base) * m.scale[0] + m.scale[1]
 
     def score(self, texts: list[str | None]) -> np.ndarray:
@@ -136,7 +143,7 @@ class Scorer:
         return (1 / (1 + np.exp(-np.clip(np.concatenate(done), -30, 30)))).astype(np.float64)
 
 
-def fit(docs: list[list[str]], y: np.ndarray, langs: list[str | None] | None = None, prior: float | None = None, seed: int = 1) -> Cnn:
+def fit(docs: list[list[str]], y: np.ndarray, langs: list[str | None] | None = None, prior: float | None = None, seed: int = 1, epochs: int = EPOCHS) -> Cnn:
     m = Cnn()
     if len(y) == 0 or y.min() == y.max():
         p = float(np.clip(prior if prior is not None else (y.mean() if len(y) else 0.5), 1e-3, 1 - 1e-3))
@@ -185,7 +192,7 @@ def fit(docs: list[list[str]], y: np.ndarray, langs: list[str | None] | None = N
 
     base = np.zeros(1, np.float32)
     gap = max(WIDTHS) - 1
-    for epoch in range(EPOCHS):
+    for epoch in range(epochs):
         step = RATE / (1 + epoch)
         for cut in np.array_split(rng.permutation(train), max(1, len(train) // BATCH)):
             own = [seqs[i] for i in cut]
@@ -217,11 +224,11 @@ def fit(docs: list[list[str]], y: np.ndarray, langs: list[str | None] | None = N
                     top = conv[s : s + n].argmax(0)
                     where[d, k * FILTERS : (k + 1) * FILTERS] = s + top
                     pooled[d, k * FILTERS : (k + 1) * FILTERS] = conv[s + top, np.arange(FILTERS)]
-            hidden = np.maximum(pooled + m.bias, 0)
+            hidden = leaky(pooled + m.bias)
             q = 1 / (1 + np.exp(-np.clip(hidden @ m.out + base, -30, 30)))
             err = ((q - y[cut]) / len(cut)).astype(np.float32)
             g_out = hidden.T @ err + 1e-4 * m.out
-            g_hidden = np.outer(err, m.out) * (hidden > 0)
+            g_hidden = np.outer(err, m.out) * np.where(hidden > 0, 1, LEAK).astype(np.float32)
             g_word = np.zeros_like(v)
             for k, w in enumerate(WIDTHS):
                 g = g_hidden[:, k * FILTERS : (k + 1) * FILTERS]
