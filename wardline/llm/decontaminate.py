@@ -6,12 +6,12 @@ left out, since no window can stand there. All windows of the benchmark are sear
 once, occurrences are located by sampled suffix positions, and the words they cover are merged into
 removal spans. The documents never move: the whole operator is a map.
 
-The benchmark is a query set, sent to tasks in blocks of bounded size; each block is a pass of the
-same map that adds to the document's state, so a benchmark of any size works.
+The benchmark is a query set, sent to tasks in blocks of bounded size. A task goes through the blocks for each of its shards and holds one of them at
+a time, so a larger benchmark takes more time and no more memory.
 
 Defined cases: a null or empty text has no words, no hits, and the digest of an empty list; an item
-without words is never found; items or documents that repeat count each; null item ids are written as
-``null``; an empty benchmark hits nothing; other columns are not read.
+without words is never found; items of one id are one item, and so are all without an id, written as
+``null`` after the others; rows of documents that repeat stay; an empty benchmark hits nothing; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from .fm_index import FMIndex
 
 N = 13
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: For UTF-8: A-Z to lower case, and all of ASCII but letters and digits to spaces.
+_TO_WORDS = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
 #: Symbols of a shard; one document alone may be larger.
 SHARD_WORDS = 2_000_000
 #: Characters of benchmark text in a block.
@@ -38,17 +40,21 @@ BLOCK_CHARS = 8_000_000
 LOCATE = 1_000_000
 
 
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().translate(_TO_WORDS).split()
+
+
 class Windows:
     """The windows of a block of items, each once, with the items that hold it."""
 
-    def __init__(self, items: list[tuple[str, list[str]]], n: int = N):
-        self.vocab: dict[str, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = {}
+    def __init__(self, items: list[tuple[str | None, list[bytes]]], n: int = N):
+        self.vocab: dict[bytes, int] = {}
+        owners: dict[tuple[int, ...], set[str | None]] = {}
         for name, words in items:
             ids = [self.vocab.setdefault(w, len(self.vocab) + 2) for w in words]  # 0 ends the text, 1 is a break
             for i in range(max(1, len(ids) - n + 1) if ids else 0):
                 owners.setdefault(tuple(ids[i : i + n]), set()).add(name)
-        self.owners = [sorted(x) for x in owners.values()]
+        self.owners = [list(x) for x in owners.values()]
         self.lengths = np.array([len(w) for w in owners], np.int64)
         self.shortest = int(self.lengths.min(initial=n))
         self.patterns = np.zeros((len(owners), n), np.int64)
@@ -56,12 +62,12 @@ class Windows:
             self.patterns[row, : len(w)] = w
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str, list[str]]]]:
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
     """Items in blocks, streamed through the driver one partition at a time."""
     items, size = [], 0
-    rows = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("i"), F.col(text_col).cast("string").alias("t"))
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
     for r in rows.toLocalIterator():
-        words = WORD.findall((r["t"] or "").translate(ASCII_LOWER))
+        words = words_of(r["t"])
         if size and size + len(r["t"] or "") > block_chars:
             yield items
             items, size = [], 0
@@ -130,36 +136,44 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _searcher(held) -> callable:
-    def make():
-        w = held.value
+def _searcher(blocks: list) -> callable:
+    """``blocks``: broadcast Windows."""
 
-        def work(texts: list[str | None]) -> list:
-            spans, items, n_words = [], [], []
-            shard: list[np.ndarray] = []
-            size = 0
+    def search(shard: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str | None]]]:
+        out: list[tuple[list[tuple[int, int]], set[str | None]]] = [([], set()) for _ in shard]
+        for held in blocks:
+            w = held.value
             get = w.vocab.get
+            for (spans, items), (s, i) in zip(out, _find([np.fromiter((get(x, 1) for x in words), np.int32, len(words)) for words in shard], w), strict=True):
+                spans += s
+                items |= i
+            if len(blocks) > 1:
+                vars(held).pop("_value", None)  # one block at a time; it is read again from the worker's disk
+        return out
 
-            def flush() -> None:
-                for s, i in _find(shard, w):
-                    spans.append([{"first": a, "last": b - 1} for a, b in merge(s)])
-                    items.append(sorted(i))
-                shard.clear()
+    def work(texts: list[str | None]) -> list:
+        spans, items, n_words = [], [], []
+        shard: list[list[bytes]] = []
+        size = 0
 
-            for t in texts:
-                words = WORD.findall((t or "").translate(ASCII_LOWER))
-                n_words.append(len(words))
-                if shard and size + len(words) > SHARD_WORDS:
-                    flush()
-                    size = 0
-                shard.append(np.fromiter((get(x, 1) for x in words), np.int32, len(words)))
-                size += len(words)
-            flush()
-            return [n_words, spans, items]
+        def flush() -> None:
+            for s, i in search(shard):
+                spans.append([{"first": a, "last": b - 1} for a, b in merge(s)])
+                items.append(sorted(i, key=lambda x: (x is None, x)))
+            shard.clear()
 
-        return work
+        for t in texts:
+            words = words_of(t)
+            n_words.append(len(words))
+            if shard and size + len(words) > SHARD_WORDS:
+                flush()
+                size = 0
+            shard.append(words)
+            size += len(words)
+        flush()
+        return [n_words, spans, items]
 
-    return make
+    return lambda: work
 
 
 _SPANS = "array<struct<first:int,last:int>>"
@@ -172,18 +186,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     sc = docs.sparkSession.sparkContext
     state = T._parse_datatype_string(f"n_words long, spans {_SPANS}, items array<string>")
-    out = None
-    for block in _blocks(benchmark, item_id, item_text, block_chars):
-        search = _searcher(sc.broadcast(Windows(block)))
-        if out is None:
-            out = map_texts(docs, state.fields, search, text_col)
-            continue
-        # The next pass carries the state so far in the row.
-        nxt = map_texts(out.select("row", "spans", "items", F.col(f"row.`{text_col}`").alias("__t")), state.fields, search, "__t")
-        out = nxt.select("row.row", "n_words", F.concat("row.spans", "spans").alias("spans"), F.array_distinct(F.concat("row.items", "items")).alias("items"))
-    if out is None:
-        out = map_texts(docs, state.fields, _searcher(sc.broadcast(Windows([]))), text_col)
-    return out
+    blocks = [sc.broadcast(Windows(block)) for block in _blocks(benchmark, item_id, item_text, block_chars)]
+    return map_texts(docs, state.fields, _searcher(blocks), text_col)
 
 
 def digest(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
@@ -195,14 +199,13 @@ def digest(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
         "n_words",
         covered().alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join(names, ",", "null"), 256).alias("items_sha256"),
     ).withColumn("contaminated", verdict())
 
 
 def covered():
-    """Words in the union of ``spans``, which may overlap where several blocks found them."""
-    step = lambda acc, s: F.struct(F.greatest(acc.upto, s["last"] + 1).alias("upto"), (acc.n + F.greatest(F.lit(0), s["last"] + 1 - F.greatest(acc.upto, s["first"]))).alias("n"))
-    return F.aggregate(F.array_sort("spans"), F.struct(F.lit(0).alias("upto"), F.lit(0).alias("n")), step, lambda acc: acc.n).cast("long")
+    """Words in ``spans``, which are merged."""
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] + 1 - s["first"])
 
 
 def verdict():
