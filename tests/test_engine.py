@@ -1,6 +1,7 @@
 """Sources, rules on code, dependencies, traces and replies, scores and reports."""
 
 import json
+from pathlib import Path
 
 from wardline import __main__ as cli
 from wardline import rules as R
@@ -8,7 +9,7 @@ from wardline.functions import pyfacts
 from wardline.operators import code, deps, judge, metrics, scoring, traces
 from wardline.plans import scan
 from wardline.sinks import reports
-from wardline.sources import files, requirements
+from wardline.sources import files, requirements, tables
 from wardline.sources.tables import written
 from pyspark.sql import functions as F
 
@@ -189,3 +190,12 @@ def test_console_shows_every_row(spark, capsys):
     cli.console(verdicts, findings)
     lines = capsys.readouterr().out.splitlines()
     assert len(lines) == 302 and lines[1].startswith("s59 | BLOCK") and lines[2].startswith("s58 | WARN") and lines[60].startswith("s57 | SAFE") and lines[-1].startswith("s59 | L1 | R239")
+
+
+def test_working_tables_go(spark):
+    at = lambda df: Path(df.inputFiles()[0].removeprefix("file://")).parent
+    with tables.working_tables(spark):
+        with tables.working_tables(spark, keep=1):
+            first, last = (at(tables.written(spark.range(n))) for n in (3, 4))
+        assert last.exists() and not first.exists()
+    assert not last.exists() and at(tables.written(spark.range(2))).exists()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,20 +25,47 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is named."""
+    """The folder that driver and executors share; one of our own only where none is named and all run on this machine."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if base is None:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the driver and the executors share")
         base = f"file://{tempfile.mkdtemp(prefix='wardline-shared-')}"
         sc.setCheckpointDir(base)
     return base.rstrip("/")
 
 
+#: Tables written within ``working_tables``, innermost last.
+_WITHIN: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a table in the shared folder, computed once; it goes when the application ends."""
+    """Cuts lineage with a table in the shared folder, computed once; it goes when the application ends, or with ``working_tables`` around it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/wardline-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    _at(spark, path, lambda fs, at: fs.deleteOnExit(at))
+    if _WITHIN:
+        _WITHIN[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def working_tables(spark: SparkSession, keep: int = 0) -> Iterator[None]:
+    """Deletes at its end the tables that were written within it, but for the last ``keep``, which pass to what is around it."""
+    _WITHIN.append([])
+    try:
+        yield
+    finally:
+        own = _WITHIN.pop()
+        gone = own[: len(own) - keep]
+        if _WITHIN:
+            _WITHIN[-1].extend(own[len(gone) :])
+        for path in gone:
+            _at(spark, path, lambda fs, at: fs.delete(at, True))
+
+
+def _at(spark: SparkSession, path: str, do) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    do(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
