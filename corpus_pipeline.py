@@ -1,16 +1,15 @@
-"""A corpus pipeline: each stage reads what the one before it wrote.
+"""A corpus pipeline: each stage reads what the one before it wrote; of the stages' tables the last one stays until the application ends.
 
 ``run`` applies the stages to ``documents`` and returns the token ids of what is left.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from wardline.llm import decontaminate, line_dedup, quality_gam, sentencepiece_trie, simhash
-from wardline.llm.common import shared_folder, table
+from wardline.llm.common import checkpointed, table
+from wardline.sources.tables import working_tables
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +50,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+    with working_tables(spark, keep=1):
+        for _, stage in STAGES[:-1]:
+            with working_tables(spark, keep=1):  # what a stage has written for itself goes with it
+                docs = checkpointed(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
