@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import shared_folder, written  # noqa: F401
+from ..sources.tables import written
 
 #: Fixed by the contracts: ASCII white space, and what separates words of the alphanumeric kind.
 WS_RE = r"[\x20\x09-\x0D]+"
