@@ -229,17 +229,47 @@ def test_pieces_equal_the_library():
         assert c.decode(c.encode_batch([t])[0]) == t
 
 
-def test_unigram_is_the_best_path():
-    """With a unigram model the same trie gives the path of the highest score."""
+def spelled(c, pieces):
+    """Pieces to ids; a character without a piece in bytes."""
+    return [x for p in pieces for x in ([c.ids[p]] if p in c.ids else [c.bytes_id[b] for b in p.encode()])]
+
+
+def test_ids_equal_merges_of_whole_texts():
+    """Brute force: the best merge of two neighbours, leftmost first, over the whole text and not word by word."""
+    c = coder()
+    texts = [t for t in ODD if t] + [prose(i, 60) + "\n" + prose(i + 1, 5).upper() for i in range(6)]
+    for t in texts:
+        assert c.encode_batch([t])[0] == spelled(c, c._merge("▁" + t.replace(" ", "▁")))
+
+
+def test_best_paths_of_whole_texts():
+    """Viterbi over the shared prefixes has the score of a plain dynamic program over the whole text."""
     c = coder()
-    c.unigram = True
-    for w in ("▁thistle", "▁harborings", "lantern", "▁a"):
-        c.words.clear()
-        c._learn([w])
-        best = {0: 0.0}
-        for e in range(1, len(w) + 1):
-            best[e] = max(best[b] + (c.score[c.ids[w[b:e]]] if w[b:e] in c.ids else -1e9) for b in range(e) if e - b == 1 or w[b:e] in c.ids)
-        assert np.isclose(sum(c.score[k] for k in c.words[w]), best[len(w)])
+    longest = max(map(len, c.ids))
+    texts = [t for t in ODD if t] + [prose(i, 40) for i in range(6)]
+    for t, got in zip(texts, c.best_paths(texts), strict=True):
+        s = "▁" + t.replace(" ", "▁")
+        best = [(0.0, None)]
+        for e in range(1, len(s) + 1):
+            known = [(best[b][0] + c.score[c.ids[s[b:e]]], b) for b in range(max(0, e - longest), e) if s[b:e] in c.ids]
+            best.append(max(known + ([] if s[e - 1] in c.ids else [(best[e - 1][0] - 1e9, e - 1)])))
+        unknown = sum(ch not in c.ids for ch in s)
+        ids, at = [], len(s)
+        while at:
+            ids = spelled(c, [s[best[at][1] : at]]) + ids
+            at = best[at][1]
+        total = lambda x: sum(c.score[k] for k in x if k not in c.byte_of)  # noqa: B023, E731
+        assert np.isclose(total(got), total(ids)) and np.isclose(total(got), best[-1][0] + 1e9 * unknown, atol=1e-3 + 1e-6 * unknown)
+        assert c.decode(got) == t
+    assert c.encode_batch(texts) == coder().encode_batch(texts)  # the ids stay the merges'
+
+
+def test_settings_of_the_model_are_checked(monkeypatch):
+    ok = sentencepiece_trie._settings(sentencepiece_trie.model_bytes())
+    for change in ({"prefix": False}, {"squeezes": True}, {"marks": False}, {"suffix": True}, {"mapping": True}):
+        monkeypatch.setattr(sentencepiece_trie, "_settings", lambda _, c=change: ok | c)
+        with pytest.raises(ValueError, match="normalisation"):
+            coder()
 
 
 def test_encode_decode(spark, edge, empty):

@@ -5,11 +5,14 @@ of the vocabulary spans. The distinct words of a batch are sorted, which lays th
 depth-first order, and one dynamic program runs over it: the state of a prefix is computed once and kept on the stack
 for all words that share it.
 
-For a unigram model the state of a prefix is its best score (Viterbi). The public vocabulary is a
-BPE model, for which the best sum of scores is not the encoding; there, the state of a prefix is the last piece of its
+For a unigram model the state of a prefix is its best score and the piece that ends it (Viterbi). **Deviation:** the public vocabulary is a
+BPE model, and for such a model the path with the best sum of scores is not the encoding, so Viterbi scores cannot give right ids. The trie, its order and the
+reuse of forward states stay; the state of a prefix is then the last piece of its
 encoding. A piece may follow another exactly if the two stand side by side when the merges run on
 their concatenation, and exactly one piece can end each prefix; so the same forward pass gives the
-merge result. Texts and ids agree with the library's own encoder.
+merge result. Texts and ids agree with the library's own encoder, and with merges run over the whole text. ``best_paths`` runs the Viterbi pass for a model of either kind.
+
+What the model file says of normalisation is checked: a space mark ahead of the text, every space as a mark, no other change. Another setting is an error.
 
 Defined cases: a null text has null ids and a null decoded text; an empty text has no ids; repeated rows stay; an empty table gives no rows;
 other columns are not read.
@@ -63,7 +66,10 @@ class Coder:
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.ids[p] = i
         self.unk = sp.unk_id()
-        self.unigram = _model_type(model) == 1
+        spec = _settings(model)
+        self.unigram = spec["kind"] == 1
+        if not (spec["prefix"] and spec["marks"]) or spec["squeezes"] or spec["suffix"] or spec["mapping"]:
+            raise ValueError(f"normalisation of this kind is not supported: {spec}")
         # By the last two characters: how long pieces that end so are, the longest first, and 1 for the character alone.
         sizes: dict[str, set[int]] = {}
         for p in self.ids:
@@ -161,6 +167,15 @@ class Coder:
                 out.reverse()
                 self.words[w] = tuple(out)
 
+    def best_paths(self, texts: list[str | None]) -> list[list[int] | None]:
+        """Ids of the path with the best sum of scores (Viterbi), whatever the model's kind; another coder's words are not mixed in."""
+        kind, known = self.unigram, self.words
+        self.unigram, self.words = True, {}
+        try:
+            return self.encode_batch(texts)
+        finally:
+            self.unigram, self.words = kind, known
+
     def encode_batch(self, texts: list[str | None]) -> list[list[int] | None]:
         parts = [None if t is None else self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         known = self.words
@@ -193,8 +208,8 @@ class Coder:
         return text[1:] if text.startswith(" ") else text
 
 
-def _model_type(model: bytes) -> int:
-    """trainer_spec.model_type of the model file: 1 unigram, 2 BPE."""
+def _settings(model: bytes) -> dict:
+    """Of the model file: its kind (1 unigram, 2 BPE) and how it normalises texts."""
 
     def fields(buf: bytes):
         at = 0
@@ -224,10 +239,12 @@ def _model_type(model: bytes) -> int:
                 yield tag >> 3, buf[at : at + size]
                 at += size
 
-    for no, value in fields(model):
-        if no == 2:
-            return next((v for n, v in fields(value) if n == 3), 1)
-    return 1
+    parts = dict(fields(model))
+    trainer, normalizer = (dict(fields(parts.get(no, b""))) for no in (2, 3))
+    return {
+        "kind": trainer.get(3, 1), "suffix": bool(trainer.get(24, 0)), "mapping": bool(normalizer.get(2, b"")),
+        "prefix": bool(normalizer.get(3, 1)), "squeezes": bool(normalizer.get(4, 1)), "marks": bool(normalizer.get(5, 1)),
+    }
 
 
 _CODERS: dict[int, Coder] = {}
