@@ -42,7 +42,9 @@ def test_lines(edge, edge_rows, partitions):
     same(line_dedup.digest(edge, partitions=partitions), want, "doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
-def test_common_line_spans_partitions(spark):
+@pytest.mark.parametrize("bytes_", [line_dedup.BROADCAST_BYTES, 0])
+def test_common_line_spans_partitions(spark, monkeypatch, bytes_):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", bytes_)
     rows = [(i, f"a very common line\nown line number {i % 60}\nshort") for i in range(400)]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     same(line_dedup.digest(d, partitions=9), dedup_of(rows), "doc_id", "n_lines", "n_dropped", "kept_sha256")

@@ -25,8 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import NO_ID, ascii_lower, checkpointed, row_key, small_batches
+from .labelled import BROADCAST_ROWS
 
 MIN_POINTS = 10
+#: Bytes of bitmaps that are broadcast at most.
+BROADCAST_BYTES = 1 << 25
 _STRIP = " \t\n\x0b\x0c\r"
 
 
@@ -123,7 +126,10 @@ def _with_bitmaps(docs: DataFrame, id_col: str, text_col: str, partitions: int |
     small_batches(docs.sparkSession)
     maps = checkpointed(keep_bitmaps(docs, id_col, text_col, partitions))
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"), *row_key(id_col, text_col))
-    return row.join(maps, ["__id", "__text_key"], "left").select("row", "text", "bitmap")
+    # Few bitmaps go to the texts; many meet them by key.
+    n, size = maps.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("bitmap")), F.lit(0))).first()
+    few = n <= BROADCAST_ROWS and size <= BROADCAST_BYTES
+    return row.join(F.broadcast(maps) if few else maps, ["__id", "__text_key"], "left").select("row", "text", "bitmap")
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
