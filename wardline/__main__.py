@@ -1,6 +1,10 @@
 """python -m wardline scan PATH [--sarif-out DIR] [--json-output DIR] [--advisories P] [--replies P] [--traces P] [--rules DIR]
+                            [--source-file P ...] [--source-directory DIR] [--directory-level N]
+python -m wardline evaluate PATH [--output DIR] [--rules DIR]
 
-Exit code: 2 if a skill is blocked, 1 if the scan fails, 0 otherwise.
+scan: every file is a skill, or with --directory-level every folder so many steps below PATH (0: PATH itself). Exit code: 2 if a skill is
+blocked, 1 if the scan fails, 0 otherwise. evaluate: files with expected verdicts against the first layer. Exit code: 0 if recall
+and precision reach the gate, 1 otherwise and where nothing is labelled.
 """
 
 from __future__ import annotations
@@ -11,8 +15,10 @@ import sys
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans.scan import scan_path
+from .operators.metrics import passes
+from .plans.scan import Evaluation, evaluate, scan_path
 from .sinks import reports
+from .sources.files import read
 from .sources.tables import written
 
 
@@ -26,18 +32,44 @@ def console(verdicts: DataFrame, findings: DataFrame) -> None:
             print(" | ".join(map(shown, r)))
 
 
+def benchmark(done: Evaluation, output: str | None) -> int:
+    """Prints the report, and the files that came out wrong; with ``output`` writes it as JSON lines."""
+    m = done.metrics.first()
+    if m["tp"] + m["fp"] + m["fn"] + m["tn"] + m["n_unlabeled"] == 0:
+        print("no file with an expected verdict", file=sys.stderr)
+        return 1
+    print(" | ".join(f"{c} {m[c]}" for c in done.metrics.columns))
+    for r in done.by_vector.orderBy("vector").toLocalIterator():
+        print(" | ".join(str(x) for x in r))
+    for r in done.results.where("NOT correct").orderBy("fixture_id").toLocalIterator():
+        print(f"{r['fixture_id']} | expected {r['expected_verdict']} | {r['verdict']} | rules {','.join(r['rules_fired']) or '-'}")
+    if output:
+        reports.benchmark_json(done.results, done.metrics, done.by_vector).select("json").write.mode("overwrite").text(output)
+    passed = passes(done.metrics).first()
+    return 0 if passed["recall_ok"] and passed["precision_ok"] else 1
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="wardline")
     sub = p.add_subparsers(dest="command", required=True)
     s = sub.add_parser("scan")
     s.add_argument("path")
-    for o in ("--sarif-out", "--json-output", "--advisories", "--replies", "--traces", "--rules"):
+    for o in ("--sarif-out", "--json-output", "--advisories", "--replies", "--traces", "--rules", "--source-directory"):
         s.add_argument(o)
+    s.add_argument("--source-file", action="append")
+    s.add_argument("--directory-level", type=int)
+    e = sub.add_parser("evaluate")
+    e.add_argument("path")
+    e.add_argument("--output")
+    e.add_argument("--rules")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("wardline").getOrCreate()
     try:
+        if a.command == "evaluate":
+            return benchmark(evaluate(read(spark, a.path), a.rules, written), a.output)
         table = lambda path: spark.read.parquet(path) if path else None
-        out = scan_path(spark, a.path, advisories=table(a.advisories), replies=table(a.replies), trace_rows=table(a.traces), rule_folder=a.rules, keep=written)
+        out = scan_path(spark, a.path, advisories=table(a.advisories), replies=table(a.replies), trace_rows=table(a.traces), rule_folder=a.rules, keep=written,
+                        source_files=a.source_file, source_directory=a.source_directory, directory_level=a.directory_level)
         if a.sarif_out:
             reports.sarif(out.findings).select("sarif").write.mode("overwrite").text(a.sarif_out)
         if a.json_output:

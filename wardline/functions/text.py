@@ -24,6 +24,12 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def each_hit(rows: Column):
+    """Explodes the entries of an array that are not null, as ``h``: the outer form, since for the inner one the optimiser adds a
+    test that the array has entries, and so works it out twice. Nulls go in a filter after it."""
+    return F.explode_outer(F.filter(rows, lambda h: h.isNotNull()))
+
+
 def normalize_native(text: Column) -> Column:
     """Look-alikes to Latin, invisible characters to spaces, white space collapsed, lower case. No NFKC, no entities."""
     mapped = F.translate(text, R.LOOKALIKES + R.INVISIBLE, R.STANDS_FOR + " " * len(R.INVISIBLE))
@@ -134,16 +140,6 @@ def variants_udf(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
-@F.pandas_udf(T.StringType())
-def normalize_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else normalize(t))
-
-
-@F.pandas_udf(T.DoubleType())
-def printable_ratio_udf(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: None if t is None else printable_ratio(t))
-
-
 @F.pandas_udf(T.StringType())
 def package_name_udf(names: pd.Series) -> pd.Series:
     """Names as compared: accents split off, other non-ASCII dropped, lower case, hyphens."""
@@ -248,7 +244,9 @@ def entropy_chars(text: Column) -> Column:
         share = F.transform(symbols, lambda c: (n - F.length(F.replace(text, c, F.lit("")))) / n)
         return F.aggregate(share, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
 
-    return let(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")), of)
+    # A look through the text for each symbol, if they are few; sorted symbols otherwise.
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return let(chars, lambda all_: let(F.array_distinct(all_), lambda own: F.when(F.size(own) <= 128, of(own)).otherwise(_entropy(all_))))
 
 
 def entropy_bytes(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import rules as R
+from ..functions.text import each_hit
 
 ENTROPY, LENGTH = 4.5, 64
 _BASE = {r[0]: r[3] for r in R.RULES}
@@ -47,7 +48,7 @@ def findings(facts: DataFrame, declared: DataFrame) -> DataFrame:
         ("EX-003", (F.col("kind") == "literal") & F.col("detail").isNull() & (F.col("length") >= LENGTH) & (F.col("entropy") >= ENTROPY)),
     ]
     hit = F.array(*[F.when(cond, F.struct(F.lit(i).alias("k"), F.lit(rule).alias("rule_id"), F.lit(_BASE[rule]).alias("confidence"))) for i, (rule, cond) in enumerate(checks)])
-    rows = f.withColumn("h", F.explode(F.filter(hit, lambda h: h.isNotNull())))
+    rows = f.withColumn("h", each_hit(hit)).where("h IS NOT NULL")
     told = F.format_string("High-entropy string literal (H=%.2f bits/char, len=%d): a hidden payload or secret, perhaps", "entropy", "length")
     null = F.lit(None).cast("string")
     return rows.select(

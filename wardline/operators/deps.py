@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import rules as R
@@ -19,10 +19,6 @@ def normalized_name(name: Column, ascii_only: bool = False) -> Column:
     return native if ascii_only else F.when(F.rlike(name, F.lit(r"^[\x00-\x7F]*$")), native).otherwise(X.package_name_udf(name))
 
 
-def known_packages(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in R.KNOWN_PACKAGES], "known string")
-
-
 def typosquats(deps: DataFrame, ascii_only: bool = True) -> DataFrame:
     """(norm_name, typosquat_of, distance) for each distinct unknown name near a known one; ties go to the first name.
 
@@ -63,6 +59,13 @@ def unpinned(deps: DataFrame) -> DataFrame:
     return deps.groupBy("skill_id").agg(F.count_if(F.col("pinned_hash").isNull()).alias("n_unpinned")).where("n_unpinned > 0")
 
 
+def counts(deps: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
+    """(skill_id, advisory_count, typosquat_count): every advisory of every dependency, and every dependency near a known name, repeats too."""
+    near = deps.withColumn("norm_name", normalized_name(F.col("name"), True)).join(typosquats(deps).select("norm_name", F.lit(1).alias("is_near")), "norm_name", "left")
+    known = advise(near, advisories) if advisories is not None else near.withColumn("known_cve_ids", F.array().cast("array<string>"))
+    return known.groupBy("skill_id").agg(F.sum(F.size("known_cve_ids")).cast("long").alias("advisory_count"), F.count("is_near").alias("typosquat_count"))
+
+
 def findings(deps: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
     null = F.lit(None).cast("string")
 

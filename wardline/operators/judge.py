@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,7 +84,7 @@ def findings(parsed: DataFrame) -> DataFrame:
 def layer(parsed: DataFrame) -> DataFrame:
     """A row a skill: the first pass's verdict (null after a parse error), tokens of both, mismatch, and max confidence by field."""
     first = F.col("pass") == "detect"
-    mismatch = (F.col("pass") == "consistency") & F.exists("findings", lambda f: f.attack_type == "DESC_MISMATCH")
+    mismatch = (F.col("pass") == "consistency") & (F.exists("findings", lambda f: f.attack_type == "DESC_MISMATCH") | F.array_contains("attack_types", "DESC_MISMATCH"))
     whole = parsed.groupBy("skill_id").agg(
         F.max(F.when(first, F.nullif("verdict", F.lit("PARSE_ERROR")))).alias("judge_verdict"),
         F.max(F.when(first & (F.col("verdict") != "PARSE_ERROR"), F.col("confidence"))).alias("judge_confidence"),
@@ -109,6 +113,7 @@ def bonus() -> Column:
 # ---- what the judge is asked
 
 
+#: The marks around text that an author controls, and the lines of a delta and of findings below.
 def untrusted(text: Column) -> Column:
     return F.concat(F.lit("<untrusted_content>\n"), text, F.lit("\n</untrusted_content>"))
 
@@ -139,3 +144,38 @@ def delta_text() -> Column:
         F.lit("over_declared:  ["), some("over_declared"), F.lit("]\nunder_declared: ["), some("under_declared"), F.lit("]"),
         F.when(F.size("under_declared") > 0, "   ← CRITICAL").otherwise(""), F.lit("\nvalidated:      ["), some("validated"), F.lit("]"),
     )
+
+
+def findings_text(l1: DataFrame, findings: DataFrame) -> DataFrame:
+    """(skill_id, l1_text): the flags of a row of ``scoring.layer1``, and its first ten findings, each with 80 characters of its rationale."""
+    one = F.struct("ord", F.concat("rule_id", F.lit(" ("), F.substring("rationale", 1, 80), F.lit(")")).alias("t"))
+    # What is gathered is the findings of one skill, whose number its own text and rules bound.
+    told = findings.where("layer = 1").groupBy("skill_id").agg(F.array_join(F.slice(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.t), 1, 10), ", ").alias("told"))
+    flag = lambda c: F.concat(F.lit(f"- {c}: "), F.initcap(F.coalesce(c, F.lit(False)).cast("string")))
+    flags = [flag(c) for c in ("subprocess_in_tool_body", "undeclared_network_access", "dynamic_import_detected", "invisible_unicode_detected")]
+    lines = F.concat_ws("\n", *flags, F.concat(F.lit("- AST rule matches: "), F.coalesce("told", F.lit("none"))))
+    return l1.join(told, "skill_id", "left").select("skill_id", lines.alias("l1_text"))
+
+
+def refresh(asked: DataFrame, call: Callable[[str, str], tuple[str, int]], retries: int = 2, wait: float = 1.0) -> DataFrame:
+    """Replies for (skill_id, pass, system, user) by ``call``, which gives (text, tokens): a job of its own that fills the table of replies.
+
+    A call that fails is tried again ``retries`` times; if it never succeeds, its reply is null and parses as an error.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for skill, step, system, user in b[["skill_id", "pass", "system", "user"]].itertuples(index=False):
+                got = (None, 0)
+                for left in range(retries, -1, -1):
+                    try:
+                        got = call(system, user)
+                        break
+                    except Exception:  # whatever a client raises
+                        if left:
+                            time.sleep(wait)
+                out.append((skill, step, *got))
+            yield pd.DataFrame(out, columns=["skill_id", "pass", "raw_text", "tokens"])
+
+    return asked.select("skill_id", "pass", "system", "user").mapInPandas(run, "skill_id string, pass string, raw_text string, tokens int")

@@ -87,6 +87,18 @@ def judged_right(expected: Column, got: Column) -> Column:
     return (expected == got) | ((expected == "MALICIOUS") & (got == "SUSPICIOUS"))
 
 
+def by_category(results: DataFrame) -> DataFrame:
+    """(category, total, caught, rate) of (category, caught_by): what did not evade and did not fail, which a null says as well."""
+    got = ~F.coalesce("caught_by", F.lit("ERROR")).isin("EVADED", "ERROR", "?")
+    return results.groupBy("category").agg(F.count(F.lit(1)).alias("total"), F.count_if(got).alias("caught")).withColumn("rate", F.round(F.col("caught") / F.col("total"), 6))
+
+
+def judge_accuracy(results: DataFrame) -> DataFrame:
+    """(n, n_right, accuracy) of (expected, judge_verdict); a reply without a verdict is wrong."""
+    right = F.coalesce(judged_right(F.col("expected"), F.col("judge_verdict")), F.lit(False))
+    return results.agg(F.count(F.lit(1)).alias("n"), F.count_if(right).alias("n_right")).withColumn("accuracy", F.round(F.try_divide("n_right", "n"), 6))
+
+
 def risk_rollup(findings: DataFrame) -> DataFrame:
     """Counts by severity and vector with subtotals (an extra over plain histograms)."""
     return findings.rollup("severity", "attack_vector").agg(F.count(F.lit(1)).alias("n_findings"))

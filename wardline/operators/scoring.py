@@ -66,8 +66,6 @@ def summary(findings: DataFrame) -> DataFrame:
         F.max(rank(F.col("severity"))).alias("top"),
         F.bool_or(F.col("severity") == "CRITICAL").alias("critical"),
         F.bool_or(F.col("rule_id") == "PI-003").alias("invisible_unicode_detected"),
-        F.count_if(F.col("rule_id") == "SC-003").alias("typosquat_count"),
-        F.count_if(F.col("rule_id") == "SC-008").alias("advisory_count"),
     )
 
 
@@ -78,15 +76,15 @@ def severity_name(n: Column) -> Column:
     return out
 
 
-def layer1(skills: DataFrame, findings: DataFrame, flags: DataFrame | None = None) -> DataFrame:
-    """A row a skill: score, highest severity, counts and flags."""
+def layer1(skills: DataFrame, findings: DataFrame, flags: DataFrame | None = None, counts: DataFrame | None = None) -> DataFrame:
+    """A row a skill: score, highest severity, flags of its code and counts of its dependencies (``deps.counts``)."""
     s = skills.select("skill_id").join(summary(findings).where("layer = 1").drop("layer"), "skill_id", "left")
-    if flags is not None:
-        s = s.join(flags, "skill_id", "left")
+    for more in (flags, counts):
+        s = s.join(more, "skill_id", "left") if more is not None else s
     had = set(s.columns)
     flag = ("dynamic_import_detected", "subprocess_in_tool_body", "undeclared_network_access", "critical", "invisible_unicode_detected")
     count = ("n_findings", "typosquat_count", "advisory_count")
-    s = s.withColumns({c: F.coalesce(c, F.lit(False)) if c in had else F.lit(False) for c in flag} | {c: F.coalesce(c, F.lit(0)).cast("long") for c in count})
+    s = s.withColumns({c: F.coalesce(c, F.lit(False)) if c in had else F.lit(False) for c in flag} | {c: (F.coalesce(c, F.lit(0)) if c in had else F.lit(0)).cast("long") for c in count})
     bonus = F.when(F.col("invisible_unicode_detected"), 2.0).otherwise(0.0) + F.when(F.col("subprocess_in_tool_body") & F.col("undeclared_network_access"), 1.5).otherwise(0.0)
     return s.withColumns({"l1_score": score(F.coalesce("weighted", F.lit(0.0)), bonus), "highest_severity": severity_name(F.coalesce("top", F.lit(0)))}).drop("weighted", "top")
 

@@ -137,5 +137,15 @@ def provenance(skills: DataFrame, min_age_days: int = 30) -> DataFrame:
         "SC-005": F.col("package_age_days") < min_age_days,
         "SC-006": (F.col("maintainer_count") == 1) & ~F.col("publisher_verified"),
     }
-    found = F.filter(F.array(*[F.when(c, F.lit(r)) for r, c in checks.items()]), lambda r: r.isNotNull())
-    return skills.select("skill_id", F.explode(found).alias("rule_id"))
+    return skills.select("skill_id", X.each_hit(F.array(*[F.when(c, F.lit(r)) for r, c in checks.items()])).alias("rule_id")).where("rule_id IS NOT NULL")
+
+
+#: More tools, or more characters of their descriptions, than an agent's context should take.
+MAX_TOOLS, MAX_DESCRIPTIONS = 50, 50_000
+
+
+def tool_flood(skills: DataFrame) -> DataFrame:
+    """Extension, off in the scan: TOOL-COUNT-001, (skill_id, rule_id, n_tools, description_chars) of skills with too many tools or too long descriptions."""
+    chars = F.aggregate("tools", F.lit(0).cast("long"), lambda n, t: n + F.length(F.coalesce(t.description, F.lit(""))))
+    counted = skills.select("skill_id", F.lit("TOOL-COUNT-001").alias("rule_id"), F.greatest(F.size("tools"), F.lit(0)).alias("n_tools"), F.coalesce(chars, F.lit(0).cast("long")).alias("description_chars"))
+    return counted.where((F.col("n_tools") > MAX_TOOLS) | (F.col("description_chars") > MAX_DESCRIPTIONS))

@@ -145,7 +145,7 @@ def token_proximity_hits(spark, sf):
 @_query(f"WITH {N_SQL}, {TMPL_SQL} SELECT skill_id, rule_id FROM tmpl")
 def intent_templates(spark, sf):
     i = X.intents(F.col("norm"))
-    return _norm(spark, sf).select("skill_id", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in i.items()]))).alias("rule_id"))
+    return _norm(spark, sf).select("skill_id", X.each_hit(F.array(*[F.when(c, F.lit(r)) for r, c in i.items()])).alias("rule_id")).where("rule_id IS NOT NULL")
 
 
 @_query(f"WITH {HIT_SQL} SELECT skill_id, rule_id, via, round(confidence, 6) AS confidence FROM hit")

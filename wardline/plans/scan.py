@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import pyfacts
-from ..operators import code, deps, judge, scoring, textual, traces
+from ..operators import code, deps, judge, metrics, scoring, textual, traces
 from ..sources import files as S
 
 
@@ -40,10 +41,10 @@ def declared(skills: DataFrame) -> DataFrame:
     return skills.select("skill_id", F.array_distinct(F.flatten("tools.declared_permissions")).alias("permissions"))
 
 
-def scan_files(files: DataFrame, advisories: DataFrame | None = None, replies: DataFrame | None = None, trace_rows: DataFrame | None = None, rule_folder: str | None = None, keep: Keep = lazy) -> Scan:
+def scan_files(files: DataFrame, advisories: DataFrame | None = None, replies: DataFrame | None = None, trace_rows: DataFrame | None = None, rule_folder: str | None = None, keep: Keep = lazy, given: DataFrame | None = None) -> Scan:
     """Every manifest, Python and Markdown file as a skill of its own.
 
-    Files that stand beside a manifest as its implementation, or as its README or change log, belong to it.
+    ``given``: source files that count for every skill instead of those found. Files that stand beside a manifest as its implementation, or as its README or change log, belong to it.
     """
     spark = files.sparkSession
     impl = S.implementation_files(files)
@@ -54,7 +55,28 @@ def scan_files(files: DataFrame, advisories: DataFrame | None = None, replies: D
     alone = files.join(impl.select("path"), "path", "left_anti").join(beside.withColumn("side", F.lit(True)), "dir", "left").where(~(is_side & F.coalesce("side", F.lit(False))))
     skills = m.unionByName(S.python_skills(files.join(alone.select("path"), "path", "left_semi").unionByName(files.where(F.col("name").isin("README.md", "CHANGELOG.md", "requirements.txt"))))).unionByName(S.markdown_skills(alone.select(files.columns)))
     sources = impl.select(F.col("skill_path").alias("skill_id"), "path").unionByName(alone.where("ext = '.py'").select(F.col("path").alias("skill_id"), "path"))
-    return scan(skills, sources.join(files.select("path", "content"), "path"), S.dependencies(files, skills), advisories, replies, trace_rows, R.rule_table(spark, rule_folder), keep)
+    read = S.given_sources(skills, given) if given is not None else sources.join(files.select("path", "content"), "path")
+    return scan(skills, read, S.dependencies(files, skills), advisories, replies, trace_rows, R.rule_table(spark, rule_folder), keep)
+
+
+def scan_directories(files: DataFrame, advisories: DataFrame | None = None, replies: DataFrame | None = None, trace_rows: DataFrame | None = None, rule_folder: str | None = None, keep: Keep = lazy, given: DataFrame | None = None) -> Scan:
+    """Folders as targets (``S.with_target``), each of which is one skill: its manifest, or all its Python files together."""
+    spark = files.sparkSession
+    chosen = keep(S.directory_targets(files))
+    is_json = F.endswith(F.lower("path"), F.lit(".json"))
+    own = files.where(F.col("dir") == F.col("target"))
+    m = S.manifests(own.join(chosen.where(is_json).select("path"), "path", "left_semi").unionByName(own.where("ext <> '.json'")))
+    m = m.join(S.rejected_names(m).select("skill_id"), "skill_id", "left_anti")
+    python = chosen.where(~is_json)
+    side = own.join(python.select("target").distinct(), "target", "left_semi").where("ext <> '.py'")
+    loose = files.join(python.select("path"), "path", "left_semi")
+    skills = m.unionByName(S.directory_skills(loose.unionByName(side)))
+    impl = S.implementation_files(own).join(m.select(F.col("skill_id").alias("skill_path")), "skill_path", "left_semi")
+    sources = impl.select(F.col("skill_path").alias("skill_id"), "path").unionByName(python.select(F.col("target").alias("skill_id"), "path"))
+    read = S.given_sources(skills, given) if given is not None else sources.join(files.select("path", "content"), "path")
+    stated = S.requirements.from_manifest(m.select("skill_id", "raw"))
+    near = S.sidecars(side).where("requirements_text IS NOT NULL").select(F.col("dir").alias("skill_id"), F.col("requirements_text").alias("text"))
+    return scan(skills, read, stated.unionByName(S.requirements.from_text(near)), advisories, replies, trace_rows, R.rule_table(spark, rule_folder), keep)
 
 
 def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisories: DataFrame | None, replies: DataFrame | None, trace_rows: DataFrame | None, rules: DataFrame, keep: Keep = lazy) -> Scan:
@@ -76,7 +98,7 @@ def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisor
         lt = trace_rows.join(own.withColumnRenamed("permissions", "declared"), "skill_id", "left").withColumn("declared", F.coalesce("declared", none))
         found = found.unionByName(traces.findings(lt))
     found = keep(scoring.enrich(found, rules))
-    l1 = scoring.layer1(skills, found, code.flags(facts, own))
+    l1 = scoring.layer1(skills, found, code.flags(facts, own), deps.counts(dependencies, advisories))
     l2 = l3 = None
     if parsed is not None:
         critical = delta.select("skill_id", (F.size("under_declared") > 0).alias("permission_delta_critical"))
@@ -90,5 +112,28 @@ def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisor
     return Scan(skills, fields, dependencies, found, verdicts, delta)
 
 
-def scan_path(spark: SparkSession, path: str, **kw) -> Scan:
-    return scan_files(S.read(spark, path), **kw)
+def scan_path(spark: SparkSession, path: str, source_files: list[str] | None = None, source_directory: str | None = None, directory_level: int | None = None, **kw) -> Scan:
+    """Named source files come before a named directory, and both before what is found beside a skill."""
+    named = source_files or ([source_directory] if source_directory else None)
+    given = reduce(DataFrame.unionByName, [S.read(spark, p) for p in named]) if named else None
+    files = S.read(spark, path)
+    if directory_level is not None:
+        return scan_directories(S.with_target(files, path, directory_level), given=given, **kw)
+    return scan_files(files, given=given, **kw)
+
+
+@dataclass
+class Evaluation:
+    results: DataFrame  # skill_id, fixture_id, expected_verdict, attack_vectors, rules_expected, verdict, rules_fired, correct
+    metrics: DataFrame
+    by_vector: DataFrame
+
+
+def evaluate(files: DataFrame, rule_folder: str | None = None, keep: Keep = lazy) -> Evaluation:
+    """The first layer against the labels written in files. A labelled file without a verdict is an ERROR, which counts in no cell."""
+    out = scan_files(files, rule_folder=rule_folder, keep=keep)
+    fired = out.findings.groupBy("skill_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("layer", "ord", "rule_id"))), lambda x: x.rule_id).alias("rules_fired"))
+    r = S.labels(files).join(out.verdicts.select("skill_id", "verdict"), "skill_id", "left").join(fired, "skill_id", "left")
+    r = r.withColumns({"verdict": F.coalesce("verdict", F.lit("ERROR")), "rules_fired": F.coalesce("rules_fired", F.array().cast("array<string>"))})
+    r = keep(r.withColumn("correct", F.col("verdict") == F.col("expected_verdict")))
+    return Evaluation(r, keep(metrics.confusion(r)), metrics.by_vector(r))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.metrics import PRECISION, RECALL
+
 #: SARIF levels.
 LEVELS = {"INFO": "note", "LOW": "note", "MEDIUM": "warning", "HIGH": "error", "CRITICAL": "error"}
 SARIF_SCHEMA = "https://json.schemastore.org/sarif-2.1.0.json"
@@ -61,6 +63,23 @@ def summary_line(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("skill_id", "verdict", line.alias("line"))
 
 
+def benchmark_json(results: DataFrame, metrics: DataFrame, by_vector: DataFrame) -> DataFrame:
+    """The evaluation as JSON lines: a summary, a line for each attack vector, and one for each labelled file; (kind, key, json)."""
+    total = results.agg(F.count(F.lit(1)).alias("total_fixtures"), F.count_if(F.col("verdict") == "ERROR").alias("errors"))
+    rate = lambda c: F.round(c, 4).alias(c)
+    met = F.struct((F.col("precision") >= PRECISION).alias("precision"), (F.col("recall") >= RECALL).alias("recall"))
+    # Both sides have one row.
+    one = metrics.withColumn("__k", F.lit(1)).join(total.withColumn("__k", F.lit(1)), "__k")
+    summary = one.select(F.lit("summary").alias("kind"), F.lit("").alias("key"), F.to_json(F.struct(
+        "total_fixtures", "errors", "tp", "fp", "fn", "tn", *map(rate, ("precision", "recall", "f1", "accuracy")), F.round("fpr", 4).alias("false_positive_rate"), met.alias("thresholds_met"),
+    )).alias("json"))
+    vectors = by_vector.select(F.lit("attack_vector").alias("kind"), F.col("vector").alias("key"), F.to_json(F.struct("vector", *map(rate, ("precision", "recall", "f1")), "tp", "fn")).alias("json"))
+    fixtures = results.select(F.lit("fixture").alias("kind"), F.col("fixture_id").alias("key"), F.to_json(F.struct(
+        F.col("fixture_id").alias("id"), F.col("skill_id").alias("path"), F.col("expected_verdict").alias("expected"), F.col("verdict").alias("actual"), "correct", "rules_expected", "rules_fired",
+    )).alias("json"))
+    return summary.unionByName(vectors).unionByName(fixtures)
+
+
 def exit_code(verdicts: DataFrame) -> int:
     """2 if anything is blocked, else 0."""
     return 2 if verdicts.where("verdict = 'BLOCK'").limit(1).count() else 0

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,11 +49,11 @@ def rejects(files: DataFrame) -> DataFrame:
 
 
 def directory_targets(files: DataFrame) -> DataFrame:
-    """For each directory the file that stands for it: a manifest whose name says so, else the first JSON file by name, else all its Python files."""
-    j = files.where("ext = '.json'").withColumn("said", F.rlike(F.lower("name"), F.lit("mcp|manifest")))
-    one = j.withColumn("n", F.row_number().over(Window.partitionBy("dir").orderBy(F.desc("said"), "name"))).where("n = 1")
-    python = files.where("ext = '.py'").join(one.select("dir"), "dir", "left_anti")
-    return one.select("dir", "path").unionByName(python.select("dir", "path"))
+    """(target, path): what stands for each target folder: a manifest of its own whose name says so, else its first JSON file by name, else all Python files in it at any depth."""
+    j = files.where("ext = '.json' AND dir = target").withColumn("said", F.rlike(F.lower("name"), F.lit("mcp|manifest")))
+    one = j.groupBy("target").agg(F.min(F.struct((~F.col("said")).alias("unsaid"), "name", "path")).alias("m")).select("target", "m.path")
+    python = files.where("ext = '.py'").join(one.select("target"), "target", "left_anti")
+    return one.unionByName(python.select("target", "path"))
 
 
 def sidecars(files: DataFrame) -> DataFrame:
@@ -73,10 +75,21 @@ def implementation_files(files: DataFrame) -> DataFrame:
     return both.where(F.when(F.col("any_like"), F.col("like")).otherwise(F.col("n_json") == 1)).select("skill_path", "path")
 
 
-def source_files(explicit: Column, in_directory: Column, discovered: Column, siblings: Column) -> Column:
-    """Which array of source files counts: the first that is not empty."""
-    some = lambda c: F.when(F.size(c) > 0, c)
-    return F.coalesce(some(explicit), some(in_directory), some(discovered), some(siblings), F.array().cast("array<string>"))
+def with_target(files: DataFrame, root: str, level: int) -> DataFrame:
+    """Adds ``target``: the folder ``level`` steps below ``root`` that a file is in, at any depth; files in none go."""
+    home = re.escape(root.rstrip("/"))
+    return files.withColumn("target", F.nullif(F.regexp_extract("path", f"^((?:[a-z0-9]+:/*)?{home}(?:/[^/]+){{{level}}})/", 1), F.lit(""))).where("target IS NOT NULL")
+
+
+def empty_targets(files: DataFrame) -> DataFrame:
+    """(path, reason) of targets that hold neither a JSON file of their own nor a Python file."""
+    some = ((F.col("ext") == ".json") & (F.col("dir") == F.col("target"))) | (F.col("ext") == ".py")
+    return files.groupBy(F.col("target").alias("path")).agg(F.bool_or(some).alias("some")).where("NOT some").select("path", F.lit("no file to scan in the folder").alias("reason"))
+
+
+def given_sources(skills: DataFrame, files: DataFrame) -> DataFrame:
+    """(skill_id, path, content): source files named by the caller, which count for every skill instead of what stands beside it."""
+    return skills.select("skill_id", F.lit(1).alias("__k")).join(F.broadcast(files.where("ext = '.py'").select("path", "content", F.lit(1).alias("__k"))), "__k").drop("__k")
 
 
 def known_permissions(values: Column) -> Column:
@@ -133,13 +146,26 @@ _TOOL = "array<struct<name:string,description:string,input_schema:string,declare
 def python_skills(files: DataFrame) -> DataFrame:
     """Python files to skills, with the tools that they construct."""
     p = files.where("ext = '.py'")
-    t = pyfacts.tool_table(p.select(F.col("path").alias("skill_id"), "path", "content"))
-    one = F.struct("tool_ord", F.struct("name", "description", F.lit("").alias("input_schema"), F.array().cast("array<string>").alias("declared_permissions"), "return_direct", F.lit(False).alias("is_async")).alias("t"))
-    made = t.groupBy("skill_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.t).alias("tools"))
+    made = _constructed(p.select(F.col("path").alias("skill_id"), "path", "content"))
     out = p.select(F.col("path").alias("skill_id"), "dir", "stem").join(made, "skill_id", "left").join(sidecars(files), "dir", "left")
     return _plain(out.withColumn("tools", F.coalesce("tools", F.array().cast(_TOOL))), F.col("stem"))
 
 
+def directory_skills(files: DataFrame) -> DataFrame:
+    """(target, path, dir, content ...) of Python files and sidecars to one skill for each target, with the tools of all its files."""
+    p = files.where("ext = '.py'").select(F.col("target").alias("skill_id"), "path", "content")
+    own = p.select("skill_id").distinct().withColumn("dir", F.col("skill_id"))
+    out = own.join(_constructed(p), "skill_id", "left").join(sidecars(files), "dir", "left")
+    return _plain(out.withColumn("tools", F.coalesce("tools", F.array().cast(_TOOL))), F.lit(""))
+
+
+def _constructed(sources: DataFrame) -> DataFrame:
+    """(skill_id, path, content) to (skill_id, tools), by file and place."""
+    t = pyfacts.tool_table(sources)
+    one = F.struct("path", "tool_ord", F.struct("name", "description", F.lit("").alias("input_schema"), F.array().cast("array<string>").alias("declared_permissions"), "return_direct", F.lit(False).alias("is_async")).alias("t"))
+    return t.groupBy("skill_id").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x.t).alias("tools"))
+
+
 def markdown_skills(files: DataFrame) -> DataFrame:
     """Markdown files to skills without tools."""
     m = files.where(F.col("ext").isin(".md", ".markdown"))
@@ -201,6 +227,16 @@ def labels(files: DataFrame) -> DataFrame:
     )
 
 
-def landing_url(url: Column) -> Column:
-    """Where a landing job fetches a target: the raw file, https only; null otherwise."""
-    return F.when(F.startswith(url, F.lit("https://")), github_raw(url))
+#: What a fetched file may be long in bytes.
+LANDED_BYTES = 10 * 1024 * 1024
+
+
+def landed(fetched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fetched targets (url, content) to files and rejects: the raw file's address is the path, with .md after it if it ends in no kind that is scanned.
+
+    The fetch itself is a job outside: no query calls a service.
+    """
+    bare = F.substring_index(github_raw(F.col("url")), "?", 1)
+    named = fetched.select("url", F.when(F.rlike(F.lower(bare), F.lit(r"[^/]\.(json|py|md|markdown)$")), bare).otherwise(F.concat(bare, F.lit(".md"))).alias("path"), "content")
+    small = F.octet_length("content") <= LANDED_BYTES
+    return describe(named.where(small)), named.where(~small).select("path", F.lit("longer than a fetched file may be").alias("reason"))
