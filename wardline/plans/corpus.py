@@ -182,7 +182,8 @@ def snippet_windows(spark, sf):
 _NAME = "concat(p_name, CASE p_partkey % 7 WHEN 0 THEN {z} WHEN 1 THEN {c} ELSE '' END)"
 
 
-@_query("WITH t AS (SELECT p_partkey, " + _NAME.format(z="chr(8203)", c="chr(1072)") + " AS name FROM part) SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'PI-003' ELSE 'PI-006' END AS rule_id FROM t WHERE p_partkey % 7 < 2")
+@_query("WITH t AS (SELECT p_partkey, " + _NAME.format(z="chr(8203)", c="chr(1072)") + rf""" AS name FROM part)
+SELECT p_partkey, 'PI-003' AS rule_id FROM t WHERE regexp_matches(name, {_q('[' + R.INVISIBLE + ']')}) UNION ALL SELECT p_partkey, 'PI-006' FROM t WHERE regexp_matches(name, {_q(R.LOOKALIKE_CLASS)})""")
 def name_checks(spark, sf):
     p = _t(spark, sf, "part")
     name = F.concat("p_name", F.when(F.col("p_partkey") % 7 == 0, "​").when(F.col("p_partkey") % 7 == 1, "а").otherwise(""))
@@ -322,11 +323,18 @@ def _traces(spark, sf) -> DataFrame:
     )
 
 
-TRACE_SQL = """t AS (SELECT CAST(event_id AS VARCHAR) AS skill_id, event_id AS i, value % 10 AS h FROM events),
-f AS (SELECT skill_id, 'L3-DYN-001' AS rule_id, 'ls, id, cat' AS snippet FROM t WHERE i % 5 = 0 UNION ALL SELECT skill_id, 'L3-DYN-002', 'ptrace in syscalls_observed' FROM t WHERE i % 7 = 0
-  UNION ALL SELECT skill_id, 'L3-DYN-003', 'mmap_rwx in syscalls_observed' FROM t WHERE i % 11 = 0 UNION ALL SELECT skill_id, 'L3-DYN-004', 'h1:443, h2:443' FROM t WHERE i % 3 = 0 AND i % 2 <> 0
-  UNION ALL SELECT skill_id, 'L3-DYN-005', NULL FROM t WHERE h >= 7 UNION ALL SELECT skill_id, 'L3-DYN-006', '/etc/b' FROM t WHERE i % 4 = 0
-  UNION ALL SELECT skill_id, 'L3-DYN-007', concat_ws(', ', CASE WHEN i % 13 = 0 THEN 'timeout' END, CASE WHEN i % 17 = 0 THEN 'OOM' END) FROM t WHERE i % 13 = 0 OR i % 17 = 0)"""
+# The SQL builds the same traces and looks at their columns; it does not know which event holds what.
+TRACE_SQL = """t AS (SELECT CAST(event_id AS VARCHAR) AS skill_id, CASE WHEN event_id % 5 = 0 THEN ['ls', 'id', 'cat', 'ps'] ELSE [] END AS procs,
+    list_concat(CASE WHEN event_id % 7 = 0 THEN ['ptrace'] ELSE [] END, CASE WHEN event_id % 11 = 0 THEN ['mmap_rwx'] ELSE [] END) AS calls,
+    CASE WHEN event_id % 3 = 0 THEN ['h1:443', 'h2:443'] ELSE [] END AS net, CASE WHEN event_id % 4 = 0 THEN ['/tmp/a', '/etc/b'] ELSE [] END AS files, value % 10 AS h,
+    event_id % 13 = 0 AS slow, event_id % 17 = 0 AS oom, CASE WHEN event_id % 2 = 0 THEN ['network:egress'] ELSE [] END AS declared FROM events),
+f AS (SELECT skill_id, 'L3-DYN-001' AS rule_id, array_to_string(procs[1:3], ', ') AS snippet FROM t WHERE len(procs) > 0
+  UNION ALL SELECT skill_id, 'L3-DYN-002', 'ptrace in syscalls_observed' FROM t WHERE list_contains(calls, 'ptrace')
+  UNION ALL SELECT skill_id, 'L3-DYN-003', 'mmap_rwx in syscalls_observed' FROM t WHERE list_contains(calls, 'mmap_rwx')
+  UNION ALL SELECT skill_id, 'L3-DYN-004', array_to_string(net[1:5], ', ') FROM t WHERE len(net) > 0 AND NOT list_contains(declared, 'network:egress')
+  UNION ALL SELECT skill_id, 'L3-DYN-005', NULL FROM t WHERE h >= 7
+  UNION ALL SELECT skill_id, 'L3-DYN-006', array_to_string(list_filter(files, lambda p: NOT starts_with(p, '/tmp'))[1:5], ', ') FROM t WHERE len(list_filter(files, lambda p: NOT starts_with(p, '/tmp'))) > 0
+  UNION ALL SELECT skill_id, 'L3-DYN-007', concat_ws(', ', CASE WHEN slow THEN 'timeout' END, CASE WHEN oom THEN 'OOM' END) FROM t WHERE slow OR oom)"""
 
 
 @_query(f"WITH {TRACE_SQL} SELECT * FROM f")
@@ -365,9 +373,19 @@ def _replies(spark, sf) -> DataFrame:
     return lab.select("skill_id", F.lit("detect").alias("pass"), fenced.alias("raw_text"), (F.col("doc_id") % 100).cast("int").alias("tokens"))
 
 
-JUDGE_SQL = """j AS (SELECT CAST(doc_id AS VARCHAR) AS skill_id, doc_id % 10 <> 9 AS ok, CASE WHEN toxic = 1 THEN 'MALICIOUS' WHEN quality = 1 THEN 'CLEAN' ELSE 'SUSPICIOUS' END AS v,
-  least(1.0::DOUBLE, (doc_id % 15) / 10.0::DOUBLE) AS c, toxic, doc_id FROM labels),
-p AS (SELECT skill_id, doc_id, CASE WHEN ok THEN v ELSE 'PARSE_ERROR' END AS verdict, CASE WHEN ok THEN c ELSE 0.0 END AS confidence, CASE WHEN ok AND toxic = 1 THEN 1 ELSE 0 END AS n_findings FROM j)"""
+# The SQL builds the same replies and reads them as JSON.
+_KINDS = "[" + ", ".join(map(_q, judge.DETECT)) + "]"
+JUDGE_SQL = rf"""raw AS (SELECT CAST(doc_id AS VARCHAR) AS skill_id, doc_id, '{{"verdict": "' || CASE WHEN toxic = 1 THEN 'malicious' WHEN quality = 1 THEN 'CLEAN' ELSE 'SUSPICIOUS' END
+    || '", "confidence": ' || ((doc_id % 15) / 10.0) || ', "attack_types": [], "findings": ['
+    || CASE WHEN toxic = 1 THEN '{{"field_name":"readme_text","evidence_quote":"qqq","attack_type":"' || {_KINDS}[doc_id % 4 + 1] || '","severity":"' || CASE WHEN doc_id % 3 = 0 THEN 'high' ELSE 'odd' END || '"}}' ELSE '' END
+    || CASE WHEN doc_id % 10 = 9 THEN ']' ELSE '], "rationale": "r"' END || '}}' AS body FROM labels),
+said AS (SELECT skill_id, doc_id, CASE WHEN doc_id % 2 = 0 THEN 'text' || chr(10) || '```json' || chr(10) || body || chr(10) || '```' ELSE body END AS said FROM raw),
+cut AS (SELECT skill_id, doc_id, try_cast(trim(CASE WHEN regexp_matches(said, '(?is)```.*```') THEN regexp_extract(said, '(?is)```(?:json)?\s*(.*?)```', 1) ELSE said END) AS JSON) AS j FROM said),
+j AS (SELECT skill_id, doc_id, j, upper(j->>'$.verdict') AS v, try_cast(j->>'$.confidence' AS DOUBLE) AS c,
+        upper(j->>'$.verdict') IN ('CLEAN', 'SUSPICIOUS', 'MALICIOUS') AND try_cast(j->>'$.confidence' AS DOUBLE) IS NOT NULL AND json_type(j, '$.attack_types') = 'ARRAY'
+        AND json_type(j, '$.findings') = 'ARRAY' AND j->>'$.rationale' IS NOT NULL AS ok FROM cut),
+p AS (SELECT skill_id, doc_id, CASE WHEN ok THEN v ELSE 'PARSE_ERROR' END AS verdict, CASE WHEN ok THEN greatest(0.0::DOUBLE, least(1.0::DOUBLE, c)) ELSE 0.0 END AS confidence,
+        CASE WHEN ok THEN json_array_length(j, '$.findings') ELSE 0 END AS n_findings, upper(j->>'$.findings[0].severity') AS sev FROM j)"""
 
 
 @_query(f"WITH {JUDGE_SQL} SELECT skill_id, verdict, confidence, CAST(n_findings AS INTEGER) AS n_findings FROM p")
@@ -375,7 +393,7 @@ def judge_parse(spark, sf):
     return judge.parse(_replies(spark, sf)).select("skill_id", "verdict", "confidence", F.size("findings").alias("n_findings"))
 
 
-_L2W = "CASE WHEN n_findings = 1 THEN (CASE WHEN doc_id % 3 = 0 THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END) * confidence ELSE 0 END"
+_L2W = "CASE WHEN n_findings = 1 THEN (CASE sev WHEN 'CRITICAL' THEN 1.0::DOUBLE WHEN 'HIGH' THEN 0.6::DOUBLE WHEN 'LOW' THEN 0.1::DOUBLE WHEN 'INFO' THEN 0.0::DOUBLE ELSE 0.3::DOUBLE END) * confidence ELSE 0 END"
 
 
 @_query(f"""WITH {JUDGE_SQL} SELECT skill_id, nullif(verdict, 'PARSE_ERROR') AS judge_verdict, CAST(doc_id % 100 AS BIGINT) AS tokens,
@@ -479,7 +497,9 @@ def tool_scripts(spark, sf):
     return reports.call_scripts(_t(spark, sf, "events").select((i % 100).cast("string").alias("skill_id"), i.cast("int").alias("call_ord"), name.alias("name"), args.alias("input")))
 
 
-@_query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' ELSE 'p' || event_id END AS processes, CASE WHEN event_id % 3 = 0 THEN 0.0::DOUBLE ELSE (event_id % 9)::DOUBLE END AS output_entropy FROM events""")
+@_query(r"""WITH raw AS (SELECT event_id, 'x __HARNESS_LOG_BEGIN__ {"processes_spawned": ["p' || event_id || '"], "output_entropy": ' || (event_id % 9) || '} ' || CASE WHEN event_id % 3 = 0 THEN '' ELSE '__HARNESS_LOG_END__' END AS o FROM events),
+j AS (SELECT event_id, try_cast(trim(regexp_extract(o, '(?s)__HARNESS_LOG_BEGIN__(.*?)__HARNESS_LOG_END__', 1)) AS JSON) AS j FROM raw)
+SELECT event_id, coalesce(array_to_string(CAST(j->'$.processes_spawned' AS VARCHAR[]), ','), '') AS processes, coalesce(CAST(j->>'$.output_entropy' AS DOUBLE), 0.0) AS output_entropy FROM j""")
 def harness_logs(spark, sf):
     n = F.col("event_id").cast("string")
     body = F.concat(F.lit('x __HARNESS_LOG_BEGIN__ {"processes_spawned": ["p'), n, F.lit('"], "output_entropy": '), (F.col("event_id") % 9).cast("string"), F.lit("} "))
@@ -503,8 +523,15 @@ def _manifest_files(spark, sf) -> DataFrame:
     return files.describe(p.select(F.concat(F.lit("/c/"), F.col("p_partkey").cast("string"), F.lit("/mcp.json")).alias("path"), m.alias("content")))
 
 
-@_query("""SELECT '/c/' || p_partkey || '/mcp.json' AS skill_id, CASE WHEN p_partkey % 5 > 0 THEN p_name ELSE 'unknown_skill' END AS skill_name, p_partkey % 3 = 0 AS dynamic_tools, 't' || p_partkey AS tool_name,
-  CASE WHEN p_partkey % 2 = 0 THEN 'network:egress' ELSE 'env:read' END AS permissions FROM part""")
+# The SQL builds the same JSON and reads it.
+@_query(f"""WITH m AS (SELECT '/c/' || p_partkey || '/mcp.json' AS skill_id, CAST(to_json({{'name': CASE WHEN p_partkey % 5 > 0 THEN p_name END, 'version': '1.0', 'permissions': ['env:read', 'no:such'],
+    'tools': [{{'name': 't' || p_partkey, 'description': p_type, 'permissions': CASE WHEN p_partkey % 2 = 0 THEN ['network:egress'] END}}],
+    'serverCapabilities': {{'tools': {{'listChanged': p_partkey % 3 = 0}}}}}}) AS JSON) AS j FROM part),
+t AS (SELECT skill_id, j, unnest(CAST(j->'$.tools' AS JSON[])) AS t FROM m),
+k AS (SELECT *, list_filter(coalesce(CAST(t->'$.permissions' AS VARCHAR[]), []), lambda p: p IN {_in(R.PERMISSIONS)}) AS own,
+        list_filter(coalesce(CAST(j->'$.permissions' AS VARCHAR[]), []), lambda p: p IN {_in(R.PERMISSIONS)}) AS top FROM t)
+SELECT skill_id, coalesce(nullif(trim(j->>'$.name'), ''), 'unknown_skill') AS skill_name, coalesce(CAST(j->>'$.serverCapabilities.tools.listChanged' AS BOOLEAN), false) AS dynamic_tools,
+  coalesce(t->>'$.name', 'unnamed_tool') AS tool_name, array_to_string(CASE WHEN len(own) > 0 THEN own ELSE top END, ',') AS permissions FROM k""")
 def parse_manifests(spark, sf):
     s = files.manifests(_manifest_files(spark, sf))
     return s.select("skill_id", "skill_name", "dynamic_tools", F.explode("tools").alias("t")).select("skill_id", "skill_name", "dynamic_tools", F.col("t.name").alias("tool_name"), F.array_join("t.declared_permissions", ",").alias("permissions"))
@@ -535,8 +562,11 @@ def ast_facts(spark, sf):
     return code.findings(pyfacts.fact_table(p), own).select("skill_id", "rule_id", "line_number", "snippet")
 
 
-@_query()
+_SCHEMA = """'{"properties": {"a": {"default": "x' || p_partkey || '", "items": [{"description": "deep"}]}, "b": {"default": 3}}}'"""
+
+
+@_query(f"""WITH j AS (SELECT p_partkey, t.* FROM part, json_tree(CAST({_SCHEMA} AS JSON)) AS t)
+SELECT p_partkey, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY id) - 1 AS INTEGER) AS i, atom->>'$' AS text FROM j WHERE type = 'VARCHAR' AND key IN ('default', 'example', 'description')""")
 def schema_strings(spark, sf):
     """Strings at any depth of JSON schemas, by a walk in Python."""
-    j = F.concat(F.lit('{"properties": {"a": {"default": "x'), F.col("p_partkey").cast("string"), F.lit('", "items": [{"description": "deep"}]}, "b": {"default": 3}}}'))
-    return _t(spark, sf, "part").select("p_partkey", F.posexplode(X.schema_strings_udf(j)).alias("i", "text"))
+    return _t(spark, sf, "part").select("p_partkey", F.posexplode(X.schema_strings_udf(F.expr(_SCHEMA))).alias("i", "text"))
