@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import rules as R
-from ..functions import pyfacts
 from ..functions import text as X
 from ..operators import code, deps, judge, metrics, scoring, textual, traces
 from ..sinks import reports
@@ -550,18 +549,6 @@ def scan_decoded(spark, sf):
     return textual.findings(fields(spark, sf)).select("skill_id", "rule_id", F.round("confidence", 6).alias("confidence"), "snippet")
 
 
-SNIPPETS = ("import os\nos.system('x')\n", "import requests\ndef f(u):\n    return requests.get(u)\n", "import base64\nexec(base64.b64decode('eA=='))\n", "def f(:\n", "from langchain.tools import Tool as T\nN = 'a' + 'b'\nt = T(name=N, description=f'd', return_direct=True)\n", "open('a', 'w')\ngetattr(b, 'ev' + 'al')('1')\n")
-
-
-@_query()
-def ast_facts(spark, sf):
-    """Facts on Python sources dealt to parts; there is no syntax tree in SQL."""
-    src = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("p_partkey") % len(SNIPPETS) + 1).cast("int"))
-    p = _t(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("skill_id"), F.lit("m.py").alias("path"), src.alias("content"))
-    own = p.select("skill_id", F.array().cast("array<string>").alias("permissions"))
-    return code.findings(pyfacts.fact_table(p), own).select("skill_id", "rule_id", "line_number", "snippet")
-
-
 _SCHEMA = """'{"properties": {"a": {"default": "x' || p_partkey || '", "items": [{"description": "deep"}]}, "b": {"default": 3}}}'"""
 
 
