@@ -149,7 +149,8 @@ def test_gam_against_plain_loops(edge_texts):
 
 @pytest.mark.parametrize("module,label", [(quality_gam, "quality"), (toxicity_cnn, "toxic")])
 def test_classifier_edges(spark, edge, empty, module, label):
-    some = spark.createDataFrame([(5, 1, 1), (6, 1, 1), (None, 1, 1), (7, None, None), (7, 2, 2)], "doc_id long, quality int, toxic int")
+    rows = [(5, 1, 1), (6, 1, 1), (None, 1, 1), (7, None, None), (7, 2, 2)]
+    some = spark.createDataFrame([(*r, "t", "l", "y", 0.5, "r") for r in rows], "doc_id long, quality int, toxic int, text string, lang string, y string, score double, row string")
     for lab in (some, some.limit(0)):
         m = module.train(edge, lab)
         out = module.classify(edge, m).collect()
@@ -211,6 +212,26 @@ def test_cnn_scores_equal_plain_loops(edge_texts):
     assert np.allclose(got, [cnn_by_loops(m, t) for t in texts], atol=1e-4) and got.std() > 0.1
 
 
+def test_thresholds_count_every_labelled_row(spark):
+    """By plain loops over all labelled rows, long texts and a rare language too."""
+    m = toxicity_cnn.fit(*in_order(400, 7))
+    docs, y = in_order(300, 11)
+    texts = [" ".join(d) + (" so on" * 8000 if i % 50 == 0 else "") for i, d in enumerate(docs)]
+    y = np.where(np.arange(300) % 9 == 0, 1 - y, y)
+    langs = [("en", "de", None)[i % 3] if i >= 40 else ("fr" if i < 25 else "it") for i in range(300)]
+    base = spark.createDataFrame(list(zip(range(300), texts, langs)), "doc_id long, text string, lang string")
+    labelled = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, y int")
+    got = toxicity_cnn.thresholds(base.fillna({"lang": ""}), labelled, m)
+    score = np.floor(toxicity_cnn.Scorer(m).score(texts) * 1000).astype(int)
+    want = {}
+    for lang in ("en", "de", "", "fr"):
+        own = np.array([(x or "") == lang for x in langs])
+        f1 = {b: 2 * ((score >= b) & own & (y == 1)).sum() / ((score >= b)[own].sum() + (y[own] == 1).sum()) for b in set(score[own].tolist())}
+        best = [b for b, v in f1.items() if np.isclose(v, max(f1.values()))]
+        want[lang] = sum(best) / len(best) / 1000
+    assert got.keys() == want.keys() and np.allclose([got[k] for k in want], list(want.values()))
+
+
 def coder():
     return sentencepiece_trie.Coder(sentencepiece_trie.model_bytes())
 

@@ -20,10 +20,15 @@ def join_checked(left: DataFrame, small: DataFrame, on: str, how: str = "inner",
     return left.join(F.broadcast(small) if few else small, on, how)
 
 
+def one_label(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, y), an id once: labels other than 0 and 1 and null ids go, and of conflicting ones 1 stays."""
+    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1))
+    return rows.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
 def fit_ids(labels: DataFrame, label: str, train: Column, per_class: int) -> tuple[DataFrame, float]:
     """At most ``per_class`` ids of each class in the order of a hash, with the share of ones among all training labels."""
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).where(train)
-    one = rows.groupBy("doc_id").agg(F.max("y").alias("y"))
+    one = one_label(labels, label).where(train)
     n, ones = one.agg(F.count(F.lit(1)), F.coalesce(F.sum("y"), F.lit(0))).first()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     parts = [one.where(F.col("y") == y).orderBy(*order).limit(per_class) for y in (0, 1)]

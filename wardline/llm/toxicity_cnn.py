@@ -4,12 +4,12 @@ Words have hashed embeddings: a word's vector is the sum of the rows of its hash
 characters, its last ones). Filters one, two and three words wide slide over the text, their
 maxima over the whole text pass leaky units into a logistic one, and everything is trained together by gradient steps; through a maximum
 the gradient reaches only the words that made it. Units start alive, so that what no single word shows is learned as well; word
-parts start from their log-odds in one of the dimensions. Thresholds for flags are calibrated by language on training rows.
+parts start from their log-odds in one of the dimensions. Thresholds for flags are calibrated by language.
 
 For scoring, each distinct word is multiplied with the filters once; a window is then a sum of looked-up rows.
 
 The model is fitted on at most ``PER_CLASS`` labelled rows of each class in the order of a hash, none longer than ``FIT_CHARS``;
-scoring covers every row and whole texts.
+scoring covers every row and whole texts, and so do the thresholds by language: every labelled training row counts.
 
 Defined cases: as for the quality classifier; a text without letters has the score of an empty one.
 """
@@ -25,9 +25,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import map_texts
-from .labelled import crc_mod, fit_ids
+from .labelled import crc_mod, fit_ids, join_checked, one_label
 
 PER_CLASS, FIT_CHARS = 3_000, 20_000
 THRESHOLD = 0.3
@@ -35,6 +36,8 @@ DIM, FILTERS, WIDTHS = 12, 6, (1, 2, 3)
 EPOCHS, BATCH, RATE, MIN_DOCS = 4, 32, 0.02, 4
 #: Slope of a hidden unit below zero.
 LEAK = 0.1
+#: Steps of scores in which thresholds are sought, and labelled rows that a language needs for its own.
+BINS, MIN_LABELLED = 1_000, 20
 #: Words a worker remembers, and words scored at once.
 MAX_WORDS, CHUNK = 200_000, 200_000
 WORD = re.compile(r"[^\W\d_]+")
@@ -143,7 +146,7 @@ class Scorer:
         return (1 / (1 + np.exp(-np.clip(np.concatenate(done), -30, 30)))).astype(np.float64)
 
 
-def fit(docs: list[list[str]], y: np.ndarray, langs: list[str | None] | None = None, prior: float | None = None, seed: int = 1, epochs: int = EPOCHS) -> Cnn:
+def fit(docs: list[list[str]], y: np.ndarray, prior: float | None = None, seed: int = 1, epochs: int = EPOCHS) -> Cnn:
     m = Cnn()
     if len(y) == 0 or y.min() == y.max():
         p = float(np.clip(prior if prior is not None else (y.mean() if len(y) else 0.5), 1e-3, 1 - 1e-3))
@@ -253,12 +256,12 @@ def fit(docs: list[list[str]], y: np.ndarray, langs: list[str | None] | None = N
     m.base = float(base[0])
     sample = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     shift = 0.0 if prior is None else float(np.log(prior / (1 - prior)) - np.log(sample / (1 - sample)))
-    _calibrate(m, docs, y, langs, calib, shift)
+    _calibrate(m, docs, y, calib, shift)
     return m
 
 
-def _calibrate(m: Cnn, docs, y, langs, calib, shift: float) -> None:
-    """Scales the logit on rows kept apart, then sets the threshold of each language there."""
+def _calibrate(m: Cnn, docs, y, calib, shift: float) -> None:
+    """Scales the logit on rows kept apart."""
     s = Scorer(m)
     at = np.flatnonzero(calib)
     if len(at) >= 40 and 0 < y[at].sum() < len(at):
@@ -272,45 +275,60 @@ def _calibrate(m: Cnn, docs, y, langs, calib, shift: float) -> None:
             hess = np.array([[(r * z * z).sum() + 1, (r * z).sum()], [(r * z).sum(), r.sum() + 1]])
             a, b = np.array([a, b]) - np.linalg.solve(hess, g)
         m.scale = (max(float(a), 0.1), float(b) + shift)
-        q = 1 / (1 + np.exp(-np.clip(m.scale[0] * z + m.scale[1], -30, 30)))
-        names = np.array([(langs[i] if langs else None) or "" for i in at])
-        for lang in sorted(set(names.tolist())):
-            own = names == lang
-            if own.sum() < 20 or y[at][own].min() == y[at][own].max():
-                continue
-            tries = np.unique(np.round(q[own], 3))
-            f1 = [2 * ((q[own] >= t) & (y[at][own] == 1)).sum() / max(1, (q[own] >= t).sum() + (y[at][own] == 1).sum()) for t in tries]
-            best = np.flatnonzero(np.array(f1) >= max(f1) - 1e-9)
-            m.thresholds[lang] = float(tries[best[len(best) // 2]])
     else:
         m.scale = (1.0, shift)
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 4, held: int = 2, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> Cnn:
-    ids, prior = fit_ids(labels, label, crc_mod("doc_id", fold) != held, per_class)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def _base(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> DataFrame:
     lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), lang.alias("lang")).where(F.length("text") <= FIT_CHARS)
-    # Bounded: 2 * per_class ids, one text each.
-    got = rows.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("text", "lang")).alias("r")).orderBy("doc_id").select("y", "r.text", "r.lang").toArrow()
-    texts = [tokens(t) for t in got.column("text").to_pylist()]
-    return fit(texts, got.column("y").to_numpy().astype(float), got.column("lang").to_pylist(), prior)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(lang, F.lit("")).alias("lang"))
 
 
-def classify(docs: DataFrame, model: Cnn, fold: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """doc_id, held_out, score, predicted, and flagged: the score against the threshold of the row's language."""
-    held_model = docs.sparkSession.sparkContext.broadcast(model)
+def _scored(base: DataFrame, model: Cnn) -> DataFrame:
+    held = base.sparkSession.sparkContext.broadcast(model)
 
     def make():
-        s = Scorer(held_model.value)
+        s = Scorer(held.value)
         return lambda texts: [s.score(texts)]
 
-    lang = F.col(lang_col).cast("string") if lang_col in docs.columns else F.lit(None).cast("string")
+    return map_texts(base, [T.StructField("score", T.DoubleType())], make)
+
+
+def thresholds(base: DataFrame, labelled: DataFrame, model: Cnn) -> dict[str, float]:
+    """The threshold of the best F1 for each language, on all rows of (doc_id, text, lang) with a label (doc_id, y); the middle of ties.
+
+    Scores are counted in thousandths by language, where the rows are. Languages with under ``MIN_LABELLED`` such rows, or with one class only, have none.
+    """
+    s = _scored(join_checked(base, labelled, "doc_id"), model)
+    bins = s.groupBy("row.lang", F.floor(F.col("score") * BINS).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("row.y").alias("n1"))
+    # At most BINS + 1 rows a language.
+    lang = Window.partitionBy("lang")
+    above = lang.orderBy(F.desc("bin"))
+    f1 = bins.withColumns({"all": F.sum("n").over(lang), "all1": F.sum("n1").over(lang), "tp": F.sum("n1").over(above), "flagged": F.sum("n").over(above)})
+    f1 = f1.where((F.col("all") >= MIN_LABELLED) & (F.col("all1") > 0) & (F.col("all1") < F.col("all"))).withColumn("f1", 2 * F.col("tp") / (F.col("flagged") + F.col("all1")))
+    best = f1.withColumn("top", F.max("f1").over(lang)).where("f1 = top").groupBy("lang").agg(F.avg("bin").alias("bin"))
+    return {r["lang"]: r["bin"] / BINS for r in best.collect()}
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 4, held: int = 2, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> Cnn:
+    training = crc_mod("doc_id", fold) != held
+    ids, prior = fit_ids(labels, label, training, per_class)
+    base = _base(docs, id_col, text_col, lang_col)
+    # Bounded: 2 * per_class ids, one text each.
+    some = base.withColumn("text", F.coalesce("text", F.lit(""))).where(F.length("text") <= FIT_CHARS)
+    got = some.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").select("y", "text").toArrow()
+    model = fit([tokens(t) for t in got.column("text").to_pylist()], got.column("y").to_numpy().astype(float), prior)
+    model.thresholds = thresholds(base, one_label(labels, label).where(training), model)
+    return model
+
+
+def classify(docs: DataFrame, model: Cnn, fold: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """doc_id, held_out, score, predicted, and flagged: the score against the threshold of the row's language."""
     limit = F.lit(THRESHOLD)
-    for name, t in model.thresholds.items():
-        limit = F.when(F.col("row.lang") == name, t).otherwise(limit)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), lang.alias("lang"))
-    s = map_texts(base, [T.StructField("score", T.DoubleType())], make)
+    if model.thresholds:
+        by_lang = F.create_map(*[F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair])
+        limit = F.coalesce(F.element_at(by_lang, F.col("row.lang")), limit)
+    s = _scored(_base(docs, id_col, text_col, lang_col), model)
     return s.select(
         F.col("row.doc_id").alias("doc_id"),
         F.coalesce(crc_mod("row.doc_id", fold) == held, F.lit(False)).alias("held_out"),
