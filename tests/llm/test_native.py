@@ -36,6 +36,12 @@ def test_rules(edge, edge_rows, empty):
     assert quality_rules.ledger(empty).count() == 0
 
 
+def test_rules_on_a_very_long_text(spark):
+    t = prose(4, 100_000) + "\n" + prose(5, 30) + "\n" + prose(5, 30) + " # | #"
+    d = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    same(quality_rules.ledger(d), [(1, *rules_of(t))], "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
 def test_ablation_and_policies(edge):
     led = quality_rules.ledger(edge)
     rows = {r["rule"]: r for r in quality_rules.ablation(led).collect()}

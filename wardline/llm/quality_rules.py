@@ -34,7 +34,7 @@ def mask(policy: str) -> int:
 
 
 def _repeat_words(words: Column) -> Column:
-    """Words covered by windows of eight words that occur at least twice in the text."""
+    """Words covered by windows of eight words that occur at least twice in the text; equal hashes are verified on the words."""
     hashes = F.transform(F.sequence(F.lit(0), F.size(words) - WINDOW), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(WINDOW)]))
 
     def covered(h: Column) -> Column:
@@ -42,7 +42,7 @@ def _repeat_words(words: Column) -> Column:
         starts = let(
             pairs,
             lambda p: F.array_sort(
-                F.array_distinct(F.flatten(F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.when(a.h == b.h, F.array(a.i, b.i)).otherwise(F.array().cast("array<int>")))))
+                F.array_distinct(F.flatten(F.zip_with(p, F.slice(p, 2, F.size(p)), lambda a, b: F.when((a.h == b.h) & (F.slice(words, a.i + 1, WINDOW) == F.slice(words, b.i + 1, WINDOW)), F.array(a.i, b.i)).otherwise(F.array().cast("array<int>")))))
             ),
         )
         zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
