@@ -22,17 +22,21 @@ def ascii_lower(t):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
 
 
-def dedup_of(rows):
+def first_lines(rows):
+    """(id, kept lines)"""
     first = {}
     key = lambda x: ascii_lower(x.strip(STRIP))
     for i, t in rows:
         for x in (t or "").split("\n"):
             first[key(x)] = min(first.get(key(x), NO_ID), NO_ID if i is None else i)
+    return [(i, [x for x in (t or "").split("\n") if len(key(x)) < 10 or first[key(x)] >= (NO_ID if i is None else i)]) for i, t in rows]
+
+
+def dedup_of(rows):
     out = []
-    for i, t in rows:
-        lines = (t or "").split("\n")
-        kept = [x for x in lines if len(key(x)) < 10 or first[key(x)] >= (NO_ID if i is None else i)]
-        out.append((i, len(lines), len(lines) - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
+    for (i, t), (_, kept) in zip(rows, first_lines(rows), strict=True):
+        n = (t or "").count("\n") + 1
+        out.append((i, n, n - len(kept), hashlib.sha256("\n".join(kept).encode()).hexdigest()))
     return out
 
 

@@ -44,3 +44,40 @@ def test_registered(spark):
     q = entry.queries()
     assert {f"op{i}_" for i in range(1, 11)} == {k.split("_")[0] + "_" for k in q if k.startswith("op")} and "pipeline" in q
     assert set(entry.oracle_sql()) <= set(q)
+
+
+def test_stages_against_brute_force(spark, tmp_path):
+    """Each stage on what the one before it kept, by the plain functions of the operators' tests."""
+    import sentencepiece
+    from test_dedup import components_of, contamination_of, first_lines
+
+    from wardline.llm import quality_gam, sentencepiece_trie
+
+    folder = str(tmp_path)
+    write(spark, folder)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    rows = {}
+
+    def run(name, docs):
+        stages[name](spark, docs, folder).write.parquet(f"{folder}/out/{name}")
+        out = spark.read.parquet(f"{folder}/out/{name}")
+        rows[name] = [(r["doc_id"], r["text"]) for r in out.collect()]
+        return out
+
+    before = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    model = quality_gam.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    out = run("quality", docs)
+    assert sorted(rows["quality"]) == sorted((i, t) for i, t in before if model.score(quality_gam.matrix([t]))[0] >= 0.3)
+    out = run("lines", out)
+    assert sorted(rows["lines"]) == sorted((i, "\n".join(kept)) for i, kept in first_lines(rows["quality"]))
+    out = run("near_duplicates", out)
+    names = {c for _, _, c in components_of(rows["lines"])}
+    assert sorted(rows["near_duplicates"]) == sorted((i, t) for i, t in rows["lines"] if i in names)
+    out = run("decontamination", out)
+    assert sorted(rows["decontamination"]) == sorted((i, t) for i, t in rows["near_duplicates"] if not contamination_of(t, bench)[4])
+    sp = sentencepiece.SentencePieceProcessor(model_proto=sentencepiece_trie.model_bytes())
+    got = sorted((r["doc_id"], r["ids"], r["round_trip"]) for r in stages["sentencepiece"](spark, out, folder).collect())
+    assert got == sorted((i, sp.encode(t), sp.decode(sp.encode(t)) == t) for i, t in rows["decontamination"])
+    assert len(before) > len(rows["quality"]) > len(rows["near_duplicates"]) > len(rows["decontamination"]) > 50
