@@ -166,6 +166,7 @@ def test_cnn_learns(spark):
     labels = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(800)], "doc_id long, quality int, toxic int")
     m = toxicity_cnn.train(docs, labels)
     out = toxicity_cnn.classify(docs, m).collect()
+    assert sorted(out) == sorted(toxicity_cnn.classify_corpus(docs, labels).collect())
     held = [r for r in out if r["held_out"]]
     wrong = [r for r in held if r["predicted"] != int(r["doc_id"] % 5 == 0)]
     assert len(held) > 120 and len(wrong) <= 2
@@ -221,7 +222,7 @@ def test_thresholds_count_every_labelled_row(spark):
     langs = [("en", "de", None)[i % 3] if i >= 40 else ("fr" if i < 25 else "it") for i in range(300)]
     base = spark.createDataFrame(list(zip(range(300), texts, langs)), "doc_id long, text string, lang string")
     labelled = spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, y int")
-    got = toxicity_cnn.thresholds(base.fillna({"lang": ""}), labelled, m)
+    got = toxicity_cnn.thresholds(toxicity_cnn._scores(base.fillna({"lang": ""}), m), labelled)
     score = np.floor(toxicity_cnn.Scorer(m).score(texts) * 1000).astype(int)
     want = {}
     for lang in ("en", "de", "", "fr"):

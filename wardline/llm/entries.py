@@ -36,8 +36,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return toxicity_cnn.classify(docs, toxicity_cnn.train(docs, table(spark, sf_dir, "labels")))
+    return toxicity_cnn.classify_corpus(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,12 +22,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import map_texts
+from .common import checkpointed, map_texts
 from .labelled import crc_mod, fit_ids, join_checked, one_label
 
 PER_CLASS, FIT_CHARS = 3_000, 20_000
@@ -284,23 +284,24 @@ def _base(docs: DataFrame, id_col: str, text_col: str, lang_col: str | None) ->
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.coalesce(lang, F.lit("")).alias("lang"))
 
 
-def _scored(base: DataFrame, model: Cnn) -> DataFrame:
+def _scores(base: DataFrame, model: Cnn) -> DataFrame:
+    """doc_id, lang, score"""
     held = base.sparkSession.sparkContext.broadcast(model)
 
     def make():
         s = Scorer(held.value)
         return lambda texts: [s.score(texts)]
 
-    return map_texts(base, [T.StructField("score", T.DoubleType())], make)
+    return map_texts(base, [T.StructField("score", T.DoubleType())], make).select("row.doc_id", "row.lang", "score")
 
 
-def thresholds(base: DataFrame, labelled: DataFrame, model: Cnn) -> dict[str, float]:
-    """The threshold of the best F1 for each language, on all rows of (doc_id, text, lang) with a label (doc_id, y); the middle of ties.
+def thresholds(scores: DataFrame, labelled: DataFrame) -> dict[str, float]:
+    """The threshold of the best F1 for each language, on all rows of (doc_id, lang, score) with a label (doc_id, y); the middle of ties.
 
     Scores are counted in thousandths by language, where the rows are. Languages with under ``MIN_LABELLED`` such rows, or with one class only, have none.
     """
-    s = _scored(join_checked(base, labelled, "doc_id"), model)
-    bins = s.groupBy("row.lang", F.floor(F.col("score") * BINS).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("row.y").alias("n1"))
+    s = join_checked(scores, labelled, "doc_id")
+    bins = s.groupBy("lang", F.floor(F.col("score") * BINS).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("n1"))
     # At most BINS + 1 rows a language.
     lang = Window.partitionBy("lang")
     above = lang.orderBy(F.desc("bin"))
@@ -310,28 +311,45 @@ def thresholds(base: DataFrame, labelled: DataFrame, model: Cnn) -> dict[str, fl
     return {r["lang"]: r["bin"] / BINS for r in best.collect()}
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 4, held: int = 2, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> Cnn:
-    training = crc_mod("doc_id", fold) != held
+def _fit_sample(base: DataFrame, labels: DataFrame, label: str, training: Column, per_class: int) -> Cnn:
     ids, prior = fit_ids(labels, label, training, per_class)
-    base = _base(docs, id_col, text_col, lang_col)
     # Bounded: 2 * per_class ids, one text each.
     some = base.withColumn("text", F.coalesce("text", F.lit(""))).where(F.length("text") <= FIT_CHARS)
     got = some.join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy("doc_id").select("y", "text").toArrow()
-    model = fit([tokens(t) for t in got.column("text").to_pylist()], got.column("y").to_numpy().astype(float), prior)
-    model.thresholds = thresholds(base, one_label(labels, label).where(training), model)
+    return fit([tokens(t) for t in got.column("text").to_pylist()], got.column("y").to_numpy().astype(float), prior)
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 4, held: int = 2, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", lang_col: str | None = "lang") -> Cnn:
+    """A model for other tables than ``docs`` too; ``classify_corpus`` scores the corpus it learns from, once."""
+    base, training = _base(docs, id_col, text_col, lang_col), crc_mod("doc_id", fold) != held
+    model = _fit_sample(base, labels, label, training, per_class)
+    labelled = one_label(labels, label).where(training)
+    model.thresholds = thresholds(_scores(join_checked(base, labelled.select("doc_id"), "doc_id"), model), labelled)
     return model
 
 
 def classify(docs: DataFrame, model: Cnn, fold: int = 4, held: int = 2, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, held_out, score, predicted, and flagged: the score against the threshold of the row's language."""
+    return _judged(_scores(_base(docs, id_col, text_col, lang_col), model), model, fold, held)
+
+
+def classify_corpus(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: int = 4, held: int = 2, per_class: int = PER_CLASS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """``train`` and ``classify`` on one table, which is scored once."""
+    base, training = _base(docs, id_col, text_col, lang_col), crc_mod("doc_id", fold) != held
+    model = _fit_sample(base, labels, label, training, per_class)
+    scores = checkpointed(_scores(base, model))
+    model.thresholds = thresholds(scores, one_label(labels, label).where(training))
+    return _judged(scores, model, fold, held)
+
+
+def _judged(scores: DataFrame, model: Cnn, fold: int, held: int) -> DataFrame:
     limit = F.lit(THRESHOLD)
     if model.thresholds:
         by_lang = F.create_map(*[F.lit(x) for pair in sorted(model.thresholds.items()) for x in pair])
-        limit = F.coalesce(F.element_at(by_lang, F.col("row.lang")), limit)
-    s = _scored(_base(docs, id_col, text_col, lang_col), model)
-    return s.select(
-        F.col("row.doc_id").alias("doc_id"),
-        F.coalesce(crc_mod("row.doc_id", fold) == held, F.lit(False)).alias("held_out"),
+        limit = F.coalesce(F.element_at(by_lang, F.col("lang")), limit)
+    return scores.select(
+        "doc_id",
+        F.coalesce(crc_mod("doc_id", fold) == held, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
         (F.col("score") >= limit).alias("flagged"),
