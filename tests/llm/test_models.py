@@ -1,8 +1,10 @@
 """Language-model scores, the classifiers, and SentencePiece coding."""
 
+import os
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_helpers import WORDS, prose
 
@@ -251,6 +253,22 @@ def test_pieces_equal_the_library():
         assert c.decode(c.encode_batch([t])[0]) == t
 
 
+def test_batches_decode_as_single_texts_do():
+    """Any ids, control pieces and bytes of longer characters among them, whole or broken."""
+    c, r = coder(), np.random.default_rng(2)
+    some = [*c.byte_of, *c.control, c.unk, c.ids["▁"], c.ids["▁a"], *r.integers(0, len(c.pieces), 50).tolist()]
+    lists = [[], [c.bytes_id[32]], [c.ids["▁"]], *(r.choice(some, int(n)).tolist() for n in r.integers(0, 12, 300))]
+    upto = np.append(0, np.cumsum([len(x) for x in lists])).astype(np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(upto), pa.array(np.array([i for x in lists for i in x], np.int32)))
+    assert c.decode_batch(ids).to_pylist() == [c.decode(x) for x in lists]
+
+
+def test_shared_prefixes():
+    words = sorted({"", "a", "ab", "ab\x00", "ab\x00\x00", "abc", "日本", "日本語", "x" * 24, "x" * 25, "x" * 40 + "y", "x" * 40 + "z"})
+    assert list(sentencepiece_trie._shared(words)) == [0] + [len(os.path.commonprefix([a, b])) for a, b in zip(words, words[1:])]
+    assert list(sentencepiece_trie._shared([])) == []
+
+
 def spelled(c, pieces):
     """Pieces to ids; a character without a piece in bytes."""
     return [x for p in pieces for x in ([c.ids[p]] if p in c.ids else [c.bytes_id[b] for b in p.encode()])]

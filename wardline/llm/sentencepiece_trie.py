@@ -1,6 +1,6 @@
 """SentencePiece encoding and decoding over a trie of distinct words.
 
-A text is cut into marked words (a run of space marks and what follows) at places no piece
+A text is cut into marked words (a run of space marks and what follows, up to another class of characters) at places no piece
 of the vocabulary spans. The distinct words of a batch are sorted, which lays them out as a trie in
 depth-first order, and one dynamic program runs over it: the state of a prefix is computed once and kept on the stack
 for all words that share it.
@@ -20,11 +20,15 @@ other columns are not read.
 
 from __future__ import annotations
 
+import gc
 import re
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,20 +74,36 @@ class Coder:
         self.unigram = spec["kind"] == 1
         if not (spec["prefix"] and spec["marks"]) or spec["squeezes"] or spec["suffix"] or spec["mapping"]:
             raise ValueError(f"normalisation of this kind is not supported: {spec}")
-        # By the last two characters: how long pieces that end so are, the longest first, and 1 for the character alone.
+        # By the last three characters, and by the last two where no longer piece ends in the three: how long pieces that end so are, the longest first,
+        # and 1 for the character alone.
         sizes: dict[str, set[int]] = {}
         for p in self.ids:
-            if len(p) > 1:
-                sizes.setdefault(p[-2:], {1}).add(len(p))
+            if len(p) == 2:
+                sizes[p] = {2, 1}
+        for p in self.ids:
+            if len(p) > 2:
+                sizes.setdefault(p[-3:], {1} | sizes.get(p[-2:], {1})).add(len(p))
         self.ends = {k: tuple(sorted(v, reverse=True)) for k, v in sizes.items()}
-        # Characters that begin or continue a piece of two or more: all others stand alone.
-        joined = {c for p in self.ids if len(p) > 1 for c in p}
+        # Characters that stand side by side in a piece, and so on, are of one class (letters, say): no piece goes from one class to another.
+        class_of: dict[str, set[str]] = {}
+        for p in self.ids:
+            bare = p.lstrip(MARK)
+            if len(p) > 1 and bare:
+                whole = set(bare).union(*(class_of.get(c, ()) for c in bare))
+                class_of.update(dict.fromkeys(whole, whole))
+        classes = {id(x): x for x in class_of.values()}.values()
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a space mark after another character; words are not independent")
-        inner = "".join(re.escape(c) for c in sorted(joined - {MARK}))
-        # marks and joinable characters, or marks alone, or one character that stands alone
-        self.cut = re.compile(f"{MARK}*[{inner}]+|{MARK}+|[^{MARK}{inner}]")
-        self.words: dict[str, tuple[int, ...]] = {}
+        runs = "|".join(f"[{''.join(map(re.escape, sorted(x)))}]+" for x in sorted(classes, key=len, reverse=True))
+        # marks and characters of one class, or marks alone, or one character that stands alone
+        self.cut = re.compile(f"(?s){MARK}*(?:{runs})|{MARK}+|." if runs else f"(?s){MARK}+|.")
+        self.words: dict[str, bytes] = {}  # ids as 32-bit integers
+        # Ids whose text depends on their neighbours, or that have none: bytes of longer characters, and control pieces. An ASCII byte is its character.
+        # What pieces decode to, and after them what they decode to at the start of a text.
+        spelling = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
+        self.spelling = pa.array(spelling + [p.removeprefix(" ") for p in spelling], pa.string())
+        self.odd = np.zeros(n, bool)
+        self.odd[[*(i for i, b in self.byte_of.items() if b > 127), *self.control]] = True
         self.pairs: dict[int, bool] = {}
         self.span = n + 0x110000
 
@@ -117,20 +137,33 @@ class Coder:
 
         A character without a piece of its own stands in as its code point after the pieces.
         """
-        ids, ends, follows, pairs, one, span = self.ids.get, self.ends.get, self._follows, self.pairs, (1,), self.span
-        unigram, score, n = self.unigram, self.score, len(self.pieces)
-        last, size, best = [-1], [0], [0.0]
-        before = ""
-        for w in words:
-            shared = 0
-            for x, y in zip(before, w, strict=False):
-                if x != y:
-                    break
-                shared += 1
-            del last[shared + 1 :], size[shared + 1 :], best[shared + 1 :]
-            for end in range(shared + 1, len(w) + 1):
-                found, top = None, 0.0
-                for k in ends(w[end - 2 : end], one) if end > 1 else one:
+        n = len(self.pieces)
+        grow = (self._best_last if self.unigram else self._merged_last)()
+        last, size = next(grow)
+        for w, shared in zip(words, _shared(words), strict=True):
+            del last[shared + 1 :], size[shared + 1 :]
+            grow.send(w)
+            out, end = [], len(w)
+            while end:
+                out.append(last[end])
+                end -= size[end]
+            out.reverse()
+            if out and max(out) >= n:
+                spelled = [[k] if k < n else [self.bytes_id[b] for b in chr(k - n).encode()] if self.bytes_id else [self.unk] for k in out]
+                out = [x for part in spelled for x in part]
+            self.words[w] = array("i", out).tobytes()
+
+    def _merged_last(self):
+        """The state of a prefix after merges: the last piece, the longest that may follow the state where it begins.
+
+        A generator: gives the two lists of the stack, then extends them for each word sent.
+        """
+        ids, ends, follows, pairs, one, span, n = self.ids.get, self.ends.get, self._follows, self.pairs, (1,), self.span, len(self.pieces)
+        last, size = [-1], [0]
+        w = yield last, size
+        while True:
+            for end in range(len(last), len(w) + 1):
+                for k in (end > 2 and ends(w[end - 3 : end])) or (end > 1 and ends(w[end - 2 : end])) or one:
                     if k > end:
                         continue
                     piece = ids(w[end - k : end])
@@ -138,34 +171,38 @@ class Coder:
                         if k > 1:
                             continue
                         piece = n + ord(w[end - 1])
-                    if unigram:
-                        total = best[end - k] + (score[piece] if piece < n else -1e9)
-                        if found is None or total > top:
-                            found, top, long = piece, total, k
-                        continue
                     left = last[end - k]
-                    if left >= 0:
-                        ok = pairs.get(left * span + piece)
-                        if ok is None:
-                            ok = follows(left, piece)
-                        if not ok:
+                    if left < 0:
+                        break
+                    ok = pairs.get(left * span + piece)
+                    if follows(left, piece) if ok is None else ok:
+                        break
+                last.append(piece)
+                size.append(k)
+            w = yield
+
+    def _best_last(self):
+        """The state of a prefix by Viterbi: the piece that ends its best path; the score stands on a stack beside it. As ``_merged_last``."""
+        ids, ends, score, one, n = self.ids.get, self.ends.get, self.score, (1,), len(self.pieces)
+        last, size, best = [-1], [0], [0.0]
+        w = yield last, size
+        while True:
+            del best[len(last) :]
+            for end in range(len(last), len(w) + 1):
+                found = None
+                for k in (end > 2 and ends(w[end - 3 : end])) or (end > 1 and ends(w[end - 2 : end])) or one:
+                    piece = ids(w[end - k : end]) if k <= end else None
+                    if piece is None:
+                        if k > 1:
                             continue
-                    found, long = piece, k
-                    break
+                        piece = n + ord(w[end - 1])
+                    total = best[end - k] + (score[piece] if piece < n else -1e9)
+                    if found is None or total > top:
+                        found, top, long = piece, total, k
                 last.append(found)
                 size.append(long)
                 best.append(top)
-            before = w
-            out, end = [], len(w)
-            while end:
-                out.append(last[end])
-                end -= size[end]
-            if max(out) >= n:
-                spelled = [[k] if k < n else [self.bytes_id[b] for b in chr(k - n).encode()] if self.bytes_id else [self.unk] for k in reversed(out)]
-                self.words[w] = tuple(x for part in spelled for x in part)
-            else:
-                out.reverse()
-                self.words[w] = tuple(out)
+            w = yield
 
     def best_paths(self, texts: list[str | None]) -> list[list[int] | None]:
         """Ids of the path with the best sum of scores (Viterbi), whatever the model's kind; another coder's words are not mixed in."""
@@ -177,6 +214,10 @@ class Coder:
             self.unigram, self.words = kind, known
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int] | None]:
+        return [None if x is None else np.frombuffer(x, np.int32).tolist() for x in self.encode_packed(texts)]
+
+    def encode_packed(self, texts: list[str | None]) -> list[bytes | None]:
+        """Each text's ids as 32-bit integers."""
         parts = [None if t is None else self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         known = self.words
         met = set(chain.from_iterable(p for p in parts if p))
@@ -185,7 +226,22 @@ class Coder:
             known.clear()
             new = met
         self._learn(sorted(new))
-        return [None if p is None else list(chain.from_iterable(map(known.__getitem__, p))) for p in parts]
+        return [None if p is None else b"".join(map(known.__getitem__, p)) for p in parts]
+
+    def decode_batch(self, ids: pa.ListArray) -> pa.Array:
+        """The texts of lists of ids without nulls: pieces joined by Arrow, and one by one where ``odd`` ids occur."""
+        flat, upto = ids.values.to_numpy(), ids.offsets.to_numpy()
+        which = flat.copy()
+        which[upto[:-1][upto[1:] > upto[:-1]]] += len(self.pieces)
+        text = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, self.spelling.take(pa.array(which))), "")
+        odd = np.append(0, np.cumsum(self.odd[flat]))[upto]
+        at = np.flatnonzero(odd[1:] > odd[:-1])
+        if not len(at):
+            return text
+        own = pa.array([self.decode(flat[upto[i] : upto[i + 1]].tolist()) for i in at.tolist()], pa.string())
+        mask = np.zeros(len(text), bool)
+        mask[at] = True
+        return pc.replace_with_mask(text, pa.array(mask), own)
 
     def decode(self, ids: list[int] | None) -> str | None:
         if ids is None:
@@ -208,6 +264,28 @@ class Coder:
         return text[1:] if text.startswith(" ") else text
 
 
+#: Characters of two words that are compared at once.
+WIDE = 24
+
+
+def _shared(words: list[str]) -> Iterator[int]:
+    """How many characters each of the sorted words shares with the one before it."""
+    if not words:
+        return
+    head = np.array(words, f"<U{WIDE}").view(np.uint32).reshape(-1, WIDE)
+    # A shorter word is padded with zeros, which may stand for equal ends or for a null character: cut at the shorter one.
+    same = np.logical_and.accumulate(head[1:] == head[:-1], axis=1).sum(axis=1).tolist()
+    yield 0
+    for before, w, n in zip(words, words[1:], same, strict=False):
+        n = min(n, len(before), len(w))
+        if n == WIDE:
+            for x, y in zip(before[WIDE:], w[WIDE:], strict=False):
+                if x != y:
+                    break
+                n += 1
+        yield n
+
+
 def _settings(model: bytes) -> dict:
     """Of the model file: its kind (1 unigram, 2 BPE) and how it normalises texts."""
 
@@ -268,21 +346,28 @@ def encode(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(held.value)
-        for b in batches:
-            for at in range(0, b.num_rows, BATCH_ROWS):
-                part = b.slice(at, BATCH_ROWS)
-                texts = part.column("text").to_pylist()
-                ids = coder.encode_batch(texts)
-                same = [None if t is None else coder.decode(i) == t for t, i in zip(texts, ids, strict=True)]
-                cols = [
-                    part.column("doc_id"),
-                    pa.array(ids, pa.list_(pa.int32())),
-                    pa.array([None if i is None else len(i) for i in ids], pa.int64()),
-                    pa.array([None if t is None else len(t) for t in texts], pa.int64()),
-                    pa.array(same, pa.bool_()),
-                ]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "n_tokens", "n_chars", "round_trip"])
-        coder.words.clear()  # the worker goes on to other tasks; most words are rare and would not be met again
+        gc.disable()  # a batch makes millions of objects and no cycles
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, BATCH_ROWS):
+                    part = b.slice(at, BATCH_ROWS)
+                    texts = part.column("text").to_pylist()
+                    packed = coder.encode_packed(texts)
+                    null = np.array([x is None for x in packed], bool)
+                    size = np.array([len(x or b"") // 4 for x in packed], np.int64)
+                    flat, upto = pa.array(np.frombuffer(b"".join(x for x in packed if x), np.int32)), np.append(0, np.cumsum(size)).astype(np.int32)
+                    back = coder.decode_batch(pa.ListArray.from_arrays(pa.array(upto), flat))
+                    cols = [
+                        part.column("doc_id"),
+                        pa.ListArray.from_arrays(pa.array(upto, mask=np.append(null, False)), flat),
+                        pa.array(size, mask=null),
+                        pc.utf8_length(part.column("text")).cast(pa.int64()),
+                        pc.equal(back, part.column("text")),  # null for a null text
+                    ]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "n_tokens", "n_chars", "round_trip"])
+        finally:
+            gc.enable()
+            coder.words.clear()  # the worker goes on to other tasks; most words are rare and would not be met again
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, n_chars long, round_trip boolean")
 
