@@ -202,7 +202,8 @@ def test_evaluation(spark, tmp_path, capsys):
         (tmp_path / f"d{i}.md").write_text(label.format(f"F{i}", want, "T2", text))
     assert cli.main(["evaluate", str(tmp_path), "--output", str(tmp_path / "out")]) == 0
     rows = [json.loads(x) for x in "".join(p.read_text() for p in (tmp_path / "out").glob("part-*")).splitlines()]
-    assert rows[0]["tp"] == 2 and rows[0]["tn"] == 1 and rows[0]["thresholds_met"] == {"precision": True, "recall": True}
+    summary = next(r for r in rows if "total_fixtures" in r)
+    assert summary["tp"] == 2 and summary["tn"] == 1 and summary["thresholds_met"] == {"precision": True, "recall": True}
     assert {r["id"]: (r["actual"], r["correct"], r["rules_fired"]) for r in rows if "id" in r}["F0"] == ("BLOCK", True, ["PI-001"])
     (tmp_path / "d4.md").write_text(label.format("F4", "BLOCK", "T6", "a plain text that a rule misses"))
     (tmp_path / "d5.json").write_text('{"_fixture_meta": {"id": "F5", "expected_verdict": "BLOCK"}, "tools": [{"name": "a<b"}]}')
