@@ -15,6 +15,7 @@ from ..functions import text as X
 from ..operators import code, deps, judge, metrics, scoring, textual, traces
 from ..sinks import reports
 from ..sources import files
+from ..sources.tables import written
 from .corpus import _ADV, _VERDICT, ADVISORIES, DEP_SQL, FUSED_SQL, MANY_SQL, _deps, _fused, _lit, _many, _q, _query, _re2, _t
 
 # ---- encodings
@@ -349,7 +350,7 @@ def console_report(spark, sf):
 @_query(f"""WITH {FUSED_SQL} SELECT skill_id, printf('Risk score: %.4f', fused) AS head, {_VERDICT.format(s='fused')} AS verdict, CASE WHEN l2_score IS NULL THEN 'L1' ELSE 'L1 + L2' END AS layers FROM fu""")
 def verdict_reports(spark, sf):
     """What the JSON report and the console's line say of a verdict."""
-    v = _fused(spark, sf)
+    v = written(_fused(spark, sf))
     said = reports.verdict_json(v).join(reports.summary_line(v).select("skill_id", "line"), "skill_id")
     return said.select("skill_id", F.substring_index("line", " | ", 1).alias("head"), F.get_json_object("json", "$.verdict").alias("verdict"), F.regexp_extract("line", "Layers: (.*)$", 1).alias("layers"))
 
