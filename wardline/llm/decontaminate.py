@@ -41,7 +41,15 @@ LOCATE = 1_000_000
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_TO_WORDS).split()
+    return _spaced(text).split()
+
+
+def _spaced(text: str | None) -> bytes:
+    return (text or "").encode().translate(_TO_WORDS)
+
+
+def _symbols(words: list[bytes], vocab: dict[bytes, int]) -> np.ndarray:
+    return np.fromiter((vocab.get(x, 1) for x in words), np.int32, len(words))
 
 
 class Windows:
@@ -139,12 +147,12 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def _searcher(blocks: list) -> callable:
     """``blocks``: broadcast Windows."""
 
-    def search(shard: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set[str | None]]]:
+    def search(shard: list[np.ndarray], texts: list[bytes]) -> list[tuple[list[tuple[int, int]], set[str | None]]]:
+        """``shard``: symbols of the only block; with more blocks each makes its own from ``texts``."""
         out: list[tuple[list[tuple[int, int]], set[str | None]]] = [([], set()) for _ in shard]
         for held in blocks:
             w = held.value
-            get = w.vocab.get
-            for (spans, items), (s, i) in zip(out, _find([np.fromiter((get(x, 1) for x in words), np.int32, len(words)) for words in shard], w), strict=True):
+            for (spans, items), (s, i) in zip(out, _find([_symbols(t.split(), w.vocab) for t in texts] if texts else shard, w), strict=True):
                 spans += s
                 items |= i
             if len(blocks) > 1:
@@ -153,22 +161,27 @@ def _searcher(blocks: list) -> callable:
 
     def work(texts: list[str | None]) -> list:
         spans, items, n_words = [], [], []
-        shard: list[list[bytes]] = []
+        shard: list[np.ndarray] = []
+        spaced: list[bytes] = []
         size = 0
+        vocab = blocks[0].value.vocab if len(blocks) == 1 else {}
 
         def flush() -> None:
-            for s, i in search(shard):
+            for s, i in search(shard, spaced):
                 spans.append([{"first": a, "last": b - 1} for a, b in merge(s)])
                 items.append(sorted(i, key=lambda x: (x is None, x)))
-            shard.clear()
+            shard.clear(), spaced.clear()
 
         for t in texts:
-            words = words_of(t)
+            raw = _spaced(t)
+            words = raw.split()
             n_words.append(len(words))
             if shard and size + len(words) > SHARD_WORDS:
                 flush()
                 size = 0
-            shard.append(words)
+            shard.append(_symbols(words, vocab))
+            if len(blocks) > 1:
+                spaced.append(raw)
             size += len(words)
         flush()
         return [n_words, spans, items]
