@@ -7,9 +7,11 @@ import html
 import re
 import unicodedata
 from collections import deque
+from functools import wraps
 from urllib.parse import unquote_plus
 
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +21,23 @@ from .. import rules as R
 MAX_VARIANTS, MAX_DEPTH = 24, 1
 
 
+def once(build):
+    """Keeps what ``build`` makes of names and numbers: expressions that name their columns, so that every query of the process can use them.
+
+    A large expression takes seconds to build, a call to the JVM for each node.
+    """
+    kept: dict = {}
+
+    @wraps(build)
+    def get(*args):
+        key = (id(SparkContext._gateway), *args)
+        if key not in kept:
+            kept[key] = build(*args)
+        return kept[key]
+
+    return get
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -215,6 +234,12 @@ def intents(norm: Column) -> dict[str, Column]:
     return {rule: intent(norm, rule) for rule in TEMPLATE_NAMES}
 
 
+@once
+def intents_of(name: str) -> dict[str, Column]:
+    """``intents`` of the column of this name."""
+    return intents(F.col(name))
+
+
 TEMPLATE_NAMES = {"PI-001": "override_authority_template", "PI-002": "role_reassignment_template", "PI-004": "secret_exfil_template", "PI-008": "stealth_instruction_template"}
 
 

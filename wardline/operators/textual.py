@@ -37,6 +37,13 @@ def pattern_ord(norm: Column, rule: str) -> Column:
     return out
 
 
+@X.once
+def pattern_hits(name: str) -> Column:
+    """(rule_id, pattern_ord) of the rules whose patterns fit the column of this name."""
+    h = [F.struct(F.lit(r).alias("rule_id"), pattern_ord(F.col(name), r).alias("pattern_ord")) for r in R.TEXT_PATTERNS]
+    return F.filter(F.array(*h), lambda x: x.pattern_ord.isNotNull())
+
+
 def _snippet(v: Column, rule: str, n: Column) -> Column:
     # where the match begins: after what is left of the text before it; evaluated for hits only
     found = F.regexp_substr(v.norm, F.get(F.array(*map(_regex, R.TEXT_PATTERNS[rule])), n))
@@ -93,8 +100,9 @@ def _constant(cond: Column, variant_ord: int, stage: int, rule: str, snippet: Co
     return F.when(cond, F.array(hit)).otherwise(F.array().cast(f"array<{HIT}>"))
 
 
-def hits(fields: DataFrame, decode: bool = True) -> DataFrame:
-    """A row for each field and rule that fits."""
+@X.once
+def _found() -> Column:
+    """The hits of a row, from its ``text``, ``field_name`` and ``variants``."""
     order = ("PI-001", "PI-002", "PI-004", "PI-005", "PI-008", "PI-009")
     shown = F.transform(
         F.slice(F.filter(F.split("text", ""), lambda c: F.rlike(c, F.lit(f"[{R.INVISIBLE}]"))), 1, 6),
@@ -103,11 +111,15 @@ def hits(fields: DataFrame, decode: bool = True) -> DataFrame:
     invisible = _constant(F.rlike("text", F.lit(f"[{R.INVISIBLE}]")), -1, 0, "PI-003", F.concat(F.lit("Invisible codepoints: "), F.array_join(shown, " ")))
     is_name = F.endswith("field_name", F.lit(":name")) | (F.col("field_name") == "mcp_server_name")
     lookalike = _constant(is_name & F.rlike("text", F.lit(R.LOOKALIKE_CLASS)), 99, 0, "PI-006", F.col("text"))
-    v = with_variants(fields.where(F.col("text").isNotNull()), decode)
     variants = F.col("variants")
     by_rule = F.concat(*[_by_rule(variants, r, i) for i, r in enumerate(order)])
-    found = F.concat(invisible, _scaled(by_rule, variants), lookalike)
-    return v.select("skill_id", "field_ord", "field_name", F.inline(found))
+    return F.concat(invisible, _scaled(by_rule, variants), lookalike)
+
+
+def hits(fields: DataFrame, decode: bool = True) -> DataFrame:
+    """A row for each field and rule that fits."""
+    v = with_variants(fields.where(F.col("text").isNotNull()), decode)
+    return v.select("skill_id", "field_ord", "field_name", F.inline(_found()))
 
 
 def findings(fields: DataFrame, decode: bool = True) -> DataFrame:

@@ -123,8 +123,7 @@ def _found(spark, sf) -> DataFrame:
 
 @_query(f"WITH {N_SQL}, {PAT_SQL} SELECT skill_id, rule_id, pattern_ord FROM pat WHERE pattern_ord IS NOT NULL")
 def pi_regex_hits(spark, sf):
-    h = [F.struct(F.lit(r).alias("rule_id"), textual.pattern_ord(F.col("norm"), r).alias("pattern_ord")) for r in R.TEXT_PATTERNS]
-    return _norm(spark, sf).select("skill_id", F.inline(F.filter(F.array(*h), lambda x: x.pattern_ord.isNotNull())))
+    return _norm(spark, sf).select("skill_id", F.inline(textual.pattern_hits("norm")))
 
 
 @_query(f"WITH {N_SQL}, {TOK_SQL} SELECT skill_id, count(*) AS n_tokens, count(DISTINCT t) AS n_distinct FROM tok GROUP BY skill_id")
@@ -136,14 +135,14 @@ def token_counts(spark, sf):
 
 @_query(f"WITH {N_SQL}, {TMPL_SQL} SELECT skill_id, o AS override_near, e AS exfil_near FROM flags WHERE o OR e")
 def token_proximity_hits(spark, sf):
-    i = X.intents(F.col("norm"))
+    i = X.intents_of("norm")
     both = F.struct(i["PI-001"].alias("override_near"), i["PI-004"].alias("exfil_near"))
     return _norm(spark, sf).select("skill_id", F.inline(F.filter(F.array(both), lambda b: b.override_near | b.exfil_near)))
 
 
 @_query(f"WITH {N_SQL}, {TMPL_SQL} SELECT skill_id, rule_id FROM tmpl")
 def intent_templates(spark, sf):
-    i = X.intents(F.col("norm"))
+    i = X.intents_of("norm")
     return _norm(spark, sf).select("skill_id", X.each_hit(F.array(*[F.when(c, F.lit(r)) for r, c in i.items()])).alias("rule_id")).where("rule_id IS NOT NULL")
 
 
