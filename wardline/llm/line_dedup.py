@@ -30,6 +30,8 @@ from .labelled import BROADCAST_ROWS
 MIN_POINTS = 10
 #: Bytes of bitmaps that are broadcast at most.
 BROADCAST_BYTES = 1 << 25
+#: Hashed lines of a range partition, about, where the session's number of partitions would give more.
+PARTITION_ROWS = 1 << 23
 _STRIP = " \t\n\x0b\x0c\r"
 
 
@@ -85,9 +87,9 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
     """(__id, __text_key, pos) of each line to drop."""
     spark = docs.sparkSession
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Written first: the partition bounds are sampled from the hashes, and texts are split and hashed once.
     rows = checkpointed(line_hashes(docs, id_col, text_col))
+    n = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1 + rows.count() // PARTITION_ROWS)
     order = ["h1", "h2", "__id", "__text_key", "pos"]
     dealt = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     seen = checkpointed(dealt.mapInArrow(_stream, "h1 long, h2 long, __id long, __text_key long, pos int, state byte, edge boolean"))
