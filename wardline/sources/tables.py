@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -36,32 +37,44 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-#: Tables written within ``working_tables``, innermost last.
-_WITHIN: list[list[str]] = []
+#: Each thread's tables written within ``working_tables``, innermost last: queries side by side on one driver don't delete each other's.
+_OWN = threading.local()
+
+
+def _within() -> list[list[str]]:
+    if not hasattr(_OWN, "tables"):
+        _OWN.tables = []
+    return _OWN.tables
+
+
+def working_folder(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends, or with ``working_tables`` around it."""
+    path = f"{shared_folder(spark)}/wardline-{uuid.uuid4().hex}"
+    _at(spark, path, lambda fs, at: (fs.mkdirs(at), fs.deleteOnExit(at)))
+    if _within():
+        _within()[-1].append(path)
+    return path
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a table in the shared folder, computed once; it goes when the application ends, or with ``working_tables`` around it."""
+    """Cuts lineage with a table in the shared folder, computed once; it goes like other ``working_folder`` ones."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/wardline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _at(spark, path, lambda fs, at: fs.deleteOnExit(at))
-    if _WITHIN:
-        _WITHIN[-1].append(path)
+    path = working_folder(spark)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def working_tables(spark: SparkSession, keep: int = 0) -> Iterator[None]:
     """Deletes at its end the tables that were written within it, but for the last ``keep``, which pass to what is around it."""
-    _WITHIN.append([])
+    _within().append([])
     try:
         yield
     finally:
-        own = _WITHIN.pop()
+        own = _within().pop()
         gone = own[: len(own) - keep]
-        if _WITHIN:
-            _WITHIN[-1].extend(own[len(gone) :])
+        if _within():
+            _within()[-1].extend(own[len(gone) :])
         for path in gone:
             _at(spark, path, lambda fs, at: fs.delete(at, True))
 
