@@ -101,3 +101,28 @@ def _arrow_type(kind: T.DataType) -> pa.DataType:
 def unpack_row(df: DataFrame, *more: str) -> DataFrame:
     """The columns of the original row, then the added ones named in ``more``."""
     return df.select("row.*", *more)
+
+
+#: Rows of a looked-up side that is broadcast, after its rows were counted.
+BROADCAST_ROWS = 1_000_000
+#: A key is hot if it holds more than one in so many of the rows; no more keys than that can.
+HOT_KEYS = 10_000
+
+
+def look_up(rows: DataFrame, found: DataFrame, key: str, value: str, salt: list[str], most: int = BROADCAST_ROWS, hot_keys: int = HOT_KEYS) -> DataFrame:
+    """``rows`` with the ``value`` that ``found`` (key, value, n) has for their key, else null; ``n`` is how many rows have the key. No key is null.
+
+    A ``found`` of few rows is broadcast. Of a larger one only hot keys are; their rows then take no part in the
+    shuffle by key: they go wherever their salted key, which nothing equals, sends them.
+    """
+    found = found.select(key, value, "n")
+    size, total = found.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if size <= most:
+        return rows.join(F.broadcast(found.drop("n")), key, "left")
+    is_hot = F.col("n") * hot_keys > total
+    hot = found.where(is_hot).select(F.col(key).alias("__hot"), F.col(value).alias("__value"))
+    cold = found.where(~is_hot).select(F.struct(F.col(key).alias("k"), F.lit(-1).cast("long").alias("salt")).alias("__key"), value)
+    marked = rows.join(F.broadcast(hot), F.col(key) == F.col("__hot"), "left")
+    at = F.struct(F.col(key).alias("k"), F.when(F.col("__hot").isNull(), F.lit(-1)).otherwise(F.abs(F.xxhash64(*salt) % 4096)).cast("long").alias("salt"))
+    out = marked.withColumn("__key", at).join(cold, "__key", "left")
+    return out.select(*rows.columns, F.coalesce("__value", value).alias(value))

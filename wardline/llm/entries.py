@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, line_dedup, lm_scoring, oracles, quality_gam, quality_rules, sentencepiece_trie, simhash, toxicity_cnn, url_filters
+from ..sources.tables import working_folder
+from . import decontaminate, filter_audit, license_scan, line_dedup, lm_scoring, oracles, quality_gam, quality_rules, sentencepiece_trie, simhash, toxicity_cnn, url_filters, vector_codes, warc
 from .common import table
 
 
@@ -55,6 +56,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), working_folder(spark))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -68,6 +81,9 @@ QUERIES = {
         op8_license_scan,
         op9_decontamination,
         op10_simhash,
+        op11_warc,
+        op12_filter_audit,
+        op13_vector_codes,
     )
 }
 ORACLES = oracles.SQL

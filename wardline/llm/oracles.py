@@ -5,6 +5,7 @@ from __future__ import annotations
 from .license_scan import K, MAX_GAP, MIN_COVERAGE, templates
 from .lm_scoring import ALPHA, MU
 from .url_filters import SITE_RULES, WORD_RULES
+from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -126,6 +127,66 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)"""
 
+OP11 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+f AS (SELECT h, min(page_id) AS first_id FROM p WHERE strlen(h) >= 100 GROUP BY h),
+m AS (SELECT page_id, p.h, CASE WHEN first_id IS NOT NULL AND page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to FROM p LEFT JOIN f ON p.h = f.h)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM m"""
+
+
+def op12() -> str:
+    at = ", ".join(f"CASE WHEN contains(fails, '{f}') THEN strpos(filter_order, '{f}') ELSE 6 END" for f in "ABCDE")
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_BARE}) AS w FROM documents),
+m AS (SELECT t, min(doc_id) AS first_id FROM d GROUP BY t),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * length(regexp_replace(d.t, '[^A-Z]', '', 'g')) > 5 * length(d.t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(d.t, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN first_id < d.doc_id THEN 'E' ELSE '' END AS fails
+  FROM d JOIN m ON d.t = m.t LEFT JOIN l ON d.doc_id = l.doc_id),
+c(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT c1.x || c2.x || c3.x || c4.x || c5.x AS filter_order FROM c c1, c c2, c c3, c c4, c c5
+  WHERE c2.x <> c1.x AND c3.x NOT IN (c1.x, c2.x) AND c4.x NOT IN (c1.x, c2.x, c3.x) AND c5.x NOT IN (c1.x, c2.x, c3.x, c4.x)),
+r AS (SELECT part, good, toxic, fails, filter_order, least({at}) AS first FROM f, o),
+s AS (SELECT *, substr(filter_order, step, 1) AS own FROM (SELECT *, unnest([1, 2, 3, 4, 5]) AS step FROM r)),
+g AS (
+  SELECT part, filter_order, step::INT AS step, own, count(*) FILTER (first > step) AS kept, count(*) FILTER (first = step) AS removed,
+         count(*) FILTER (contains(fails, own) AND first < step) AS redundant, count(*) FILTER (fails = own) AS unique_fails,
+         count(*) FILTER (first = step AND good) AS good_lost, count(*) FILTER (first = step AND toxic) AS toxic_lost
+  FROM s GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM g"""
+
+
+def op13(width: int = 4) -> str:
+    """For vectors of 16 parts of ``width`` components."""
+    each = range(1, width + 1)
+    dist = " + ".join(f"(x[{i}] - c[{i}]) * (x[{i}] - c[{i}])" for i in each)
+    #: The smallest distance * 64 + index is the nearest entry, and the first of equal ones.
+    near = f"SELECT r, p.part, min(({dist}) * {ENTRIES} + e) AS m FROM p JOIN {{0}} c ON p.part = c.part GROUP BY r, p.part"
+    mean = ", ".join(f"(sum(x[{i}]) - ((sum(x[{i}]) % count(*)) + count(*)) % count(*))::BIGINT // count(*)" for i in each)
+    steps = ""
+    for k in range(ROUNDS):
+        steps += f"""
+a{k} AS ({near.format(f"c{k}")}),
+n{k} AS (SELECT p.part, m % {ENTRIES} AS e, [{mean}] AS c FROM a{k} JOIN p ON a{k}.r = p.r AND a{k}.part = p.part GROUP BY p.part, m % {ENTRIES}),
+c{k + 1} AS (SELECT o.part, o.e, coalesce(n.c, o.c) AS c FROM c{k} o LEFT JOIN n{k} n ON o.part = n.part AND o.e = n.e),"""
+    entry = " || ',' || ".join(f"c[{i}]" for i in each)
+    digits = "'0123456789abcdef'"
+    return f"""
+WITH k AS (
+  SELECT row_number() OVER () AS r, vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * {SCALE})::BIGINT) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, vec_id, v, j AS part, list_slice(v, j * {width} + 1, (j + 1) * {width}) AS x FROM (SELECT *, unnest(range({PARTS})) AS j FROM k)),
+c0 AS (SELECT part, e, x AS c FROM (SELECT part, x, row_number() OVER (PARTITION BY part ORDER BY vec_id NULLS LAST, v) - 1 AS e FROM p) WHERE e < {ENTRIES}),{steps}
+z AS ({near.format(f"c{ROUNDS}")}),
+w AS (SELECT r, string_agg(substr({digits}, (m % {ENTRIES} // 16 + 1)::INT, 1) || substr({digits}, (m % 16 + 1)::INT, 1), '' ORDER BY part) AS code, sum(m // {ENTRIES})::BIGINT AS error FROM z GROUP BY r),
+h AS (SELECT sha256(string_agg({entry}, ',' ORDER BY part, e)) AS codebooks_sha256 FROM c{ROUNDS})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM w JOIN k USING (r), h"""
+
+
 SQL = {
     "op1_lm_scoring": OP1,
     "op4_quality_rules": OP4,
@@ -133,4 +194,7 @@ SQL = {
     "op7_url_filters": op7(),
     "op8_license_scan": op8(),
     "op9_decontamination": OP9,
+    "op11_warc": OP11,
+    "op12_filter_audit": op12(),
+    "op13_vector_codes": op13(),
 }
