@@ -104,7 +104,7 @@ def unpack_row(df: DataFrame, *more: str) -> DataFrame:
 
 
 #: Rows of a looked-up side that is broadcast, after its rows were counted.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 #: A key is hot if it holds more than one in so many of the rows; no more keys than that can.
 HOT_KEYS = 10_000
 
