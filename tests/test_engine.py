@@ -263,9 +263,9 @@ def test_files_of_any_length_are_read(spark, tmp_path):
 def test_console_shows_every_row(spark, capsys):
     verdicts = spark.range(60).selectExpr("format_string('s%02d', id) AS skill_id", "if(id = 59, 'BLOCK', if(id = 58, 'WARN', 'SAFE')) AS verdict", "0.5D AS fused_risk_score", "0.5D AS confidence", "4L AS n_findings", "array('L1') AS layers_executed")
     findings = spark.range(240).selectExpr("format_string('s%02d', id div 4) AS skill_id", "1 AS layer", "id AS ord", "concat('R', id) AS rule_id", "'LOW' AS severity", "'v' AS attack_vector", "null AS file_path", "0 AS line_number", "'f' AS field_name", "'' AS snippet")
-    cli.console(verdicts, findings)
+    cli.console(verdicts, findings, spark.createDataFrame([("f", "why", True)], "path string, reason string, failed boolean"))
     lines = capsys.readouterr().out.splitlines()
-    assert len(lines) == 302 and lines[1].startswith("s59 | BLOCK") and lines[2].startswith("s58 | WARN") and lines[60].startswith("s57 | SAFE") and lines[-1].startswith("s59 | L1 | R239")
+    assert len(lines) == 304 and lines[-1] == "f | NOT SCANNED | why" and lines[1].startswith("s59 | BLOCK") and lines[2].startswith("s58 | WARN") and lines[60].startswith("s57 | SAFE") and lines[-3].startswith("s59 | L1 | R239")
 
 
 def test_working_tables_go(spark):

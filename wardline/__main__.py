@@ -3,7 +3,7 @@
 python -m wardline evaluate PATH [--output DIR] [--rules DIR]
 
 scan: every file is a skill, or with --directory-level every folder so many steps below PATH (0: PATH itself). Exit code: 2 if a skill is
-blocked, 1 if the scan fails, 0 otherwise. evaluate: files with expected verdicts against the first layer. Exit code: 0 if recall
+blocked, 1 if the scan fails, if a file that should have been scanned was not, or if nothing was, 0 otherwise. evaluate: files with expected verdicts against the first layer. Exit code: 0 if recall
 and precision reach the gate, 1 otherwise and where nothing is labelled.
 """
 
@@ -22,11 +22,12 @@ from .sources.files import read
 from .sources.tables import written
 
 
-def console(verdicts: DataFrame, findings: DataFrame) -> None:
-    """Prints every skill, the worst verdict first, then every finding; the driver holds a partition at a time."""
+def console(verdicts: DataFrame, findings: DataFrame, rejects: DataFrame) -> None:
+    """Prints every skill, the worst verdict first, then every finding, then what was not scanned; the driver holds a partition at a time."""
     shown = lambda v: "".join(c if c.isprintable() else repr(c)[1:-1] for c in ("" if v is None else str(v)))
     worst_first = reports.summary_line(verdicts).orderBy(F.col("verdict") != "BLOCK", F.desc("verdict"), "skill_id")
-    for rows in (worst_first, reports.console_rows(findings).orderBy("skill_id", "layer", "ord").drop("ord")):
+    left_out = rejects.select("path", F.when(F.col("failed"), "NOT SCANNED").otherwise("skipped").alias("status"), "reason").orderBy(F.desc("status"), "path")
+    for rows in (worst_first, reports.console_rows(findings).orderBy("skill_id", "layer", "ord").drop("ord"), left_out):
         print(" | ".join(rows.columns))
         for r in rows.toLocalIterator():
             print(" | ".join(map(shown, r)))
@@ -71,12 +72,15 @@ def main(argv: list[str] | None = None) -> int:
         out = scan_path(spark, a.path, advisories=table(a.advisories), replies=table(a.replies), trace_rows=table(a.traces), rule_folder=a.rules, keep=written,
                         source_files=a.source_file, source_directory=a.source_directory, directory_level=a.directory_level)
         if a.sarif_out:
-            reports.sarif(out.findings).select("sarif").write.mode("overwrite").text(a.sarif_out)
+            reports.sarif(out.findings).unionByName(reports.sarif_of_rejects(out.rejects)).select("sarif").write.mode("overwrite").text(a.sarif_out)
         if a.json_output:
-            reports.verdict_json(out.verdicts).select("json").write.mode("overwrite").text(a.json_output)
+            reports.verdict_json(out.verdicts).unionByName(reports.reject_json(out.rejects)).select("json").write.mode("overwrite").text(a.json_output)
         if not (a.sarif_out or a.json_output):
-            console(out.verdicts, out.findings)
-        return reports.exit_code(out.verdicts)
+            console(out.verdicts, out.findings, out.rejects)
+        code = reports.exit_code(out.verdicts, out.rejects)
+        if code == 1:
+            print("scan failed: not everything was scanned", file=sys.stderr)
+        return code
     except Exception as e:  # the command's contract: any failure is 1
         print(f"scan failed: {e}", file=sys.stderr)
         return 1

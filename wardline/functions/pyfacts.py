@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import ast
 import math
+import time
 from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-FACTS = "skill_id string, path string, fact_ord int, kind string, name string, line_number int, detail string, length int, entropy double, snippet string"
+#: Every file has a fact of kind "file" besides: ``name`` says why it could not be read whole (else null), ``nanos`` how long it took.
+FACTS = "skill_id string, path string, fact_ord int, kind string, name string, line_number int, detail string, length int, entropy double, snippet string, nanos long"
 TOOLS = "skill_id string, path string, tool_ord int, name string, description string, return_direct boolean"
 
 
@@ -23,29 +25,36 @@ def entropy(text: str) -> float:
 
 
 def dotted(node: ast.AST) -> str | None:
-    """a.b.c of a chain of names; None for anything else."""
-    if isinstance(node, ast.Name):
-        return node.id
-    if isinstance(node, ast.Attribute):
-        head = dotted(node.value)
-        return f"{head}.{node.attr}" if head else None
-    return None
+    """a.b.c of a chain of names, however long; None for anything else."""
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    return ".".join([node.id, *reversed(parts)]) if isinstance(node, ast.Name) else None
+
+
+#: Constants that add up to more are an error of the file: names that double each other would fill any memory.
+MAX_CONSTANT = 1_000_000
 
 
 def constant(node: ast.AST | None, names: dict[str, str] | None = None) -> str | None:
     """The string that an expression of literals adds up to; ``names`` and f-strings only where given."""
-    match node:
-        case ast.Constant(value=str(s)):
-            return s
-        case ast.BinOp(left=a, op=ast.Add(), right=b):
-            parts = [constant(a, names), constant(b, names)]
-        case ast.Name(id=i) if names is not None:
-            return names.get(i)
-        case ast.JoinedStr(values=vs) if names is not None:
-            parts = [v.value if isinstance(v, ast.Constant) and isinstance(v.value, str) else None for v in vs]
-        case _:
-            return None
-    return None if None in parts else "".join(parts)
+    parts, left = [], [node]
+    while left:
+        match left.pop():
+            case ast.Constant(value=str(s)):
+                parts.append(s)
+            case ast.BinOp(left=a, op=ast.Add(), right=b):
+                left += [b, a]
+            case ast.Name(id=i) if names is not None and i in names:
+                parts.append(names[i])
+            case ast.JoinedStr(values=vs) if names is not None:
+                left += vs[::-1]
+            case _:
+                return None
+    if sum(map(len, parts)) > MAX_CONSTANT:
+        raise ValueError("a constant is too long")
+    return "".join(parts)
 
 
 def _mode(call: ast.Call) -> str:
@@ -124,26 +133,57 @@ def tools(source: str) -> Iterator[tuple[str, str, bool]]:
         yield constant(given.get("name"), names) or "unnamed_tool", constant(given.get("description"), names) or "", isinstance(direct, ast.Constant) and direct.value is True
 
 
-def _each(read, schema: str, sources: DataFrame) -> DataFrame:
+#: What a file can do to whoever reads it.
+UNREADABLE = (SyntaxError, ValueError, TypeError, RecursionError, MemoryError)
+
+
+def read(source: str | None, reader) -> tuple[list[tuple], str | None]:
+    """What ``reader`` finds in a source, and why it did not get to its end, if so; what it had found by then counts."""
+    found: list[tuple] = []
+    if source is None:
+        return found, "not valid UTF-8"
+    try:
+        for row in reader(source):
+            found.append(row)
+    except UNREADABLE as e:
+        return found, type(e).__name__
+    return found, None
+
+
+def fact_table(sources: DataFrame) -> DataFrame:
+    """(skill_id, path, content) to facts; the time of a file is taken where it is read."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in schema.split(", ")]
+        names = [c.split()[0] for c in FACTS.split(", ")]
         for b in batches:
             rows = []
             for skill, path, text in zip(b["skill_id"], b["path"], b["content"], strict=True):
-                try:
-                    rows += [(skill, path, i, *r) for i, r in enumerate(read(text))]
-                except (SyntaxError, ValueError, TypeError, RecursionError):
-                    continue  # files that don't parse have no facts
-            yield pd.DataFrame(rows, columns=names)
+                began = time.perf_counter_ns()
+                found, problem = read(text, facts)
+                rows += [(skill, path, i, *r, None) for i, r in enumerate(found)]
+                rows.append((skill, path, -1, "file", problem, None, None, None, None, None, time.perf_counter_ns() - began))
+            yield pd.DataFrame(rows, columns=names).astype({"line_number": "Int32", "length": "Int32", "nanos": "Int64"})
 
-    return sources.select("skill_id", "path", "content").mapInPandas(run, schema)
+    return sources.select("skill_id", "path", "content").mapInPandas(run, FACTS)
 
 
-def fact_table(sources: DataFrame) -> DataFrame:
-    """(skill_id, path, content) to facts."""
-    return _each(facts, FACTS, sources)
+def unread(facts_: DataFrame) -> DataFrame:
+    """(path, reason) of files that could not be read to their end."""
+    return facts_.where("kind = 'file' AND name IS NOT NULL").selectExpr("path", "concat('Python source not read: ', name) AS reason").distinct()
+
+
+def file_times(facts_: DataFrame) -> DataFrame:
+    """(skill_id, nanos): the time that reading a skill's sources took."""
+    return facts_.where("kind = 'file'").groupBy("skill_id").agg({"nanos": "sum"}).withColumnRenamed("sum(nanos)", "nanos")
 
 
 def tool_table(sources: DataFrame) -> DataFrame:
-    """(skill_id, path, content) to the tools defined there."""
-    return _each(tools, TOOLS, sources)
+    """(skill_id, path, content) to the tools defined there; a file that is not read whole is among the facts' ``unread``."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in TOOLS.split(", ")]
+        for b in batches:
+            each = zip(b["skill_id"], b["path"], b["content"], strict=True)
+            yield pd.DataFrame([(skill, path, i, *r) for skill, path, text in each for i, r in enumerate(read(text, tools)[0])], columns=names)
+
+    return sources.select("skill_id", "path", "content").mapInPandas(run, TOOLS)

@@ -189,7 +189,7 @@ def skills_of_files(spark, sf):
 
 @_query(rf"""WITH {FILE_SQL} SELECT path, 'unsupported file type' AS reason FROM fs WHERE ext NOT IN ('.json', '.py', '.md', '.markdown')""")
 def rejected_files(spark, sf):
-    return files.rejects(_files(spark, sf))
+    return files.rejects(_files(spark, sf)).select("path", "reason")
 
 
 _FETCHED = _case(5, "concat('https://github.com/o', page_id, '/r/blob/main/a/B.PY?x=1')", "concat('https://github.com/o', page_id, '/r')", "concat('https://h/', page_id, '.json?q')", "concat('https://h/', page_id)", "concat('https://h/', page_id, '.txt')", of="page_id")

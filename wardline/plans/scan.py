@@ -34,6 +34,8 @@ class Scan:
     findings: DataFrame
     verdicts: DataFrame
     delta: DataFrame
+    rejects: DataFrame  # path, reason, failed: what was not scanned, and whether that is a failure of the scan
+    times: DataFrame  # skill_id, nanos of reading its sources
 
 
 def declared(skills: DataFrame) -> DataFrame:
@@ -47,46 +49,69 @@ def scan_files(files: DataFrame, advisories: DataFrame | None = None, replies: D
     ``given``: source files that count for every skill instead of those found. Files that stand beside a manifest as its implementation, or as its README or change log, belong to it.
     """
     spark = files.sparkSession
+    usable = S.scannable(files)
     impl = S.implementation_files(files)
-    m = S.manifests(files)
-    m = m.join(S.rejected_names(m).select("skill_id"), "skill_id", "left_anti")
-    beside = files.where("ext = '.json'").select("dir").distinct()
+    m = S.manifests(usable)
+    beside = usable.where("ext = '.json'").select("dir").distinct()
     is_side = F.col("name").isin("README.md", "CHANGELOG.md")
-    alone = files.join(impl.select("path"), "path", "left_anti").join(beside.withColumn("side", F.lit(True)), "dir", "left").where(~(is_side & F.coalesce("side", F.lit(False))))
-    skills = m.unionByName(S.python_skills(files.join(alone.select("path"), "path", "left_semi").unionByName(files.where(F.col("name").isin("README.md", "CHANGELOG.md", "requirements.txt"))))).unionByName(S.markdown_skills(alone.select(files.columns)))
+    alone = usable.join(impl.select("path"), "path", "left_anti").join(beside.withColumn("side", F.lit(True)), "dir", "left").where(~(is_side & F.coalesce("side", F.lit(False))))
+    skills = m.unionByName(S.python_skills(usable.join(alone.select("path"), "path", "left_semi").unionByName(usable.where(F.col("name").isin("README.md", "CHANGELOG.md", "requirements.txt"))))).unionByName(S.markdown_skills(alone.select(usable.columns)))
     sources = impl.select(F.col("skill_path").alias("skill_id"), "path").unionByName(alone.where("ext = '.py'").select(F.col("path").alias("skill_id"), "path"))
-    read = S.given_sources(skills, given) if given is not None else sources.join(files.select("path", "content"), "path")
-    return scan(skills, read, S.dependencies(files, skills), advisories, replies, trace_rows, R.rule_table(spark, rule_folder), keep)
+    read = sources.join(usable.select("path", "content"), "path")
+    return scan(skills, read, S.dependencies(usable, skills), advisories, replies, trace_rows, R.rule_table(spark, rule_folder), keep, S.rejects(files), given)
 
 
 def scan_directories(files: DataFrame, advisories: DataFrame | None = None, replies: DataFrame | None = None, trace_rows: DataFrame | None = None, rule_folder: str | None = None, keep: Keep = lazy, given: DataFrame | None = None) -> Scan:
     """Folders as targets (``S.with_target``), each of which is one skill: its manifest, or all its Python files together."""
     spark = files.sparkSession
-    chosen = keep(S.directory_targets(files))
+    usable = S.scannable(files)
+    chosen = keep(S.directory_targets(usable))
     is_json = F.endswith(F.lower("path"), F.lit(".json"))
-    own = files.where(F.col("dir") == F.col("target"))
+    own = usable.where(F.col("dir") == F.col("target"))
     m = S.manifests(own.join(chosen.where(is_json).select("path"), "path", "left_semi").unionByName(own.where("ext <> '.json'")))
-    m = m.join(S.rejected_names(m).select("skill_id"), "skill_id", "left_anti")
     python = chosen.where(~is_json)
     side = own.join(python.select("target").distinct(), "target", "left_semi").where("ext <> '.py'")
-    loose = files.join(python.select("path"), "path", "left_semi")
+    loose = usable.join(python.select("path"), "path", "left_semi")
     skills = m.unionByName(S.directory_skills(loose.unionByName(side)))
-    impl = S.implementation_files(own).join(m.select(F.col("skill_id").alias("skill_path")), "skill_path", "left_semi")
+    impl = S.implementation_files(files.where(F.col("dir") == F.col("target"))).join(m.select(F.col("skill_id").alias("skill_path")), "skill_path", "left_semi")
     sources = impl.select(F.col("skill_path").alias("skill_id"), "path").unionByName(python.select(F.col("target").alias("skill_id"), "path"))
-    read = S.given_sources(skills, given) if given is not None else sources.join(files.select("path", "content"), "path")
+    read = sources.join(usable.select("path", "content"), "path")
     stated = S.requirements.from_manifest(m.select("skill_id", "raw"))
     near = S.sidecars(side).where("requirements_text IS NOT NULL").select(F.col("dir").alias("skill_id"), F.col("requirements_text").alias("text"))
-    return scan(skills, read, stated.unionByName(S.requirements.from_text(near)), advisories, replies, trace_rows, R.rule_table(spark, rule_folder), keep)
+    refused = S.rejects(files).unionByName(S.empty_targets(files).withColumn("failed", F.lit(True)))
+    return scan(skills, read, stated.unionByName(S.requirements.from_text(near)), advisories, replies, trace_rows, R.rule_table(spark, rule_folder), keep, refused, given)
 
 
-def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisories: DataFrame | None, replies: DataFrame | None, trace_rows: DataFrame | None, rules: DataFrame, keep: Keep = lazy) -> Scan:
+def of_named_sources(own: DataFrame, given: DataFrame, keep: Keep = lazy) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """Facts of source files that count for every skill, read once.
+
+    What code does to a skill depends on the permissions it declares alone, of which there are few sets. So facts meet those sets,
+    each of which stands for its skills: (facts by set, permissions by set, and what takes rows of a set to its skills, by key).
+    """
+    facts = keep(pyfacts.fact_table(given.where("ext = '.py'").select(F.lit("").alias("skill_id"), "path", "content")))
+    held = F.array_sort("permissions")
+    member = keep(own.select("skill_id", F.array_join(held, ",").alias("set_id"), held.alias("permissions")))
+    sets = member.select(F.col("set_id").alias("skill_id"), "permissions").distinct()  # subsets of a fixed list
+    by_set = facts.drop("skill_id").crossJoin(F.broadcast(sets.select("skill_id")))
+    return by_set, sets, lambda rows: member.select("skill_id", "set_id").join(rows.withColumnRenamed("skill_id", "set_id"), "set_id").drop("set_id")
+
+
+def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisories: DataFrame | None, replies: DataFrame | None, trace_rows: DataFrame | None, rules: DataFrame, keep: Keep = lazy, rejects: DataFrame | None = None, given: DataFrame | None = None) -> Scan:
+    """``rejects``: files that were left out before; sources that cannot be read to their end join them. A skill that is such a source has no verdict."""
+    skills, dependencies = keep(skills.drop("raw")), keep(dependencies)
     fields = S.text_fields(skills)
-    own = keep(declared(skills))
-    facts = keep(pyfacts.fact_table(sources))
+    own = declared(skills)
+    if given is None:
+        facts, by, to_skills = keep(pyfacts.fact_table(sources)), own, lazy
+    else:
+        facts, by, to_skills = of_named_sources(own, given, keep)
+    unread = pyfacts.unread(facts).withColumn("failed", F.lit(True))
+    rejects = keep(unread if rejects is None else rejects.unionByName(unread))
     used = code.exercised(facts).groupBy("skill_id").agg(F.array_sort(F.collect_set("permission")).alias("exercised"))
     none = F.array().cast("array<string>")
-    delta = keep(code.permission_delta(own.join(used, "skill_id", "left").select("skill_id", F.col("permissions").alias("declared"), F.coalesce("exercised", none).alias("exercised"))))
-    first = textual.findings(fields).unionByName(textual.dynamic_tools(skills)).unionByName(deps.findings(dependencies, advisories)).unionByName(code.findings(facts, own)).unionByName(code.delta_findings(delta))
+    compared = to_skills(by.join(used, "skill_id", "left").select("skill_id", F.col("permissions").alias("declared"), F.coalesce("exercised", none).alias("exercised")))
+    delta = code.permission_delta(compared)
+    first = textual.findings(fields).unionByName(textual.dynamic_tools(skills)).unionByName(deps.findings(dependencies, advisories)).unionByName(to_skills(code.findings(facts, by))).unionByName(code.delta_findings(delta))
     found = scoring.dedup(first)
     parsed = lt = None
     if replies is not None:
@@ -98,7 +123,7 @@ def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisor
         lt = trace_rows.join(own.withColumnRenamed("permissions", "declared"), "skill_id", "left").withColumn("declared", F.coalesce("declared", none))
         found = found.unionByName(traces.findings(lt))
     found = keep(scoring.enrich(found, rules))
-    l1 = scoring.layer1(skills, found, code.flags(facts, own), deps.counts(dependencies, advisories))
+    l1 = scoring.layer1(skills, found, to_skills(code.flags(facts, by)), deps.counts(dependencies, advisories))
     l2 = l3 = None
     if parsed is not None:
         critical = delta.select("skill_id", (F.size("under_declared") > 0).alias("permission_delta_critical"))
@@ -108,8 +133,9 @@ def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisor
         l2 = scoring.layer2(skills, found, per)
     if lt is not None:
         l3 = scoring.layer3(lt, found)
-    verdicts = keep(scoring.fuse(l1, l2, l3).join(skills.select("skill_id", "skill_name", "framework"), "skill_id"))
-    return Scan(skills, fields, dependencies, found, verdicts, delta)
+    told = scoring.fuse(l1, l2, l3).join(skills.select("skill_id", "skill_name", "framework"), "skill_id")
+    verdicts = keep(told.join(rejects.where("failed").select(F.col("path").alias("skill_id")).distinct(), "skill_id", "left_anti"))
+    return Scan(skills, fields, dependencies, found, verdicts, delta, rejects, to_skills(pyfacts.file_times(facts)))
 
 
 def scan_path(spark: SparkSession, path: str, source_files: list[str] | None = None, source_directory: str | None = None, directory_level: int | None = None, **kw) -> Scan:

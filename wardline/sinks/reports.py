@@ -43,6 +43,21 @@ def sarif(findings: DataFrame) -> DataFrame:
     return parts.select("skill_id", F.concat(F.lit(head), "results", F.lit("]}]}")).alias("sarif"))
 
 
+def sarif_of_rejects(rejects: DataFrame) -> DataFrame:
+    """(skill_id, sarif): a document for each file that was not scanned, which says so; it is an unsuccessful run if that fails the scan."""
+    note = F.struct(F.when(F.col("failed"), "error").otherwise("note").alias("level"), F.struct(F.col("reason").alias("text")).alias("message"),
+                    F.array(F.struct(F.struct(F.struct(F.col("path").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))).alias("locations"))
+    told = F.to_json(F.struct((~F.col("failed")).alias("executionSuccessful"), F.array(note).alias("toolExecutionNotifications")))
+    head = f'{{"$schema":"{SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"wardline","version":"0.1.0"}}}},"results":[],"invocations":['
+    return rejects.select(F.col("path").alias("skill_id"), F.concat(F.lit(head), told, F.lit("]}]}")).alias("sarif"))
+
+
+def reject_json(rejects: DataFrame) -> DataFrame:
+    """(skill_id, json) like ``verdict_json``: the verdict of a file that was not scanned is ERROR, or SKIPPED if no parser is meant to take it."""
+    verdict = F.when(F.col("failed"), "ERROR").otherwise("SKIPPED").alias("verdict")
+    return rejects.select(F.col("path").alias("skill_id"), F.to_json(F.struct(F.col("path").alias("skill_id"), verdict, "reason")).alias("json"))
+
+
 def verdict_json(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("skill_id", F.to_json(F.struct(*[F.col(c) for c in verdicts.columns])).alias("json"))
 
@@ -80,9 +95,13 @@ def benchmark_json(results: DataFrame, metrics: DataFrame, by_vector: DataFrame)
     return summary.unionByName(vectors).unionByName(fixtures)
 
 
-def exit_code(verdicts: DataFrame) -> int:
-    """2 if anything is blocked, else 0."""
-    return 2 if verdicts.where("verdict = 'BLOCK'").limit(1).count() else 0
+def exit_code(verdicts: DataFrame, rejects: DataFrame | None = None) -> int:
+    """2 if anything is blocked; else 1 if something was not scanned that should have been, or nothing was scanned; else 0."""
+    if verdicts.where("verdict = 'BLOCK'").limit(1).count():
+        return 2
+    if rejects is None:
+        return 0
+    return 1 if rejects.where("failed").limit(1).count() or not verdicts.limit(1).count() else 0
 
 
 def _quoted(c: Column) -> Column:

@@ -17,9 +17,13 @@ KINDS = {".json": "mcp", ".py": "python", ".md": "markdown", ".markdown": "markd
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """(path, dir, name, stem, ext, content) of the files under ``path``, whatever their length; one that Spark cannot hold in a row fails the scan."""
+    """(path, dir, name, stem, ext, content) of the files under ``path``, whatever their length; one that Spark cannot hold in a row fails the scan.
+
+    The content of a file that is not valid UTF-8 is null, which puts it among ``rejects``.
+    """
     f = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return describe(f.select("path", F.decode("content", "UTF-8").alias("content")))
+    text = F.col("content").cast("string")
+    return describe(f.select("path", F.when(F.is_valid_utf8(text), text).alias("content")))
 
 
 def describe(files: DataFrame) -> DataFrame:
@@ -42,10 +46,36 @@ def kind(ext: Column) -> Column:
     return out
 
 
+def _tools(parsed: Column) -> Column:
+    """The tools of a manifest that are objects."""
+    listed = F.try_variant_get(parsed, "$.tools", "array<variant>")
+    return F.filter(F.coalesce(listed, F.expr("array()").cast("array<variant>")), lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT")))
+
+
+def _refused(name: Column) -> Column:
+    return F.rlike(name, F.lit(r"[\n\r<>]")) | (F.length(name) > 128)
+
+
+def refusal(content: Column) -> Column:
+    """Why a JSON file is no manifest that can be scanned, or null."""
+    parsed = F.try_parse_json(content)
+    names = F.transform(_tools(parsed), lambda t: F.coalesce(F.try_variant_get(t, "$.name", "string"), F.lit("")))
+    return F.when(parsed.isNull() | ~F.startswith(F.trim(content, F.lit(" \t\r\n")), F.lit("{")), "not a JSON object").when(F.exists(names, _refused), "tool name not allowed")
+
+
+UNSUPPORTED = "unsupported file type"
+
+
 def rejects(files: DataFrame) -> DataFrame:
-    """Files of a kind that no parser takes, and manifests that are no JSON object."""
-    bad_json = (F.col("ext") == ".json") & (F.expr("try_parse_json(content)").isNull() | ~F.startswith(F.trim("content", F.lit(" \t\r\n")), F.lit("{")))
-    return files.where(kind(F.col("ext")).isNull() | bad_json).select("path", F.when(bad_json, "not a JSON object").otherwise("unsupported file type").alias("reason"))
+    """(path, reason, failed): files that no parser takes. Of a kind that is scanned, that is a failure of the scan; files of other kinds are only listed."""
+    text = kind(F.col("ext")).isNotNull() | (F.col("name") == "requirements.txt")
+    reason = F.when(F.col("content").isNull() & text, "not valid UTF-8").when(kind(F.col("ext")).isNull(), UNSUPPORTED).when(F.col("ext") == ".json", refusal(F.col("content")))
+    return files.select("path", reason.alias("reason")).where("reason IS NOT NULL").withColumn("failed", F.col("reason") != UNSUPPORTED)
+
+
+def scannable(files: DataFrame) -> DataFrame:
+    """Files without those that are ``rejects`` by failure."""
+    return files.where(F.col("content").isNotNull() & ((F.col("ext") != ".json") | refusal(F.col("content")).isNull()))
 
 
 def directory_targets(files: DataFrame) -> DataFrame:
@@ -67,7 +97,7 @@ def sidecars(files: DataFrame) -> DataFrame:
 def implementation_files(files: DataFrame) -> DataFrame:
     """(skill path, source path): Python files that start like the manifest's first two name parts; else all, if it is the only JSON file there."""
     j = files.where("ext = '.json'").withColumn("n_json", F.count(F.lit(1)).over(Window.partitionBy("dir")))
-    j = j.where(F.startswith(F.trim("content", F.lit(" \t\r\n")), F.lit("{")) & F.expr("try_parse_json(content) IS NOT NULL"))  # a broken one has no implementation
+    j = j.where(refusal(F.col("content")).isNull())  # one that is not scanned has no implementation
     m = j.select(F.col("path").alias("skill_path"), "dir", F.array_join(F.slice(F.split("stem", "-"), 1, 2), "-").alias("prefix"), "n_json")
     p = files.where("ext = '.py'").select("dir", "path", "stem")
     both = m.join(p, "dir").withColumn("like", F.startswith("stem", "prefix"))
@@ -87,11 +117,6 @@ def empty_targets(files: DataFrame) -> DataFrame:
     return files.groupBy(F.col("target").alias("path")).agg(F.bool_or(some).alias("some")).where("NOT some").select("path", F.lit("no file to scan in the folder").alias("reason"))
 
 
-def given_sources(skills: DataFrame, files: DataFrame) -> DataFrame:
-    """(skill_id, path, content): source files named by the caller, which count for every skill instead of what stands beside it."""
-    return skills.select("skill_id", F.lit(1).alias("__k")).join(F.broadcast(files.where("ext = '.py'").select("path", "content", F.lit(1).alias("__k"))), "__k").drop("__k")
-
-
 def known_permissions(values: Column) -> Column:
     """Tokens that are permissions; others go without a word."""
     return F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda v: v.isin(*R.PERMISSIONS))
@@ -118,7 +143,6 @@ def manifests(files: DataFrame) -> DataFrame:
             F.lit(False).alias("is_async"),
         )
 
-    objects = F.filter(F.coalesce(got("$.tools", "array<variant>"), F.expr("array()").cast("array<variant>")), lambda v: F.startswith(F.schema_of_variant(v), F.lit("OBJECT")))
     s = m.join(sidecars(files), "dir", "left")
     server = F.nullif(F.trim(got("$.name", "string")), F.lit(""))
     return s.select(
@@ -128,7 +152,7 @@ def manifests(files: DataFrame) -> DataFrame:
         server.alias("server_name"),
         got("$.version", "string").alias("server_version"),
         F.coalesce(got("$.serverCapabilities.tools.listChanged", "boolean"), F.lit(False)).alias("dynamic_tools"),
-        F.transform(objects, tool).alias("tools"),
+        F.transform(_tools(F.col("raw")), tool).alias("tools"),
         "readme_text",
         "changelog_text",
         "raw",
@@ -136,8 +160,7 @@ def manifests(files: DataFrame) -> DataFrame:
 
 
 def rejected_names(skills: DataFrame) -> DataFrame:
-    bad = F.exists("tools", lambda t: F.rlike(t["name"], F.lit(r"[\n\r<>]")) | (F.length(t["name"]) > 128))
-    return skills.where(bad).select("skill_id", F.lit("tool name not allowed").alias("reason"))
+    return skills.where(F.exists("tools", lambda t: _refused(t["name"]))).select("skill_id", F.lit("tool name not allowed").alias("reason"))
 
 
 _TOOL = "array<struct<name:string,description:string,input_schema:string,declared_permissions:array<string>,return_direct:boolean,is_async:boolean>>"
