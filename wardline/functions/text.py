@@ -159,6 +159,26 @@ def variants_udf(texts: pd.Series) -> pd.Series:
     return texts.map(one)
 
 
+#: No decoder changes a text of ASCII characters without these: ``&``, ``\\``, ``%``, twenty characters that base64 or hex may be made of, or the
+#: separators that Python takes for white space and Java does not.
+_PLAIN = r"^[\x00-\x1B\x20-\x7F]*$"
+_MAY_DECODE = r"[&\\%]|[A-Za-z0-9+/]{20}"
+
+
+def is_plain(text: Column) -> Column:
+    """Whether the text is its only variant, and normalised by lower case and white space alone."""
+    return F.rlike(text, F.lit(_PLAIN)) & ~F.rlike(text, F.lit(_MAY_DECODE))
+
+
+def variants_of(text: Column) -> Column:
+    """``variants_udf``, with texts that no decoder changes kept from Python, to which they are nulls."""
+    none = F.lit(None).cast("int")
+    norm = F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
+    own = F.array(F.struct(F.lit(0).alias("ord"), F.lit("raw").alias("label"), norm.alias("norm"), none.alias("b64_from"), none.alias("b64_to")))
+    plain = is_plain(text)
+    return F.when(plain, own).otherwise(variants_udf(F.when(~plain, text)))
+
+
 @F.pandas_udf(T.StringType())
 def package_name_udf(names: pd.Series) -> pd.Series:
     """Names as compared: accents split off, other non-ASCII dropped, lower case, hyphens."""

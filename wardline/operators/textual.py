@@ -20,7 +20,7 @@ _BASE = {r[0]: r[3] for r in R.RULES}
 def with_variants(fields: DataFrame, decode: bool = True) -> DataFrame:
     """Adds ``variants``; without ``decode`` only the text itself, normalised natively."""
     if decode:
-        return fields.withColumn("variants", X.variants_udf("text"))
+        return fields.withColumn("variants", X.variants_of(F.col("text")))
     none = F.lit(None).cast("int")
     return fields.withColumn("variants", F.array(F.struct(F.lit(0).alias("ord"), F.lit("raw").alias("label"), X.normalize_native(F.col("text")).alias("norm"), none.alias("b64_from"), none.alias("b64_to"))))
 
@@ -122,8 +122,23 @@ def hits(fields: DataFrame, decode: bool = True) -> DataFrame:
     return v.select("skill_id", "field_ord", "field_name", F.inline(_found()))
 
 
-def findings(fields: DataFrame, decode: bool = True) -> DataFrame:
-    h = hits(fields, decode)
+def hits_of_copies(fields: DataFrame, decode: bool = True) -> DataFrame:
+    """``hits`` where many fields hold the same text: each distinct text is decoded and matched once, and its hits meet the fields by hash.
+
+    Copies are dropped within tasks before a text is shuffled; fields travel without their texts.
+    """
+    is_name = F.endswith("field_name", F.lit(":name")) | (F.col("field_name") == "mcp_server_name")
+    f = fields.where(F.col("text").isNotNull()).withColumn("text_key", F.concat(F.sha2("text", 256), F.when(is_name, "n").otherwise("t")))
+    one = f.groupBy("text_key").agg(F.first("text").alias("text"))
+    name = F.when(F.endswith("text_key", F.lit("n")), ":name").otherwise("")
+    found = hits(one.select(F.col("text_key").alias("skill_id"), F.lit(0).alias("field_ord"), name.alias("field_name"), "text"), decode)
+    found = found.withColumnRenamed("skill_id", "text_key").drop("field_ord", "field_name")
+    return f.select("skill_id", "field_ord", "field_name", "text_key").join(found, "text_key").drop("text_key")
+
+
+def findings(fields: DataFrame, decode: bool = True, copies: bool = False) -> DataFrame:
+    """``copies``: by ``hits_of_copies``, which says the same."""
+    h = (hits_of_copies if copies else hits)(fields, decode)
     null = F.lit(None).cast("string")
     return h.select(
         "skill_id", F.lit(1).alias("layer"), F.array(F.lit(0), "field_ord", "variant_ord", "stage", "rule_ord").alias("ord"), "rule_id", "confidence", null.alias("file_path"),
