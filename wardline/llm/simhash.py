@@ -36,7 +36,7 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 #: (first bit, bits) of the blocks; two near fingerprints agree in all but RADIUS of them.
 BLOCKS = ((0, 9), (9, 9), (18, 9), (27, 9), (36, 9), (45, 9), (54, 10))
 #: Fingerprints of a bucket that one task compares at once, and those of many buckets that share planes.
-TILE, TOGETHER = 16_384, 65_536
+TILE, TOGETHER = 4_096, 65_536
 #: Planes between two looks at which words are left.
 STEP = 8
 _LANES, _ALL = 64, np.uint64(0xFFFFFFFFFFFFFFFF)
