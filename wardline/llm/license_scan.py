@@ -27,6 +27,8 @@ K = 3
 MAX_GAP = 4
 #: Share of a notice's k-grams that must be found.
 MIN_COVERAGE = 0.8
+#: Length of the arrays that give repeated rows back.
+COPIES_AT_ONCE = 10_000
 #: The template table is broadcast; more k-grams than this are an error of configuration.
 MAX_TEMPLATE_GRAMS = 200_000
 #: Phrases whose every place counts, by label.
@@ -101,14 +103,16 @@ def _hits(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _spans(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     key = ["__id", "__text_key"]
-    # One shuffle: whatever is grouped or ordered below is dealt by the document already.
-    hits = _hits(docs, id_col, text_col).repartition(*key)
+    # Repeats of a row are counted before they meet under their key, which a third of a table may share. After that one shuffle
+    # whatever is grouped or ordered below is dealt by the document already.
+    hits = _hits(docs, id_col, text_col)
+    hits = hits.groupBy(*hits.columns).agg(F.count(F.lit(1)).alias("rows")).repartition(*key)
     order = Window.partitionBy(*key, "t_no").orderBy("diag", "t_pos")
     # Each base diagonal is a place of its own; near diagonals of a notice are one.
     step = F.col("diag") - F.lag("diag").over(order)
     place = F.sum(F.when(step <= F.when(F.col("base"), 0).otherwise(MAX_GAP), 0).otherwise(1)).over(order)
     of = [*key, "t_no", "label", "base", "t_grams", "place"]
-    first = hits.withColumn("place", place).groupBy(*of, "t_pos").agg(F.min("pos").alias("pos"), F.min("diag").alias("diag"), F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("n"))
+    first = hits.withColumn("place", place).groupBy(*of, "t_pos").agg(F.min("pos").alias("pos"), F.min("diag").alias("diag"), F.max("n_words").alias("n_words"), F.sum("rows").alias("n"))
     before = Window.partitionBy(*of).orderBy("t_pos").rowsBetween(Window.unboundedPreceding, -1)
     ordered = first.withColumn("in_order", F.col("pos") > F.coalesce(F.max("pos").over(before), F.lit(-2)))
     spans = ordered.groupBy(*of).agg(F.min("pos").alias("first_word"), F.count_if("in_order").alias("found"), F.max("n_words").alias("n_words"), F.max("n").alias("n"))
@@ -138,5 +142,7 @@ def label(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         F.max(F.when(F.col("t_no") < 0, F.col("n"))).alias("copies"),
     )
     # Rows that are identical met under one key; give each its row back.
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    some = F.lit(COPIES_AT_ONCE)
+    out = out.withColumn("__left", F.explode(F.sequence("copies", F.lit(1).cast("long"), -some.cast("long"))))
+    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.least("__left", some).cast("int"))))
     return out.select(F.expr(f"nullif(__id, {NO_ID})").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
