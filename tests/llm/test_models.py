@@ -67,8 +67,9 @@ def test_lm_counts_every_word_and_bigram(spark):
             one = lambda x: (words[x] + 0.5) / (words.total() + 0.5 * v)  # noqa: B023, E731
             losses.append(-sum(np.log((pairs[a, b] + 20 * one(b)) / (context[a] + 20)) for a, b in zip([None, *w], w)) / max(1, len(w)))
         want[i, len(w)] = losses
-    for size, keys in ((lm_scoring.BLOCK_TOKENS, lm_scoring.PART_KEYS), (20_000, 300_000)):
-        got = lm_scoring.score_corpus(docs, targets, block_tokens=size, part_keys=keys).collect()
+    # One block and part; some of each on one level; on three levels.
+    for size, keys, fan in ((lm_scoring.BLOCK_TOKENS, lm_scoring.PART_KEYS, lm_scoring.FAN), (20_000, 300_000, lm_scoring.FAN), (20_000, 20_000, 4)):
+        got = lm_scoring.score_corpus(docs, targets, block_tokens=size, part_keys=keys, fan=fan).collect()
         assert len(got) == len(rows)
         for r in got:
             t, b = want[r["doc_id"], r["n_tokens"]]
@@ -79,6 +80,17 @@ def test_lm_counts_every_word_and_bigram(spark):
     assert [(r["n_tokens"], r["target_loss"], r["score"]) for r in blank] == [(0, None, 0.0)] * 2
 
 
+def test_lm_sends_as_much_a_bigram_at_any_size():
+    """Rows of a block, as the parts of the corpus grow by a million: few enough to hold many keys each."""
+    r = np.random.default_rng(1)
+    k1, k2 = np.sort(r.integers(0, 2**64, 1 << 19, np.uint64)), r.integers(0, 2**16, 1 << 19).astype(np.uint16)
+    for parts in (1, 10, 100, 10_000, 1_000_000, 16_000_000):
+        spans = lm_scoring._divisors(parts, lm_scoring.FAN)
+        assert spans[-1] == 1 and all(a == b * lm_scoring.FAN for a, b in zip(spans, spans[1:])) and len(spans) <= 3
+        rows = [lm_scoring._packed_pairs(k1[s], k2[s]) for s in lm_scoring._slices(lm_scoring._part(k1, parts) // spans[0])]
+        assert len(rows) <= lm_scoring.FAN and sum(map(len, rows)) / len(k1) < 12
+
+
 def quality_docs(n=400):
     junk = lambda i: " ".join(w + "###" for w in prose(i, 60).split())
     return [prose(i, 60) + "." if i % 4 else junk(i) for i in range(n)]

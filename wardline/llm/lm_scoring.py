@@ -7,7 +7,9 @@ p(w | v) = (n(v w) + MU * p(w)) / (n(v) + MU), where v is the word before, or th
 
 No table of words or bigrams is ever in one place. Documents are cut into blocks of about a million tokens, written once as numbers
 of the block's own words. Each block sends its distinct words and bigrams, with their counts, to be summed in parts, which are ranges of a
-hash, as many as the corpus asks for, and gets the sums back in the order sent. Bigrams travel as 80 bits of
+hash, as many as the corpus asks for, and gets the sums back in the order sent. A block sends to ``FAN`` ranges at most: for more parts than that, the
+blocks of a group are first merged range by range, and what is merged sends on to the parts of its range, in as many levels as it takes. So a
+row holds some thousand keys at any size of the corpus, and what travels grows with the corpus times the levels (three for 16 million parts). Bigrams travel as 80 bits of
 two sums of word hashes, sorted, as the gaps between them: among 10^10 of them any two agree with a chance below 10^-4, and such a pair would only share
 its counts.
 
@@ -37,6 +39,8 @@ from .labelled import join_checked
 BLOCK_TOKENS, BLOCK_CHARS, BLOCK_DOCS = 1 << 20, 1 << 24, 100_000
 #: Keys that a part of the sums receives, about.
 PART_KEYS = 1 << 21
+#: Ranges that a block, or what was merged of some, sends to, and blocks that are merged.
+FAN = 256
 ALPHA, MU = 0.5, 20.0
 #: No word is a line break: it stands for the start of a document.
 START = b"\n"
@@ -167,73 +171,147 @@ _SENT = pa.schema([("part", pa.int64()), ("block", pa.int64()), ("keys", pa.bina
 _SUMS = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("counts", pa.binary()), ("distinct", pa.int64())])
 
 
-def _word_order(hashes: np.ndarray, n_words: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
-    """(part, numbers of the block's words in it); words go to parts below zero, bigrams to the others."""
-    part = -1 - _part(hashes[:, 0], n_words)
+def _divisors(parts: int, fan: int) -> list[int]:
+    """How many parts a range spans on each level, down to one."""
+    out = [1]
+    while parts > out[0] * fan:
+        out.insert(0, out[0] * fan)
+    return out
+
+
+def _word_order(hashes: np.ndarray, n_words: int, span: int) -> list[tuple[int, np.ndarray]]:
+    """(range of parts, numbers of the block's words in it); words go to ranges below zero, bigrams to the others."""
+    part = -1 - _part(hashes[:, 0], n_words) // span
     order = np.argsort(part, kind="stable")
     return [(int(part[order[s.start]]), order[s]) for s in _slices(part[order])]
 
 
-def _send(batches: Iterator[pa.RecordBatch], n_words: int, n_pairs: int) -> Iterator[pa.RecordBatch]:
-    """Blocks to a row for each part: the block's words or bigrams there, with their counts."""
+def _packed_words(words: list[bytes]) -> bytes:
+    return _squeeze(b"\n".join(words))
+
+
+def _packed_pairs(k1: np.ndarray, k2: np.ndarray) -> bytes:
+    """Sorted keys as gaps."""
+    return _pack(np.diff(k1, prepend=np.uint64(0))) + k2.tobytes()
+
+
+def _send(batches: Iterator[pa.RecordBatch], n_words: int, n_pairs: int, word_span: int, pair_span: int) -> Iterator[pa.RecordBatch]:
+    """Blocks to a row for each range of parts: the block's words or bigrams there, with their counts."""
     for batch in batches:
         for i in range(batch.num_rows):
             row = batch.slice(i, 1).to_pylist()[0]
             words = _words(row)
             hashes = _hashes(words)
             by_word = _unpack(row["counts"], np.int64).reshape(4, -1)
-            rows = [(p, row["block"], _squeeze(b"\n".join(words[j] for j in at.tolist())), _pack(by_word[:, at].ravel())) for p, at in _word_order(hashes, n_words)]
+            rows = [(p, row["block"], _packed_words([words[j] for j in at.tolist()]), _pack(by_word[:, at].ravel())) for p, at in _word_order(hashes, n_words, word_span)]
             pairs = _Pairs(row, hashes)
             if len(pairs.k1):
                 own = np.repeat(np.array(row["target"], bool), pairs.length)[pairs.order]
                 n = np.diff(np.append(pairs.first, len(own)))
                 t = np.add.reduceat(own.astype(np.int64), pairs.first)
-                part = _part(pairs.k1, n_pairs)
+                part = _part(pairs.k1, n_pairs) // pair_span
                 for s in _slices(part):
-                    gaps = np.diff(pairs.k1[s], prepend=np.uint64(0))
-                    rows.append((int(part[s.start]), row["block"], _pack(gaps) + pairs.k2[s].tobytes(), _pack(np.concatenate([t[s], n[s]]))))
+                    rows.append((int(part[s.start]), row["block"], _packed_pairs(pairs.k1[s], pairs.k2[s]), _pack(np.concatenate([t[s], n[s]]))))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SENT, strict=True)], schema=_SENT)
 
 
+class _Merged:
+    """The keys of some rows, each once: in the order of the keys where ``sort`` is asked for (bigrams always), with sums of their counts."""
+
+    def __init__(self, sent: pa.Table, sort: bool = False):
+        self.of_words = sent.column("part")[0].as_py() < 0
+        counts = [_unpack(x, np.int64).reshape(4 if self.of_words else 2, -1) for x in sent.column("counts").to_pylist()]
+        self.sizes = [c.shape[1] for c in counts]
+        blobs = sent.column("keys").to_pylist()
+        if self.of_words:
+            each = [_expand(w).split(b"\n") for w in blobs]
+            ids: defaultdict[bytes, int] = defaultdict()
+            ids.default_factory = ids.__len__
+            if sort:
+                ids.update((w, i) for i, w in enumerate(sorted(set().union(*each))))
+            self.key = np.concatenate([np.fromiter(map(ids.__getitem__, w), np.int64, len(w)) for w in each])
+            self.words, self.distinct = list(ids), len(ids)
+        else:
+            k1, k2 = [], []
+            for raw, n in zip(blobs, self.sizes, strict=True):
+                k1.append(np.cumsum(_unpack(raw[: -2 * n], np.uint64), dtype=np.uint64))
+                k2.append(np.frombuffer(raw[-2 * n :], np.uint16))
+            k1, k2 = np.concatenate(k1), np.concatenate(k2)
+            order = np.lexsort((k2, k1))
+            k1, k2 = k1[order], k2[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
+            self.key = np.empty(len(order), np.int64)
+            self.key[order] = np.cumsum(new) - 1
+            self.k1, self.k2, self.distinct = k1[new], k2[new], int(new.sum())
+        self.sums = np.array([np.bincount(self.key, c, self.distinct) for c in np.concatenate(counts, axis=1)]).astype(np.int64)
+
+    def ranges(self, parts: int, span: int) -> list[tuple[int, np.ndarray]]:
+        """(range of parts, numbers of the keys in it)"""
+        if self.of_words:
+            return _word_order(_hashes(self.words), parts, span)
+        part = _part(self.k1, parts) // span
+        return [(int(part[s.start]), np.arange(s.start, s.stop)) for s in _slices(part)]
+
+    def back(self, sent: pa.Table, sums: np.ndarray, distinct: int) -> pa.Table:
+        """``sums`` of all keys as each row asked for them."""
+        packed = [_pack(sums[:, k].ravel()) for k in np.split(self.key, np.cumsum(self.sizes)[:-1])]
+        return pa.Table.from_arrays([sent.column("block"), sent.column("part"), pa.array(packed, pa.binary()), pa.array([distinct] + [0] * (len(packed) - 1), pa.int64())], schema=_SUMS)
+
+
 def _sum(sent: pa.Table) -> pa.Table:
     """The rows of a part to the sums of its keys, for each block in the order in which that sent them."""
-    of_words = sent.column("part")[0].as_py() < 0
-    kinds = 4 if of_words else 2
-    counts = [_unpack(x, np.int64).reshape(kinds, -1) for x in sent.column("counts").to_pylist()]
-    sizes = [c.shape[1] for c in counts]
-    if of_words:
-        ids: defaultdict[bytes, int] = defaultdict()
-        ids.default_factory = ids.__len__
-        key = np.concatenate([np.fromiter(map(ids.__getitem__, _expand(w).split(b"\n")), np.int64, n) for w, n in zip(sent.column("keys").to_pylist(), sizes, strict=True)])
-        distinct = len(ids)
-    else:
-        k1, k2 = [], []
-        for raw, n in zip(sent.column("keys").to_pylist(), sizes, strict=True):
-            k1.append(np.cumsum(_unpack(raw[: -2 * n], np.uint64), dtype=np.uint64))
-            k2.append(np.frombuffer(raw[-2 * n :], np.uint16))
-        k1, k2 = np.concatenate(k1), np.concatenate(k2)
-        order = np.lexsort((k2, k1))
-        k1, k2 = k1[order], k2[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-        key = np.empty(len(order), np.int64)
-        key[order] = np.cumsum(new) - 1
-        distinct = int(new.sum())
-    sums = np.array([np.bincount(key, c, distinct) for c in np.concatenate(counts, axis=1)]).astype(np.int64)
-    packed = [_pack(sums[:, k].ravel()) for k in np.split(key, np.cumsum(sizes)[:-1])]
-    return pa.Table.from_arrays([sent.column("block"), sent.column("part"), pa.array(packed, pa.binary()), pa.array([distinct] + [0] * (len(packed) - 1), pa.int64())], schema=_SUMS)
+    m = _Merged(sent)
+    return m.back(sent, m.sums, m.distinct)
+
+
+_SENT_SQL, _SUMS_SQL = "part long, block long, keys binary, counts binary", "block long, part long, counts binary, distinct long"
+
+
+def _totals(sent: DataFrame, parts: int, spans: list[int], units: int, fan: int) -> DataFrame:
+    """Rows of ``_SENT`` to ``_SUMS``. On all levels but the last, ``fan`` units are merged range by range to a cell, which is a unit of the next level."""
+    if len(spans) == 1:
+        return sent.groupBy("part").applyInArrow(_sum, _SUMS_SQL)
+    groups = -(-units // fan)
+    cells = sent.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(groups)) * (1 << 32) + F.when(F.col("part") < 0, -1 - F.col("part")).otherwise(F.col("part")))
 
+    def merged(rows: pa.Table) -> pa.Table:
+        m, cell = _Merged(rows, sort=True), rows.column("cell")[0].as_py()
+        out = []
+        for part, at in m.ranges(parts, spans[1]):
+            keys = _packed_words([m.words[j] for j in at.tolist()]) if m.of_words else _packed_pairs(m.k1[at], m.k2[at])
+            out.append((part, cell, keys, _pack(m.sums[:, at].ravel())))
+        return pa.Table.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True), _SENT, strict=True)], schema=_SENT)
 
-def score_corpus(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, part_keys: int = PART_KEYS) -> DataFrame:
+    def given_back(rows: pa.Table, sums: pa.Table) -> pa.Table:
+        m = _Merged(rows, sort=True)
+        got = dict(zip(sums.column("part").to_pylist(), sums.column("counts").to_pylist(), strict=True))
+        total = np.zeros_like(m.sums)
+        for part, at in m.ranges(parts, spans[1]):
+            total[:, at] = _unpack(got[part], np.int64).reshape(len(total), -1)
+        return m.back(rows, total, sum(sums.column("distinct").to_pylist()))
+
+    up = checkpointed(cells.groupBy("cell").applyInArrow(merged, _SENT_SQL))
+    sums = _totals(up, parts, spans[1:], groups, fan)
+    return cells.groupBy("cell").cogroup(sums.groupBy("block")).applyInArrow(given_back, _SUMS_SQL)
+
+
+def score_corpus(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, part_keys: int = PART_KEYS, fan: int = FAN) -> DataFrame:
     """doc_id, n_tokens, target_loss, background_loss, score of the documents by models of all their words and bigrams."""
     small_batches(docs.sparkSession)
     blocks = checkpointed(with_target(docs, targets, id_col, text_col).mapInArrow(lambda batches: _blocks(batches, block_tokens), _BLOCK_SQL))
-    n_t, n_b, start_t, start_b, held = (x or 0 for x in blocks.agg(*(F.sum(c) for c in ("n_t", "n_b", "start_t", "start_b", "n_words"))).first())
+    n_t, n_b, start_t, start_b, held, n_blocks = (x or 0 for x in blocks.agg(*(F.sum(c) for c in ("n_t", "n_b", "start_t", "start_b", "n_words")), F.count(F.lit(1))).first())
     # A distinct word costs a part more than a bigram does.
     n_words, n_pairs = 1 + held * 4 // part_keys, 1 + n_b // part_keys
-    sent = blocks.select("block", "tokens", "target", "length", "words", "n_words", "counts").mapInArrow(lambda batches: _send(batches, n_words, n_pairs), "part long, block long, keys binary, counts binary")
-    sums = checkpointed(sent.groupBy("part").applyInArrow(_sum, "block long, part long, counts binary, distinct long"))
+    word_spans, pair_spans = _divisors(n_words, fan), _divisors(n_pairs, fan)
+    sent = blocks.select("block", "tokens", "target", "length", "words", "n_words", "counts").mapInArrow(lambda batches: _send(batches, n_words, n_pairs, word_spans[0], pair_spans[0]), _SENT_SQL)
+    if len(word_spans) == len(pair_spans) == 1:
+        sums = checkpointed(sent.groupBy("part").applyInArrow(_sum, _SUMS_SQL))
+    else:
+        sent = checkpointed(sent)
+        of_words = _totals(sent.where("part < 0"), n_words, word_spans, n_blocks, fan)
+        sums = checkpointed(of_words.unionByName(_totals(sent.where("part >= 0"), n_pairs, pair_spans, n_blocks, fan)))
     mass = ALPHA * ((sums.where("part < 0").agg(F.sum("distinct")).first()[0] or 0) + 1)
 
     def judge(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -242,9 +320,9 @@ def score_corpus(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", te
         hashes = _hashes(_words(row))
         pairs = _Pairs(row, hashes)
         by_word, by_pair = np.zeros((4, len(hashes))), np.zeros((2, len(pairs.k1)))
-        for part, at in _word_order(hashes, n_words):
+        for part, at in _word_order(hashes, n_words, word_spans[0]):
             by_word[:, at] = _unpack(got[part], np.int64).reshape(4, -1)
-        part = _part(pairs.k1, n_pairs)
+        part = _part(pairs.k1, n_pairs) // pair_spans[0]
         for s in _slices(part):
             by_pair[:, s] = _unpack(got[int(part[s.start])], np.int64).reshape(2, -1)
         length = pairs.length
