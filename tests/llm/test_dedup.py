@@ -238,3 +238,24 @@ def test_fm_index(text, pattern):
     lo, hi = fm.search(np.array([pattern], np.int64), np.array([len(pattern)], np.int64))
     got = sorted(fm.locate(np.arange(lo[0], hi[0])).tolist()) if hi[0] > lo[0] else []
     assert got == [i for i in range(len(text)) if text[i : i + len(pattern)] == pattern]
+
+
+def test_one_very_long_text(spark):
+    """A text of half a million words beside its copy with one word less, and a benchmark item in its midst."""
+    words = prose(11, 500_000).split()
+    item = " ".join(f"item{i}" for i in range(40))
+    long = " ".join([*words[:250_000], item, *words[250_000:]])
+    docs = spark.createDataFrame([(1, long), (2, long.rsplit(" ", 1)[0]), (3, item), (4, "short")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item, "x", 1)], "item_id long, text string, row string, n_words int")
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"], r["contaminated"]) for r in decontaminate.digest(docs, bench).collect()}
+    assert got == {1: (40, 1, False), 2: (40, 1, False), 3: (40, 1, True), 4: (0, 0, False)}
+    near = {r["doc_id"]: (r["component_id"], r["fingerprint"]) for r in simhash.near_duplicates(docs).collect()}
+    assert near[1][0] == near[2][0] == 1 and near[3][0] == 3 and near[1][1] == f"{simhash.fingerprint(long):016x}"
+
+
+def test_cut_and_clean_with_clashing_names(spark):
+    item = " ".join(f"item{i}" for i in range(15))
+    docs = spark.createDataFrame([(1, f"before {item} after", "r", [1], "w"), (2, "plain text", "r", [2], "w")], "doc_id long, text string, row string, spans array<int>, n_words string")
+    bench = spark.createDataFrame([(7, item)], "item_id long, text string")
+    same(decontaminate.cut(docs, bench), [(1, "before  after", "r", [1], "w"), (2, "plain text", "r", [2], "w")], *docs.columns)
+    same(decontaminate.clean(docs, bench), [(2, "plain text", "r", [2], "w")], *docs.columns)

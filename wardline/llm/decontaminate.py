@@ -6,7 +6,7 @@ left out, since no window can stand there. All windows of the benchmark are sear
 once, occurrences are located by sampled suffix positions, and the words they cover are merged into
 removal spans. The documents never move: the whole operator is a map.
 
-The benchmark is a query set, sent to tasks in blocks of bounded size. A task goes through the blocks for each of its shards and holds one of them at
+The benchmark is a query set, whose blocks of bounded size are built in tasks and sent to tasks. A task goes through the blocks for each of its shards and holds one of them at
 a time, so a larger benchmark takes more time and no more memory.
 
 Defined cases: a null or empty text has no words, no hits, and the digest of an empty list; an item
@@ -16,6 +16,7 @@ without words is never found; items of one id are one item, and so are all witho
 
 from __future__ import annotations
 
+import pickle
 import re
 from collections.abc import Iterator
 
@@ -70,19 +71,18 @@ class Windows:
             self.patterns[row, : len(w)] = w
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[list[tuple[str | None, list[bytes]]]]:
-    """Items in blocks, streamed through the driver one partition at a time."""
-    items, size = [], 0
-    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
-    for r in rows.toLocalIterator():
-        words = words_of(r["t"])
-        if size and size + len(r["t"] or "") > block_chars:
-            yield items
-            items, size = [], 0
-        items.append((r["i"], words))
-        size += len(r["t"] or "")
-    if items:
-        yield items
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_chars: int) -> Iterator[Windows]:
+    """Items dealt to blocks by hash, repeats once. Tasks build the windows, and the driver passes one block on at a time."""
+    rows = benchmark.select(F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).distinct()
+    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("i", "t"), F.lit(max(1, -(-chars // block_chars)))))
+
+    def build(items: pa.Table) -> pa.Table:
+        w = Windows([(i, words_of(t)) for i, t in zip(items.column("i").to_pylist(), items.column("t").to_pylist(), strict=True)])
+        return pa.table([pa.array([pickle.dumps(w)], pa.binary())], names=["windows"])
+
+    for r in dealt.groupBy("block").applyInArrow(build, "windows binary").toLocalIterator():
+        yield pickle.loads(r["windows"])
 
 
 def _find(docs: list[np.ndarray], w: Windows) -> list[tuple[list[tuple[int, int]], set[str]]]:
@@ -199,7 +199,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """
     sc = docs.sparkSession.sparkContext
     state = T._parse_datatype_string(f"n_words long, spans {_SPANS}, items array<string>")
-    blocks = [sc.broadcast(Windows(block)) for block in _blocks(benchmark, item_id, item_text, block_chars)]
+    blocks = [sc.broadcast(block) for block in _blocks(benchmark, item_id, item_text, block_chars)]
     return map_texts(docs, state.fields, _searcher(blocks), text_col)
 
 
