@@ -1,5 +1,5 @@
 """python -m wardline scan PATH [--sarif-out DIR] [--json-output DIR] [--advisories P] [--replies P] [--traces P] [--rules DIR]
-                            [--source-file P ...] [--source-directory DIR] [--directory-level N]
+                            [--source-file P ...] [--source-directory DIR] [--directory-level N] [--advisory-dumps DIR] [--packages P]
 python -m wardline evaluate PATH [--output DIR] [--rules DIR]
 
 scan: every file is a skill, or with --directory-level every folder so many steps below PATH (0: PATH itself). Exit code: 2 if a skill is
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 
 from .operators.metrics import passes
 from .plans.scan import Evaluation, evaluate, scan_path
+from .rules import rule_problems
 from .sinks import reports
+from .sources import dumps
 from .sources.files import read
 from .sources.tables import written
 
@@ -40,22 +42,36 @@ def benchmark(done: Evaluation, output: str | None) -> int:
         print("no file with an expected verdict", file=sys.stderr)
         return 1
     print(" | ".join(f"{c} {m[c]}" for c in done.metrics.columns))
+    for r in done.times.toLocalIterator():
+        print(f"reading {r['n']} sources, ms | " + " | ".join(f"{p} {r[p]:.3f}" for p in ("p50", "p95", "p99")))
     for r in done.by_vector.orderBy("vector").toLocalIterator():
         print(" | ".join(str(x) for x in r))
     for r in done.results.where("NOT correct").orderBy("fixture_id").toLocalIterator():
         print(f"{r['fixture_id']} | expected {r['expected_verdict']} | {r['verdict']} | rules {','.join(r['rules_fired']) or '-'}")
     if output:
-        reports.benchmark_json(done.results, done.metrics, done.by_vector).select("json").write.mode("overwrite").text(output)
+        reports.benchmark_json(done.results, done.metrics, done.by_vector, done.times).select("json").write.mode("overwrite").text(output)
     passed = passes(done.metrics).first()
     return 0 if passed["recall_ok"] and passed["precision_ok"] else 1
 
 
+def dumped_advisories(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(advisories, what was left out) of a folder of documents."""
+    docs, large = dumps.documents(spark, folder)
+    return written(dumps.advisories(docs)), dumps.advisory_rejects(docs).unionByName(large)
+
+
+def said(rows: DataFrame, what: str) -> None:
+    """Tells of (path, reason) rows on the error stream."""
+    for r in rows.orderBy(*rows.columns).toLocalIterator():
+        print(f"{what}: {r[0]}: {r[1]}", file=sys.stderr)
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="wardline")
     sub = p.add_subparsers(dest="command", required=True)
     s = sub.add_parser("scan")
     s.add_argument("path")
-    for o in ("--sarif-out", "--json-output", "--advisories", "--replies", "--traces", "--rules", "--source-directory"):
+    for o in ("--sarif-out", "--json-output", "--advisories", "--replies", "--traces", "--rules", "--source-directory", "--advisory-dumps", "--packages"):
         s.add_argument(o)
     s.add_argument("--source-file", action="append")
     s.add_argument("--directory-level", type=int)
@@ -69,7 +85,14 @@ def main(argv: list[str] | None = None) -> int:
         if a.command == "evaluate":
             return benchmark(evaluate(read(spark, a.path), a.rules, written), a.output)
         table = lambda path: spark.read.parquet(path) if path else None
-        out = scan_path(spark, a.path, advisories=table(a.advisories), replies=table(a.replies), trace_rows=table(a.traces), rule_folder=a.rules, keep=written,
+        advisories = table(a.advisories)
+        if a.advisory_dumps:
+            found, left_out = dumped_advisories(spark, a.advisory_dumps)
+            advisories = found if advisories is None else advisories.unionByName(found, allowMissingColumns=True)
+            said(left_out, "advisory document left out")
+        if a.rules:
+            said(rule_problems(spark, a.rules).select("path", "problem"), "rule left out")
+        out = scan_path(spark, a.path, advisories=advisories, packages=table(a.packages), replies=table(a.replies), trace_rows=table(a.traces), rule_folder=a.rules, keep=written,
                         source_files=a.source_file, source_directory=a.source_directory, directory_level=a.directory_level)
         if a.sarif_out:
             reports.sarif(out.findings).unionByName(reports.sarif_of_rejects(out.rejects)).select("sarif").write.mode("overwrite").text(a.sarif_out)

@@ -532,7 +532,8 @@ SELECT skill_id, coalesce(nullif(trim(j->>'$.name'), ''), 'unknown_skill') AS sk
   coalesce(t->>'$.name', 'unnamed_tool') AS tool_name, array_to_string(CASE WHEN len(own) > 0 THEN own ELSE top END, ',') AS permissions FROM k""")
 def parse_manifests(spark, sf):
     s = files.manifests(_manifest_files(spark, sf))
-    return s.select("skill_id", "skill_name", "dynamic_tools", F.explode("tools").alias("t")).select("skill_id", "skill_name", "dynamic_tools", F.col("t.name").alias("tool_name"), F.array_join("t.declared_permissions", ",").alias("permissions"))
+    t = s.select("skill_id", "skill_name", "dynamic_tools", F.explode_outer("tools").alias("t")).where("t IS NOT NULL")
+    return t.select("skill_id", "skill_name", "dynamic_tools", F.col("t.name").alias("tool_name"), F.array_join("t.declared_permissions", ",").alias("permissions"))
 
 
 @_query()

@@ -43,12 +43,8 @@ def declared(skills: DataFrame) -> DataFrame:
     return skills.select("skill_id", F.array_distinct(F.flatten("tools.declared_permissions")).alias("permissions"))
 
 
-def scan_files(files: DataFrame, advisories: DataFrame | None = None, replies: DataFrame | None = None, trace_rows: DataFrame | None = None, rule_folder: str | None = None, keep: Keep = lazy, given: DataFrame | None = None) -> Scan:
-    """Every manifest, Python and Markdown file as a skill of its own.
-
-    ``given``: source files that count for every skill instead of those found. Files that stand beside a manifest as its implementation, or as its README or change log, belong to it.
-    """
-    spark = files.sparkSession
+def taken_apart(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Every manifest, Python and Markdown file as a skill of its own: (skills, their sources, their dependencies, rejects)."""
     usable = S.scannable(files)
     impl = S.implementation_files(files)
     m = S.manifests(usable)
@@ -58,10 +54,20 @@ def scan_files(files: DataFrame, advisories: DataFrame | None = None, replies: D
     skills = m.unionByName(S.python_skills(usable.join(alone.select("path"), "path", "left_semi").unionByName(usable.where(F.col("name").isin("README.md", "CHANGELOG.md", "requirements.txt"))))).unionByName(S.markdown_skills(alone.select(usable.columns)))
     sources = impl.select(F.col("skill_path").alias("skill_id"), "path").unionByName(alone.where("ext = '.py'").select(F.col("path").alias("skill_id"), "path"))
     read = sources.join(usable.select("path", "content"), "path")
-    return scan(skills, read, S.dependencies(usable, skills), advisories, replies, trace_rows, R.rule_table(spark, rule_folder), keep, S.rejects(files), given)
+    return skills, read, S.dependencies(usable, skills), S.rejects(files)
+
+
+def scan_files(files: DataFrame, advisories: DataFrame | None = None, replies: DataFrame | None = None, trace_rows: DataFrame | None = None, rule_folder: str | None = None, keep: Keep = lazy, given: DataFrame | None = None, packages: DataFrame | None = None) -> Scan:
+    """Every manifest, Python and Markdown file as a skill of its own.
+
+    ``given``: source files that count for every skill instead of those found. Files that stand beside a manifest as its implementation, or as its README or change log, belong to it.
+    ``packages`` (name): the known names of a registry, in place of the fixed list.
+    """
+    skills, sources, dependencies, rejects = taken_apart(files)
+    return scan(skills, sources, dependencies, advisories, replies, trace_rows, R.rule_table(files.sparkSession, rule_folder), keep, rejects, given, packages)
 
 
-def scan_directories(files: DataFrame, advisories: DataFrame | None = None, replies: DataFrame | None = None, trace_rows: DataFrame | None = None, rule_folder: str | None = None, keep: Keep = lazy, given: DataFrame | None = None) -> Scan:
+def scan_directories(files: DataFrame, advisories: DataFrame | None = None, replies: DataFrame | None = None, trace_rows: DataFrame | None = None, rule_folder: str | None = None, keep: Keep = lazy, given: DataFrame | None = None, packages: DataFrame | None = None) -> Scan:
     """Folders as targets (``S.with_target``), each of which is one skill: its manifest, or all its Python files together."""
     spark = files.sparkSession
     usable = S.scannable(files)
@@ -79,7 +85,7 @@ def scan_directories(files: DataFrame, advisories: DataFrame | None = None, repl
     stated = S.requirements.from_manifest(m.select("skill_id", "raw"))
     near = S.sidecars(side).where("requirements_text IS NOT NULL").select(F.col("dir").alias("skill_id"), F.col("requirements_text").alias("text"))
     refused = S.rejects(files).unionByName(S.empty_targets(files).withColumn("failed", F.lit(True)))
-    return scan(skills, read, stated.unionByName(S.requirements.from_text(near)), advisories, replies, trace_rows, R.rule_table(spark, rule_folder), keep, refused, given)
+    return scan(skills, read, stated.unionByName(S.requirements.from_text(near)), advisories, replies, trace_rows, R.rule_table(spark, rule_folder), keep, refused, given, packages)
 
 
 def of_named_sources(own: DataFrame, given: DataFrame, keep: Keep = lazy) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -96,7 +102,7 @@ def of_named_sources(own: DataFrame, given: DataFrame, keep: Keep = lazy) -> tup
     return by_set, sets, lambda rows: member.select("skill_id", "set_id").join(rows.withColumnRenamed("skill_id", "set_id"), "set_id").drop("set_id")
 
 
-def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisories: DataFrame | None, replies: DataFrame | None, trace_rows: DataFrame | None, rules: DataFrame, keep: Keep = lazy, rejects: DataFrame | None = None, given: DataFrame | None = None) -> Scan:
+def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisories: DataFrame | None, replies: DataFrame | None, trace_rows: DataFrame | None, rules: DataFrame, keep: Keep = lazy, rejects: DataFrame | None = None, given: DataFrame | None = None, packages: DataFrame | None = None) -> Scan:
     """``rejects``: files that were left out before; sources that cannot be read to their end join them. A skill that is such a source has no verdict."""
     skills, dependencies = keep(skills.drop("raw")), keep(dependencies)
     fields = S.text_fields(skills)
@@ -111,7 +117,7 @@ def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisor
     none = F.array().cast("array<string>")
     compared = to_skills(by.join(used, "skill_id", "left").select("skill_id", F.col("permissions").alias("declared"), F.coalesce("exercised", none).alias("exercised")))
     delta = code.permission_delta(compared)
-    first = textual.findings(fields).unionByName(textual.dynamic_tools(skills)).unionByName(deps.findings(dependencies, advisories)).unionByName(to_skills(code.findings(facts, by))).unionByName(code.delta_findings(delta))
+    first = textual.findings(fields).unionByName(textual.dynamic_tools(skills)).unionByName(deps.findings(dependencies, advisories, packages)).unionByName(to_skills(code.findings(facts, by))).unionByName(code.delta_findings(delta))
     found = scoring.dedup(first)
     parsed = lt = None
     if replies is not None:
@@ -123,7 +129,7 @@ def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisor
         lt = trace_rows.join(own.withColumnRenamed("permissions", "declared"), "skill_id", "left").withColumn("declared", F.coalesce("declared", none))
         found = found.unionByName(traces.findings(lt))
     found = keep(scoring.enrich(found, rules))
-    l1 = scoring.layer1(skills, found, to_skills(code.flags(facts, by)), deps.counts(dependencies, advisories))
+    l1 = scoring.layer1(skills, found, to_skills(code.flags(facts, by)), deps.counts(dependencies, advisories, packages))
     l2 = l3 = None
     if parsed is not None:
         critical = delta.select("skill_id", (F.size("under_declared") > 0).alias("permission_delta_critical"))
@@ -150,9 +156,10 @@ def scan_path(spark: SparkSession, path: str, source_files: list[str] | None = N
 
 @dataclass
 class Evaluation:
-    results: DataFrame  # skill_id, fixture_id, expected_verdict, attack_vectors, rules_expected, verdict, rules_fired, correct
+    results: DataFrame  # skill_id, fixture_id, expected_verdict, attack_vectors, rules_expected, verdict, rules_fired, correct, read_ms
     metrics: DataFrame
     by_vector: DataFrame
+    times: DataFrame  # n, p50, p95, p99 of read_ms: sources read in the tasks; of Markdown files and manifests without sources there is none
 
 
 def evaluate(files: DataFrame, rule_folder: str | None = None, keep: Keep = lazy) -> Evaluation:
@@ -161,5 +168,7 @@ def evaluate(files: DataFrame, rule_folder: str | None = None, keep: Keep = lazy
     fired = out.findings.groupBy("skill_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("layer", "ord", "rule_id"))), lambda x: x.rule_id).alias("rules_fired"))
     r = S.labels(files).join(out.verdicts.select("skill_id", "verdict"), "skill_id", "left").join(fired, "skill_id", "left")
     r = r.withColumns({"verdict": F.coalesce("verdict", F.lit("ERROR")), "rules_fired": F.coalesce("rules_fired", F.array().cast("array<string>"))})
+    r = r.join(out.times, "skill_id", "left").withColumn("read_ms", F.col("nanos") / 1e6).drop("nanos")
     r = keep(r.withColumn("correct", F.col("verdict") == F.col("expected_verdict")))
-    return Evaluation(r, keep(metrics.confusion(r)), metrics.by_vector(r))
+    timed = r.where("read_ms IS NOT NULL").withColumn("of", F.lit("sources"))
+    return Evaluation(r, keep(metrics.confusion(r)), metrics.by_vector(r), metrics.index_percentiles(timed, "read_ms", "of").drop("of"))

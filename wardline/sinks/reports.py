@@ -78,8 +78,8 @@ def summary_line(verdicts: DataFrame) -> DataFrame:
     return verdicts.select("skill_id", "verdict", line.alias("line"))
 
 
-def benchmark_json(results: DataFrame, metrics: DataFrame, by_vector: DataFrame) -> DataFrame:
-    """The evaluation as JSON lines: a summary, a line for each attack vector, and one for each labelled file; (kind, key, json)."""
+def benchmark_json(results: DataFrame, metrics: DataFrame, by_vector: DataFrame, times: DataFrame) -> DataFrame:
+    """The evaluation as JSON lines: a summary, the times of reading sources, a line for each attack vector, and one for each labelled file; (kind, key, json)."""
     total = results.agg(F.count(F.lit(1)).alias("total_fixtures"), F.count_if(F.col("verdict") == "ERROR").alias("errors"))
     rate = lambda c: F.round(c, 4).alias(c)
     met = F.struct((F.col("precision") >= PRECISION).alias("precision"), (F.col("recall") >= RECALL).alias("recall"))
@@ -90,9 +90,10 @@ def benchmark_json(results: DataFrame, metrics: DataFrame, by_vector: DataFrame)
     )).alias("json"))
     vectors = by_vector.select(F.lit("attack_vector").alias("kind"), F.col("vector").alias("key"), F.to_json(F.struct("vector", *map(rate, ("precision", "recall", "f1")), "tp", "fn")).alias("json"))
     fixtures = results.select(F.lit("fixture").alias("kind"), F.col("fixture_id").alias("key"), F.to_json(F.struct(
-        F.col("fixture_id").alias("id"), F.col("skill_id").alias("path"), F.col("expected_verdict").alias("expected"), F.col("verdict").alias("actual"), "correct", "rules_expected", "rules_fired",
+        F.col("fixture_id").alias("id"), F.col("skill_id").alias("path"), F.col("expected_verdict").alias("expected"), F.col("verdict").alias("actual"), "correct", "rules_expected", "rules_fired", F.round("read_ms", 3).alias("read_ms"),
     )).alias("json"))
-    return summary.unionByName(vectors).unionByName(fixtures)
+    spent = times.select(F.lit("read_ms").alias("kind"), F.lit("").alias("key"), F.to_json(F.struct("n", *[F.round(p, 3).alias(p) for p in ("p50", "p95", "p99")])).alias("json"))
+    return summary.unionByName(spent).unionByName(vectors).unionByName(fixtures)
 
 
 def exit_code(verdicts: DataFrame, rejects: DataFrame | None = None) -> int:
