@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, checkpointed, look_up
+from .common import BROADCAST_ROWS, checkpointed, look_up, small_batches
 
 MIN_BYTES = 100
 #: Record bytes that close a frame, and compressed bytes that close a bundle. A longer record has a frame to itself.
@@ -192,6 +192,7 @@ def write(rows: DataFrame, folder: str, frame_bytes: int = FRAME_BYTES, bundle_b
         if bundle:
             yield closed(bundle)
 
+    small_batches(rows.sparkSession)
     made = rows.select("page_id", "url", "payload", "n_bytes", "digest", "refers_to").mapInArrow(pack, "content binary")
     # Latin-1 stands for bytes here: the end of a row is the end of the bundle, and a file has one row.
     made.select(F.col("content").cast("string")).write.option("lineSep", END.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).mode("overwrite").text(folder)
