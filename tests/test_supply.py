@@ -107,6 +107,9 @@ def test_look_alikes(spark):
             want.add((n, near[0][1], near[0][0]))
     assert got == want
     assert deps.typosquats(d, known=spark.createDataFrame([], "name string")).count() == 0
+    accents = spark.createDataFrame([("réquèsts",), ("Ｎumpy",), ("nümpyx",), ("日本",)], "name string")
+    got = {tuple(r) for r in deps.typosquats(accents, known=spark.createDataFrame([("requests",), ("numpy",)], "name string")).collect()}
+    assert got == {("numpyx", "numpy", 1)}  # the others are known names once accents and widths are gone
 
 
 def test_look_alikes_agree_with_the_fixed_list(spark):

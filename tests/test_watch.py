@@ -7,7 +7,6 @@ import pytest
 
 from wardline.streaming import rescan
 
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 T0 = datetime(2024, 5, 1, 12)
 
 
@@ -19,7 +18,7 @@ def manifest(*tools, permissions=()):
 def watched(spark, tmp_path):
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
-    spark.conf.set(key, ROCKS)
+    spark.conf.set(key, rescan.STATE_STORE)
     landing = tmp_path / "landing"
 
     def land(*rows, **kw):

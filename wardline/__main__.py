@@ -1,9 +1,11 @@
 """python -m wardline scan PATH [--sarif-out DIR] [--json-output DIR] [--advisories P] [--replies P] [--traces P] [--rules DIR]
-                            [--source-file P ...] [--source-directory DIR] [--directory-level N] [--advisory-dumps DIR] [--packages P]
+                            [--source-file P ...] [--source-directory DIR] [--directory-level N] [--advisory-dumps DIR] [--packages P] [--copies]
 python -m wardline evaluate PATH [--output DIR] [--rules DIR]
+python -m wardline watch LANDING --output DIR --checkpoint DIR [--keep-on]
 
 scan: every file is a skill, or with --directory-level every folder so many steps below PATH (0: PATH itself). Exit code: 2 if a skill is
-blocked, 1 if the scan fails, if a file that should have been scanned was not, or if nothing was, 0 otherwise. evaluate: files with expected verdicts against the first layer. Exit code: 0 if recall
+blocked, 1 if the scan fails, if a file that should have been scanned was not, or if nothing was, 0 otherwise. watch: manifests that land are scanned
+where their list of tools changed; without --keep-on what has landed, once. evaluate: files with expected verdicts against the first layer. Exit code: 0 if recall
 and precision reach the gate, 1 otherwise and where nothing is labelled.
 """
 
@@ -22,6 +24,7 @@ from .sinks import reports
 from .sources import dumps
 from .sources.files import read
 from .sources.tables import written
+from .streaming.rescan import STATE_STORE, watch
 
 
 def console(verdicts: DataFrame, findings: DataFrame, rejects: DataFrame) -> None:
@@ -75,13 +78,23 @@ def main(argv: list[str] | None = None) -> int:
         s.add_argument(o)
     s.add_argument("--source-file", action="append")
     s.add_argument("--directory-level", type=int)
+    s.add_argument("--copies", action="store_true")
     e = sub.add_parser("evaluate")
     e.add_argument("path")
     e.add_argument("--output")
     e.add_argument("--rules")
+    w = sub.add_parser("watch")
+    w.add_argument("landing")
+    w.add_argument("--output", required=True)
+    w.add_argument("--checkpoint", required=True)
+    w.add_argument("--keep-on", action="store_true")
     a = p.parse_args(argv)
     spark = SparkSession.builder.appName("wardline").getOrCreate()
     try:
+        if a.command == "watch":
+            spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+            watch(spark, a.landing, a.output, a.checkpoint, once=not a.keep_on).awaitTermination()
+            return 0
         if a.command == "evaluate":
             return benchmark(evaluate(read(spark, a.path), a.rules, written), a.output)
         table = lambda path: spark.read.parquet(path) if path else None
@@ -93,7 +106,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.rules:
             said(rule_problems(spark, a.rules).select("path", "problem"), "rule left out")
         out = scan_path(spark, a.path, advisories=advisories, packages=table(a.packages), replies=table(a.replies), trace_rows=table(a.traces), rule_folder=a.rules, keep=written,
-                        source_files=a.source_file, source_directory=a.source_directory, directory_level=a.directory_level)
+                        source_files=a.source_file, source_directory=a.source_directory, directory_level=a.directory_level, copies=a.copies)
         if a.sarif_out:
             reports.sarif(out.findings).unionByName(reports.sarif_of_rejects(out.rejects)).select("sarif").write.mode("overwrite").text(a.sarif_out)
         if a.json_output:

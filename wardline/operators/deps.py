@@ -15,20 +15,22 @@ _BASE = {r[0]: r[3] for r in R.RULES}
 
 
 def normalized_name(name: Column, ascii_only: bool = False) -> Column:
-    """Names as compared. Names from requirement lines are ASCII, where native functions do."""
+    """Names as compared. Names from requirement lines are ASCII, where native functions do; of others only those that are not go to Python."""
     native = F.lower(F.replace(name, F.lit("_"), F.lit("-")))
-    return native if ascii_only else F.when(F.rlike(name, F.lit(r"^[\x00-\x7F]*$")), native).otherwise(X.package_name_udf(name))
+    is_ascii = F.rlike(name, F.lit(r"^[\x00-\x7F]*$"))
+    return native if ascii_only else F.when(is_ascii, native).otherwise(X.package_name_udf(F.when(~is_ascii, name)))
 
 
-def typosquats(deps: DataFrame, ascii_only: bool = True, known: DataFrame | None = None) -> DataFrame:
+def typosquats(deps: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """(norm_name, typosquat_of, distance) for each distinct unknown name near a known one; ties go to the first name.
 
-    ``known`` (name): a registry's names, met through ``look_alikes``. Without it the fixed list is a literal and distances are taken once a
+    ``known`` (name): a registry's names, in any script, met through ``look_alikes``. Without it the fixed list is a literal and distances are taken once a
     distinct name, with no join at all: on an aggregate of the name, since a filter on the group's own key would be pushed below the grouping, to every row.
     """
-    names = deps.select(normalized_name(F.col("name"), ascii_only).alias("norm_name"))
+    of = lambda df: df.select(normalized_name(F.col("name"), known is None).alias("norm_name"))
+    names = of(deps)
     if known is not None:
-        return look_alikes(names, known.select(normalized_name(F.col("name"), ascii_only).alias("norm_name")))
+        return look_alikes(names, of(known))
     fixed = X.constants(R.KNOWN_PACKAGES)
     unknown = names.where(~F.array_contains(fixed, F.col("norm_name"))).groupBy("norm_name").agg(F.max("norm_name").alias("one"))
     near = F.filter(
@@ -121,7 +123,7 @@ def unpinned(deps: DataFrame) -> DataFrame:
 
 def counts(deps: DataFrame, advisories: DataFrame | None = None, packages: DataFrame | None = None) -> DataFrame:
     """(skill_id, advisory_count, typosquat_count): every advisory of every dependency, and every dependency near a known name, repeats too."""
-    near = deps.withColumn("norm_name", normalized_name(F.col("name"), True)).join(typosquats(deps, known=packages).select("norm_name", F.lit(1).alias("is_near")), "norm_name", "left")
+    near = deps.withColumn("norm_name", normalized_name(F.col("name"), packages is None)).join(typosquats(deps, known=packages).select("norm_name", F.lit(1).alias("is_near")), "norm_name", "left")
     known = advise(near, advisories) if advisories is not None else near.withColumn("known_cve_ids", F.array().cast("array<string>"))
     return known.groupBy("skill_id").agg(F.sum(F.size("known_cve_ids")).cast("long").alias("advisory_count"), F.count("is_near").alias("typosquat_count"))
 
@@ -138,7 +140,7 @@ def findings(deps: DataFrame, advisories: DataFrame | None = None, packages: Dat
         )
 
     some = shape(unpinned(deps), F.array(F.lit(2)), "SC-004", F.concat(F.col("n_unpinned").cast("string"), F.lit(" dependency entries without hash pinning")))
-    near = deps.withColumn("norm_name", normalized_name(F.col("name"), True)).join(typosquats(deps, known=packages), "norm_name")
+    near = deps.withColumn("norm_name", normalized_name(F.col("name"), packages is None)).join(typosquats(deps, known=packages), "norm_name")
     squat = shape(near, F.array(F.lit(3), "dep_ord", F.lit(0)), "SC-003", F.concat(F.col("name"), F.lit(" resembles "), F.col("typosquat_of")))
     out = some.unionByName(squat)
     if advisories is not None:

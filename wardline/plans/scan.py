@@ -57,17 +57,17 @@ def taken_apart(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Data
     return skills, read, S.dependencies(usable, skills), S.rejects(files)
 
 
-def scan_files(files: DataFrame, advisories: DataFrame | None = None, replies: DataFrame | None = None, trace_rows: DataFrame | None = None, rule_folder: str | None = None, keep: Keep = lazy, given: DataFrame | None = None, packages: DataFrame | None = None) -> Scan:
+def scan_files(files: DataFrame, advisories: DataFrame | None = None, replies: DataFrame | None = None, trace_rows: DataFrame | None = None, rule_folder: str | None = None, keep: Keep = lazy, given: DataFrame | None = None, packages: DataFrame | None = None, copies: bool = False) -> Scan:
     """Every manifest, Python and Markdown file as a skill of its own.
 
     ``given``: source files that count for every skill instead of those found. Files that stand beside a manifest as its implementation, or as its README or change log, belong to it.
-    ``packages`` (name): the known names of a registry, in place of the fixed list.
+    ``packages`` (name): the known names of a registry, in place of the fixed list. ``copies``: many fields hold the same texts, each of which is then matched once.
     """
     skills, sources, dependencies, rejects = taken_apart(files)
-    return scan(skills, sources, dependencies, advisories, replies, trace_rows, R.rule_table(files.sparkSession, rule_folder), keep, rejects, given, packages)
+    return scan(skills, sources, dependencies, advisories, replies, trace_rows, R.rule_table(files.sparkSession, rule_folder), keep, rejects, given, packages, copies)
 
 
-def scan_directories(files: DataFrame, advisories: DataFrame | None = None, replies: DataFrame | None = None, trace_rows: DataFrame | None = None, rule_folder: str | None = None, keep: Keep = lazy, given: DataFrame | None = None, packages: DataFrame | None = None) -> Scan:
+def scan_directories(files: DataFrame, advisories: DataFrame | None = None, replies: DataFrame | None = None, trace_rows: DataFrame | None = None, rule_folder: str | None = None, keep: Keep = lazy, given: DataFrame | None = None, packages: DataFrame | None = None, copies: bool = False) -> Scan:
     """Folders as targets (``S.with_target``), each of which is one skill: its manifest, or all its Python files together."""
     spark = files.sparkSession
     usable = S.scannable(files)
@@ -85,7 +85,7 @@ def scan_directories(files: DataFrame, advisories: DataFrame | None = None, repl
     stated = S.requirements.from_manifest(m.select("skill_id", "raw"))
     near = S.sidecars(side).where("requirements_text IS NOT NULL").select(F.col("dir").alias("skill_id"), F.col("requirements_text").alias("text"))
     refused = S.rejects(files).unionByName(S.empty_targets(files).withColumn("failed", F.lit(True)))
-    return scan(skills, read, stated.unionByName(S.requirements.from_text(near)), advisories, replies, trace_rows, R.rule_table(spark, rule_folder), keep, refused, given, packages)
+    return scan(skills, read, stated.unionByName(S.requirements.from_text(near)), advisories, replies, trace_rows, R.rule_table(spark, rule_folder), keep, refused, given, packages, copies)
 
 
 def of_named_sources(own: DataFrame, given: DataFrame, keep: Keep = lazy) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
@@ -102,7 +102,7 @@ def of_named_sources(own: DataFrame, given: DataFrame, keep: Keep = lazy) -> tup
     return by_set, sets, lambda rows: member.select("skill_id", "set_id").join(rows.withColumnRenamed("skill_id", "set_id"), "set_id").drop("set_id")
 
 
-def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisories: DataFrame | None, replies: DataFrame | None, trace_rows: DataFrame | None, rules: DataFrame, keep: Keep = lazy, rejects: DataFrame | None = None, given: DataFrame | None = None, packages: DataFrame | None = None) -> Scan:
+def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisories: DataFrame | None, replies: DataFrame | None, trace_rows: DataFrame | None, rules: DataFrame, keep: Keep = lazy, rejects: DataFrame | None = None, given: DataFrame | None = None, packages: DataFrame | None = None, copies: bool = False) -> Scan:
     """``rejects``: files that were left out before; sources that cannot be read to their end join them. A skill that is such a source has no verdict."""
     skills, dependencies = keep(skills.drop("raw")), keep(dependencies)
     fields = S.text_fields(skills)
@@ -117,7 +117,7 @@ def scan(skills: DataFrame, sources: DataFrame, dependencies: DataFrame, advisor
     none = F.array().cast("array<string>")
     compared = to_skills(by.join(used, "skill_id", "left").select("skill_id", F.col("permissions").alias("declared"), F.coalesce("exercised", none).alias("exercised")))
     delta = code.permission_delta(compared)
-    first = textual.findings(fields).unionByName(textual.dynamic_tools(skills)).unionByName(deps.findings(dependencies, advisories, packages)).unionByName(to_skills(code.findings(facts, by))).unionByName(code.delta_findings(delta))
+    first = textual.findings(fields, copies=copies).unionByName(textual.dynamic_tools(skills)).unionByName(deps.findings(dependencies, advisories, packages)).unionByName(to_skills(code.findings(facts, by))).unionByName(code.delta_findings(delta))
     found = scoring.dedup(first)
     parsed = lt = None
     if replies is not None:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import pyfacts
+from ..functions import text as X
 from ..operators import code, deps, textual
 from ..sources import dumps, files, requirements
 from ..sources.tables import working_folder
@@ -224,6 +225,15 @@ def copied_text_findings(spark, sf):
     return h.select("skill_id", "rule_id", F.round("confidence", 6).alias("confidence"))
 
 
+@_query(r"""SELECT CAST(doc_id AS VARCHAR) AS skill_id, sha256(lower(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g')))) AS norm_sha256 FROM documents
+WHERE regexp_full_match(text, '[\x00-\x1B\x20-\x7F]*') AND NOT regexp_matches(text, '[&\\%]|[A-Za-z0-9+/]{20}')""")
+def plain_variants(spark, sf):
+    """The only variant of documents that no decoder changes, which is made without Python."""
+    d = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("skill_id"), "text").where(X.is_plain(F.col("text")))
+    v = d.select("skill_id", F.inline(X.variants_of(F.col("text")))).where("label = 'raw'")
+    return v.select("skill_id", F.sha2("norm", 256).alias("norm_sha256"))
+
+
 # ---- tool lists that change: a manifest of its user for each event
 
 _MANIFEST = "concat('{{\"permissions\": [', CASE WHEN event_id % 2 = 0 THEN '\"env:read\"' ELSE '' END, '], \"tools\": [{{\"name\": \"', event_type, '\", \"description\": \"', CAST(event_id % 3 AS {s}), '\"}}]}}')"
@@ -240,7 +250,7 @@ def tool_list_changes(spark, sf):
     e.select(F.col("user_id").cast("string").alias("skill_id"), F.expr(_MANIFEST.format(s="STRING")).alias("content"), F.col("ts").cast("timestamp").alias("seen_at")).write.parquet(landing)
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
-    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    spark.conf.set(key, rescan.STATE_STORE)
     try:
         changes = rescan.tool_changes(spark.readStream.schema(rescan.MANIFESTS).parquet(landing), forget=timedelta(days=3650))
         w = changes.writeStream.format("parquet").option("path", f"{out}/changes").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start()

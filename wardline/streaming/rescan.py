@@ -16,6 +16,8 @@ from ..sources import files as S
 
 FIELDS = "skill_id string, field_ord int, field_name string, text string, seen_at timestamp"
 MANIFESTS = "skill_id string, content string, seen_at timestamp"
+#: State of skills needs this store.
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 CHANGES = "skill_id string, change string, seen_at timestamp, tools_hash string, added_tools array<string>, added_permissions array<string>, content string"
 
 
