@@ -294,26 +294,31 @@ def test_ids_equal_merges_of_whole_texts():
         assert c.encode_batch([t])[0] == spelled(c, c._merge("▁" + t.replace(" ", "▁")))
 
 
+def best_path(c, t):
+    """(ids, score) by a plain dynamic program over the whole text."""
+    longest = max(map(len, c.ids))
+    s = "▁" + t.replace(" ", "▁") if t else ""
+    best = [(0.0, None)]
+    for e in range(1, len(s) + 1):
+        known = [(best[b][0] + c.score[c.ids[s[b:e]]], b) for b in range(max(0, e - longest), e) if s[b:e] in c.ids]
+        best.append(max(known + ([] if s[e - 1] in c.ids else [(best[e - 1][0] + c.unknown, e - 1)])))
+    ids, at = [], len(s)
+    while at:
+        ids = spelled(c, [s[best[at][1] : at]]) + ids
+        at = best[at][1]
+    return ids, best[-1][0]
+
+
 def test_best_paths_of_whole_texts():
     """Viterbi over the shared prefixes has the score of a plain dynamic program over the whole text."""
     c = coder()
-    longest = max(map(len, c.ids))
     texts = [t for t in ODD if t] + [prose(i, 40) for i in range(6)]
-    for t, got in zip(texts, c.best_paths(texts), strict=True):
-        s = "▁" + t.replace(" ", "▁")
-        best = [(0.0, None)]
-        for e in range(1, len(s) + 1):
-            known = [(best[b][0] + c.score[c.ids[s[b:e]]], b) for b in range(max(0, e - longest), e) if s[b:e] in c.ids]
-            best.append(max(known + ([] if s[e - 1] in c.ids else [(best[e - 1][0] - 1e9, e - 1)])))
-        unknown = sum(ch not in c.ids for ch in s)
-        ids, at = [], len(s)
-        while at:
-            ids = spelled(c, [s[best[at][1] : at]]) + ids
-            at = best[at][1]
-        total = lambda x: sum(c.score[k] for k in x if k not in c.byte_of)  # noqa: B023, E731
-        assert np.isclose(total(got), total(ids)) and np.isclose(total(got), best[-1][0] + 1e9 * unknown, atol=1e-3 + 1e-6 * unknown)
-        assert c.decode(got) == t
+    total = lambda x: sum(c.score[k] for k in x if k not in c.byte_of)
+    for t, got, score in zip(texts, c.best_paths(texts), c.encode_both(texts)[2], strict=True):
+        ids, want = best_path(c, t)
+        assert np.isclose(score, want) and np.isclose(total(got), total(ids)) and c.decode(got) == t
     assert c.encode_batch(texts) == coder().encode_batch(texts)  # the ids stay the merges'
+    assert c.encode_both([None, ""]) == ([None, b""], [None, b""], [None, 0.0])
 
 
 def test_settings_of_the_model_are_checked(monkeypatch):
@@ -331,5 +336,11 @@ def test_encode_decode(spark, edge, empty):
     back = sorted((r["doc_id"] or -1, r["text"] or "") for r in sentencepiece_trie.decode(coded).collect())
     assert back == sorted((r["doc_id"] or -1, r["text"] or "") for r in edge.collect())
     assert sentencepiece_trie.encode(empty).count() == 0
+    c = coder()
+    for r in coded.join(edge.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").where("doc_id <> 3").collect():
+        want = (None, None) if r["text"] is None else best_path(c, r["text"][:3000])
+        if r["text"] is None or len(r["text"]) <= 3000:
+            assert r["best_ids"] is None if want[0] is None else np.isclose(sum(c.score[k] for k in r["best_ids"] if k not in c.byte_of), sum(c.score[k] for k in want[0] if k not in c.byte_of))
+            assert r["best_score"] is None if want[1] is None else np.isclose(r["best_score"], want[1])
 
 

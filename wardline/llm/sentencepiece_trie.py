@@ -5,12 +5,12 @@ of the vocabulary spans. The distinct words of a batch are sorted, which lays th
 depth-first order, and one dynamic program runs over it: the state of a prefix is computed once and kept on the stack
 for all words that share it.
 
-For a unigram model the state of a prefix is its best score and the piece that ends it (Viterbi). **Deviation:** the public vocabulary is a
-BPE model, and for such a model the path with the best sum of scores is not the encoding, so Viterbi scores cannot give right ids. The trie, its order and the
-reuse of forward states stay; the state of a prefix is then the last piece of its
-encoding. A piece may follow another exactly if the two stand side by side when the merges run on
-their concatenation, and exactly one piece can end each prefix; so the same forward pass gives the
-merge result. Texts and ids agree with the library's own encoder, and with merges run over the whole text. ``best_paths`` runs the Viterbi pass for a model of either kind.
+The state of a prefix is its best score and the piece that ends its best path (Viterbi). The best path and its score are part of the result. **Deviation:** the
+public vocabulary is a BPE model, and for such a model the path with the best sum of scores is not the encoding, so it cannot give right ids. For such a model the state
+of a prefix holds, beside the best path, the last piece of its encoding, found in the same pass over the same candidates. A piece may follow another
+exactly if the two stand side by side when the merges run on their concatenation, and exactly one piece can end each prefix; so the forward pass gives the
+merge result. Texts and ids agree with the library's own encoder, and with merges run over the whole text. For a unigram model the best path is the encoding.
+A character without a piece counts ten less than the worst piece, as in the library.
 
 What the model file says of normalisation is checked: a space mark ahead of the text, every space as a mark, no other change. Another setting is an error.
 
@@ -98,6 +98,8 @@ class Coder:
         # marks and characters of one class, or marks alone, or one character that stands alone
         self.cut = re.compile(f"(?s){MARK}*(?:{runs})|{MARK}+|." if runs else f"(?s){MARK}+|.")
         self.words: dict[str, bytes] = {}  # ids as 32-bit integers
+        self.best: dict[str, tuple[bytes, float]] = {}  # the best path and its score
+        self.unknown = min(self.score, default=0.0) - 10.0
         # Ids whose text depends on their neighbours, or that have none: bytes of longer characters, and control pieces. An ASCII byte is its character.
         # What pieces decode to, and after them what they decode to at the start of a text.
         spelling = [chr(self.byte_of[i]) if self.byte_of.get(i, 128) < 128 else p.replace(MARK, " ") for i, p in enumerate(self.pieces)]
@@ -133,36 +135,44 @@ class Coder:
         return self.pieces[k] if k < len(self.pieces) else chr(k - len(self.pieces))
 
     def _learn(self, words: list[str]) -> None:
-        """Depth-first over the trie of sorted ``words``: for each prefix of the current word, its last piece and that piece's length.
+        """Depth-first over the trie of sorted ``words``: both states of each prefix of the current word stand on stacks.
 
         A character without a piece of its own stands in as its code point after the pieces.
         """
-        n = len(self.pieces)
-        grow = (self._best_last if self.unigram else self._merged_last)()
-        last, size = next(grow)
+        grow = self._states()
+        last, size, best_last, best_size, score = next(grow)
         for w, shared in zip(words, _shared(words), strict=True):
-            del last[shared + 1 :], size[shared + 1 :]
+            for stack in (last, size, best_last, best_size, score):
+                del stack[shared + 1 :]
             grow.send(w)
-            out, end = [], len(w)
-            while end:
-                out.append(last[end])
-                end -= size[end]
-            out.reverse()
-            if out and max(out) >= n:
-                spelled = [[k] if k < n else [self.bytes_id[b] for b in chr(k - n).encode()] if self.bytes_id else [self.unk] for k in out]
-                out = [x for part in spelled for x in part]
-            self.words[w] = array("i", out).tobytes()
-
-    def _merged_last(self):
-        """The state of a prefix after merges: the last piece, the longest that may follow the state where it begins.
-
-        A generator: gives the two lists of the stack, then extends them for each word sent.
+            self.best[w] = self._path(best_last, best_size, len(w)), score[len(w)]
+            self.words[w] = self.best[w][0] if self.unigram else self._path(last, size, len(w))
+
+    def _path(self, last: list[int], size: list[int], end: int) -> bytes:
+        """The ids that lead to a prefix."""
+        out, n = [], len(self.pieces)
+        while end:
+            out.append(last[end])
+            end -= size[end]
+        out.reverse()
+        if out and max(out) >= n:
+            spelled = [[k] if k < n else [self.bytes_id[b] for b in chr(k - n).encode()] if self.bytes_id else [self.unk] for k in out]
+            out = [x for part in spelled for x in part]
+        return array("i", out).tobytes()
+
+    def _states(self):
+        """The states of a prefix: after merges, the last piece, the longest that may follow the state where it begins; and by Viterbi, the
+        piece that ends the best path, the longest of equal ones, and its score.
+
+        A generator: gives the five lists of the stack, then extends them for each word sent.
         """
         ids, ends, follows, pairs, one, span, n = self.ids.get, self.ends.get, self._follows, self.pairs, (1,), self.span, len(self.pieces)
-        last, size = [-1], [0]
-        w = yield last, size
+        score, unknown, unigram = self.score, self.unknown, self.unigram
+        last, size, best_last, best_size, best = [-1], [0], [-1], [0], [0.0]
+        w = yield last, size, best_last, best_size, best
         while True:
             for end in range(len(last), len(w) + 1):
+                top, merged = None, -1
                 for k in (end > 2 and ends(w[end - 3 : end])) or (end > 1 and ends(w[end - 2 : end])) or one:
                     if k > end:
                         continue
@@ -171,62 +181,49 @@ class Coder:
                         if k > 1:
                             continue
                         piece = n + ord(w[end - 1])
-                    left = last[end - k]
-                    if left < 0:
-                        break
-                    ok = pairs.get(left * span + piece)
-                    if follows(left, piece) if ok is None else ok:
-                        break
-                last.append(piece)
-                size.append(k)
-            w = yield
-
-    def _best_last(self):
-        """The state of a prefix by Viterbi: the piece that ends its best path; the score stands on a stack beside it. As ``_merged_last``."""
-        ids, ends, score, one, n = self.ids.get, self.ends.get, self.score, (1,), len(self.pieces)
-        last, size, best = [-1], [0], [0.0]
-        w = yield last, size
-        while True:
-            del best[len(last) :]
-            for end in range(len(last), len(w) + 1):
-                found = None
-                for k in (end > 2 and ends(w[end - 3 : end])) or (end > 1 and ends(w[end - 2 : end])) or one:
-                    piece = ids(w[end - k : end]) if k <= end else None
-                    if piece is None:
-                        if k > 1:
-                            continue
-                        piece = n + ord(w[end - 1])
-                    total = best[end - k] + (score[piece] if piece < n else -1e9)
-                    if found is None or total > top:
-                        found, top, long = piece, total, k
-                last.append(found)
-                size.append(long)
+                        total = best[end - k] + unknown
+                    else:
+                        total = best[end - k] + score[piece]
+                    if top is None or total > top:
+                        top, ending, long = total, piece, k
+                    if merged < 0 and not unigram:
+                        left = last[end - k]
+                        if left >= 0:
+                            ok = pairs.get(left * span + piece)
+                            if not (follows(left, piece) if ok is None else ok):
+                                continue
+                        merged, merged_long = piece, k
+                last.append(ending if unigram else merged)
+                size.append(long if unigram else merged_long)
+                best_last.append(ending)
+                best_size.append(long)
                 best.append(top)
             w = yield
 
     def best_paths(self, texts: list[str | None]) -> list[list[int] | None]:
-        """Ids of the path with the best sum of scores (Viterbi), whatever the model's kind; another coder's words are not mixed in."""
-        kind, known = self.unigram, self.words
-        self.unigram, self.words = True, {}
-        try:
-            return self.encode_batch(texts)
-        finally:
-            self.unigram, self.words = kind, known
+        """Ids of the path with the best sum of scores (Viterbi), whatever the model's kind."""
+        return [None if x is None else np.frombuffer(x, np.int32).tolist() for x in self.encode_both(texts)[1]]
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int] | None]:
         return [None if x is None else np.frombuffer(x, np.int32).tolist() for x in self.encode_packed(texts)]
 
     def encode_packed(self, texts: list[str | None]) -> list[bytes | None]:
         """Each text's ids as 32-bit integers."""
+        return self.encode_both(texts)[0]
+
+    def encode_both(self, texts: list[str | None]) -> tuple[list[bytes | None], list[bytes | None], list[float | None]]:
+        """Each text's ids, and its best path and that path's score: both are put together from those of its words, since no piece spans two."""
         parts = [None if t is None else self.cut.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        known = self.words
+        known, best = self.words, self.best
         met = set(chain.from_iterable(p for p in parts if p))
         new = met.difference(known)
         if len(known) + len(new) > MAX_WORDS:
-            known.clear()
+            known.clear(), best.clear()
             new = met
         self._learn(sorted(new))
-        return [None if p is None else b"".join(map(known.__getitem__, p)) for p in parts]
+        ids = [None if p is None else b"".join(map(known.__getitem__, p)) for p in parts]
+        paths = [None if p is None else list(map(best.__getitem__, p)) for p in parts]
+        return ids, [None if p is None else b"".join([x for x, _ in p]) for p in paths], [None if p is None else sum([s for _, s in p], 0.0) for p in paths]
 
     def decode_batch(self, ids: pa.ListArray) -> pa.Array:
         """The texts of lists of ids without nulls: pieces joined by Arrow, and one by one where ``odd`` ids occur."""
@@ -337,13 +334,19 @@ def _coder(model: bytes) -> Coder:
 
 
 def encode(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, ids, n_tokens, n_chars and round_trip (decoding gives the text back); a row for each row of the table.
+    """doc_id, ids, n_tokens, n_chars, round_trip (decoding gives the text back), best_ids and best_score (the Viterbi path); a row for each row of the table.
 
     A space mark in the text itself decodes to a space, as in the library, and then round_trip is false.
     """
     held = docs.sparkSession.sparkContext.broadcast(model or model_bytes())
     small_batches(docs.sparkSession)
 
+    def lists(packed: list[bytes | None], null: np.ndarray) -> tuple[pa.Array, pa.Array, np.ndarray]:
+        """(lists without nulls, with nulls, lengths)"""
+        size = np.array([len(x or b"") // 4 for x in packed], np.int64)
+        flat, upto = pa.array(np.frombuffer(b"".join(x for x in packed if x), np.int32)), np.append(0, np.cumsum(size)).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(upto), flat), pa.ListArray.from_arrays(pa.array(upto, mask=np.append(null, False)), flat), size
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(held.value)
         gc.disable()  # a batch makes millions of objects and no cycles
@@ -351,25 +354,25 @@ def encode(docs: DataFrame, model: bytes | None = None, id_col: str = "doc_id",
             for b in batches:
                 for at in range(0, b.num_rows, BATCH_ROWS):
                     part = b.slice(at, BATCH_ROWS)
-                    texts = part.column("text").to_pylist()
-                    packed = coder.encode_packed(texts)
+                    packed, best, score = coder.encode_both(part.column("text").to_pylist())
                     null = np.array([x is None for x in packed], bool)
-                    size = np.array([len(x or b"") // 4 for x in packed], np.int64)
-                    flat, upto = pa.array(np.frombuffer(b"".join(x for x in packed if x), np.int32)), np.append(0, np.cumsum(size)).astype(np.int32)
-                    back = coder.decode_batch(pa.ListArray.from_arrays(pa.array(upto), flat))
+                    whole, ids, size = lists(packed, null)
+                    back = coder.decode_batch(whole)
                     cols = [
                         part.column("doc_id"),
-                        pa.ListArray.from_arrays(pa.array(upto, mask=np.append(null, False)), flat),
+                        ids,
                         pa.array(size, mask=null),
                         pc.utf8_length(part.column("text")).cast(pa.int64()),
                         pc.equal(back, part.column("text")),  # null for a null text
+                        lists(best, null)[1],
+                        pa.array(score, pa.float64()),
                     ]
-                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "n_tokens", "n_chars", "round_trip"])
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "ids", "n_tokens", "n_chars", "round_trip", "best_ids", "best_score"])
         finally:
             gc.enable()
-            coder.words.clear()  # the worker goes on to other tasks; most words are rare and would not be met again
+            coder.words.clear(), coder.best.clear()  # the worker goes on to other tasks; most words are rare and would not be met again
 
-    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, n_chars long, round_trip boolean")
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, n_chars long, round_trip boolean, best_ids array<int>, best_score double")
 
 
 def decode(coded: DataFrame, model: bytes | None = None, ids_col: str = "ids", id_col: str = "doc_id") -> DataFrame:
