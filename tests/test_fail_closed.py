@@ -113,3 +113,7 @@ def test_named_sources_are_read_once(spark, tmp_path, monkeypatch):
     assert out.verdicts.where("subprocess_in_tool_body").count() == 30 if "subprocess_in_tool_body" in out.verdicts.columns else True
     plan = out.delta.join(out.findings, "skill_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "content" not in plan
+    skills = spark.createDataFrame([("a", ["env:read"]), ("b", [])], "skill_id string, permissions array<string>")
+    facts, _, to_skills = scan.of_named_sources(skills, given)
+    plan = to_skills(facts.select("skill_id", "kind"))._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -15,11 +15,14 @@ from pyspark.sql import functions as F
 
 from .. import rules as R
 from ..functions import pyfacts
+from ..functions import text as X
 from ..operators import code, deps, judge, metrics, scoring, textual, traces
 from ..sources import files as S
 
 
 Keep = Callable[[DataFrame], DataFrame]
+#: Sets of declared permissions are subsets of a fixed list.
+MAX_SETS = 2 ** len(R.PERMISSIONS)
 
 
 def lazy(df: DataFrame) -> DataFrame:
@@ -97,8 +100,11 @@ def of_named_sources(own: DataFrame, given: DataFrame, keep: Keep = lazy) -> tup
     facts = keep(pyfacts.fact_table(given.where("ext = '.py'").select(F.lit("").alias("skill_id"), "path", "content")))
     held = F.array_sort("permissions")
     member = keep(own.select("skill_id", F.array_join(held, ",").alias("set_id"), held.alias("permissions")))
-    sets = member.select(F.col("set_id").alias("skill_id"), "permissions").distinct()  # subsets of a fixed list
-    by_set = facts.drop("skill_id").crossJoin(F.broadcast(sets.select("skill_id")))
+    sets = member.select(F.col("set_id").alias("skill_id"), "permissions").distinct()
+    ids = tuple(r["skill_id"] for r in sets.select("skill_id").limit(MAX_SETS + 1).collect())
+    if len(ids) > MAX_SETS:
+        raise ValueError("permissions that are no subsets of the known ones")
+    by_set = facts.drop("skill_id").withColumn("skill_id", F.explode(X.constants(ids)))
     return by_set, sets, lambda rows: member.select("skill_id", "set_id").join(rows.withColumnRenamed("skill_id", "set_id"), "set_id").drop("set_id")
 
 

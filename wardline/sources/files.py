@@ -6,7 +6,6 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import rules as R
 from ..functions import pyfacts
@@ -95,14 +94,19 @@ def sidecars(files: DataFrame) -> DataFrame:
 
 
 def implementation_files(files: DataFrame) -> DataFrame:
-    """(skill path, source path): Python files that start like the manifest's first two name parts; else all, if it is the only JSON file there."""
-    j = files.where("ext = '.json'").withColumn("n_json", F.count(F.lit(1)).over(Window.partitionBy("dir")))
-    j = j.where(refusal(F.col("content")).isNull())  # one that is not scanned has no implementation
-    m = j.select(F.col("path").alias("skill_path"), "dir", F.array_join(F.slice(F.split("stem", "-"), 1, 2), "-").alias("prefix"), "n_json")
+    """(skill path, source path): Python files that start like the manifest's first two name parts; else all, if it is the only JSON file there.
+
+    Files meet manifests by folder and beginning: each Python file goes under all its beginnings, so a folder of very many of both makes no pairs but those that belong together.
+    """
+    j = files.where("ext = '.json'")
+    m = j.where(refusal(F.col("content")).isNull())  # one that is not scanned has no implementation
+    m = m.select(F.col("path").alias("skill_path"), "dir", F.array_join(F.slice(F.split("stem", "-"), 1, 2), "-").alias("prefix"))
     p = files.where("ext = '.py'").select("dir", "path", "stem")
-    both = m.join(p, "dir").withColumn("like", F.startswith("stem", "prefix"))
-    both = both.withColumn("any_like", F.max("like").over(Window.partitionBy("skill_path")))
-    return both.where(F.when(F.col("any_like"), F.col("like")).otherwise(F.col("n_json") == 1)).select("skill_path", "path")
+    begins = F.transform(F.sequence(F.lit(0), F.length("stem")), lambda n: F.substring("stem", F.lit(1), n))
+    alike = m.join(p.select("dir", "path", F.explode(begins).alias("prefix")), ["dir", "prefix"]).select("skill_path", "path")
+    lone = j.groupBy("dir").agg(F.count(F.lit(1)).alias("n_json")).where("n_json = 1").select("dir")
+    other = m.join(lone, "dir").join(alike.select("skill_path"), "skill_path", "left_anti")
+    return alike.unionByName(other.join(p, "dir").select("skill_path", "path"))
 
 
 def with_target(files: DataFrame, root: str, level: int) -> DataFrame:
