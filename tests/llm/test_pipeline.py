@@ -42,7 +42,7 @@ def test_stages(spark, tmp_path):
 
 def test_registered(spark):
     q = entry.queries()
-    assert {f"op{i}_" for i in range(1, 11)} == {k.split("_")[0] + "_" for k in q if k.startswith("op")} and "pipeline" in q
+    assert {f"op{i}_" for i in range(1, 14)} == {k.split("_")[0] + "_" for k in q if k.startswith("op")} and "pipeline" in q
     assert set(entry.oracle_sql()) <= set(q)
 
 
