@@ -91,6 +91,28 @@ def test_lm_sends_as_much_a_bigram_at_any_size():
         assert len(rows) <= lm_scoring.FAN and sum(map(len, rows)) / len(k1) < 12
 
 
+def test_lm_cells_hold_about_a_part(spark, monkeypatch):
+    """Just over one level, a cell used to merge nearly all keys of ``fan`` blocks, whatever a part may hold."""
+    r = np.random.default_rng(7)
+    docs = spark.createDataFrame([(i, " ".join(f"w{x}" for x in r.integers(0, 1000, 500))) for i in range(96)], "doc_id long, text string").repartition(4)
+    targets = spark.createDataFrame([(i,) for i in range(0, 96, 3)], "doc_id long")
+    tables, written = [], lm_scoring.checkpointed
+
+    def kept(df):
+        tables.append(written(df))
+        return tables[-1]
+
+    monkeypatch.setattr(lm_scoring, "checkpointed", kept)
+    got = lm_scoring.score_corpus(docs, targets, block_tokens=1000, part_keys=2000, fan=16).collect()
+    cells = Counter()
+    for table in tables[2:-1]:  # blocks, what they sent, what cells did, the sums
+        for x in table.select("part", "block", "counts").collect():
+            cells[x["part"] < 0, x["block"]] += len(lm_scoring._unpack(x["counts"], np.int64)) // (4 if x["part"] < 0 else 2)
+    assert cells and max(cells.values()) <= 2 * 2000
+    one = {x["doc_id"]: x["score"] for x in lm_scoring.score_corpus(docs, targets).collect()}
+    assert len(got) == len(one) and all(np.isclose(x["score"], one[x["doc_id"]]) for x in got)
+
+
 def quality_docs(n=400):
     junk = lambda i: " ".join(w + "###" for w in prose(i, 60).split())
     return [prose(i, 60) + "." if i % 4 else junk(i) for i in range(n)]

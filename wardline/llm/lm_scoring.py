@@ -8,8 +8,9 @@ p(w | v) = (n(v w) + MU * p(w)) / (n(v) + MU), where v is the word before, or th
 No table of words or bigrams is ever in one place. Documents are cut into blocks of about a million tokens, written once as numbers
 of the block's own words. Each block sends its distinct words and bigrams, with their counts, to be summed in parts, which are ranges of a
 hash, as many as the corpus asks for, and gets the sums back in the order sent. A block sends to ``FAN`` ranges at most: for more parts than that, the
-blocks of a group are first merged range by range, and what is merged sends on to the parts of its range, in as many levels as it takes. So a
-row holds some thousand keys at any size of the corpus, and what travels grows with the corpus times the levels (three for 16 million parts). Bigrams travel as 80 bits of
+blocks of a group are first merged range by range, in cells, and what is merged sends on to the parts of its range, in as many levels as it takes. Ranges are
+evened out over the levels, and there are at least twice as many cells as parts on each, so a cell receives about half a part's keys, and a
+row holds a hundred keys or more at any size of the corpus; what travels grows with the corpus times the levels (two up to 16 million parts). Bigrams travel as 80 bits of
 two sums of word hashes, sorted, as the gaps between them: among 10^10 of them any two agree with a chance below 10^-4, and such a pair would only share
 its counts.
 
@@ -39,8 +40,8 @@ from .labelled import join_checked
 BLOCK_TOKENS, BLOCK_CHARS, BLOCK_DOCS = 1 << 20, 1 << 24, 100_000
 #: Keys that a part of the sums receives, about.
 PART_KEYS = 1 << 21
-#: Ranges that a block, or what was merged of some, sends to, and blocks that are merged.
-FAN = 256
+#: Ranges that a block, or what was merged of some, sends to at most, and blocks that are merged, about.
+FAN = 4096
 ALPHA, MU = 0.5, 20.0
 #: No word is a line break: it stands for the start of a document.
 START = b"\n"
@@ -179,6 +180,13 @@ def _divisors(parts: int, fan: int) -> list[int]:
     return out
 
 
+def _spans(parts: int, fan: int) -> list[int]:
+    """Those of the least fan with as many levels as ``fan``: with a range or two on the first level, cells would be as large as blocks are."""
+    levels = len(_divisors(parts, fan))
+    least = max(2, int(parts ** (1 / levels)) - 1)
+    return _divisors(parts, next(f for f in range(least, max(fan, least) + 1) if len(_divisors(parts, f)) <= levels))
+
+
 def _word_order(hashes: np.ndarray, n_words: int, span: int) -> list[tuple[int, np.ndarray]]:
     """(range of parts, numbers of the block's words in it); words go to ranges below zero, bigrams to the others."""
     part = -1 - _part(hashes[:, 0], n_words) // span
@@ -270,10 +278,11 @@ _SENT_SQL, _SUMS_SQL = "part long, block long, keys binary, counts binary", "blo
 
 
 def _totals(sent: DataFrame, parts: int, spans: list[int], units: int, fan: int) -> DataFrame:
-    """Rows of ``_SENT`` to ``_SUMS``. On all levels but the last, ``fan`` units are merged range by range to a cell, which is a unit of the next level."""
+    """Rows of ``_SENT`` to ``_SUMS``. On all levels but the last, units are merged range by range to cells, which are units of the next level."""
     if len(spans) == 1:
         return sent.groupBy("part").applyInArrow(_sum, _SUMS_SQL)
-    groups = -(-units // fan)
+    # A range has the keys of ``spans[0]`` parts: in twice as many cells, those that get more units than others still hold about a part's keys.
+    groups = max(2 * spans[0], -(-units // fan))
     cells = sent.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(groups)) * (1 << 32) + F.when(F.col("part") < 0, -1 - F.col("part")).otherwise(F.col("part")))
 
     def merged(rows: pa.Table) -> pa.Table:
@@ -304,7 +313,7 @@ def score_corpus(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", te
     n_t, n_b, start_t, start_b, held, n_blocks = (x or 0 for x in blocks.agg(*(F.sum(c) for c in ("n_t", "n_b", "start_t", "start_b", "n_words")), F.count(F.lit(1))).first())
     # A distinct word costs a part more than a bigram does.
     n_words, n_pairs = 1 + held * 4 // part_keys, 1 + n_b // part_keys
-    word_spans, pair_spans = _divisors(n_words, fan), _divisors(n_pairs, fan)
+    word_spans, pair_spans = _spans(n_words, fan), _spans(n_pairs, fan)
     sent = blocks.select("block", "tokens", "target", "length", "words", "n_words", "counts").mapInArrow(lambda batches: _send(batches, n_words, n_pairs, word_spans[0], pair_spans[0]), _SENT_SQL)
     if len(word_spans) == len(pair_spans) == 1:
         sums = checkpointed(sent.groupBy("part").applyInArrow(_sum, _SUMS_SQL))
